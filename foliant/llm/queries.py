@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .piece_coder import op4_sentencepiece_backtracking
+from .simhash import op6_simhash_tiles
 
 QUERIES = {
     "op4_sentencepiece_backtracking": op4_sentencepiece_backtracking,
+    "op6_simhash_tiles": op6_simhash_tiles,
 }
 
 ORACLE_SQL: dict[str, str] = {}
