@@ -1,11 +1,12 @@
 """Registered queries of this package and their SQL, where SQL can express them."""
 
 from __future__ import annotations
-
 from .piece_coder import op4_sentencepiece_backtracking
 from .simhash import op6_simhash_tiles
+from .quality import op1_nb_support_vectors
 
 QUERIES = {
+    "op1_nb_support_vectors": op1_nb_support_vectors,
     "op4_sentencepiece_backtracking": op4_sentencepiece_backtracking,
     "op6_simhash_tiles": op6_simhash_tiles,
 }
