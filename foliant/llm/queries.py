@@ -4,8 +4,10 @@ from __future__ import annotations
 from .piece_coder import op4_sentencepiece_backtracking
 from .simhash import op6_simhash_tiles
 from .quality import op1_nb_support_vectors
+from .toxicity import op9_crf_toxicity
 
 QUERIES = {
+    "op9_crf_toxicity": op9_crf_toxicity,
     "op1_nb_support_vectors": op1_nb_support_vectors,
     "op4_sentencepiece_backtracking": op4_sentencepiece_backtracking,
     "op6_simhash_tiles": op6_simhash_tiles,
