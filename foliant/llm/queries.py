@@ -5,8 +5,10 @@ from .piece_coder import op4_sentencepiece_backtracking
 from .simhash import op6_simhash_tiles
 from .quality import op1_nb_support_vectors
 from .toxicity import op9_crf_toxicity
+from .reshard import op2_min_cost_flow_resharding
 
 QUERIES = {
+    "op2_min_cost_flow_resharding": op2_min_cost_flow_resharding,
     "op9_crf_toxicity": op9_crf_toxicity,
     "op1_nb_support_vectors": op1_nb_support_vectors,
     "op4_sentencepiece_backtracking": op4_sentencepiece_backtracking,
