@@ -6,8 +6,10 @@ from .simhash import op6_simhash_tiles
 from .quality import op1_nb_support_vectors
 from .toxicity import op9_crf_toxicity
 from .reshard import op2_min_cost_flow_resharding
+from .decontaminate import OP8_SQL, op8_positional_index
 
 QUERIES = {
+    "op8_positional_index": op8_positional_index,
     "op2_min_cost_flow_resharding": op2_min_cost_flow_resharding,
     "op9_crf_toxicity": op9_crf_toxicity,
     "op1_nb_support_vectors": op1_nb_support_vectors,
@@ -15,4 +17,6 @@ QUERIES = {
     "op6_simhash_tiles": op6_simhash_tiles,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_positional_index": OP8_SQL,
+}
