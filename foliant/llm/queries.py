@@ -7,8 +7,10 @@ from .quality import op1_nb_support_vectors
 from .toxicity import op9_crf_toxicity
 from .reshard import op2_min_cost_flow_resharding
 from .decontaminate import OP8_SQL, op8_positional_index
+from .pii import op3_disclosure_sanitiser
 
 QUERIES = {
+    "op3_disclosure_sanitiser": op3_disclosure_sanitiser,
     "op8_positional_index": op8_positional_index,
     "op2_min_cost_flow_resharding": op2_min_cost_flow_resharding,
     "op9_crf_toxicity": op9_crf_toxicity,
