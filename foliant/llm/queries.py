@@ -8,8 +8,10 @@ from .toxicity import op9_crf_toxicity
 from .reshard import op2_min_cost_flow_resharding
 from .decontaminate import OP8_SQL, op8_positional_index
 from .pii import op3_disclosure_sanitiser
+from .nearest import op5_stable_projection_search
 
 QUERIES = {
+    "op5_stable_projection_search": op5_stable_projection_search,
     "op3_disclosure_sanitiser": op3_disclosure_sanitiser,
     "op8_positional_index": op8_positional_index,
     "op2_min_cost_flow_resharding": op2_min_cost_flow_resharding,
