@@ -9,8 +9,10 @@ from .reshard import op2_min_cost_flow_resharding
 from .decontaminate import OP8_SQL, op8_positional_index
 from .pii import op3_disclosure_sanitiser
 from .nearest import op5_stable_projection_search
+from .substrings import op10_repeated_phrase_automata
 
 QUERIES = {
+    "op10_repeated_phrase_automata": op10_repeated_phrase_automata,
     "op5_stable_projection_search": op5_stable_projection_search,
     "op3_disclosure_sanitiser": op3_disclosure_sanitiser,
     "op8_positional_index": op8_positional_index,
