@@ -10,8 +10,10 @@ from .decontaminate import OP8_SQL, op8_positional_index
 from .pii import op3_disclosure_sanitiser
 from .nearest import op5_stable_projection_search
 from .substrings import op10_repeated_phrase_automata
+from .interpolation import op7_deleted_interpolation
 
 QUERIES = {
+    "op7_deleted_interpolation": op7_deleted_interpolation,
     "op10_repeated_phrase_automata": op10_repeated_phrase_automata,
     "op5_stable_projection_search": op5_stable_projection_search,
     "op3_disclosure_sanitiser": op3_disclosure_sanitiser,
