@@ -30,7 +30,8 @@ from . import shared
 MARK = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-MEMO = 150_000
+#: Words in each of the two generations of the memo, and remembered pairs of pieces.
+MEMO = 250_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -102,6 +103,7 @@ class PieceCoder:
         self.words = re.compile(f"[{stop}]|{MARK}*[^{MARK}{stop}]+|{MARK}+" if stop else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.fits: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.surface = [
             chr(b) if (b := int(p[3:5], 16)) < 128 else chr(0xDC00 + b) if k == BYTE else p
             for p, k in ((p if k == BYTE else "<0x80>", k) for p, k in zip(self.pieces, self.kinds))
@@ -128,7 +130,7 @@ class PieceCoder:
         known = self.fits.get((left, right))
         if known is None:
             if len(self.fits) >= MEMO:
-                self.fits.clear()
+                self.fits.clear()  # the same dictionary, as backtrack() holds it
             known = self.merged(left + right) == ([left, right] if left else [right])
             self.fits[left, right] = known
         return known
@@ -138,25 +140,30 @@ class PieceCoder:
         starts: list[list[str]] = [[] for _ in text]
         for end, piece in self.trie.iter(text):
             starts[end + 1 - len(piece)].append(piece)  # shortest first, as ends ascend
-        failed = bytearray(len(text) // 8 + 1)
+        length, fits = len(text), self.fits
+        failed, clean = bytearray(length // 8 + 1), True
         chosen: list[tuple[str, int]] = []
-        at, rank = 0, len(starts[0]) - 1
-        while at < len(text):
-            last = chosen[-1][0] if chosen else ""
+        at, rank, last = 0, len(starts[0]) - 1, ""
+        while at < length:
+            here = starts[at]
             while rank >= 0:
-                piece = starts[at][rank]
+                piece = here[rank]
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and self.compatible(last, piece):
-                    break
+                if clean or not failed[end >> 3] >> (end & 7) & 1:
+                    fit = fits.get((last, piece))
+                    if fit or fit is None and self.compatible(last, piece):
+                        break
                 rank -= 1
             if rank >= 0:
                 chosen.append((piece, rank))
-                at = end
-                rank = len(starts[at]) - 1 if at < len(text) else -1
+                at, last = end, piece
+                rank = len(starts[at]) - 1 if at < length else -1
             else:
+                clean = False
                 failed[at >> 3] |= 1 << (at & 7)
                 piece, rank = chosen.pop()
                 at -= len(piece)
+                last = chosen[-1][0] if chosen else ""
                 rank -= 1
         return [piece for piece, _ in chosen]
 
@@ -183,15 +190,13 @@ class PieceCoder:
         words = self.words.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
         memo = self.memo
         for w in set(words).difference(memo):
-            if len(memo) >= MEMO:
-                memo = self.memo = {}
-                return self.encode_without_memo(words)
-            memo[w] = self.word(w)
-        return list(chain.from_iterable(map(memo.__getitem__, words)))
-
-    def encode_without_memo(self, words: list[str]) -> list[int]:
-        own = {w: self.word(w) for w in set(words)}
-        return list(chain.from_iterable(map(own.__getitem__, words)))
+            if (ids := self.older.get(w)) is None:
+                ids = self.word(w)
+            memo[w] = ids
+        out = list(chain.from_iterable(map(memo.__getitem__, words)))
+        if len(memo) >= MEMO:
+            self.memo, self.older = {}, memo
+        return out
 
     def decode(self, ids: list[int]) -> str:
         text = "".join(map(self.surface.__getitem__, ids))
