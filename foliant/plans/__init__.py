@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("files", "joins", "aggregates")
+MODULES = ("sequence", "files", "joins", "aggregates")
 
 
 def queries() -> dict:
