@@ -29,7 +29,7 @@ _ANSWER = "block long, kind int, bucket int, data binary"
 
 def squeeze(values: np.ndarray) -> bytes:
     """Compress an array of one dtype, byte planes apart."""
-    planes = values.view(np.uint8).reshape(len(values), -1).T.copy()
+    planes = values.view(np.uint8).reshape(len(values), values.dtype.itemsize).T.copy()
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 

@@ -82,7 +82,9 @@ def phrase_matches(docs: DataFrame, distinct_windows: DataFrame) -> DataFrame:
     probe = probes(docs, distinct_windows)
     found = candidates(index(docs, probe), probe)
     by_doc = shared.materialise(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "win")).alias("c")))
-    near = docs.join(bounded(by_doc, BROADCAST_ROWS // 3), "doc_id").select("doc_id", words(F.col("text")).alias("w"), "c")
+    # The bound is on candidates, as a document may have many.
+    few = (by_doc.agg(F.sum(F.size("c"))).first()[0] or 0) <= BROADCAST_ROWS // 2
+    near = docs.join(F.broadcast(by_doc) if few else by_doc, "doc_id").select("doc_id", words(F.col("text")).alias("w"), "c")
     same = lambda c: F.slice(F.col("w"), c["start"] + 1, F.size(c["win"])) == c["win"]
     return near.select("doc_id", "w", F.filter("c", same).alias("hits")).where("size(hits) > 0")
 
@@ -112,11 +114,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     """doc_id, n_hit, items (array of item ids as sorted strings), for contaminated documents only.
 
     A document word is hit if it lies in any occurrence of a window. Null and empty texts have no
-    words; items without words have no windows; of repeated rows with one id each counts, so ids
-    should be unique; empty tables give an empty result; further columns are ignored.
+    words; items without words have no windows; of repeated rows with one id the one with most hits
+    counts; empty tables give an empty result; further columns and rows without an id are ignored.
     """
     wins = shared.materialise(windows(benchmark, width))
-    rows = docs.select("doc_id", "text")
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     hits = shared.stored(
         phrase_matches(rows, wins.select("win").distinct()).select(
             "doc_id",
@@ -126,11 +128,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
         "hits",
     )
     items = hits.select("doc_id", F.explode("wins").alias("win")).join(bounded(wins), "win").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    return hits.select("doc_id", "n_hit").join(items, "doc_id")
+    return hits.groupBy("doc_id").agg(F.max("n_hit").alias("n_hit")).join(items, "doc_id")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """All columns of the documents that hold no benchmark window."""
+    """All columns of the documents that hold no benchmark window; rows without an id stay."""
     found = shared.materialise(contamination(docs, benchmark, width).select("doc_id"))
     return docs.join(bounded(found, BROADCAST_ROWS * 4), "doc_id", "left_anti")
 

@@ -98,9 +98,9 @@ def log_scores(docs: DataFrame, training) -> DataFrame:
     ``training`` is a boolean column: the documents to learn from. Null and empty texts consist of
     the end alone. Repeated rows count and are scored repeatedly; without training documents all
     probability is uniform over the one unknown type. An empty table gives an empty result; further
-    columns are ignored.
+    columns and rows without an id are ignored.
     """
-    rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), "doc_id", F.coalesce(training, F.lit(False)).alias("train"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.coalesce(F.col("text"), F.lit("")).alias("text"), "doc_id", F.coalesce(training, F.lit(False)).alias("train"))
     # The training flag travels as the lowest bit of a packed id.
     packed = rows.select(F.struct("doc_id", "train").alias("id"), "text")
     word_buckets, pair_buckets = B.buckets(rows, 0.03), B.buckets(rows, 0.14)

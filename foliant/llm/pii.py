@@ -151,18 +151,19 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, total: int, window: int,
 
 
 def find(docs: DataFrame, window: int = 60, support: int = 3, generalise_at: float = 0.9, remove_at: float = 0.97) -> DataFrame:
-    """doc_id, base, terms: base spans (s, k, e, v) and term spans (s, e, action) of every document.
+    """doc_id, copy, base, terms: base spans (s, k, e, v) and term spans (s, e, a) of every document.
 
-    Null and empty texts have no spans. Terms that touch a base span are not reported again. Repeated
-    rows with one id should not occur; an empty table gives an empty result; further columns are
-    ignored. The counts of documents, entities and terms are taken over all rows.
+    ``copy`` is a hash of the text, which tells rows of one id apart. Null and empty texts have no
+    spans. Terms that touch a base span are not reported again. Repeated rows come out repeatedly; an
+    empty table gives an empty result; further columns and rows without an id are ignored. The counts
+    of documents, entities and terms are taken over all rows.
     """
-    rows = shared.id_text(docs)
-    base = shared.stored(rows.select("doc_id", base_spans(F.col("text")).alias("spans")), "base")
+    rows = shared.id_text(docs).withColumn("copy", F.xxhash64("text"))
+    base = shared.stored(rows.select("doc_id", "copy", base_spans(F.col("text")).alias("spans")), "base")
     total = base.count()
-    terms = shared.materialise(disclosing_terms(rows, base.where("size(spans) > 0"), total, window, support, generalise_at, remove_at))
+    terms = shared.materialise(disclosing_terms(rows.select("doc_id", "text"), base.where("size(spans) > 0").select("doc_id", "spans"), total, window, support, generalise_at, remove_at))
     if terms.isEmpty():
-        return base.select("doc_id", F.col("spans").alias("base"), F.array().cast("array<struct<s:int,e:int,a:string>>").alias("terms"))
+        return base.select("doc_id", "copy", F.col("spans").alias("base"), F.array().cast("array<struct<s:int,e:int,a:string>>").alias("terms"))
     hit = rows.select("doc_id", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(_bounded(terms.select("term", "action")), "term")
     hits = shared.materialise(hit.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions")))
     # Places of the terms, in the documents that have one.
@@ -171,11 +172,11 @@ def find(docs: DataFrame, window: int = 60, support: int = 3, generalise_at: flo
         _placed(F.col("text"), TERM, lambda v: F.map_contains_key("actions", F.lower(v))),
         lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.try_element_at("actions", F.lower(m["v"])).alias("a")),
     )
-    found = shared.stored(inside.select("doc_id", places.alias("terms")), "terms")
+    found = shared.stored(inside.select("doc_id", "copy", places.alias("terms")).distinct(), "terms")
     empty = F.array().cast("array<struct<s:int,e:int,a:string>>")
-    both = base.join(_bounded(found), "doc_id", "left").select("doc_id", F.col("spans").alias("base"), F.coalesce("terms", empty).alias("t"))
+    both = base.join(_bounded(found), ["doc_id", "copy"], "left").select("doc_id", "copy", F.col("spans").alias("base"), F.coalesce("terms", empty).alias("t"))
     apart = F.filter("t", lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
-    return both.select("doc_id", "base", apart.alias("terms"))
+    return both.select("doc_id", "copy", "base", apart.alias("terms"))
 
 
 def _kind_name(k: Column) -> Column:
@@ -190,23 +191,27 @@ def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
     """All columns of ``docs``, with the spans of ``found`` taken out of the text.
 
     Base spans become their kind in brackets, generalised terms "[TERM]", removed terms nothing.
-    Overlapping base spans are cut at the end of the one before.
+    Of overlapping spans the later one is left out. Rows without an id stay as they are.
     """
+    mark, key = "_spans", "_copy"
+    while {mark, key} & set(docs.columns):
+        mark, key = f"_{mark}", f"_{key}"
     spans = F.concat(
         F.transform("base", lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.concat(F.lit("["), F.upper(_kind_name(m["k"])), F.lit("]")).alias("r"))),
         F.transform("terms", lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.when(m["a"] == "remove", F.lit("")).otherwise(F.lit("[TERM]")).alias("r"))),
     )
-    changed = found.where("size(base) > 0 or size(terms) > 0").select("doc_id", F.array_sort(spans).alias("_spans"))
+    changed = found.where("size(base) > 0 or size(terms) > 0").select("doc_id", F.col("copy").alias(key), F.array_sort(spans).alias(mark)).distinct()
     cut = F.aggregate(
-        "_spans",
+        mark,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, m: F.when(m["e"] <= a["at"], a).otherwise(
+        lambda a, m: F.when(m["s"] < a["at"], a).otherwise(
             F.struct(m["e"].alias("at"), F.concat(a["out"], F.array(F.substring("text", a["at"] + 1, F.greatest(m["s"] - a["at"], F.lit(0))), m["r"])).alias("out"))
         ),
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring("text", a["at"] + 1, F.length("text"))),
     )
-    columns = [F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return docs.join(shared.materialise(changed), "doc_id", "left").select(*columns)
+    columns = [F.when(F.col(mark).isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return rows.join(shared.materialise(changed), ["doc_id", key], "left").select(*columns)
 
 
 def op3_disclosure_sanitiser(spark, sf_dir: str) -> DataFrame:

@@ -48,5 +48,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def id_text(docs: DataFrame) -> DataFrame:
-    """Only ``doc_id`` and ``text``; a null text counts as empty. Further columns are ignored."""
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """Only ``doc_id`` and ``text``; a null text counts as empty.
+
+    Rows without an id cannot be told apart and are left out. Further columns are ignored.
+    """
+    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -144,7 +144,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
     Null and empty texts and texts of white space have fingerprint zero and link like any other.
     Texts of fewer words than ``width`` are one shingle. Repeated rows come out repeatedly; an empty
-    table gives an empty result; further columns are ignored.
+    table gives an empty result; further columns and rows without an id are ignored.
     """
     prints = shared.materialise(fingerprints(docs, width))
     groups = link_components(prints, radius)
@@ -154,7 +154,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """The documents without near duplicates: of each component the one with the smallest doc_id.
 
-    All columns are kept. Of repeated rows with that doc_id all stay, as they are one document.
+    All columns are kept. Of repeated rows with that doc_id all stay, as they are one document; rows
+    without an id go.
     """
     keep = near_duplicates(docs, width, radius).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi")
