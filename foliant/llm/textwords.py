@@ -82,7 +82,7 @@ class Words:
         self.hash = range_hashes(self.raw, self.start, self.end)
 
 
-def pieces(texts: list[str], limit: int = 8 << 20):
+def pieces(texts: list[str], limit: int = 2 << 20):
     """Cut a list of texts into slices of about ``limit`` characters: (from, to) pairs."""
     at, size = 0, 0
     for i, t in enumerate(texts):
