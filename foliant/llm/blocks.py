@@ -143,6 +143,8 @@ def answers(found: DataFrame, kind: int, fn: Callable[[np.ndarray, list[np.ndarr
 
 def received(answer: pd.DataFrame, kind: int, value: type, n: int) -> np.ndarray:
     """Values of one kind for the sorted distinct keys of a block, in their order."""
+    if not len(answer):  # a block without answers gets a frame without columns
+        return np.zeros(0, value)
     own = answer[answer["kind"] == kind].sort_values("bucket")
     width = np.dtype(value).itemsize
     parts = []

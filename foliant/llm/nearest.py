@@ -149,7 +149,8 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 20, sure: float =
 
     def dealt(df: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
         place: Column = F.pmod(F.xxhash64("vec_id"), F.lit(own_blocks)).cast("int")
-        return df.select("vec_id", "embedding", place.alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
+        # Fresh columns, as both sides may come from one table.
+        return df.select(F.col("vec_id").alias("vec_id"), F.col("embedding").alias("embedding"), place.alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):

@@ -260,6 +260,13 @@ def test_recurring_windows_equal_brute_force(spark):
         assert found == brute_removed(texts, width)
 
 
+def test_blocks_without_any_answer(spark):
+    """Only short texts: no block asks for anything, and every word is kept."""
+    df = spark.createDataFrame([(i, "a b c" if i else None) for i in range(5)], "doc_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_recurring(df).collect()}
+    assert found[0] == (0, 0, "") and all(found[i] == (3, 0, "a b c") for i in range(1, 5))
+
+
 def test_recurring_of_odd_documents(spark):
     found = substrings.remove_recurring(odd.docs(spark)).collect()
     by_id = {r.doc_id: r for r in found}
