@@ -187,6 +187,8 @@ def match_sequences(ours: DataFrame, reference: DataFrame, lookahead: int = 60)
     """
 
     def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):  # a side without rows comes without columns
+            return pd.DataFrame({"doc": [], "line_ref": [], "line_ours": []}).astype("int64")
         left, right = left.sort_values("line"), right.sort_values("line")
         texts, numbers = left["text"].tolist(), left["line"].tolist()
         out, at = [], 0
@@ -198,7 +200,8 @@ def match_sequences(ours: DataFrame, reference: DataFrame, lookahead: int = 60)
                     break
         return pd.DataFrame(out, columns=["doc", "line_ref", "line_ours"]).astype("int64")
 
-    long = lambda df: df.where(F.length("text") >= 2).select("doc", "line", "text")
+    # Fresh columns, as both sides may come from one table.
+    long = lambda df: df.where(F.length("text") >= 2).select(*(F.col(c).alias(c) for c in ("doc", "line", "text")))
     return long(ours).groupBy("doc").cogroup(long(reference).groupBy("doc")).applyInPandas(walk, "doc long, line_ref long, line_ours long")
 
 
