@@ -205,6 +205,21 @@ def match_sequences(ours: DataFrame, reference: DataFrame, lookahead: int = 60)
     return long(ours).groupBy("doc").cogroup(long(reference).groupBy("doc")).applyInPandas(walk, "doc long, line_ref long, line_ours long")
 
 
+def _place(ours: str, reference: str, offset: int, snippet: int) -> int:
+    part = reference[offset : offset + snippet]
+    if not part:
+        return -2
+    if ours == reference:
+        return offset
+    want = offset * len(ours) / max(len(reference), 1)
+    best, at = -1, ours.find(part)
+    while at >= 0:
+        if best < 0 or abs(at - want) < abs(best - want):
+            best = at
+        at = ours.find(part, at + 1)
+    return best
+
+
 def boundary_drift(ours: DataFrame, reference: DataFrame, snippet: int = 12) -> DataFrame:
     """doc, bd_max, bd_sum, unmatched: how far page starts drift, in lines.
 
@@ -226,15 +241,18 @@ def boundary_drift(ours: DataFrame, reference: DataFrame, snippet: int = 12) ->
 
     a, b = offsets(ours), offsets(reference)
     texts = whole(a, "ta").join(whole(b, "tb"), "doc")
-    targets = starts(b, "roff").withColumn("k", F.dense_rank().over(Window.partitionBy("doc").orderBy("page")) - 1).where("k > 0")
-    own = starts(a, "ooff").withColumn("k", F.dense_rank().over(Window.partitionBy("doc").orderBy("page")) - 1).drop("page")
-    joined = targets.join(texts, "doc").join(own, ["doc", "k"], "left").withColumn("s", F.substring("tb", F.col("roff") + 1, F.lit(snippet))).where("length(s) > 0")
-    want = F.col("roff") * F.length("ta") / F.greatest(F.length("tb"), F.lit(1))
-    # Starts of all occurrences: pieces of a split by the snippet, seen at every place of its first character.
-    places = F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(F.length("ta") - F.length("s"), F.lit(0)).cast("long")), lambda i: F.substring("ta", i + 1, F.length("s")) == F.col("s"))
-    nearest = F.array_min(F.transform(places, lambda i: F.struct(F.abs(i - want).alias("d"), i.alias("i"))))["i"]
-    pos = F.when(F.col("ta") == F.col("tb"), F.col("roff")).otherwise(nearest)
-    found = joined.select("doc", pos.alias("pos"), F.coalesce("ooff", F.length("ta").cast("long")).alias("start"), "k")
+    paged = lambda df, name: starts(df, name).withColumn("k", F.dense_rank().over(Window.partitionBy("doc").orderBy("page")) - 1)
+    targets = paged(b, "roff").where("k > 0").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("k", "roff"))).alias("t"))
+
+    @F.pandas_udf("array<bigint>")
+    def places(ta: pd.Series, tb: pd.Series, offsets: pd.Series) -> pd.Series:
+        """For each page start its place in our text: -1 if it is not found, -2 if there is nothing to look for."""
+        return pd.Series([[_place(x, y, int(o), snippet) for o in own] for x, y, own in zip(ta, tb, offsets)])
+
+    joined = texts.join(targets, "doc").withColumn("pos", places("ta", "tb", F.transform("t", lambda x: x["roff"])))
+    spread = joined.select("doc", F.length("ta").cast("long").alias("size"), F.explode(F.arrays_zip(F.transform("t", lambda x: x["k"]).alias("k"), "pos")).alias("z"))
+    found = spread.select("doc", "size", "z.k", "z.pos").where("pos <> -2").join(paged(a, "ooff").drop("page"), ["doc", "k"], "left")
+    found = found.select("doc", "k", F.when(F.col("pos") >= 0, F.col("pos")).alias("pos"), F.coalesce("ooff", "size").alias("start"))
     lines = a.select("doc", F.col("off").alias("lo"))
     between = found.where("pos is not null").join(lines, "doc").groupBy("doc", "k").agg(F.count_if((F.col("lo") > F.least("pos", "start")) & (F.col("lo") <= F.greatest("pos", "start"))).alias("bd"))
     return found.join(between, ["doc", "k"], "left").groupBy("doc").agg(F.coalesce(F.max("bd"), F.lit(0)).alias("bd_max"), F.coalesce(F.sum("bd"), F.lit(0)).alias("bd_sum"), F.count_if(F.col("pos").isNull()).alias("unmatched"))

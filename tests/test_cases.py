@@ -175,3 +175,15 @@ def test_partitioning_does_not_matter(spark, sf_dir, name, monkeypatch):
     plain = adapters.table
     monkeypatch.setattr(adapters, "table", lambda s, d, n: plain(s, d, n).orderBy(F.rand(3)).repartition(7))
     assert result() == expected
+
+
+def test_page_starts_are_found_in_other_texts(spark):
+    rows = lambda texts, per: [(1, i // per, i, t) for i, t in enumerate(texts)]
+    schema = "doc long, page int, line int, text string"
+    lines = [f"{i:02d} begins a line" for i in range(12)]
+    ours = spark.createDataFrame(rows(["changed", *lines[1:]], 4), schema)
+    same = spark.createDataFrame(rows(lines, 4), schema)
+    other = spark.createDataFrame(rows(lines, 3), schema)
+    assert joins.boundary_drift(same, same).first()[1:] == (0, 0, 0)
+    assert joins.boundary_drift(ours, same).first()[1:] == (0, 0, 0)
+    assert joins.boundary_drift(ours, other).first()[1:] == (2, 5, 0)
