@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Bytes of text of a block (a longer document is a block of its own), and keys of a bucket.
-BLOCK_BYTES, BUCKET_KEYS = 12 << 20, 3_000_000
+BLOCK_BYTES, BUCKET_KEYS = 4 << 20, 1_500_000
 
 _ANSWER = "block long, kind int, bucket int, data binary"
 
