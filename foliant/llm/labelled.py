@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +16,12 @@ def fold(column: str, parts: int):
     return F.crc32(F.col(column).cast("string")) % parts
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int) -> list[tuple[str, int]]:
-    """(text, label) of at most ``max_rows`` labelled documents of at most ``max_chars`` characters together.
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int) -> DataFrame:
+    """place, text, label of at most ``max_rows`` labelled documents of at most ``max_chars`` characters together.
 
-    ``labels``: doc_id, label. Documents come in the order of a hash of their id; one that would
-    exceed the rest of the character budget is passed over. Null labels are left out; an id that is
-    labelled repeatedly counts once with its largest label, a repeated document once.
+    ``labels``: doc_id, label. Documents come in the order of a hash of their id (``place``); one that
+    would exceed the rest of the character budget is passed over. Null labels are left out; an id that
+    is labelled repeatedly counts once with its largest label, a repeated document once.
     """
     clean = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -28,13 +32,28 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int) ->
     keep, left = [], max_chars
     for row in sizes:
         if row.n <= left:
-            keep.append((row.doc_id,))
+            keep.append((row.doc_id, len(keep)))
             left -= row.n
-    if not keep:
-        return []
-    if len(keep) < len(sizes):
-        found = found.join(F.broadcast(docs.sparkSession.createDataFrame(keep, "doc_id long")), "doc_id", "left_semi")
-    return [(r.text, r.label) for r in found.orderBy(*order).collect()]
+    places = docs.sparkSession.createDataFrame(keep, "doc_id long, place int")
+    return found.join(F.broadcast(places), "doc_id").select("place", "text", "label")
+
+
+def fitted(rows: DataFrame, fit: Callable[[list[str], np.ndarray], dict]) -> dict | None:
+    """The model that ``fit(texts, labels)`` learns from a sample, in one task on an executor.
+
+    The sample is bounded, so one task can hold it, and its texts never pass through the driver; a
+    lost executor costs a retry. None if there are no rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            own = pd.concat(parts).sort_values("place")
+            model = fit(own["text"].tolist(), own["label"].to_numpy())
+            yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    found = rows.coalesce(1).mapInPandas(run, "model binary").collect()
+    return pickle.loads(bytes(found[0].model)) if found else None
 
 
 def platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:

@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,20 +109,27 @@ def marginals(emission: np.ndarray, chains: np.ndarray, transition: np.ndarray)
 
 def _seeds(tokens: Tokens, label: np.ndarray) -> np.ndarray:
     """Features whose documents are toxic far beyond chance, sorted."""
-    pair = np.unique(np.c_[tokens.words.doc, tokens.kind], axis=0)
-    own = tokens.features[pair[:, 1], :-1]
-    doc = np.repeat(pair[:, 0], own.shape[1])
-    frame = pd.DataFrame({"f": own.ravel(), "doc": doc})
-    frame = frame[frame.f != 0].drop_duplicates()
-    frame["toxic"] = label[frame.doc.to_numpy()] > 0
-    counts = frame.groupby("f").toxic.agg(["sum", "size"])
+    n_kinds = len(tokens.kinds)
+    pair = np.unique(tokens.words.doc * n_kinds + tokens.kind)
+    doc, kind = pair // max(n_kinds, 1), pair % max(n_kinds, 1)
+    tables = []
+    # One kind of feature at a time, which bounds the memory.
+    for column in range(tokens.features.shape[1] - 1):
+        values, code = np.unique(tokens.features[:, column], return_inverse=True)
+        both = np.unique(doc * len(values) + code[kind])
+        d, f = both // max(len(values), 1), both % max(len(values), 1)
+        size = np.bincount(f, minlength=len(values))
+        toxic = np.bincount(f, label[d] > 0, minlength=len(values))
+        own = values != 0
+        tables.append(np.stack([values[own], size[own].astype(np.uint64), toxic[own].astype(np.uint64)]))
+    table = np.concatenate(tables, 1)
     ones, n = int((label > 0).sum()), len(label)
-    a, b = counts["sum"].to_numpy(float), (counts["size"] - counts["sum"]).to_numpy(float)
+    a, b = table[2].astype(float), (table[1] - table[2]).astype(float)
     rate = max(ones, 1) / max(n, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         g = 2 * (np.where(a > 0, a * np.log(a / ((a + b) * rate)), 0) + np.where(b > 0, b * np.log(b / ((a + b) * (1 - rate))), 0))
-    keep = (g >= 2 * np.log(max(len(counts), 2)) + 2) & (a >= 0.97 * (a + b))
-    return np.sort(counts.index.to_numpy(np.uint64)[keep])
+    keep = (g >= 2 * np.log(max(len(a), 2)) + 2) & (a >= 0.97 * (a + b))
+    return np.unique(table[0][keep])
 
 
 def fit(texts: list[str], label: np.ndarray, rounds: int = 50, penalty: float = 0.05) -> dict:
@@ -200,10 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 3_000, max_chars:
 
     ``labels``: doc_id, label (1 toxic). Without labelled rows every score is one half.
     """
-    rows = labelled.sample(docs, labels, max_rows, max_chars)
-    if not rows:
-        return {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": 0.0, "transition": np.zeros((2, 2)), "slope": 0.0, "offset": 0.0}
-    return fit([t for t, _ in rows], np.array([y for _, y in rows]))
+    model = labelled.fitted(labelled.sample(docs, labels, max_rows, max_chars), fit)
+    return model or {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": 0.0, "transition": np.zeros((2, 2)), "slope": 0.0, "offset": 0.0}
 
 
 def tag(docs: DataFrame, model: dict) -> DataFrame:
