@@ -52,7 +52,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     def add(hashes: np.ndarray, doc: np.ndarray, base: int, slots: int) -> None:
         slot = (hashes % np.uint64(slots)).astype(np.int64) + base
-        found.append(np.unique(doc * SLOTS + slot))
+        found.append(doc * SLOTS + slot)
 
     for n in (1, 2):
         add(*_grams(words.hash, words.doc, n, n), 0, WORD_SLOTS)
@@ -66,12 +66,12 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     run = np.minimum(np.diff(np.r_[at, len(kind)]), 3)
     letters = np.isin(kind[at], (65, 97, 48, 32))
     symbol = kind[at].astype(np.uint64) * np.uint64(4) + np.where(letters, np.minimum(run, 1), run).astype(np.uint64)
-    for n in (1, 2, 3, 4):
+    for n in (2, 4):
         add(*_grams(symbol, place[at].astype(np.int64), n, 10 + n), WORD_SLOTS, CLASS_SLOTS)
     again = np.zeros(len(words.hash), np.uint64)
     if len(again):
         again[1:] = ((words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])).astype(np.uint64)
-    for n in (1, 2, 3, 4, 5):
+    for n in (1, 3, 5):
         h, doc = _grams(again, words.doc, n, 20 + n)
         add(h, doc, WORD_SLOTS, CLASS_SLOTS)
     keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
@@ -87,9 +87,10 @@ def _norms(doc: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
 def fit(texts: list[str], label: np.ndarray, cost: float = 1.0, rounds: int = 12, alpha: float = 1.0) -> dict:
     """Weights (slots + bias), slope and offset of the probability curve."""
     n = len(texts)
-    parts = [(a, *features(texts[a:b])) for a, b in pieces(texts)]
-    doc = np.concatenate([a + d for a, d, _ in parts]) if parts else np.zeros(0, np.int64)
-    slot = np.concatenate([s for *_, s in parts]) if parts else np.zeros(0, np.int64)
+    parts = [(a, *(x.astype(np.int32) for x in features(texts[a:b]))) for a, b in pieces(texts)]
+    doc = np.concatenate([d + np.int32(a) for a, d, _ in parts]) if parts else np.zeros(0, np.int32)
+    slot = np.concatenate([s for *_, s in parts]) if parts else np.zeros(0, np.int32)
+    del parts
     rest = np.arange(n) % 4 == 3  # for the probability curve
     use = ~rest[doc]
     ratio = np.zeros((2, SLOTS))
@@ -98,7 +99,7 @@ def fit(texts: list[str], label: np.ndarray, cost: float = 1.0, rounds: int = 12
         ratio[c] = np.log(counts / counts.sum())
     r = ratio[1] - ratio[0]
     r[np.bincount(slot[use], minlength=SLOTS) == 0] = 0
-    value = r[slot] * _norms(doc, slot, n)
+    value = (r[slot] * _norms(doc, slot, n)).astype(np.float32)
     edge = np.searchsorted(doc, np.arange(n + 1))
     sign = np.where(label > 0, 1.0, -1.0)
     # Classes weigh alike whatever their sizes.
@@ -137,15 +138,13 @@ def score_texts(model: dict, texts: list[str]) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_chars: int = 40_000_000) -> dict:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2_000, max_chars: int = 8_000_000) -> dict:
     """Fit on a sample of at most ``max_rows`` labelled documents and ``max_chars`` characters.
 
     ``labels``: doc_id, label (1 good, 0 bad). Without labelled rows the model scores 0.5.
     """
-    rows = labelled.sample(docs, labels, max_rows, max_chars)
-    if not rows:
-        return {"weights": np.zeros(SLOTS, np.float32), "bias": 0.0, "slope": 0.0, "offset": 0.0}
-    return fit([t for t, _ in rows], np.array([y for _, y in rows]))
+    model = labelled.fitted(labelled.sample(docs, labels, max_rows, max_chars), fit)
+    return model or {"weights": np.zeros(SLOTS, np.float32), "bias": 0.0, "slope": 0.0, "offset": 0.0}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
