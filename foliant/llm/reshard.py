@@ -24,6 +24,8 @@ from . import shared
 
 #: Bytes of a row besides its text.
 ROW_BYTES = 8
+#: Bytes of text that a written file is meant to hold.
+FILE_BYTES = 128 << 20
 
 
 def min_cost_flow(supply: list[int], demand: list[int]) -> list[tuple[int, int, int]]:
@@ -164,13 +166,13 @@ def assigned(old_shard: Column, cuts: list[tuple], size: Column, doc_id: Column)
     return out.cast("int")
 
 
-def rewrite(docs: DataFrame, shard: Column, path: str, files_per_shard: int = 4, columns: list[str] | None = None) -> None:
+def rewrite(docs: DataFrame, shard: Column, path: str, files_per_shard: int, columns: list[str] | None = None) -> None:
     """Write rows as Parquet below ``path``, one folder for each shard, ``files_per_shard`` files each."""
     rows = docs.select(*(columns or docs.columns), shard.alias("shard")).withColumn("_file", F.pmod(F.xxhash64("doc_id"), F.lit(files_per_shard)))
     rows.repartition("shard", "_file").drop("_file").write.partitionBy("shard").parquet(path)
 
 
-def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, path: str, files_per_shard: int = 4, affected_only: bool = False) -> DataFrame:
+def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, path: str, affected_only: bool = False) -> DataFrame:
     """doc_id, text, shard, slot: the documents in their new shards, as written below ``path``.
 
     ``old_shard`` gives each row's old shard, 0 to ``old_shards`` - 1. With ``affected_only`` the
@@ -185,6 +187,8 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     if affected_only:
         touched = {x for old, new, _ in transfers if old != new for x in (old, new)}
         rows = docs.where(target.isin(sorted(touched)) | (old_shard.cast("int") != target))
+    # Files of bounded size, so that no task grows with the input.
+    files_per_shard = 4 + sum(size for *_, size in transfers) // (new_shards * FILE_BYTES)
     rewrite(rows, target, path, files_per_shard, ["doc_id", "text"])
     spark = docs.sparkSession
     text_type = docs.schema["text"].dataType.simpleString()
