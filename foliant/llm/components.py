@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
     state = shared.materialise(links.select("a", "b").where("a <> b").distinct())
     before = None
     while True:
-        print_ = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum("b")).first()
+        print_ = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if tuple(print_) == before:
             return state.select("a", F.col("b").alias("component")).unionByName(state.select(F.col("b").alias("a"), F.col("b").alias("component")).distinct())
         before = tuple(print_)
