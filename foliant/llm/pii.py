@@ -2,12 +2,12 @@
 
 Only DataFrame functions are used. Base spans are e-mail addresses, IP numbers, card numbers and
 phone numbers. The information-theoretic part then asks which other terms reveal a protected entity
-(the value of a base span that several different documents share): with document counts over the
-whole corpus, a term t discloses an entity c to the degree PMI(c; t) / IC(c), which is 1 if t is
-never seen without c. Terms at or above ``remove_at`` are removed, those at or above
+(the value of a base span) or class (its kind, its mail domain): with document counts over the whole
+corpus, a term t discloses c to the degree PMI(c; t) / IC(c), which nears 1 if t is never seen
+without c. As most values stand in one text only, p(c | t) is smoothed towards p(c). Terms at or above ``remove_at`` are removed, those at or above
 ``generalise_at`` are replaced by a general class, wherever they occur, with or without the entity.
 
-Entities and the terms near them come only from documents with base spans; the document count of
+Entities and the terms beside them come only from the whole texts of documents with base spans; the document count of
 every word is one aggregation with map-side sums; the final search joins each document's words with
 the disclosing terms, broadcast below a checked number of rows, else shuffled.
 """
@@ -112,45 +112,42 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), GAP), lambda t: F.length(t) >= 3)
 
 
-def disclosing_terms(docs: DataFrame, spans: DataFrame, total: int, window: int, support: int, generalise_at: float, remove_at: float) -> DataFrame:
-    """term, degree, action ("remove" or "generalise"): terms that disclose a shared entity.
+def _protected(spans: Column) -> Column:
+    """What a document's base spans stand for: their values, their kinds and their mail domains."""
+    none = F.lit(None).cast("string")
+    values = F.transform(spans, lambda m: entity(m["v"], m["k"]))
+    kinds = F.transform(spans, lambda m: F.concat(F.lit("kind:"), m["k"].cast("string")))
+    domains = F.transform(spans, lambda m: F.when(m["k"] == 0, F.concat(F.lit("domain:"), F.lower(F.substring_index(m["v"], "@", -1)))).otherwise(none))
+    return F.array_distinct(F.array_compact(F.concat(values, kinds, domains)))
 
-    ``spans``: doc_id, spans of the documents that have base spans. An entity is protected if at
-    least ``support`` different texts hold it; a term must stand within ``window`` characters of it
-    in as many different texts.
+
+def disclosing_terms(rows: DataFrame, spans: DataFrame, total: int, smoothing: float, generalise_at: float, remove_at: float) -> DataFrame:
+    """term, degree, action ("remove" or "generalise"): terms that disclose a protected entity or class.
+
+    ``rows``: doc_id, copy, text. ``spans``: doc_id, copy, spans of those that have base spans. All
+    terms of such a text count, however far from the span, and every entity is protected, however few
+    texts hold it. ``smoothing`` is the weight, in rows, of the assumption that a term says nothing.
     """
-    near = (
-        docs.join(_bounded(spans), "doc_id")
-        .select("doc_id", F.xxhash64("text").alias("copy"), "text", F.explode("spans").alias("m"))
-        .select(
-            "doc_id",
-            "copy",
-            entity(F.col("m.v"), F.col("m.k")).alias("c"),
-            F.concat_ws(" ", F.expr(f"substring(text, greatest(m.s - {window}, 0) + 1, least(m.s, {window}))"), F.expr(f"substring(text, m.e + 1, {window})")).alias("around"),
-        )
-    )
-    near = shared.stored(near, "near")
-    entities = near.groupBy("c").agg(F.countDistinct("doc_id").alias("nc"), F.countDistinct("copy").alias("kinds")).where(F.col("kinds") >= support).select("c", "nc")
-    pairs = (
-        near.join(entities, "c")
-        .select("doc_id", "copy", "c", "nc", F.explode(F.array_distinct(_terms(F.col("around")))).alias("term"))
-        .where(~F.col("term").rlike("^[0-9]+$"))
-        .groupBy("c", "nc", "term")
-        .agg(F.countDistinct("doc_id").alias("nct"), F.countDistinct("copy").alias("kinds"))
-        .where(F.col("kinds") >= support)
-        .select("c", "nc", "term", "nct")
+    held = rows.join(_bounded(spans.dropDuplicates(["doc_id", "copy"])), ["doc_id", "copy"]).select(
+        _protected(F.col("spans")).alias("cs"),
+        F.filter(F.array_distinct(_terms(F.col("text"))), lambda t: ~t.rlike("^[0-9]+$")).alias("ts"),
     )
-    pairs = shared.materialise(pairs)
-    if pairs.isEmpty():
-        return pairs.select("term", F.lit(0.0).alias("degree"), F.lit("").alias("action"))
-    counts = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
-    # PMI(c;t) / IC(c) = log(p(c,t) / (p(c) p(t))) / -log p(c); a certain entity has no information.
-    pmi = F.log(F.col("nct") * F.lit(float(total)) / (F.col("nc") * F.col("nt")))
-    degree = F.when(F.col("nc") < total, pmi / F.log(F.lit(float(total)) / F.col("nc"))).otherwise(F.lit(0.0))
+    held = shared.stored(held, "held")
+    if held.isEmpty():
+        return held.select(F.lit("").alias("term"), F.lit(0.0).alias("degree"), F.lit("").alias("action"))
+    size = shared.materialise(held.select(F.explode("cs").alias("c")).groupBy("c").agg(F.count("*").alias("nc")))
+    both = held.select(F.explode("cs").alias("c"), "ts").select("c", F.explode("ts").alias("term")).groupBy("c", "term").agg(F.count("*").alias("nct"))
+    # Entities of the same counts disclose to the same degree: one row stands for all of them.
+    pairs = both.join(_bounded(size), "c").select("term", "nc", "nct").distinct()
+    counts = rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
+    # PMI(c;t) / IC(c) = log(p(c|t) / p(c)) / -log p(c); a certain entity has no information.
+    n = F.lit(float(total))
+    given = (F.col("nct") + F.lit(smoothing) * F.col("nc") / n) / (F.col("nt") + F.lit(smoothing))
+    degree = F.when(F.col("nc") < total, F.log(given * n / F.col("nc")) / F.log(n / F.col("nc"))).otherwise(F.lit(0.0))
     return pairs.join(counts, "term").groupBy("term").agg(F.max(degree).alias("degree")).where(F.col("degree") >= generalise_at).withColumn("action", F.when(F.col("degree") >= remove_at, "remove").otherwise("generalise"))
 
 
-def find(docs: DataFrame, window: int = 60, support: int = 3, generalise_at: float = 0.9, remove_at: float = 0.97) -> DataFrame:
+def find(docs: DataFrame, smoothing: float = 0.5, generalise_at: float = 0.9, remove_at: float = 0.97) -> DataFrame:
     """doc_id, copy, base, terms: base spans (s, k, e, v) and term spans (s, e, a) of every document.
 
     ``copy`` is a hash of the text, which tells rows of one id apart. Null and empty texts have no
@@ -161,11 +158,11 @@ def find(docs: DataFrame, window: int = 60, support: int = 3, generalise_at: flo
     rows = shared.id_text(docs).withColumn("copy", F.xxhash64("text"))
     base = shared.stored(rows.select("doc_id", "copy", base_spans(F.col("text")).alias("spans")), "base")
     total = base.count()
-    terms = shared.materialise(disclosing_terms(rows.select("doc_id", "text"), base.where("size(spans) > 0").select("doc_id", "spans"), total, window, support, generalise_at, remove_at))
+    terms = shared.materialise(disclosing_terms(rows.select("doc_id", "copy", "text"), base.where("size(spans) > 0"), total, smoothing, generalise_at, remove_at))
     if terms.isEmpty():
         return base.select("doc_id", "copy", F.col("spans").alias("base"), F.array().cast("array<struct<s:int,e:int,a:string>>").alias("terms"))
     hit = rows.select("doc_id", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(_bounded(terms.select("term", "action")), "term")
-    hits = shared.materialise(hit.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "action"))).alias("actions")))
+    hits = shared.materialise(hit.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("actions")))
     # Places of the terms, in the documents that have one.
     inside = rows.join(_bounded(hits), "doc_id")
     places = F.transform(
