@@ -26,6 +26,8 @@ from . import shared
 ROW_BYTES = 8
 #: Bytes of text that a written file is meant to hold.
 FILE_BYTES = 128 << 20
+#: Names of so many files (about 300 bytes each) may be broadcast.
+BROADCAST_FILES = 100_000
 
 
 def min_cost_flow(supply: list[int], demand: list[int]) -> list[tuple[int, int, int]]:
@@ -166,17 +168,19 @@ def assigned(old_shard: Column, cuts: list[tuple], size: Column, doc_id: Column)
     return out.cast("int")
 
 
-def rewrite(docs: DataFrame, shard: Column, path: str, files_per_shard: int, columns: list[str] | None = None) -> None:
+def rewrite(docs: DataFrame, shard: Column, path: str, shards: int, files_per_shard: int, columns: list[str] | None = None) -> None:
     """Write rows as Parquet below ``path``, one folder for each shard, ``files_per_shard`` files each."""
     rows = docs.select(*(columns or docs.columns), shard.alias("shard")).withColumn("_file", F.pmod(F.xxhash64("doc_id"), F.lit(files_per_shard)))
-    rows.repartition("shard", "_file").drop("_file").write.partitionBy("shard").parquet(path)
+    # As many tasks as files, whatever the session's number of shuffle partitions is.
+    rows.repartition(shards * files_per_shard, "shard", "_file").drop("_file").write.partitionBy("shard").parquet(path)
 
 
-def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, path: str, affected_only: bool = False) -> DataFrame:
+def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, path: str, affected_only: bool = False, file_bytes: int = FILE_BYTES) -> DataFrame:
     """doc_id, text, shard, slot: the documents in their new shards, as written below ``path``.
 
     ``old_shard`` gives each row's old shard, 0 to ``old_shards`` - 1. With ``affected_only`` the
-    folders of shards that neither gain nor lose rows are not written. ``slot`` counts from 0 without
+    folders of shards that neither gain nor lose rows are neither written nor returned; only rows of the
+    others are shuffled. Files hold about ``file_bytes`` of text. ``slot`` counts from 0 without
     gaps within a shard. Null texts weigh eight bytes; ties in size follow a hash of the id; repeated
     rows of one id stay together; a document larger than a shard's capacity stays whole. An empty
     table gives an empty result; further columns are not carried over.
@@ -188,8 +192,8 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
         touched = {x for old, new, _ in transfers if old != new for x in (old, new)}
         rows = docs.where(target.isin(sorted(touched)) | (old_shard.cast("int") != target))
     # Files of bounded size, so that no task grows with the input.
-    files_per_shard = 4 + sum(size for *_, size in transfers) // (new_shards * FILE_BYTES)
-    rewrite(rows, target, path, files_per_shard, ["doc_id", "text"])
+    files_per_shard = 4 + sum(size for *_, size in transfers) // (new_shards * file_bytes)
+    rewrite(rows, target, path, new_shards, files_per_shard, ["doc_id", "text"])
     spark = docs.sparkSession
     text_type = docs.schema["text"].dataType.simpleString()
     files = spark.read.schema(f"doc_id long, text {text_type}, shard int").parquet(path)
@@ -197,7 +201,10 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     # One row for each file: its first slot is the number of rows in the files before it.
     counts = spark.read.schema("shard int").parquet(path).select("shard", F.col("_metadata.file_path").alias("file")).groupBy("shard", "file").count()
     first = counts.select("shard", "file", F.expr("sum(count) over (partition by shard order by file rows between unbounded preceding and 1 preceding)").alias("first"))
-    return placed.join(first.drop("shard"), "file").select("doc_id", "text", "shard", (F.coalesce("first", F.lit(0)) + F.col("row")).cast("long").alias("slot"))
+    # One row a file, so its size is known before: only beyond it would the texts be shuffled once more.
+    first = shared.materialise(first.drop("shard"))
+    known = F.broadcast(first) if new_shards * files_per_shard <= BROADCAST_FILES else first
+    return placed.join(known, "file").select("doc_id", "text", "shard", (F.coalesce("first", F.lit(0)) + F.col("row")).cast("long").alias("slot"))
 
 
 def op2_min_cost_flow_resharding(spark, sf_dir: str) -> DataFrame:
