@@ -1,15 +1,22 @@
 """Personal data: formal identifiers by pattern, and terms that disclose them by co-occurrence.
 
 Only DataFrame functions are used. Base spans are e-mail addresses, IP numbers, card numbers and
-phone numbers. The information-theoretic part then asks which other terms reveal a protected entity
-(the value of a base span) or class (its kind, its mail domain): with document counts over the whole
-corpus, a term t discloses c to the degree PMI(c; t) / IC(c), which nears 1 if t is never seen
-without c. As most values stand in one text only, p(c | t) is smoothed towards p(c). Terms at or above ``remove_at`` are removed, those at or above
-``generalise_at`` are replaced by a general class, wherever they occur, with or without the entity.
-
-Entities and the terms beside them come only from the whole texts of documents with base spans; the document count of
-every word is one aggregation with map-side sums; the final search joins each document's words with
-the disclosing terms, broadcast below a checked number of rows, else shuffled.
+phone numbers. The information-theoretic part then asks which other terms reveal a protected entity.
+Protected are classes that a corpus repeats, as most values stand in it once: each kind of base span,
+and credentials, which the corpus names by words such as "token" or "password" (``concepts``). A term
+is a lower-cased word, or, for a word with digits, its shape: which of letters and digits it holds
+and the octave of its length, so that all random keys of a sort are one term.
+
+A place of the corpus is near an entity if at most ``reach`` words part them. With counts of places
+over the whole corpus, a term t discloses c to the degree PMI(c; t) / IC(c) = log(p(c|t) / p(c)) /
+-log p(c): 1 if t never stands anywhere but near c, 0 if it stands there as often as any word. p(c|t)
+is smoothed towards p(c) by ``smoothing`` places, so that a term needs some support. Terms at or above
+``remove_at`` are removed, those at or above ``generalise_at`` are replaced by a general class,
+wherever they occur, with or without the entity.
+
+Only documents with an entity are laid out word by word; terms that are never near an entity often
+enough to reach the lowest degree are not counted any further. The final search looks for the terms
+that are left. Broadcasts are checked in bytes; beyond the limit the same joins shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .shared import bounded
 
 #: Fixed kinds of base spans in their order, with patterns that match as the plain ones do but never
 #: try a start inside a run that has already failed, and never give back what cannot help.
@@ -33,11 +41,12 @@ KINDS = {
 _HINT = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 TERM = r"[\p{L}\p{N}]+"
 GAP = r"[^\p{L}\p{N}]+"
-BROADCAST_ROWS = 300_000
-
-
-def _bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Words by which texts name credentials.
+CONCEPTS = ("token", "password", "passwd", "passphrase", "secret", "apikey", "credential", "credentials", "authorization", "bearer")
+#: Names of the classes: the kinds of base spans by their number, then credentials.
+CREDENTIAL = len(KINDS)
+#: Private characters that stand for base spans while words are laid out: not letters, so no word holds one.
+_MARKS = "".join(chr(0xE000 + k) for k in range(len(KINDS)))
 
 
 def _digits(value: Column) -> Column:
@@ -103,75 +112,93 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(_base(text, i, kind) for i, kind in enumerate(KINDS))))
 
 
-def entity(value: Column, kind: Column) -> Column:
-    """One key for all spellings of a value."""
-    return F.concat_ws(":", kind.cast("string"), F.when(kind == 0, F.lower(value)).when(kind == 1, value).otherwise(_digits(value)))
-
-
-def _terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), GAP), lambda t: F.length(t) >= 3)
+def term_of(word: Column) -> Column:
+    """The term that a word (lower-cased) stands for: itself, or its shape if it has digits."""
+    letters = F.when(word.rlike(r"[^0-9]"), "a").otherwise("")
+    return F.when(word.rlike("[0-9]"), F.concat(F.lit("#"), letters, F.lit("9:"), F.floor(F.log2(F.length(word))).cast("string"))).otherwise(word)
 
 
-def _protected(spans: Column) -> Column:
-    """What a document's base spans stand for: their values, their kinds and their mail domains."""
-    none = F.lit(None).cast("string")
-    values = F.transform(spans, lambda m: entity(m["v"], m["k"]))
-    kinds = F.transform(spans, lambda m: F.concat(F.lit("kind:"), m["k"].cast("string")))
-    domains = F.transform(spans, lambda m: F.when(m["k"] == 0, F.concat(F.lit("domain:"), F.lower(F.substring_index(m["v"], "@", -1)))).otherwise(none))
-    return F.array_distinct(F.array_compact(F.concat(values, kinds, domains)))
-
+def _cut(text: Column, spans: Column, put: Callable[[Column], Column]) -> Column:
+    """``text`` with each of its spans (s, e, ...; in order of s) replaced by ``put(span)``; of overlapping ones the later is ignored."""
+    return F.aggregate(
+        spans,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        lambda a, m: F.when(m["s"] < a["at"], a).otherwise(
+            F.struct(m["e"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, F.greatest(m["s"] - a["at"], F.lit(0))), put(m))).alias("out"))
+        ),
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))),
+    )
 
-def disclosing_terms(rows: DataFrame, spans: DataFrame, total: int, smoothing: float, generalise_at: float, remove_at: float) -> DataFrame:
-    """term, degree, action ("remove" or "generalise"): terms that disclose a protected entity or class.
 
-    ``rows``: doc_id, copy, text. ``spans``: doc_id, copy, spans of those that have base spans. All
-    terms of such a text count, however far from the span, and every entity is protected, however few
-    texts hold it. ``smoothing`` is the weight, in rows, of the assumption that a term says nothing.
+def _contexts(rows: DataFrame, base: DataFrame, concepts: tuple[str, ...], reach: int) -> DataFrame:
+    """place, term, classes: the words near an entity, with the sorted numbers of the classes they are near."""
+    word_of = F.array(*(F.lit(c) for c in concepts)) if concepts else F.array().cast("array<string>")
+    named = F.lower("text").rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(concepts) + r")(?![\p{L}\p{N}])") if concepts else F.lit(False)
+    some = base.where("size(spans) > 0").select("doc_id", "copy", "spans").distinct()
+    held = rows.join(bounded(shared.materialise(some)), ["doc_id", "copy"], "left").where(F.col("spans").isNotNull() | named)
+    plain = F.translate("text", _MARKS, " " * len(_MARKS))
+    marked = F.when(F.col("spans").isNull(), plain).otherwise(_cut(plain, F.col("spans"), lambda m: F.concat(F.lit(" "), F.substring(F.lit(_MARKS), m["k"] + 1, F.lit(1)), F.lit(" "))))
+    # A row of one id and text counts once for every time it is there.
+    held = shared.stored(held.select(F.monotonically_increasing_id().alias("row"), marked.alias("text")), "held")
+    listed = held.select("row", F.posexplode(F.filter(F.split(F.lower("text"), rf"[^\p{{L}}\p{{N}}{_MARKS}]+"), lambda w: w != "")).alias("pos", "word"))
+    kind = F.instr(F.lit(_MARKS), F.col("word")) - 1
+    listed = listed.withColumn("class", F.when(kind >= 0, kind).when(F.array_contains(word_of, F.col("word")), F.lit(CREDENTIAL)))
+    near = listed.where("class is not null").select("row", "class", F.explode(F.sequence(F.col("pos") - reach, F.col("pos") + reach)).alias("pos")).distinct()
+    # Both sides are as many as there are words near entities, and meet by document and place.
+    return listed.where("class is null").drop("class").join(near, ["row", "pos"]).select(term_of(F.col("word")).alias("term"), "class")
+
+
+def disclosing_terms(rows: DataFrame, base: DataFrame, concepts: tuple[str, ...], reach: int, smoothing: float, generalise_at: float, remove_at: float) -> DataFrame:
+    """term, degree, action ("remove" or "generalise"): terms that disclose a protected class.
+
+    ``rows``: doc_id, copy, text. ``base``: doc_id, copy, spans.
     """
-    held = rows.join(_bounded(spans.dropDuplicates(["doc_id", "copy"])), ["doc_id", "copy"]).select(
-        _protected(F.col("spans")).alias("cs"),
-        F.filter(F.array_distinct(_terms(F.col("text"))), lambda t: ~t.rlike("^[0-9]+$")).alias("ts"),
-    )
-    held = shared.stored(held, "held")
-    if held.isEmpty():
-        return held.select(F.lit("").alias("term"), F.lit(0.0).alias("degree"), F.lit("").alias("action"))
-    size = shared.materialise(held.select(F.explode("cs").alias("c")).groupBy("c").agg(F.count("*").alias("nc")))
-    both = held.select(F.explode("cs").alias("c"), "ts").select("c", F.explode("ts").alias("term")).groupBy("c", "term").agg(F.count("*").alias("nct"))
-    # Entities of the same counts disclose to the same degree: one row stands for all of them.
-    pairs = both.join(_bounded(size), "c").select("term", "nc", "nct").distinct()
-    counts = rows.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("nt"))
-    # PMI(c;t) / IC(c) = log(p(c|t) / p(c)) / -log p(c); a certain entity has no information.
-    n = F.lit(float(total))
-    given = (F.col("nct") + F.lit(smoothing) * F.col("nc") / n) / (F.col("nt") + F.lit(smoothing))
-    degree = F.when(F.col("nc") < total, F.log(given * n / F.col("nc")) / F.log(n / F.col("nc"))).otherwise(F.lit(0.0))
-    return pairs.join(counts, "term").groupBy("term").agg(F.max(degree).alias("degree")).where(F.col("degree") >= generalise_at).withColumn("action", F.when(F.col("degree") >= remove_at, "remove").otherwise("generalise"))
-
-
-def find(docs: DataFrame, smoothing: float = 0.5, generalise_at: float = 0.9, remove_at: float = 0.97) -> DataFrame:
+    both = shared.materialise(_contexts(rows, base, concepts, reach).groupBy("class", "term").agg(F.count("*").alias("nct")))
+    words = F.filter(F.split(F.lower("text"), GAP), lambda w: w != "")
+    total = rows.agg(F.sum(F.size(words).cast("long"))).first()[0] or 0 if not both.isEmpty() else 0
+    size = both.groupBy("class").agg(F.sum("nct").alias("nc"))
+    n = F.lit(float(max(total, 1)))
+    rate = F.least(F.col("nc") / n, F.lit(1.0))
+    # The most that a term can reach is what it would if it stood nowhere else.
+    degree = lambda nt: F.when(rate < 1, F.log((F.col("nct") + F.lit(smoothing) * rate) / (nt + F.lit(smoothing)) / rate) / -F.log(rate)).otherwise(F.lit(0.0))
+    able = shared.materialise(both.join(F.broadcast(size), "class").where(degree(F.col("nct")) >= generalise_at))
+    wanted = bounded(shared.materialise(able.select("term").distinct()))
+    counts = rows.select(F.explode(words).alias("word")).select(term_of(F.col("word")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("nt"))
+    # A place counts once for a term, but a word beside a base span may be cut differently there.
+    found = able.join(counts, "term", "left").withColumn("degree", degree(F.greatest(F.coalesce("nt", F.lit(0)), F.col("nct"))))
+    return found.groupBy("term").agg(F.max("degree").alias("degree")).where(F.col("degree") >= generalise_at).withColumn("action", F.when(F.col("degree") >= remove_at, "remove").otherwise("generalise"))
+
+
+def find(docs: DataFrame, concepts: tuple[str, ...] = CONCEPTS, reach: int = 2, smoothing: float = 8.0, generalise_at: float = 0.9, remove_at: float = 0.97) -> DataFrame:
     """doc_id, copy, base, terms: base spans (s, k, e, v) and term spans (s, e, a) of every document.
 
     ``copy`` is a hash of the text, which tells rows of one id apart. Null and empty texts have no
-    spans. Terms that touch a base span are not reported again. Repeated rows come out repeatedly; an
-    empty table gives an empty result; further columns and rows without an id are ignored. The counts
-    of documents, entities and terms are taken over all rows.
+    spans. Terms that touch a base span are not reported again. Repeated rows come out repeatedly and
+    count repeatedly, but a text that other ids share counts for one id; an empty table gives an empty result; further columns and rows without an id are
+    ignored. Counts are taken over all texts. A very long text is laid out as rows of words; only where
+    it has spans are they held as one array. Of equal degrees all terms are taken.
     """
     rows = shared.id_text(docs).withColumn("copy", F.xxhash64("text"))
     base = shared.stored(rows.select("doc_id", "copy", base_spans(F.col("text")).alias("spans")), "base")
-    total = base.count()
-    terms = shared.materialise(disclosing_terms(rows.select("doc_id", "copy", "text"), base.where("size(spans) > 0"), total, smoothing, generalise_at, remove_at))
+    # Copies of a text under other ids say nothing new: only the smallest id's rows are counted.
+    held = base.select("doc_id", "copy").distinct()
+    others = held.join(held.groupBy("copy").agg(F.min("doc_id").alias("first")), "copy").where("doc_id <> first").select("doc_id", "copy")
+    own = rows.join(bounded(shared.materialise(others)), ["doc_id", "copy"], "left_anti")
+    terms = shared.materialise(disclosing_terms(own, base, concepts, reach, smoothing, generalise_at, remove_at))
+    none = F.array().cast("array<struct<s:int,e:int,a:string>>")
     if terms.isEmpty():
-        return base.select("doc_id", "copy", F.col("spans").alias("base"), F.array().cast("array<struct<s:int,e:int,a:string>>").alias("terms"))
-    hit = rows.select("doc_id", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).join(_bounded(terms.select("term", "action")), "term")
-    hits = shared.materialise(hit.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("actions")))
-    # Places of the terms, in the documents that have one.
-    inside = rows.join(_bounded(hits), "doc_id")
+        return base.select("doc_id", "copy", F.col("spans").alias("base"), none.alias("terms"))
+    listed = rows.select("doc_id", "copy", F.explode(F.array_distinct(F.split(F.lower("text"), GAP))).alias("word")).where("word <> ''")
+    hit = listed.withColumn("term", term_of(F.col("word"))).join(bounded(terms.select("term", "action")), "term").select("doc_id", "copy", "word", "action").distinct()
+    # A word has one term, so the entries of a text have different keys.
+    hits = shared.materialise(hit.groupBy("doc_id", "copy").agg(F.map_from_entries(F.collect_list(F.struct("word", "action"))).alias("actions")))
     places = F.transform(
         _placed(F.col("text"), TERM, lambda v: F.map_contains_key("actions", F.lower(v))),
         lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.try_element_at("actions", F.lower(m["v"])).alias("a")),
     )
-    found = shared.stored(inside.select("doc_id", "copy", places.alias("terms")).distinct(), "terms")
-    empty = F.array().cast("array<struct<s:int,e:int,a:string>>")
-    both = base.join(_bounded(found), ["doc_id", "copy"], "left").select("doc_id", "copy", F.col("spans").alias("base"), F.coalesce("terms", empty).alias("t"))
+    # Places of the terms, in the documents that have one.
+    found = shared.stored(rows.join(bounded(hits), ["doc_id", "copy"]).select("doc_id", "copy", places.alias("t")).dropDuplicates(["doc_id", "copy"]), "terms")
+    both = base.join(bounded(found), ["doc_id", "copy"], "left").select("doc_id", "copy", F.col("spans").alias("base"), F.coalesce("t", none).alias("t"))
     apart = F.filter("t", lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
     return both.select("doc_id", "copy", "base", apart.alias("terms"))
 
@@ -198,17 +225,10 @@ def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
         F.transform("terms", lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), F.when(m["a"] == "remove", F.lit("")).otherwise(F.lit("[TERM]")).alias("r"))),
     )
     changed = found.where("size(base) > 0 or size(terms) > 0").select("doc_id", F.col("copy").alias(key), F.array_sort(spans).alias(mark)).distinct()
-    cut = F.aggregate(
-        mark,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, m: F.when(m["s"] < a["at"], a).otherwise(
-            F.struct(m["e"].alias("at"), F.concat(a["out"], F.array(F.substring("text", a["at"] + 1, F.greatest(m["s"] - a["at"], F.lit(0))), m["r"])).alias("out"))
-        ),
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring("text", a["at"] + 1, F.length("text"))),
-    )
+    cut = _cut(F.col("text"), F.col(mark), lambda m: m["r"])
     columns = [F.when(F.col(mark).isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(c) for c in docs.columns]
     rows = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return rows.join(shared.materialise(changed), ["doc_id", key], "left").select(*columns)
+    return rows.join(bounded(shared.materialise(changed)), ["doc_id", key], "left").select(*columns)
 
 
 def op3_disclosure_sanitiser(spark, sf_dir: str) -> DataFrame:

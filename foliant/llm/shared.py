@@ -43,6 +43,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows, as JSON, that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of ``df``, as JSON text, take at most ``limit`` bytes. Pass what is materialised."""
+    rows = df.limit(limit // 16 + 1).count()
+    if rows > limit // 16:
+        return False
+    return (df.select(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long"))).first()[0] or 0) <= limit
+
+
+def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it is small, else as it is. Pass what is materialised."""
+    return F.broadcast(df) if small(df, limit) else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
