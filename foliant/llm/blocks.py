@@ -11,6 +11,7 @@ A key that all blocks hold is one entry of each block, however frequent it is.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -46,41 +47,50 @@ def read_keys(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(expand(data, np.uint64, n), dtype=np.uint64)
 
 
+class Documents(NamedTuple):
+    """The documents of one block."""
+
+    ids: np.ndarray
+    marks: np.ndarray
+    texts: list[str]
+
+
 def pack(docs: DataFrame) -> DataFrame:
-    """block, n, ids, sizes, texts: documents packed into stored blocks. ``docs``: doc_id, text."""
+    """block, n, ids, marks, sizes, texts: documents packed into stored blocks. ``docs``: doc_id, mark (boolean), text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size, number, part = [], [], 0, 0, 0
+        ids, marks, texts, size, number, part = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            own = [pa.array([(part << 24) + number]), pa.array([len(ids)], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([np.array([len(t) for t in texts], np.int64).tobytes()]), pa.array([data])]
-            return pa.RecordBatch.from_arrays(own, ["block", "n", "ids", "sizes", "texts"])
+            binary = [np.array(ids, np.int64), np.array(marks, np.uint8), np.array([len(t) for t in texts], np.int64)]
+            own = [pa.array([(part << 24) + number]), pa.array([len(ids)], pa.int32()), *(pa.array([x.tobytes()]) for x in binary), pa.array([data])]
+            return pa.RecordBatch.from_arrays(own, ["block", "n", "ids", "marks", "sizes", "texts"])
 
         for batch in batches:
-            for p, i, t in zip(*(c.to_pylist() for c in batch.columns)):
+            for p, i, m, t in zip(*(c.to_pylist() for c in batch.columns)):
                 part = p
                 data = t.encode("utf-8", "surrogatepass")
                 if ids and size + len(data) > BLOCK_BYTES:
                     yield flush()
-                    ids, texts, size, number = [], [], 0, number + 1
+                    ids, marks, texts, size, number = [], [], [], 0, number + 1
                 ids.append(i)
+                marks.append(m)
                 texts.append(data)
                 size += len(data)
         if ids:
             yield flush()
 
-    rows = docs.select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    return shared.stored(rows.mapInArrow(run, "block long, n int, ids binary, sizes binary, texts binary"), "blocks")
+    rows = docs.select(F.spark_partition_id().alias("part"), "doc_id", "mark", "text")
+    return shared.stored(rows.mapInArrow(run, "block long, n int, ids binary, marks binary, sizes binary, texts binary"), "blocks")
 
 
-def documents(row: pd.Series) -> tuple[np.ndarray, list[str]]:
-    """Ids and texts of one block."""
+def documents(row: pd.Series) -> Documents:
     sizes = np.frombuffer(row["sizes"], np.int64)
     raw = zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=max(1, int(sizes.sum())))
     ends = np.cumsum(sizes)
     texts = [raw[e - s : e].decode("utf-8", "surrogatepass") for s, e in zip(sizes.tolist(), ends.tolist())]
-    return np.frombuffer(row["ids"], np.int64), texts
+    return Documents(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["marks"], np.uint8), texts)
 
 
 def buckets(docs: DataFrame, keys_per_byte: float) -> int:
@@ -107,14 +117,13 @@ def frame(rows: list[dict], columns: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names).astype({"bucket": "int32", "block": "int64", "n": "int32"})
 
 
-def ask(blocks: DataFrame, columns: int, fn: Callable[[int, np.ndarray, list[str]], tuple[np.ndarray, list[np.ndarray]]], count: int) -> DataFrame:
-    """Packets of every block. ``fn(block, ids, texts)`` gives sorted distinct keys and columns."""
+def ask(blocks: DataFrame, columns: int, fn: Callable[[int, Documents], tuple[np.ndarray, list[np.ndarray]]], count: int) -> DataFrame:
+    """Packets of every block. ``fn(block, documents)`` gives sorted, evenly spread, distinct keys and columns."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, row in batch.iterrows():
-                ids, texts = documents(row)
-                yield frame(list(packets(row["block"], *fn(row["block"], ids, texts), count)), columns)
+                yield frame(list(packets(row["block"], *fn(row["block"], documents(row)), count)), columns)
 
     # Some blocks at a time, as each is some megabytes when unpacked.
     return blocks.mapInPandas(run, packet_type(columns))
@@ -154,10 +163,10 @@ def received(answer: pd.DataFrame, kind: int, value: type, n: int) -> np.ndarray
     return np.concatenate(parts) if parts else np.zeros(0, value)
 
 
-def meet(blocks: DataFrame, answer: DataFrame, fn: Callable[[int, np.ndarray, list[str], pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply ``fn(block, ids, texts, answers)`` to every block and its answers."""
+def meet(blocks: DataFrame, answer: DataFrame, fn: Callable[[int, Documents, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Apply ``fn(block, documents, answers)`` to every block and its answers."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([fn(int(row["block"]), *documents(row), right) for _, row in left.iterrows()])
+        return pd.concat([fn(int(row["block"]), documents(row), right) for _, row in left.iterrows()])
 
     return blocks.groupBy("block").cogroup(answer.where("block >= 0").groupBy("block")).applyInPandas(run, schema)

@@ -9,7 +9,8 @@ estimates from which it is deleted.
 Counts come from all training documents, exact for unigrams, by blocks (see ``blocks``); pairs are
 identified by 56-bit hashes. Expectation-maximisation needs only the number of held-out pairs for
 each combination of (pair count, context count, word count), the latter two rounded to an eighth of
-an octave: a table whose size is bounded, summed over all buckets.
+an octave (4 % at most). As each class of contexts has its own weights, each is learned in a task of
+its own from such a table of bounded size; only three weights a class reach the driver.
 """
 
 from __future__ import annotations
@@ -65,31 +66,44 @@ class Tokens:
         self.context[first] = np.searchsorted(self.keys, END)
 
 
+def _context(code: np.ndarray) -> np.ndarray:
+    """Count of a context without the occurrence that is held out, from its code."""
+    return np.maximum(np.rint(_value(code)) - 1, 0)
+
+
+def start_weights() -> np.ndarray:
+    """Weights (pair, word, uniform) of each class of contexts before learning; unseen contexts have no pairs."""
+    weights = np.tile([0.3, 0.5, 0.2], (OCTAVES, 1))
+    weights[0] = [0, 0.7, 0.3]
+    return weights
+
+
 def expectation_maximisation(cells: pd.DataFrame, total: float, types: float, rounds: int = 100) -> np.ndarray:
-    """Weights (pair, word, uniform) of each context class from the held-out table.
+    """Weights (pair, word, uniform) of one class of contexts from its held-out table.
 
-    ``cells``: pair (count), context and word (rounded codes), n.
+    ``cells``: pair (count), context and word (rounded codes), n. Every outcome keeps a share.
     """
     n = cells["n"].to_numpy(float)
-    context = np.maximum(np.rint(_value(cells["context"].to_numpy())) - 1, 0)
+    context = _context(cells["context"].to_numpy())
     word = np.maximum(_value(cells["word"].to_numpy()) - 1, 0)
     pair = np.minimum(cells["pair"].to_numpy(float) - 1, context)
-    group = _octave(context)
     p = np.stack([np.where(context > 0, pair / np.maximum(context, 1), 0), word / max(total - 1, 1), np.full(len(n), 1 / (types + 1))], 1)
-    weights = np.tile([0.3, 0.5, 0.2], (OCTAVES, 1))
-    weights[0] = [0, 0.7, 0.3]
+    seen = bool((context > 0).any())
+    start = start_weights()[int(_octave(context[:1])[0])]
+    weights = start
     for _ in range(rounds):
-        share = weights[group] * p
+        share = weights * p
         share /= share.sum(1, keepdims=True)
-        mass = np.stack([np.bincount(group, share[:, i] * n, minlength=OCTAVES) for i in range(3)], 1)
-        new = (mass + 1e-3 * weights) / (mass + 1e-3 * weights).sum(1, keepdims=True)
-        if np.abs(new - weights).max() < 1e-7:
-            break
+        mass = n @ share + 1e-3 * weights
+        new = mass / mass.sum()
+        done = np.abs(new - weights).max() < 1e-7
         weights = new
-    # Every outcome keeps a share; contexts of a class without held-out pairs keep the start values.
+        if done:
+            break
     weights = np.maximum(weights, 1e-9)
-    weights[0, 0] = 0
-    return weights / weights.sum(1, keepdims=True)
+    if not seen:
+        weights[0] = 0
+    return weights / weights.sum()
 
 
 def log_scores(docs: DataFrame, training) -> DataFrame:
@@ -98,17 +112,16 @@ def log_scores(docs: DataFrame, training) -> DataFrame:
     ``training`` is a boolean column: the documents to learn from. Null and empty texts consist of
     the end alone. Repeated rows count and are scored repeatedly; without training documents all
     probability is uniform over the one unknown type. An empty table gives an empty result; further
-    columns and rows without an id are ignored.
+    columns and rows without an id are ignored. A very long text is a block of its own, whose task
+    takes about thirty times its size.
     """
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.coalesce(F.col("text"), F.lit("")).alias("text"), "doc_id", F.coalesce(training, F.lit(False)).alias("train"))
-    # The training flag travels as the lowest bit of a packed id.
-    packed = rows.select(F.struct("doc_id", "train").alias("id"), "text")
+    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(training, F.lit(False)).alias("mark"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     word_buckets, pair_buckets = B.buckets(rows, 0.03), B.buckets(rows, 0.14)
-    blocks = B.pack(packed.select((F.shiftleft(F.col("id.doc_id"), 1) + F.col("id.train").cast("long")).alias("doc_id"), "text"))
+    blocks = B.pack(rows)
 
-    def ask_words(_: int, ids: np.ndarray, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-        t = Tokens(texts)
-        return t.keys, [np.bincount(t.key, (ids & 1)[t.doc], minlength=len(t.keys)).astype(np.uint32)]
+    def ask_words(_: int, own: B.Documents) -> tuple[np.ndarray, list[np.ndarray]]:
+        t = Tokens(own.texts)
+        return t.keys, [np.bincount(t.key, own.marks[t.doc], minlength=len(t.keys)).astype(np.uint32)]
 
     def total(keys: np.ndarray, at: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
         return np.bincount(at, columns[0], minlength=len(keys)).astype(np.uint64)
@@ -121,11 +134,11 @@ def log_scores(docs: DataFrame, training) -> DataFrame:
     found = words.where("block = -1").agg(number(0).alias("total"), number(1).alias("types")).first()
     n_total, n_types = int(found.total or 0), int(found.types or 0)
 
-    def ask_pairs(block: int, ids: np.ndarray, texts: list[str], answer: pd.DataFrame) -> pd.DataFrame:
-        t = Tokens(texts)
+    def ask_pairs(block: int, own: B.Documents, answer: pd.DataFrame) -> pd.DataFrame:
+        t = Tokens(own.texts)
         counts = B.received(answer, 1, np.uint64, len(t.keys))
         keys, first, at = np.unique(t.pair, return_index=True, return_inverse=True)
-        seen = np.bincount(at, (ids & 1)[t.doc], minlength=len(keys)).astype(np.uint32)
+        seen = np.bincount(at, own.marks[t.doc], minlength=len(keys)).astype(np.uint32)
         return B.frame(list(B.packets(block, keys, [seen, _round(counts[t.context[first]]), _round(counts[t.key[first]])], pair_buckets)), 3)
 
     def held_out(keys: np.ndarray, at: np.ndarray, columns: list[np.ndarray], values: np.ndarray) -> bytes:
@@ -148,12 +161,24 @@ def log_scores(docs: DataFrame, training) -> DataFrame:
                 table = np.frombuffer(raw, np.uint8).reshape(8, -1).T.copy().view(np.int64).reshape(-1, 4)
                 yield pd.DataFrame(table, columns=["pair", "context", "word", "n"])
 
-    table = pairs.where("block = -1").select("data").mapInPandas(cells, "pair long, context long, word long, n long").groupBy("pair", "context", "word").agg(F.sum("n").alias("n"))
-    collected = table.toPandas() if n_total else pd.DataFrame({"pair": [], "context": [], "word": [], "n": []})
-    weights = expectation_maximisation(collected, n_total, n_types)
+    # Contexts of one class share their weights and no others: each class is learned by itself, from a
+    # table whose size the codes bound.
+    held = pairs.where("block = -1").select("data").mapInPandas(cells, "pair long, context long, word long, n long")
+    summed = held.groupBy("pair", "context", "word").agg(F.sum("n").alias("n"))
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        weights = expectation_maximisation(pdf, n_total, n_types)
+        return pd.DataFrame([[int(pdf["class"].iloc[0]), *weights]], columns=["class", "pair", "word", "uniform"]).astype({"class": "int32"})
+
+    table = pd.DataFrame(columns=["class", "pair", "word", "uniform"])
+    if n_total:
+        codes = held.sparkSession.createDataFrame([(c, int(_octave(_context(np.array([c])))[0])) for c in range(STEPS * OCTAVES + 2)], "context long, class int")
+        table = summed.join(F.broadcast(codes), "context").groupBy("class").applyInPandas(learn, "class int, pair double, word double, uniform double").toPandas()
+    weights = start_weights()
+    weights[table["class"].to_numpy(np.int64)] = table[["pair", "word", "uniform"]].to_numpy(float)
 
-    def finish(block: int, ids: np.ndarray, texts: list[str], answer: pd.DataFrame) -> pd.DataFrame:
-        t = Tokens(texts)
+    def finish(block: int, own: B.Documents, answer: pd.DataFrame) -> pd.DataFrame:
+        t = Tokens(own.texts)
         counts = B.received(answer, 1, np.uint64, len(t.keys)).astype(float)
         keys, at = np.unique(t.pair, return_inverse=True)
         pair = B.received(answer, 2, np.uint64, len(keys)).astype(float)[at]
@@ -161,8 +186,8 @@ def log_scores(docs: DataFrame, training) -> DataFrame:
         w = weights[_octave(context)]
         p = w[:, 0] * np.where(context > 0, np.minimum(pair / np.maximum(context, 1), 1), 0) + w[:, 1] * word / max(n_total, 1) + w[:, 2] / (n_types + 1)
         base = np.log10((word + 0.5) / (n_total + 0.5 * (n_types + 1)))
-        add = lambda v: np.bincount(t.doc, v, minlength=len(texts))
-        return pd.DataFrame({"doc_id": ids >> 1, "n_tokens": t.count.astype(np.int64), "n_known": add(word > 0).astype(np.int64), "train_tokens": np.int64(n_total), "base_score": add(base), "score": add(np.log10(p))})
+        add = lambda v: np.bincount(t.doc, v, minlength=len(own.texts))
+        return pd.DataFrame({"doc_id": own.ids, "n_tokens": t.count.astype(np.int64), "n_known": add(word > 0).astype(np.int64), "train_tokens": np.int64(n_total), "base_score": add(base), "score": add(np.log10(p))})
 
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return B.meet(blocks, words.where("block >= 0").unionByName(pairs.where("block >= 0")), finish, schema)

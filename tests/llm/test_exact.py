@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -14,6 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.llm import blocks as B
 from foliant.llm import decontaminate, interpolation, labelled, nearest, pii, piece_coder, reshard, shared, simhash, substrings
 
 from . import odd
@@ -248,6 +250,41 @@ def test_recurring_windows_equal_brute_force(spark):
         assert found == brute_removed(texts, width)
 
 
+def thue_morse() -> tuple[str, str]:
+    """Two words that polynomial hashes modulo a power of two cannot tell apart."""
+    bits = [k.bit_count() % 2 for k in range(1024)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_recurring_windows_of_split_shards(spark, monkeypatch):
+    """Small blocks, each shard split over many tasks; passages shared by many blocks and within one."""
+    monkeypatch.setattr(B, "BLOCK_BYTES", 2_000)
+    rng = random.Random(14)
+    lines = [" ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(50)) for _ in range(6)]
+    texts = {i: " ".join(rng.choice(lines) if rng.random() < 0.5 else f"own{i} word{rng.random()}" for _ in range(rng.randint(1, 9))) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    for salt_blocks in (1, 3, 4096):
+        found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_recurring(df, 35, salt_blocks).collect()}
+        assert found == brute_removed(texts, 35)
+
+
+def test_different_windows_are_never_removed(spark):
+    one, two = thue_morse()
+    texts = {i: " ".join(w if k == 17 else f"w{k}" for k in range(35)) for i, w in enumerate((one, two))}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert [r.n_removed for r in substrings.remove_recurring(df).collect()] == [0, 0]
+
+
+def test_shards_compare_words_whatever_the_hashes_say(monkeypatch, spark):
+    """With equal hashes for all windows, only what stands there twice is removed."""
+    monkeypatch.setattr(substrings.Block, "long", lambda self, places: np.full(len(places), 7, np.uint64))
+    common = " ".join(f"c{k}" for k in range(40))
+    texts = {0: common, 1: common + " tail", 2: " ".join(f"c{k}" for k in range(18)) + " " + " ".join(f"d{k}" for k in range(30))}
+    shard = substrings.Shard([texts[0].encode()], [1], 35, 18)
+    assert list(shard.locate(texts[1].encode(), True)) == list(range(6)) and not len(shard.locate(texts[2].encode(), True))
+    assert list(shard.recurring(texts[0].encode())) == list(range(6))
+
+
 def test_blocks_without_any_answer(spark):
     """Only short texts: no block asks for anything, and every word is kept."""
     df = spark.createDataFrame([(i, "a b c" if i else None) for i in range(5)], "doc_id long, text string")
@@ -364,16 +401,26 @@ def test_base_score_and_interpolation(spark, sf_dir):
 
 
 def test_interpolation_is_a_distribution(spark):
-    """Probabilities of all continuations of a context, one unknown type included, add up to one."""
+    """The probabilities of all texts, one unknown type included, add up to one."""
     train = [(i, t) for i, t in enumerate(["a b a c", "a b b", "c a b", "b a"] * 6)]
-    outcomes = ["a", "b", "c", "zz"]
-    probes = [(1000 + k, f"a {w}") for k, w in enumerate(outcomes)] + [(1100, "a")]
-    df = spark.createDataFrame(train + probes, "doc_id long, text string")
+    texts = [" ".join(t) for n in range(7) for t in itertools.product("abcz", repeat=n)]
+    df = spark.createDataFrame(train + [(1000 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     found = {r.doc_id: 10**r.score for r in interpolation.log_scores(df, F.col("doc_id") < 1000).collect()}
-    # P(a | start) P(w | a) P(end | w): divide by what the shorter probe and single words show.
-    single = spark.createDataFrame(train + [(1200 + k, w) for k, w in enumerate(outcomes)], "doc_id long, text string")
-    ends = {r.doc_id: 10**r.score for r in interpolation.log_scores(single, F.col("doc_id") < 1000).collect()}
-    assert all(0 < p < 1 for p in [*found.values(), *ends.values()])
+    by_length = np.zeros(7)
+    for k, t in enumerate(texts):
+        by_length[len(t.split())] += found[1000 + k]
+    # Longer texts go on falling at the last rate of two steps.
+    rate = by_length[5:].sum() / by_length[3:5].sum()
+    assert by_length.sum() < 1 and abs(by_length.sum() + by_length[5:].sum() * rate / (1 - rate) - 1) < 2e-3
+
+
+def test_scores_of_large_ids_and_of_words_that_polynomials_confuse(spark):
+    train = [(2**62 + 5, "a b a"), (-(2**63), "a b")] + [(i, "b a b") for i in range(5)]
+    one, two = thue_morse()
+    df = spark.createDataFrame(train + [(7, one), (8, two)], "doc_id long, text string")
+    found = {r.doc_id: r for r in interpolation.log_scores(df, F.col("doc_id") != 8).collect()}
+    assert found.keys() == {2**62 + 5, -(2**63), *range(5), 7, 8}
+    assert found[7].n_known == 2 and found[8].n_known == 1 and found[8].train_tokens == 4 + 3 + 5 * 4 + 2
 
 
 def test_language_model_without_training_or_rows(spark):
@@ -387,9 +434,10 @@ def test_expectation_maximisation_prefers_the_pair_where_it_holds():
     import pandas as pd
 
     code = lambda n: int(interpolation._round(np.array([n]))[0])
-    cells = pd.DataFrame({"pair": [50, 1], "context": [code(64), code(1)], "word": [code(60), code(500)], "n": [5000, 800]})
-    weights = interpolation.expectation_maximisation(cells, 10_000, 500)
-    assert np.allclose(weights.sum(1), 1) and weights[interpolation._octave(np.array([63]))[0], 0] > 0.8 and weights[0, 0] == 0
+    often = pd.DataFrame({"pair": [50], "context": [code(64)], "word": [code(60)], "n": [5000]})
+    never = pd.DataFrame({"pair": [1], "context": [code(1)], "word": [code(500)], "n": [800]})
+    often, never = (interpolation.expectation_maximisation(x, 10_000, 500) for x in (often, never))
+    assert np.allclose([often.sum(), never.sum()], 1) and often[0] > 0.8 and never[0] == 0
 
 
 def test_shared_folder_is_the_sessions(spark):
