@@ -20,11 +20,11 @@ VIEWS: dict[str, tuple[str, str]] = {
     # Image inventory; document = customer.
     "V_IMAGES": (_same := r"""SELECT o_orderkey AS img, o_custkey AS doc, CAST(100 + (o_orderkey * 7919) % 4000 AS INT) AS w, CAST(100 + (o_orderkey * 104729) % 4000 AS INT) AS h, CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'FlateDecode' WHEN 1 THEN 'JPXDecode' ELSE 'DCTDecode' END AS filter, CAST(CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 8 END AS INT) AS bits, CAST(CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN 4 WHEN 1 THEN 1 ELSE 3 END AS INT) AS components, o_orderkey % 13 = 0 AS has_smask, o_orderkey % 17 = 0 AS has_decode, 20000 + (o_orderkey * 31337) % 900000 AS stored_len, 20000 + (o_orderkey * 15485863) % 900000 AS jpeg_len, 20000 + (o_orderkey * 32452843) % 1800000 AS flate_est, CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN NULL WHEN 1 THEN 72 WHEN 2 THEN 300 ELSE 96 END AS dpi FROM orders""", _same),
     # Draws of an image (several per image, some images none).
-    "V_DRAWS": (_same := r"""SELECT l_orderkey AS img, l_extendedprice / 100 AS w_pt, l_quantity * 20 AS h_pt FROM lineitem WHERE l_linenumber <= 3""", _same),
+    "V_DRAWS": (_same := r"""SELECT l_orderkey AS img, l_extendedprice / 100 AS w_pt, l_quantity * 20 AS h_pt FROM lineitem""", _same),
     # Pages of source documents.
     "V_PAGES": (_same := r"""SELECT concat('s', CAST(p_size AS STRING)) AS source, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS INT) AS page, CAST((p_partkey % 4) * 90 AS INT) AS rotate, 100 + (p_partkey * 7919) % 14300 AS w_pt, 100 + (p_partkey * 104729) % 14300 AS h_pt FROM part""", _same),
-    # Ordered picks with bad ones mixed in.
-    "V_PICKS": (_same := r"""SELECT row_number() OVER (ORDER BY o_orderkey) AS pick_no, concat('s', CAST(o_orderkey % 55 AS STRING)) AS source, CAST(o_custkey % 60 AS INT) AS page, CAST((o_orderkey % 9 - 4) * 45 AS INT) AS rotate FROM orders WHERE o_orderkey % 10 = 0""", _same),
+    # Ordered picks with bad ones mixed in; order keys count from 0 without gaps.
+    "V_PICKS": (_same := r"""SELECT o_orderkey + 1 AS pick_no, concat('s', CAST(o_orderkey % 55 AS STRING)) AS source, CAST(o_custkey % 60 AS INT) AS page, CAST((o_orderkey % 9 - 4) * 45 AS INT) AS rotate FROM orders""", _same),
     # Three-level tree.
     "V_TREE": (_same := r"""SELECT concat('r', CAST(r_regionkey AS STRING)) AS id, CAST(NULL AS STRING) AS parent, r_name AS a1, CAST(NULL AS STRING) AS a2 FROM region UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)), CASE WHEN n_nationkey % 3 = 0 THEN n_name END, CASE WHEN n_nationkey % 2 = 0 THEN n_name END FROM nation UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), concat('n', CAST(c_nationkey AS STRING)), CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment END, NULL FROM customer""", _same),
     # Style chain with a branch of depth > 2 and a cycle at the top (style 1 and 2).
@@ -39,15 +39,16 @@ VIEWS: dict[str, tuple[str, str]] = {
         r"""SELECT doc_id, ord, text, CAST(length(text) % 3 AS INT) AS ilvl, CAST(1 + doc_id % 2 AS INT) AS num_id, CAST(ord % 4 AS INT) AS style, CAST(length(text) % 13 AS INT) AS space_before, CAST(length(text) % 7 AS INT) AS space_after, length(text) % 5 = 0 AS contextual FROM (SELECT doc_id, posexplode(split(text, '\n')) AS (ord, text) FROM documents)""",
         r"""SELECT doc_id, ord, text, CAST(length(text) % 3 AS INT) AS ilvl, CAST(1 + doc_id % 2 AS INT) AS num_id, CAST(ord % 4 AS INT) AS style, CAST(length(text) % 13 AS INT) AS space_before, CAST(length(text) % 7 AS INT) AS space_after, length(text) % 5 = 0 AS contextual FROM (SELECT doc_id, generate_subscripts(a, 1) - 1 AS ord, unnest(a) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))""",
     ),
-    # First 60 characters, digits and vowels turned into CJK, one row each.
+    # Texts with digits and vowels turned into CJK, whole and as one row for each character.
+    "V_TEXT": (_same := r"""SELECT doc_id, translate(text, 'aeo0123456789', '中文字〇一二三四五六七八九') AS text FROM documents""", _same),
     "V_CHARS": (
-        r"""SELECT doc_id, posexplode(split(translate(substring(text, 1, 60), 'aeo0123456789', '中文字〇一二三四五六七八九'), '')) AS (pos, ch) FROM documents""",
-        r"""SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS ch FROM (SELECT doc_id, string_split(translate(substring(text, 1, 60), 'aeo0123456789', '中文字〇一二三四五六七八九'), '') AS a FROM documents)""",
+        r"""SELECT doc_id, posexplode(split(text, '')) AS (pos, ch) FROM V_TEXT WHERE length(text) > 0""",
+        r"""SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS ch FROM (SELECT doc_id, string_split(text, '') AS a FROM V_TEXT WHERE length(text) > 0)""",
     ),
-    # Space-separated tokens of short documents.
+    # Space-separated tokens.
     "V_TOKENS": (
-        r"""SELECT doc_id, posexplode(split(text, ' ')) AS (pos, tok) FROM documents WHERE n_chars < 2000""",
-        r"""SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS tok FROM (SELECT doc_id, string_split(text, ' ') AS a FROM documents WHERE n_chars < 2000)""",
+        r"""SELECT doc_id, posexplode(split(text, ' ')) AS (pos, tok) FROM documents""",
+        r"""SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS tok FROM (SELECT doc_id, string_split(text, ' ') AS a FROM documents)""",
     ),
     # HTML tokens.
     "V_TAGS": (
@@ -92,12 +93,12 @@ VIEWS: dict[str, tuple[str, str]] = {
     "V_RELS": (_same := r"""SELECT c_custkey AS rel_id, c_name AS target, c_custkey % 4 = 0 AS external FROM customer""", _same),
     # Requests by name with a category.
     "V_LOOKUP": (_same := r"""SELECT p_partkey AS req, CASE WHEN p_partkey % 3 = 0 THEN concat(p_name, ',x') ELSE p_name END AS want, CASE WHEN p_size > 25 THEN 'serif' ELSE 'sans' END AS category FROM part""", _same),
-    # Available names with category preference.
-    "V_CATALOG": (_same := r"""SELECT p_name AS name, min(p_partkey) AS pref, CASE WHEN min(p_partkey) % 2 = 0 THEN 'serif' ELSE 'sans' END AS category FROM part WHERE p_partkey % 5 = 0 GROUP BY p_name""", _same),
+    # Available names with category preference; names of one half of the parts.
+    "V_CATALOG": (_same := r"""SELECT p_name AS name, min(p_partkey) AS pref, CASE WHEN min(p_partkey) % 2 = 0 THEN 'serif' ELSE 'sans' END AS category FROM part GROUP BY p_name""", _same),
     # Which dictionary covers which character (1 primary, 2 sibling, 3 fallback).
     "V_COVERAGE": (_same := r"""SELECT DISTINCT ch, CASE WHEN ch IN ('中', '文', '字') THEN 2 WHEN ch >= 'a' AND ch <= 'z' THEN 1 ELSE 3 END AS dict FROM V_CHARS WHERE ch <> '〇'""", _same),
     # Alternatives; a group is an order, options in line order, `last` is the fallback.
-    "V_ALTS": (_same := r"""SELECT o_orderkey AS grp, n AS opt, CASE WHEN n = 3 THEN '' WHEN (o_orderkey + n) % 3 = 0 THEN 'wps' WHEN (o_orderkey + n) % 3 = 1 THEN 'wps w14' ELSE 'w16' END AS requires FROM orders CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3)) AS v(n)) AS k WHERE o_orderkey % 5 = 0""", _same),
+    "V_ALTS": (_same := r"""SELECT o_orderkey AS grp, n AS opt, CASE WHEN n = 3 THEN '' WHEN (o_orderkey + n) % 3 = 0 THEN 'wps' WHEN (o_orderkey + n) % 3 = 1 THEN 'wps w14' ELSE 'w16' END AS requires FROM orders CROSS JOIN (SELECT * FROM (VALUES (1), (2), (3)) AS v(n)) AS k""", _same),
 }
 
 

@@ -1,17 +1,35 @@
-"""Number texts of list formats, as rows of a dimension that is made once and broadcast."""
+"""Number texts of list formats, for any number."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-_ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-_TENS = "_ _ twenty thirty forty fifty sixty seventy eighty ninety".split()
-_ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Words and signs of the formats.
+ONES = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
+ONES_ORDINAL = ["zeroth", "first", "second", "third", "fourth", "fifth", "sixth", "seventh", "eighth", "ninth", "tenth", "eleventh", "twelfth", "thirteenth", "fourteenth", "fifteenth", "sixteenth", "seventeenth", "eighteenth", "nineteenth"]
+TENS = ["", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
+TENS_ORDINAL = ["", "", "twentieth", "thirtieth", "fortieth", "fiftieth", "sixtieth", "seventieth", "eightieth", "ninetieth"]
+SCALES = [(10**9, "billion"), (10**6, "million"), (1000, "thousand"), (100, "hundred")]
+ROMAN = [(1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")]
+#: Digits 0 to 9, the zero inside a number, ten, hundred and thousand, ten thousand.
+COUNTING = ("〇一二三四五六七八九", "零", "十百千", "万")
+LEGAL_SIMPLIFIED = ("零壹贰叁肆伍陆柒捌玖", "零", "拾佰仟", "万")
+LEGAL_TRADITIONAL = ("零壹貳參肆伍陸柒捌玖", "零", "拾佰仟", "萬")
+STEMS, BRANCHES = "甲乙丙丁戊己庚辛壬癸", "子丑寅卯辰巳午未申酉戌亥"
+#: First and last number and first sign of each run of enclosed numbers.
+CIRCLES, PARENS, STOPS = [(1, 20, "①"), (21, 35, "㉑"), (36, 50, "㊱")], [(1, 20, "⑴")], [(1, 20, "⒈")]
+#: Formats that write numbers in the same way.
+CIRCLED = ["decimalEnclosedCircle", "decimalEnclosedCircleChinese", "ideographEnclosedCircle"]
+COUNTED = ["chineseCounting", "chineseCountingThousand", "ideographDigital", "japaneseCounting", "taiwaneseCounting", "taiwaneseCountingThousand"]
 
 
 def roman(n: int) -> str:
     out = ""
-    for value, sign in ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
+    for value, sign in ROMAN:
         out += sign * (n // value)
         n %= value
     return out
@@ -27,65 +45,104 @@ def ordinal(n: int) -> str:
     return f"{n}{ending}"
 
 
-def words(n: int) -> str:
+def words(n: int, last: bool = False) -> str:
+    """A number in words; with ``last`` its last word is an ordinal."""
     if n < 20:
-        return _ONES[n]
-    if n < 100:
-        return _TENS[n // 10] + (f"-{_ONES[n % 10]}" if n % 10 else "")
-    if n < 1000:
-        return f"{_ONES[n // 100]} hundred" + (f" {words(n % 100)}" if n % 100 else "")
-    return f"{words(n // 1000)} thousand" + (f" {words(n % 1000)}" if n % 1000 else "")
-
-
-def ordinal_words(n: int) -> str:
-    head, sep, last = words(n).rpartition("-")
-    if not sep:
-        head, sep, last = words(n).rpartition(" ")
-    last = _ORDINALS.get(last, last[:-1] + "ieth" if last.endswith("y") else last + "th")
-    return head + sep + last
-
-
-def chinese(n: int, digits: str, units: str, short_ten: bool) -> str:
-    """Positional writing below ten thousand; ``short_ten`` leaves out the one of ten to nineteen."""
-    out, zero = "", False
-    for place in (3, 2, 1, 0):
-        d = n // 10**place % 10
-        if d:
-            out += (digits[0] if zero and out else "") + digits[d] + units[place]
-            zero = False
-        else:
-            zero = True
-    return out[1:] if short_ten and 10 <= n < 20 else out
-
-
-def texts(limit: int) -> dict[str, dict[int, str]]:
-    """format: number: text, from 1 to ``limit`` or as far as the format goes."""
-    full = range(1, limit + 1)
-    found = {
-        "decimal": {n: str(n) for n in full},
-        "decimalZero": {n: f"{n:02d}" for n in full},
-        "decimalFullWidth": {n: str(n).translate({48 + i: 0xFF10 + i for i in range(10)}) for n in full},
-        "upperRoman": {n: roman(n) for n in full},
-        "upperLetter": {n: letters(n) for n in full},
-        "ordinal": {n: ordinal(n) for n in full},
-        "cardinalText": {n: words(n).capitalize() for n in full},
-        "ordinalText": {n: ordinal_words(n).capitalize() for n in full},
-        "hex": {n: f"{n:X}" for n in full},
-        "arabicDash": {n: f"- {n} -" for n in full},
-        "decimalEnclosedCircle": {n: chr(0x2460 + n - 1) for n in range(1, min(limit, 20) + 1)},
-        "decimalEnclosedParen": {n: chr(0x2474 + n - 1) for n in range(1, min(limit, 20) + 1)},
-        "decimalEnclosedFullstop": {n: chr(0x2488 + n - 1) for n in range(1, min(limit, 20) + 1)},
-        "chineseCounting": {n: chinese(n, "〇一二三四五六七八九", ["", "十", "百", "千"], True) for n in full if n < 10000},
-        "chineseLegalSimplified": {n: chinese(n, "零壹贰叁肆伍陆柒捌玖", ["", "拾", "佰", "仟"], False) for n in full if n < 10000},
-        "ideographTraditional": {n: "甲乙丙丁戊己庚辛壬癸"[n - 1] for n in range(1, min(limit, 10) + 1)},
-        "ideographZodiac": {n: "子丑寅卯辰巳午未申酉戌亥"[n - 1] for n in range(1, min(limit, 12) + 1)},
-        "none": {n: "" for n in full},
-    }
-    found["lowerRoman"] = {n: t.lower() for n, t in found["upperRoman"].items()}
-    found["lowerLetter"] = {n: t.lower() for n, t in found["upperLetter"].items()}
-    return found
-
-
-def format_dimension(spark: SparkSession, limit: int = 3000) -> DataFrame:
-    """fmt, n, txt: a bounded table (twenty formats, ``limit`` numbers at most)."""
-    return spark.createDataFrame([(f, n, t) for f, own in texts(limit).items() for n, t in own.items()], "fmt string, n int, txt string")
+        return (ONES_ORDINAL if last else ONES)[n]
+    for scale, name in SCALES:
+        if n >= scale:
+            count, rest = divmod(n, scale)
+            return f"{words(count)} {name}" + (f" {words(rest, last)}" if rest else "th" if last else "")
+    tens, one = divmod(n, 10)
+    return f"{TENS[tens]}-{words(one, last)}" if one else (TENS_ORDINAL if last else TENS)[tens]
+
+
+def chinese(n: int, script: tuple[str, str, str, str], bare_ten: bool) -> str:
+    """Positional writing: a run of zeros inside reads as one, those at the end not at all.
+
+    ``bare_ten``: a number that would begin with "one ten" begins with "ten".
+    """
+    digits, zero, (ten, hundred, thousand), myriad = script
+    if n == 0:
+        return digits[0]
+
+    def full(four: int) -> str:
+        """Every place of four digits, zeros without their units."""
+        return "".join(digits[int(d)] + unit if d != "0" else zero for d, unit in zip(f"{four:04d}", (thousand, hundred, ten, "")))
+
+    high, low = divmod(n, 10_000)
+    text = full(low)
+    if high:
+        text = chinese(high, script, bare_ten) + myriad + text
+    text = re.sub(f"{zero}+", zero, text).strip(zero)
+    return text[1:] if bare_ten and text.startswith(digits[1] + ten) else text
+
+
+def _enclosed(n: int, runs: list[tuple[int, int, str]]) -> str:
+    return next((chr(ord(sign) + n - a) for a, b, sign in runs if a <= n <= b), str(n))
+
+
+def number_text(n: int, fmt: str) -> str | None:
+    """``n`` in the format; decimal where the format does not reach, None for an unknown format."""
+    if fmt in ("decimal", "decimalHalfWidth"):
+        return str(n)
+    if fmt in ("none", "bullet"):
+        return ""
+    if fmt == "decimalZero":
+        return f"{n:02d}" if n >= 0 else str(n)
+    if fmt == "decimalFullWidth":
+        return str(n).translate({48 + i: 0xFF10 + i for i in range(10)})
+    if fmt in ("upperRoman", "lowerRoman"):
+        text = roman(n) if n > 0 else str(n)
+        return text.lower() if fmt == "lowerRoman" else text
+    if fmt in ("upperLetter", "lowerLetter"):
+        text = letters(n) if n > 0 else str(n)
+        return text.lower() if fmt == "lowerLetter" else text
+    own = max(n, 0)
+    if fmt == "ordinal":
+        return ordinal(own)
+    if fmt in ("cardinalText", "ordinalText"):
+        return words(own, fmt == "ordinalText").capitalize()
+    if fmt == "hex":
+        return f"{own:X}"
+    if fmt == "arabicDash":
+        return f"- {n} -"
+    if fmt in CIRCLED:
+        return _enclosed(n, CIRCLES)
+    if fmt == "decimalEnclosedParen":
+        return _enclosed(n, PARENS)
+    if fmt == "decimalEnclosedFullstop":
+        return _enclosed(n, STOPS)
+    if fmt in COUNTED:
+        return chinese(own, COUNTING, True)
+    if fmt == "chineseLegalSimplified":
+        return chinese(own, LEGAL_SIMPLIFIED, False)
+    if fmt == "ideographLegalTraditional":
+        return chinese(own, LEGAL_TRADITIONAL, False)
+    if fmt == "ideographTraditional":
+        return STEMS[n - 1] if 1 <= n <= len(STEMS) else str(n)
+    if fmt == "ideographZodiac":
+        return BRANCHES[n - 1] if 1 <= n <= len(BRANCHES) else str(n)
+    return None
+
+
+def number_texts(fmt: Column, n: Column) -> Column:
+    """Texts of arrays of numbers in arrays of formats, null for unknown formats and null numbers.
+
+    One Arrow batch at a time; a batch writes each different pair once.
+    """
+
+    @F.pandas_udf("array<string>")
+    def texts(formats: pd.Series, numbers: pd.Series) -> pd.Series:
+        known: dict[tuple, str | None] = {}
+
+        def text(f: str | None, k) -> str | None:
+            if f is None or k is None or k != k:
+                return None
+            if (f, k) not in known:
+                known[f, k] = number_text(int(k), f)
+            return known[f, k]
+
+        return pd.Series([[text(f, k) for f, k in zip(fs, ks)] for fs, ks in zip(formats, numbers)])
+
+    return texts(fmt, n)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 _ISO = r"^\s*(\d{4})-(\d{2})-(\d{2})(?:[Tt ](\d{2}):(\d{2})(?::(\d{2})(?:[.,]\d*)?)?(Z|z|[+-]\d{2}(?::?\d{2})?)?)?\s*$"
 
 
@@ -31,19 +32,26 @@ def show_time(when: Column) -> Column:
     return F.when(when.isNotNull(), F.format_string("%04d-%02d-%02d %02d:%02d:%02d", *(when[n] for n in ("year", "month", "day", "hour", "minute", "second"))))
 
 
-def resolve_capture_time(files: DataFrame, sources: list[str], file_time: str) -> DataFrame:
+def resolve_capture_time(files: DataFrame, sources: list[str | tuple[str, list[str]]], file_time: str | list[str]) -> DataFrame:
     """``files`` with when (struct), source, is_capture_time: the first plausible source wins.
 
-    ``sources`` are text columns in the order of trust; ``file_time`` comes last and is never a
-    capture time.
+    ``sources`` are text columns in the order of trust, or pairs of a source's name and its columns
+    (the original and the digitised time of one header, say), of which the first plausible counts. ``file_time`` comes last and is never
+    a capture time; of several columns (created, modified) the earliest counts. Each text is parsed
+    once.
     """
-    order = [*sources, file_time]
-    parsed = files.withColumns({f"_{s}": parse_iso8601(F.col(s)) for s in order})
-    name: Column = F.lit(None).cast("string")
-    for s in reversed(order):
-        name = F.when(F.col(f"_{s}").isNotNull(), F.lit(s)).otherwise(name)
-    out = parsed.withColumn("when", F.coalesce(*(F.col(f"_{s}") for s in order))).withColumn("source", name)
-    return out.withColumn("is_capture_time", F.col("source").isNotNull() & (F.col("source") != file_time)).drop(*(f"_{s}" for s in order))
+    named = [(s, [s]) if isinstance(s, str) else s for s in sources]
+    times = [file_time] if isinstance(file_time, str) else list(file_time)
+    last = times[0] if len(times) == 1 else "file"
+    columns = list(dict.fromkeys([c for _, own in named for c in own] + times))
+    # An array of structs is worked out once, and every later use is a look into it.
+    parsed = files.withColumn("_times", F.array(*(parse_iso8601(F.col(c)) for c in columns)))
+    at = {c: F.col("_times")[i] for i, c in enumerate(columns)}
+    earliest = F.array_min(F.array_compact(F.array(*(at[c] for c in times)))) if len(times) > 1 else at[times[0]]
+    order = [(n, F.coalesce(*(at[c] for c in own))) for n, own in named] + [(last, earliest)]
+    found = F.coalesce(*(F.when(t.isNotNull(), F.struct(t.alias("when"), F.lit(n).alias("source"))) for n, t in order))
+    out = parsed.withColumn("_found", found).withColumn("when", F.col("_found.when")).withColumn("source", F.col("_found.source"))
+    return out.withColumn("is_capture_time", F.col("source").isNotNull() & (F.col("source") != last)).drop("_times", "_found")
 
 
 def placement_extents(images: DataFrame, draws: DataFrame) -> DataFrame:
@@ -73,29 +81,18 @@ def reachable_objects(edges: DataFrame, roots: DataFrame, stop: Column, max_roun
     Targets for which ``stop`` (over a column id) holds are not entered. Each round joins only the new
     frontier; visited nodes are kept on disk and the lineage is cut by a checkpoint.
     """
-    frontier = _cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
+    frontier = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
     while depth < max_rounds:
         depth += 1
         step = frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct().where(~F.coalesce(stop, F.lit(False)))
-        frontier = _cut(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return seen
-        seen = _cut(seen.unionByName(frontier))
+        seen = cut(seen.unionByName(frontier))
     return seen
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's folder; without one, a copy on disk with its lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            return df.persist(StorageLevel.DISK_ONLY)
-        sc.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     """id, ancestor, depth: each node with itself (depth 0) and its ancestors, by pointer doubling.
 
@@ -107,12 +104,12 @@ def ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     # ``jump`` leads from a node to the one 2^k steps above.
     jump, k = links.select(F.col("id").alias("a"), F.col("parent").alias("b")), 1
     while k <= max_depth:
-        jump = _cut(jump)
+        jump = cut(jump)
         if jump.isEmpty():
             break
         further = closure.join(jump, closure["ancestor"] == jump["a"]).select("id", F.col("b").alias("ancestor"), (F.col("depth") + k).alias("depth"))
         # On a cycle a node is met again: only its nearest place counts.
-        closure = _cut(closure.unionByName(further).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
+        closure = cut(closure.unionByName(further).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
         two = jump.select(F.col("a").alias("x"), F.col("b").alias("y"))
         jump = jump.join(two, jump["b"] == two["x"]).select("a", F.col("y").alias("b"))
         k *= 2
@@ -148,22 +145,31 @@ def resolve_cascade(items: DataFrame, styles: DataFrame, properties: list[str],
     return joined.select("ord", *out)
 
 
-def ranked_lookup(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """req, want, found, rank: exact name (1), base name (2), best of the category (3), best of all (4).
+def ranked_lookup(requests: DataFrame, catalog: DataFrame, chains: DataFrame | None = None) -> DataFrame:
+    """req, want, found, rank: exact name (1), base name (2), the category's list (3), the other lists (4), anything (5).
 
-    ``requests``: req, want, category; ``catalog``: name, pref (smaller is better), category. The
-    base name ends at the first comma or hyphen. A rank above 1 is a substitution.
+    ``requests``: req, want, category; ``catalog``: name, pref (smaller is better), category.
+    ``chains``: category, place, name gives each category's list of preferred names; the first that
+    the catalog has counts, and of the other lists the first of the first. Without chains a list is
+    the catalog's names of the category by pref. The base name ends at the first comma or hyphen. A
+    rank above 1 is a substitution.
     """
     names = catalog.groupBy("name").agg(F.min("pref").alias("pref"))
+    if chains is None:
+        lists = catalog.groupBy("category", "name").agg(F.min("pref").alias("place"))
+    else:
+        lists = chains.join(names.select("name"), "name", "left_semi")
     base = F.split("want", "[,-]")[0]
     exact = requests.join(names, requests["want"] == names["name"]).select("req", "name", F.lit(1).alias("rank"))
     by_base = requests.join(names, base == names["name"]).select("req", "name", F.lit(2).alias("rank"))
-    best = catalog.groupBy("category").agg(F.min_by("name", F.struct("pref", "name")).alias("name"))
-    any_ = catalog.agg(F.min_by("name", F.struct("pref", "name"))).first()[0]
-    by_category = requests.join(best, "category").select("req", "name", F.lit(3).alias("rank"))
+    best = lists.groupBy("category").agg(F.min(F.struct("place", "name")).alias("b"))
+    by_category = requests.join(best, "category").select("req", F.col("b.name").alias("name"), F.lit(3).alias("rank"))
     found = exact.unionByName(by_base).unionByName(by_category).groupBy("req").agg(F.min(F.struct("rank", "name")).alias("f"))
-    joined = requests.join(found, "req", "left")
-    return joined.select("req", "want", F.coalesce("f.name", F.lit(any_)).alias("found"), F.coalesce("f.rank", F.lit(4)).alias("rank"))
+    # One row: the best of all lists, and the best name of the catalog.
+    rest = best.agg(F.min(F.struct("b.place", "b.name"))["name"].alias("listed")).crossJoin(names.agg(F.min(F.struct("pref", "name"))["name"].alias("any")))
+    joined = requests.join(found, "req", "left").crossJoin(F.broadcast(rest))
+    rank = F.coalesce("f.rank", F.when(F.col("listed").isNotNull(), 4).when(F.col("any").isNotNull(), 5))
+    return joined.select("req", "want", F.coalesce("f.name", "listed", "any").alias("found"), rank.alias("rank"))
 
 
 def chase_links(start: DataFrame, links: DataFrame, max_hops: int = 4) -> DataFrame:
@@ -179,30 +185,43 @@ def chase_links(start: DataFrame, links: DataFrame, max_hops: int = 4) -> DataFr
 
 
 def match_sequences(ours: DataFrame, reference: DataFrame, lookahead: int = 60) -> DataFrame:
-    """doc, line_ref, line_ours: greedy alignment of the lines of two sides.
+    """doc, line_ref, line_ours, same_page, dx, dy: greedy alignment of the lines of two sides.
 
-    Both tables: doc, line, text (already normalised). For each reference line in order the first
-    equal line within the next ``lookahead`` of ours after the last match is taken. The walk depends
-    on its past, so a document is one group; its lines of two or more characters are in memory.
+    Both tables: doc, line, text (already normalised) and, if offsets are wanted, page, x and y. For
+    each reference line in order the first equal line within the next ``lookahead`` of ours after the
+    last match is taken. Offsets are given where both lines are on the same page. Lines of fewer than
+    two characters are left out. The walk depends on its past, so a document's lines are one row of
+    arrays; many documents share a batch.
     """
-
-    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):  # a side without rows comes without columns
-            return pd.DataFrame({"doc": [], "line_ref": [], "line_ours": []}).astype("int64")
-        left, right = left.sort_values("line"), right.sort_values("line")
-        texts, numbers = left["text"].tolist(), left["line"].tolist()
-        out, at = [], 0
-        for doc, line, text in zip(right["doc"], right["line"], right["text"]):
-            for k in range(at, min(at + lookahead, len(texts))):
-                if texts[k] == text:
-                    out.append((doc, line, numbers[k]))
-                    at = k + 1
-                    break
-        return pd.DataFrame(out, columns=["doc", "line_ref", "line_ours"]).astype("int64")
-
-    # Fresh columns, as both sides may come from one table.
-    long = lambda df: df.where(F.length("text") >= 2).select(*(F.col(c).alias(c) for c in ("doc", "line", "text")))
-    return long(ours).groupBy("doc").cogroup(long(reference).groupBy("doc")).applyInPandas(walk, "doc long, line_ref long, line_ours long")
+    places = ["page", "x", "y"]
+
+    def sides(df: DataFrame, name: str) -> DataFrame:
+        # Fresh columns, as both sides may come from one table.
+        extra = [F.col(c).cast("double").alias(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in places]
+        rows = df.where(F.length("text") >= 2).select(F.col("doc").alias("doc"), F.struct(F.col("line").cast("long").alias("line"), F.col("text").alias("text"), *extra).alias("l"))
+        return rows.groupBy("doc").agg(F.array_sort(F.collect_list("l")).alias(name))
+
+    @F.pandas_udf("array<struct<i:int,k:int>>")
+    def walk(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for texts, wanted in zip(left, right):
+            texts, at, found = list(texts), 0, []
+            for i, text in enumerate(wanted):
+                try:
+                    k = texts.index(text, at, at + lookahead)
+                except ValueError:
+                    continue
+                found.append({"i": i, "k": k})
+                at = k + 1
+            out.append(found)
+        return pd.Series(out)
+
+    both = sides(ours, "a").join(sides(reference, "b"), "doc")
+    texts = lambda c: F.transform(c, lambda x: x["text"])
+    pairs = both.withColumn("m", walk(texts("a"), texts("b"))).select("doc", F.explode(F.transform("m", lambda m: F.struct(F.get("b", m["i"]).alias("r"), F.get("a", m["k"]).alias("o")))).alias("p")).select("doc", "p.*")
+    same = F.coalesce(F.col("r.page") == F.col("o.page"), F.lit(False))
+    gap = lambda c: F.when(same, F.abs(F.col(f"o.{c}") - F.col(f"r.{c}")))
+    return pairs.select("doc", F.col("r.line").alias("line_ref"), F.col("o.line").alias("line_ours"), same.alias("same_page"), gap("x").alias("dx"), gap("y").alias("dy"))
 
 
 def _place(ours: str, reference: str, offset: int, snippet: int) -> int:
@@ -258,22 +277,50 @@ def boundary_drift(ours: DataFrame, reference: DataFrame, snippet: int = 12) ->
     return found.join(between, ["doc", "k"], "left").groupBy("doc").agg(F.coalesce(F.max("bd"), F.lit(0)).alias("bd_max"), F.coalesce(F.sum("bd"), F.lit(0)).alias("bd_sum"), F.count_if(F.col("pos").isNull()).alias("unmatched"))
 
 
-def first_difference(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
-    """page, frag, reason: for each page the first fragment in which two sides differ.
+#: Levels of a layout from the whole to the part, each with its own keys below the document.
+LAYOUT = {"doc": [], "page": ["page"], "line": ["page", "line"], "frag": ["page", "line", "frag"]}
 
-    Both tables: page, frag, x, y, text. Reasons in this order: missing on either side, x, y, text.
+
+def first_difference(a: dict[str, DataFrame], b: dict[str, DataFrame], tolerance: float) -> DataFrame:
+    """doc, page, line, frag, reason: for each document the first place at which two sides differ.
+
+    Both sides: tables by level, any of "page" (doc, page, w, h), "line" (doc, page, line, y) and
+    "frag" (doc, page, line, frag, x, size, font, text). Compared are, in this order: the number of
+    pages; then page by page its size and its number of lines; line by line its baseline and its
+    number of fragments; fragment by fragment x, size, font and text. Numbers may differ by
+    ``tolerance``. A level that is not given is not compared; counts stand at the level they belong
+    to, so that what one side lacks is found before its parts.
     """
-    left = a.select("page", "frag", *(F.col(c).alias(f"a_{c}") for c in ("x", "y", "text")), F.lit(True).alias("in_a"))
-    right = b.select("page", "frag", *(F.col(c).alias(f"b_{c}") for c in ("x", "y", "text")), F.lit(True).alias("in_b"))
-    both = left.join(right, ["page", "frag"], "full_outer")
-    reason = (
-        F.when(F.col("in_a").isNull(), "missing in a")
-        .when(F.col("in_b").isNull(), "missing in b")
-        .when(F.abs(F.col("a_x") - F.col("b_x")) > tolerance, "x")
-        .when(F.abs(F.col("a_y") - F.col("b_y")) > tolerance, "y")
-        .when(F.col("a_text") != F.col("b_text"), "text")
-    )
-    return both.withColumn("reason", reason).where("reason is not null").groupBy("page").agg(F.min("frag").alias("frag"), F.min_by("reason", "frag").alias("reason"))
+    found = []
+    far = lambda c: ~F.coalesce(F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) <= tolerance, F.col(f"a_{c}").isNull() & F.col(f"b_{c}").isNull())
+    other = lambda c: ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
+    values = {"page": ["w", "h"], "line": ["y"], "frag": ["x", "size", "font", "text"]}
+    counted = {"page": "doc", "line": "page", "frag": "line"}
+    tests = {"page": [("page size", far("w") | far("h"))], "line": [("baseline", far("y"))], "frag": [("x", far("x")), ("size", far("size")), ("font", other("font")), ("text", other("text"))]}
+    nothing = F.lit(-1).cast("long")
+
+    def places(df: DataFrame, level: str, rank: int, reason: Column) -> DataFrame:
+        keys = {k: F.col(k).cast("long") if k in LAYOUT[level] else nothing for k in ("page", "line", "frag")}
+        return df.select("doc", F.struct(*(keys[k].alias(k) for k in keys), F.lit(rank).alias("rank"), reason.alias("reason")).alias("d")).where(F.col("d.reason").isNotNull())
+
+    for level in ("page", "line", "frag"):
+        if level not in a:
+            continue
+        above = ["doc", *LAYOUT[counted[level]]]
+        sizes = [x[level].groupBy(*above).agg(F.count("*").alias(n)) for x, n in ((a, "a_n"), (b, "b_n"))]
+        both = sizes[0].join(sizes[1], above, "full_outer")
+        found.append(places(both, counted[level], 1, F.when(~F.col("a_n").eqNullSafe(F.col("b_n")), F.lit(f"{level} count"))))
+        keys = ["doc", *LAYOUT[level]]
+        side = lambda x, p, level=level, keys=keys: x[level].select(*(F.col(k).alias(k) for k in keys), *(F.col(c).alias(f"{p}_{c}") for c in values[level]))
+        met = side(a, "a").join(side(b, "b"), keys)
+        reason = F.coalesce(*(F.when(c, F.lit(n)) for n, c in tests[level]))
+        found.append(places(met, level, 0, reason))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    first = out.groupBy("doc").agg(F.min("d").alias("d"))
+    shown = lambda k: F.when(F.col(f"d.{k}") >= 0, F.col(f"d.{k}")).alias(k)
+    return first.select("doc", shown("page"), shown("line"), shown("frag"), F.col("d.reason").alias("reason"))
 
 
 def regression_gate(current: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -308,14 +355,15 @@ def mask_iou(a: DataFrame, b: DataFrame, width: int, height: int, keys: DataFram
 def asof_next(positions: DataFrame, stops: DataFrame, default: float) -> DataFrame:
     """id, grp, x, stop: the first stop of the group beyond x + 0.001, else the next multiple of ``default``.
 
-    One ordered pass over positions and stops of a group: no pair of them is ever formed.
+    One ordered pass over positions and stops of a group, from the largest down: the last stop passed
+    is the next one. No pair of them is ever formed.
     """
     default = max(default, 1.0)
     rows = positions.select("grp", (F.col("x") + 0.001).alias("at"), F.lit(1).alias("kind"), "id", "x", F.lit(None).cast("double").alias("pos"))
     marks = stops.select("grp", F.col("pos").cast("double").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("x"), F.col("pos").cast("double").alias("pos"))
-    # At equal places the stop sorts first, so that it does not follow the position.
-    following = Window.partitionBy("grp").orderBy("at", "kind").rowsBetween(1, Window.unboundedFollowing)
-    found = rows.unionByName(marks).withColumn("next", F.first("pos", ignorenulls=True).over(following)).where("kind = 1")
+    # At equal places the position comes first, so that it does not meet the stop.
+    passed = Window.partitionBy("grp").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.unionByName(marks).withColumn("next", F.last("pos", ignorenulls=True).over(passed)).where("kind = 1")
     fallback = (F.floor(F.col("at") / default) + 1) * default
     return found.select("id", "grp", "x", F.round(F.coalesce("next", fallback.cast("double")), 6).alias("stop"))
 
@@ -332,19 +380,33 @@ def resolve_relationships(refs: DataFrame, rels: DataFrame) -> DataFrame:
     return refs.join(r, (refs["rel_id"] == r["_id"]) & (r["external"] == want_external), "left").select("ref", "kind", "target")
 
 
-def coverage_split(chars: DataFrame, coverage: DataFrame) -> DataFrame:
-    """doc_id, start, end, dict, missing: runs of characters covered by the same dictionary.
+def coverage_split(texts: DataFrame, coverage: DataFrame) -> DataFrame:
+    """doc_id, start, end, dict, missing: runs of characters of texts covered by the same dictionary.
 
-    Each character takes the first dictionary (smallest number) that covers it, else dictionary 1,
-    reported as missing; a combining mark follows the character before it; controls stand alone.
+    ``texts``: doc_id, text; ``coverage``: ch, dict. Each character takes the first dictionary
+    (smallest number, at most 2,000) that covers it, else dictionary 1, reported as missing; a
+    combining mark follows the character before it; controls stand alone. The dictionaries are one map
+    of characters, whose size the alphabet bounds; each text becomes a string of marks, whose runs are
+    found by a regular expression.
     """
-    best = coverage.groupBy("ch").agg(F.min("dict").alias("own"))
-    rows = chars.join(best, "ch", "left")
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    mark, control = F.col("ch").rlike(r"^\p{M}"), F.col("ch").rlike(r"^\p{Cc}")
-    own = F.when(~mark, F.coalesce("own", F.lit(1)))
-    rows = rows.withColumn("control", control).withColumn("dict", F.coalesce(F.last(own, ignorenulls=True).over(order), F.lit(1))).withColumn("missing", ~mark & F.col("own").isNull())
-    before = lambda c: F.lag(c).over(order)
-    new = before("dict").isNull() | (before("dict") != F.col("dict")) | F.col("control") | before("control") | (before("missing") != F.col("missing"))
-    runs = rows.withColumn("run", F.sum(F.when(new, 1).otherwise(0)).over(order))
-    return runs.groupBy("doc_id", "run").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"), F.min("dict").alias("dict"), F.max("missing").alias("missing")).drop("run")
+    own = coverage.groupBy("ch").agg(F.min("dict").alias("d")).agg(F.map_from_entries(F.collect_list(F.struct("ch", "d"))).alias("_own"))
+    # Marks: dictionary k covered, and not covered (1 only); a combining mark; a control, covered or not.
+    base, lost, mark, control, lost_control = 0xE100, "\ue000", "\ue001", "\ue002", "\ue003"
+    sign = lambda d: F.decode(F.unhex(F.lpad(F.hex(F.lit(base) + d), 4, "0")), "UTF-16BE")
+
+    def of(c: Column) -> Column:
+        d = F.try_element_at("_own", c)
+        plain = F.when(d.isNull(), F.lit(lost)).otherwise(sign(d))
+        return F.when(c.rlike(r"^\p{M}"), F.lit(mark)).when(c.rlike(r"^\p{Cc}"), F.when(d.isNull(), F.lit(lost_control)).otherwise(F.lit(control))).otherwise(plain)
+
+    rows = texts.where("length(text) > 0").crossJoin(F.broadcast(own))
+    marks = F.array_join(F.transform(F.split("text", ""), of), "")
+    # A mark with nothing to follow begins with dictionary 1.
+    first = chr(base + 1)
+    marks = F.regexp_replace(marks, rf"(?:(?<=^|[{control}{lost_control}])|(?<!^)\G){mark}", first)
+    runs = rows.select("doc_id", "_own", "text", F.posexplode(F.regexp_extract_all(marks, F.lit(rf"[{control}{lost_control}]|([^{control}{lost_control}])(?:\1|{mark})*+"), F.lit(0))).alias("i", "run"))
+    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("run")).over(before), F.lit(0)).cast("int")
+    head = F.substring("run", 1, 1)
+    number = F.when(head.isin(lost, lost_control), 1).when(head == control, F.coalesce(F.try_element_at("_own", F.substring("text", F.col("start") + 1, F.lit(1))), F.lit(1))).otherwise(F.conv(F.hex(F.encode(head, "UTF-16BE")), 16, 10).cast("int") - base)
+    return runs.withColumn("start", start).select("doc_id", "start", (F.col("start") + F.length("run")).alias("end"), number.cast("int").alias("dict"), head.isin(lost, lost_control).alias("missing"))

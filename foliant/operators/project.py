@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import natural_key
+from ..storage import cut
+
 A4_LONG_EDGE, MAX_PAGE = 841.89, 14400.0
 #: Resolution cap of each tier (None: pixels are never changed), and whether JPEG bytes may pass through.
 TIERS = {"lossless": (None, True, True), "high": (300.0, True, False), "balanced": (200.0, False, False), "extreme": (144.0, False, False)}
@@ -174,11 +177,36 @@ def top_n_with_more(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     return ranked.where(F.col("rank") <= n).join(counts, group)
 
 
+def number_rows(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """``df`` with each row's place, from 1, in the order of all rows (ties in any order).
+
+    A range sort over all tasks; a place is the row's number in its partition and the sum of the
+    partitions before, of which there is one row each.
+    """
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # Partition numbers become data: a lost executor cannot change them.
+    sorted_ = cut(sorted_.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = sorted_.groupBy("_part").count().withColumn("_before", F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    placed = sorted_.join(F.broadcast(sizes.drop("count")), "_part")
+    return placed.withColumn(name, (F.coalesce("_before", F.lit(0)) + F.col("_at") + 1).cast("long")).drop("_part", "_at", "_before")
+
+
+def natural_sort(files: DataFrame, name: str, order: str) -> DataFrame:
+    """``files`` with place: by the natural order of the name, then by ``order``."""
+    keyed = files.withColumn("_key", natural_key(F.col(name)))
+    return number_rows(keyed, [F.col("_key"), F.col(order)]).drop("_key")
+
+
+def sort_by_time(rows: DataFrame, when: str, order: str) -> DataFrame:
+    """``rows`` with place: by a resolved time (a struct, as of ``resolve_capture_time``), missing first, then by ``order``."""
+    time = F.when(F.col(when).isNotNull(), F.struct(*(F.col(when)[n] for n in ("year", "month", "day", "hour", "minute", "second"))))
+    return number_rows(rows.withColumn("_when", time), [F.col("_when").asc_nulls_first(), F.col(order)]).drop("_when")
+
+
 def reindex_sources(picks: DataFrame) -> DataFrame:
     """``picks`` with new_source: the used sources numbered from 0 in ascending order."""
-    used = picks.select("source").distinct()
-    numbered = used.withColumn("new_source", F.dense_rank().over(Window.orderBy("source")) - 1)
-    return picks.join(numbered, "source")
+    used = number_rows(picks.select("source").distinct(), [F.col("source")], "new_source")
+    return picks.join(used.withColumn("new_source", (F.col("new_source") - 1).cast("int")), "source")
 
 
 def dilate(cells: DataFrame, width: int, height: int) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import number_texts
+
 LEVELS = 9
 
 
@@ -48,60 +50,84 @@ def number_items(items: DataFrame, levels: DataFrame, overrides: DataFrame) -> D
     return rows.withColumn("value", (base + F.row_number().over(island) - 1).cast("int")).drop("_o", "_a", "_island", "over", "seg")
 
 
-def expand_labels(numbered: DataFrame, levels: DataFrame, formats: DataFrame) -> DataFrame:
+def expand_labels(numbered: DataFrame, levels: DataFrame) -> DataFrame:
     """doc_id, ord, ilvl, value, label, fallback: the level's text with %1 to %9 filled in.
 
     A parent that is not in use shows its start; each level writes in its own format, or decimal if
-    the level is legal; an unknown format or number falls back to decimal and is flagged.
+    the level is legal; an unknown format falls back to decimal and is flagged. ``levels`` is a small
+    dimension; numbers may be of any size.
     """
     order = Window.partitionBy("doc_id", "abs").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     spec = levels.groupBy("abs").agg(*(c for j in range(LEVELS) for c in (F.max(F.when(F.col("ilvl") == j, F.coalesce("start", F.lit(0)))).alias(f"_s{j}"), F.max(F.when(F.col("ilvl") == j, F.col("fmt"))).alias(f"_f{j}"))))
     own = levels.select("abs", "ilvl", "lvl_text", "legal", F.col("fmt").alias("own_fmt"))
     rows = numbered.join(F.broadcast(spec), "abs").join(F.broadcast(own), ["abs", "ilvl"])
-    label, fallback = F.col("lvl_text"), F.lit(False)
     last = {f"_v{j}": F.last(F.when(F.col("ilvl") == j, F.struct("value", F.col(f"seg{j}").alias("seg"))), ignorenulls=True).over(order) for j in range(LEVELS)}
     rows = rows.withColumns(last)
+    used = [F.contains(F.col("lvl_text"), F.lit(f"%{j + 1}")) & F.col(f"_s{j}").isNotNull() for j in range(LEVELS)]
+    values, kinds = [], []
     for j in range(LEVELS):
         held = F.col(f"_v{j}")
         value = F.when(held.isNotNull() & (held["seg"] == F.col(f"seg{j}")), held["value"]).otherwise(F.col(f"_s{j}"))
-        kind = F.when(F.col("legal"), "decimal").otherwise(F.coalesce(F.col(f"_f{j}"), F.lit("decimal")))
-        rows = rows.withColumn(f"_n{j}", value.cast("int")).withColumn(f"_k{j}", kind)
-        dim = F.broadcast(formats.select(F.col("fmt").alias(f"_k{j}"), F.col("n").alias(f"_n{j}"), F.col("txt").alias(f"_t{j}")))
-        rows = rows.join(dim, [f"_k{j}", f"_n{j}"], "left")
-        used = F.contains(F.col("lvl_text"), F.lit(f"%{j + 1}"))
-        text = F.when(F.col(f"_s{j}").isNull(), "").otherwise(F.coalesce(f"_t{j}", F.col(f"_n{j}").cast("string")))
-        label = F.replace(label, F.lit(f"%{j + 1}"), text)
-        fallback = fallback | (used & F.col(f"_s{j}").isNotNull() & F.col(f"_t{j}").isNull())
+        # Only levels that the text names are written.
+        values.append(F.when(used[j], value.cast("int")))
+        kinds.append(F.when(F.col("legal"), "decimal").otherwise(F.coalesce(F.col(f"_f{j}"), F.lit("decimal"))))
+    rows = rows.withColumn("_n", F.array(*values)).withColumn("_k", F.array(*kinds))
+    rows = rows.withColumn("_t", number_texts(F.col("_k"), F.col("_n")))
+    label, fallback = F.col("lvl_text"), F.lit(False)
+    for j in range(LEVELS):
+        label = F.replace(label, F.lit(f"%{j + 1}"), F.coalesce(F.col("_t")[j], F.col("_n")[j].cast("string"), F.lit("")))
+        fallback = fallback | (F.col("_n")[j].isNotNull() & F.col("_t")[j].isNull())
     bullet = F.col("own_fmt") == "bullet"
     return rows.select("doc_id", "ord", "ilvl", "value", F.when(bullet, F.coalesce("lvl_text", F.lit(""))).otherwise(label).alias("label"), (~bullet & fallback).alias("fallback"))
 
 
-#: Code ranges of Latin and East Asian characters; anything between has no class of its own.
-LATIN = [(0x21, 0x7E), (0xA1, 0x2FF), (0x370, 0x58F), (0x10A0, 0x10FF), (0x1E00, 0x1FFF)]
-EAST_ASIAN = [(0x1100, 0x11FF), (0x2E80, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xAC00, 0xD7AF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFFEF), (0x20000, 0x3FFFF)]
+#: What belongs to Latin and to East Asian writing by its place, and the places where
+#: characters belong to neither (white space, controls, general punctuation, symbols).
+LATIN = r"\x{21}-\x{7E}\x{A1}-\x{2FF}\x{370}-\x{58F}\x{10A0}-\x{10FF}\x{1E00}-\x{1FFF}"
+EAST_ASIAN = r"\x{1100}-\x{11FF}\x{2E80}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A000}-\x{A4CF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FE30}-\x{FE4F}\x{FF00}-\x{FFEF}"
+NEITHER = r"\p{Cc}\x{20}\x{A0}\x{2000}-\x{2BFF}"
+#: Scripts that decide elsewhere; characters of any other script count as Latin.
+EAST_ASIAN_SCRIPTS = ["Han", "Hiragana", "Katakana", "Hangul", "Bopomofo"]
+NO_SCRIPTS = ["Common", "Inherited", "Unknown"]
+#: Latin characters that an East Asian hint turns over.
+HINTED = r"\x{A1}\x{A4}\x{A7}\x{A8}\x{AA}\x{AD}\x{AF}\x{B0}-\x{B4}\x{B6}-\x{BA}\x{BC}-\x{BF}\x{D7}\x{F7}\x{250}-\x{4FF}\x{1E00}-\x{1EFF}"
 
+_SCRIPT = lambda names: "".join(rf"\p{{Is{n}}}" for n in names)
+_EAST = rf"(?:[{EAST_ASIAN}]|[{_SCRIPT(EAST_ASIAN_SCRIPTS)}&&[^{LATIN}{NEITHER}]])"
+_NONE = rf"(?:[{NEITHER}]|[{_SCRIPT(NO_SCRIPTS)}&&[^{LATIN}{EAST_ASIAN}]])"
+#: Characters of no class that take the East Asian one under a hint: all but white space, controls and marks.
+_TURNED = rf"(?:[{HINTED}]|[{NEITHER}{_SCRIPT(NO_SCRIPTS)}&&[^{LATIN}{EAST_ASIAN}\p{{Cc}}\x{{20}}\x{{A0}}\p{{M}}]])"
 
-def _in(code: Column, ranges: list[tuple[int, int]]) -> Column:
-    out = F.lit(False)
-    for a, b in ranges:
-        out = out | code.between(a, b)
-    return out
 
+def hinted_text(spans: DataFrame) -> DataFrame:
+    """doc_id, text: the texts of spans (doc_id, ord, text, hint) joined in order.
+
+    Characters that the East Asian hint of their span turns over are written as an East Asian one, so
+    that places stay the same.
+    """
+    turned = F.when(F.col("hint"), F.regexp_replace("text", _TURNED, "中")).otherwise(F.col("text"))
+    parts = spans.select("doc_id", F.struct("ord", turned.alias("t")).alias("s")).groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return parts.select("doc_id", F.array_join(F.transform("s", lambda x: x["t"]), "").alias("text"))
 
-def script_runs(chars: DataFrame, mode: str = "context") -> DataFrame:
-    """doc_id, start, end, class: runs of "latin" and "east_asian" characters.
+
+def script_runs(texts: DataFrame, mode: str = "context") -> DataFrame:
+    """doc_id, start, end, class: runs of "latin" and "east_asian" characters of texts (doc_id, text).
 
     ``context``: a character without class follows the one before, leading ones are Latin. ``both``:
-    it follows the one before, else the one after, else Latin.
+    it follows the one before, else the one after, else Latin. Each character is replaced by a mark of
+    its class; an East Asian run is such a mark and what follows of East Asian or no class, a Latin
+    run is anything up to the next East Asian mark.
     """
-    code = F.ascii("ch")
-    own = F.when(_in(code, EAST_ASIAN), "east_asian").when(_in(code, LATIN), "latin")
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    filled = F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    if mode == "both":
-        filled = F.coalesce(filled, F.first(own, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
-    rows = chars.withColumn("class", F.coalesce(filled, F.lit("latin")))
-    return merge_equal_runs(rows, "doc_id", "pos", ["class"]).select("doc_id", F.col("first").alias("start"), (F.col("last") + 1).alias("end"), "class")
+    # Private characters, which have no class of their own.
+    east, none = "\ue000", "\ue001"
+    marks = F.regexp_replace(F.regexp_replace("text", _NONE, none), _EAST, east)
+    lead = rf"\A{none}*+{east}[{east}{none}]*+|" if mode == "both" else ""
+    pattern = rf"{lead}{east}[{east}{none}]*+|[^{east}]++"
+    runs = texts.where("length(text) > 0").select("doc_id", F.posexplode(F.regexp_extract_all(marks, F.lit(pattern), F.lit(0))).alias("i", "run"))
+    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("run")).over(before), F.lit(0)).cast("int")
+    kind = F.when(F.contains("run", F.lit(east)), "east_asian").otherwise("latin")
+    return runs.withColumn("start", start).select("doc_id", "start", (F.col("start") + F.length("run")).alias("end"), kind.alias("class"))
 
 
 def merge_equal_runs(rows: DataFrame, group: str, order: str, keys: list[str]) -> DataFrame:
@@ -182,76 +208,91 @@ def pack_tokens(tokens: DataFrame, width: int, first_indent: int = 0) -> DataFra
 TOLERANCE = 0.001
 
 
+def _chains(paras: DataFrame, doc: str) -> DataFrame:
+    """``paras`` with chain: what the chain that begins here needs on a page, null elsewhere.
+
+    A chain is a run of paragraphs with keep_next; it needs their heights and spaces, and the first
+    line of the paragraph after it with the space before that.
+    """
+    order = Window.partitionBy(doc).orderBy("para")
+    follows = F.col("keep_next") & F.coalesce(F.lag("keep_next").over(order), F.lit(False))
+    marked = paras.withColumn("_next", F.lead(F.col("before") + F.col("lines")[0]["h"]).over(order)).withColumn("_new", F.when(follows, 0).otherwise(1))
+    marked = marked.withColumn("_run", F.sum("_new").over(order))
+    whole = Window.partitionBy(doc, "_run")
+    need = F.sum(F.col("before") + F.col("total") + F.col("after")).over(whole) + F.coalesce(F.max_by("_next", "para").over(whole), F.lit(0.0))
+    return marked.withColumn("_need", need).withColumn("chain", F.when(F.col("keep_next") & (F.col("_new") == 1), F.col("_need"))).drop("_next", "_new", "_run", "_need")
+
+
 def pack_pages(lines: DataFrame, capacity: float, rules: bool = True) -> DataFrame:
     """doc, para, line, page: lines (doc, para, line, height) on pages of ``capacity``.
 
-    A line fits if the used height and its own stay within the capacity; the first line of an empty
-    page always fits. With ``rules`` the columns break_after, widow_control, keep_lines, keep_next,
-    space_before and space_after count: forced breaks; no last line alone on the next page and no
-    first line alone at the bottom; paragraphs kept whole; chains kept with the first line of the
-    next paragraph. A paragraph moved whole drops the gap before it.
-    """
+    A line fits if the used height and its own stay within the capacity; a page on which nothing is
+    used yet takes any line. With ``rules`` the columns break_after (of a line), widow_control,
+    keep_lines, keep_next, space_before and space_after (of a paragraph) count, where they are there:
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["para", "line"])
-        doc, out = pdf["doc"].iloc[0], []
-        page, used, top, moved = 0, 0.0, True, False
-        paras = [g for _, g in pdf.groupby("para", sort=True)]
-        value = lambda g, name, default: g[name].iloc[0] if rules and name in g else default
-
-        def turn() -> None:
-            nonlocal page, used, top
-            page, used, top = page + 1, 0.0, True
-
-        chained = False
-        for i, g in enumerate(paras):
-            heights = g["height"].tolist()
-            breaks = g["break_after"].tolist() if rules and "break_after" in g else [False] * len(heights)
-            before, after = float(value(g, "space_before", 0.0)), float(value(g, "space_after", 0.0))
-            if rules and not top and not chained and value(g, "keep_next", False):
-                need, j = 0.0, i
-                while j < len(paras) and value(paras[j], "keep_next", False):
-                    need += float(value(paras[j], "space_before", 0.0)) + float(paras[j]["height"].sum()) + float(value(paras[j], "space_after", 0.0))
-                    j += 1
-                if j < len(paras):
-                    need += float(value(paras[j], "space_before", 0.0)) + float(paras[j]["height"].iloc[0])
-                if used + need > capacity + TOLERANCE:
-                    turn()
-                    moved = True
-            chained = bool(value(g, "keep_next", False))
-            if rules and value(g, "keep_lines", False) and not top and used + before + sum(heights) > capacity + TOLERANCE:
-                turn()
-                moved = True
-            if not (moved and top):
-                used += before
-            moved = False
-            at = 0
-            while at < len(heights):
-                n, h = 0, used
-                for k in range(at, len(heights)):
-                    if h + heights[k] > capacity + TOLERANCE and not (top and n == 0):
-                        break
-                    h, n = h + heights[k], n + 1
-                    if breaks[k]:
-                        break
-                if rules and value(g, "widow_control", False) and 0 < n and at + n < len(heights) and not breaks[at + n - 1]:
-                    m = n - 1 if len(heights) - at - n == 1 and n >= 2 else n
-                    m = 0 if at == 0 and m == 1 and len(heights) >= 2 else m
-                    n = max(m, 1) if top else m
-                if n == 0:
-                    turn()
-                    continue
-                for k in range(at, at + n):
-                    out.append((doc, g["para"].iloc[k], g["line"].iloc[k], page))
-                    used += heights[k]
-                    top = False
-                at += n
-                if breaks[at - 1] or at < len(heights):
-                    turn()
-            used += after
-        return pd.DataFrame(out, columns=["doc", "para", "line", "page"]).astype("int64")
+    * a forced break ends the page after its line, and a paragraph that ends so has no space after;
+    * with widow control no last line stands alone on the next page, and no first line at the bottom;
+    * with keep_lines a paragraph that does not fit goes to the next page as a whole;
+    * with keep_next a chain of paragraphs goes on with the first line of the next one;
+    * a paragraph moved for either of these has no space before it.
 
-    return lines.groupBy("doc").applyInPandas(pack, "doc long, para long, line long, page long")
+    What a line must know of those after it (at most two) and a chain of its paragraphs is worked out
+    first; then one fold over a document's paragraphs and lines finds where pages begin. All of it is
+    columns: a document is one row of arrays, documents are parallel.
+    """
+    limit = F.lit(float(capacity) + TOLERANCE)
+    has = lambda name: rules and name in lines.columns
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False)) if has(name) else F.lit(False)
+    size = lambda name: F.coalesce(F.col(name).cast("double"), F.lit(0.0)) if has(name) else F.lit(0.0)
+    one = F.struct("line", F.col("height").cast("double").alias("h"), flag("break_after").alias("brk"))
+    named = {"keep_next": flag("keep_next"), "keep_lines": flag("keep_lines"), "widow": flag("widow_control"), "before": size("space_before"), "after": size("space_after")}
+    rows = lines.select(F.col("doc").cast("long").alias("doc"), F.col("para").cast("long").alias("para"), F.col("line").alias("_line"), one.alias("one"), *(c.alias(n) for n, c in named.items()))
+    paras = rows.repartition("doc").groupBy("doc", "para").agg(F.array_sort(F.collect_list("one")).alias("lines"), *(F.min_by(n, "_line").alias(n) for n in named))
+    total = F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["h"])
+    paras = _chains(paras.withColumn("total", total), "doc")
+    # Heights of the next two lines (null: none), and whether the next one ends its page.
+    look = F.transform("lines", lambda x, i: F.struct(x["h"].alias("h"), x["brk"].alias("brk"), F.get("lines", i + 1)["h"].alias("h1"), F.get("lines", i + 2)["h"].alias("h2"), F.coalesce(F.get("lines", i + 1)["brk"], F.lit(False)).alias("brk1"), i.alias("i"), (F.size("lines") - i).alias("left")))
+    # Copying a fold's own fields costs little; what grows in it are the page beginnings only.
+    document = paras.withColumn("look", look).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("para", "chain", "keep_lines", "widow", "before", "after", "total", "look", "lines"))).alias("p"))
+
+    def state(used, at, here, starts) -> Column:
+        return F.struct(used.cast("double").alias("used"), at.cast("int").alias("at"), here.cast("int").alias("here"), starts.alias("starts"))
+
+    def turned(a: Column, now: Column) -> Column:
+        """Page beginnings, with one more at the line that comes next."""
+        return F.when(now, F.concat(a["starts"], F.array(a["at"]))).otherwise(a["starts"])
+
+    def on_line(p: Column):
+        def step(a: Column, x: Column) -> Column:
+            top = a["used"] <= 0
+            fits = top | (a["used"] + x["h"] <= limit)
+            over = ~x["brk"] & (a["used"] + x["h"] + x["h1"] > limit)
+            third = ~x["brk"] & ~x["brk1"] & (x["left"] == 3) & (a["used"] + x["h"] + x["h1"] + x["h2"] > limit)
+            orphan = (x["i"] == 0) & ~top & F.coalesce(over | third, F.lit(False))
+            widow = (x["left"] == 2) & (a["here"] > 0) & F.coalesce(over, F.lit(False))
+            turn = ~fits | (p["widow"] & (orphan | widow))
+            placed = F.when(turn, x["h"]).otherwise(a["used"] + x["h"])
+            moved = state(placed, a["at"], F.when(turn, 1).otherwise(a["here"] + 1), turned(a, turn))
+            after = F.when(x["left"] == 1, placed + p["after"]).otherwise(placed)
+            done = state(F.when(x["brk"], F.lit(0.0)).otherwise(after), a["at"] + 1, F.when(x["brk"], 0).otherwise(moved["here"]), moved["starts"])
+            return F.when(x["brk"], state(done["used"], done["at"], done["here"], F.concat(done["starts"], F.array(done["at"])))).otherwise(done)
+
+        return step
+
+    def on_para(a: Column, p: Column) -> Column:
+        chain = (a["used"] > 0) & F.coalesce(a["used"] + p["chain"] > limit, F.lit(False))
+        whole = (a["used"] > 0) & ~chain & p["keep_lines"] & (a["used"] + p["before"] + p["total"] > limit)
+        # A chain that was moved begins a page, so its first paragraph is not moved once more.
+        move = chain | whole
+        begun = state(F.when(move, F.lit(0.0)).otherwise(a["used"] + p["before"]), a["at"], F.lit(0), turned(a, move))
+        return F.aggregate(p["look"], begun, on_line(p))
+
+    start = state(F.lit(0.0), F.lit(0), F.lit(0), F.array().cast("array<int>"))
+    folded = document.select("doc", F.aggregate("p", start, on_para, lambda a: a["starts"]).alias("starts"), F.flatten(F.transform("p", lambda p: F.transform(p["lines"], lambda x: F.struct(p["para"].alias("para"), x["line"].cast("long").alias("line"))))).alias("all"))
+    # Each page is a slice of the document's lines.
+    edge = lambda k: F.coalesce(F.get("starts", k), F.size("all"))
+    pages = F.transform(F.sequence(F.lit(0), F.size("starts")), lambda k: F.struct(k.cast("long").alias("page"), F.slice("all", F.when(k > 0, F.get("starts", k - 1)).otherwise(0) + 1, edge(k) - F.when(k > 0, F.get("starts", k - 1)).otherwise(0)).alias("own")))
+    return folded.select("doc", F.explode(pages).alias("g")).select("doc", "g.page", F.explode("g.own").alias("x")).select("doc", "x.para", "x.line", "page")
 
 
 def page_numbers(sections: DataFrame) -> DataFrame:
@@ -304,7 +345,7 @@ def inherit_headers(sections: DataFrame, kinds: list[str], content: DataFrame) -
 SWITCHES = {"Arabic": "decimal", "ArabicDash": "arabicDash", "roman": "lowerRoman", "ROMAN": "upperRoman", "alphabetic": "lowerLetter", "ALPHABETIC": "upperLetter", "CircleNum": "decimalEnclosedCircle", "CHINESENUM1": "chineseCounting", "CHINESENUM3": "chineseCounting", "CHINESENUM2": "chineseLegalSimplified"}
 
 
-def substitute_fields(spans: DataFrame, pages: DataFrame, formats: DataFrame) -> DataFrame:
+def substitute_fields(spans: DataFrame, pages: DataFrame) -> DataFrame:
     """doc, page, span, text: field codes of spans replaced by page values; further spans of a field vanish.
 
     ``spans``: doc, page, span, field (id, null for plain text), code, text. ``pages``: doc, page,
@@ -323,7 +364,7 @@ def substitute_fields(spans: DataFrame, pages: DataFrame, formats: DataFrame) ->
     value = F.when(word == "PAGE", F.col("number")).when(word == "NUMPAGES", F.col("numpages")).when(word == "SECTIONPAGES", F.col("sectionpages"))
     first = F.row_number().over(Window.partitionBy("doc", "page", "field").orderBy("span")) == 1
     rows = rows.withColumn("value", F.when(F.col("field").isNotNull(), value).cast("int")).withColumn("fmt", fmt).withColumn("_first", first)
-    shown = rows.join(F.broadcast(formats.select("fmt", F.col("n").alias("value"), "txt")), ["fmt", "value"], "left")
+    shown = rows.withColumn("txt", number_texts(F.array("fmt"), F.array("value"))[0])
     text = F.when(F.col("value").isNull(), F.col("text")).when(F.col("_first"), F.coalesce("txt", F.col("value").cast("string")))
     return shown.select("doc", "page", "span", text.alias("text")).where("text is not null")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..adapters import oracle, table, views
 from ..operators import project as P
 from ..sources import files as S
+from ..storage import shared_folder
 
 
 def s1_scan_files(spark, sf_dir):
@@ -39,12 +40,7 @@ def s5_write_guarded(spark, sf_dir):
     from uuid import uuid4
 
     (files,) = views(spark, sf_dir, "V_FILES")
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        from tempfile import mkdtemp
-
-        base = mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/foliant/guarded-{uuid4().hex}"
+    path = f"{shared_folder(spark)}/foliant/guarded-{uuid4().hex}"
     S.write_guarded(files.select("ord", "name", "ext"), path, [f"{sf_dir}/pages.parquet"])
     return spark.read.parquet(path)
 
@@ -87,12 +83,8 @@ def p5_decide_fidelity(spark, sf_dir):
 
 
 def o1_natural_sort(spark, sf_dir):
-    from pyspark.sql import Window
-
     (files,) = views(spark, sf_dir, "V_FILES")
-    named = files.withColumn("key", S.natural_key(F.col("name")))
-    place = F.row_number().over(Window.partitionBy("ext").orderBy("key", "ord"))
-    return named.select("ord", "name", place.alias("place")).orderBy("place", "ord")
+    return P.natural_sort(files.select("ord", "name"), "name", "ord")
 
 
 def o3_top_n_with_more(spark, sf_dir):
@@ -142,7 +134,7 @@ x AS (SELECT *, CASE WHEN bits <> 8 THEN 'skip:mask' WHEN has_smask THEN 'skip:t
 SELECT img, decision, CASE WHEN decision = 'replace' THEN cand ELSE stored_len END AS chosen_len FROM x"""),
     "p5_decide_fidelity": oracle(["V_IMAGES"], _SIZED + """, c AS (SELECT *, greatest(w / (page_w / 72.0), h / (page_h / 72.0)) > CAST(300.0 AS DOUBLE) * 1.02 AS shrink, filter = 'DCTDecode' AND bits = 8 AND components IN (1, 3) AS ok, flate_est <= jpeg_len * 1.5 AS fl FROM sz)
 SELECT img, doc, CASE WHEN ok AND NOT shrink THEN 'passthrough' WHEN ok AND (CASE WHEN fl THEN flate_est ELSE jpeg_len END) >= stored_len THEN 'passthrough' WHEN fl THEN 'lossless' ELSE 'reencoded' END AS fidelity FROM c"""),
-    "o1_natural_sort": oracle(["V_FILES"], """k AS (SELECT ord, name, ext, list_transform(regexp_extract_all(name, '([0-9]+|[^0-9]+)', 1), lambda c: CASE WHEN regexp_matches(c, '^[0-9]') THEN {'kind': 1, 'text': '', 'num': CAST(c AS HUGEINT)} ELSE {'kind': 0, 'text': lower(c), 'num': CAST(0 AS HUGEINT)} END) AS key FROM V_FILES) SELECT ord, name, CAST(row_number() OVER (PARTITION BY ext ORDER BY key, ord) AS INT) AS place FROM k"""),
+    "o1_natural_sort": oracle(["V_FILES"], """k AS (SELECT ord, name, ext, list_transform(regexp_extract_all(name, '([0-9]+|[^0-9]+)', 1), lambda c: CASE WHEN regexp_matches(c, '^[0-9]') THEN {'kind': 1, 'text': '', 'num': CAST(c AS HUGEINT)} ELSE {'kind': 0, 'text': lower(c), 'num': CAST(0 AS HUGEINT)} END) AS key FROM V_FILES) SELECT ord, name, row_number() OVER (ORDER BY key, ord) AS place FROM k"""),
     "o3_top_n_with_more": oracle(["V_FILES"], """SELECT ord, name, ext, CAST(rank AS INT) AS rank, more FROM (SELECT ord, name, ext, row_number() OVER (PARTITION BY ext ORDER BY ord) AS rank, count(*) OVER (PARTITION BY ext) > 3 AS more FROM V_FILES) WHERE rank <= 3"""),
     "u1_append_distinct": oracle(["V_FILES"], """r AS (SELECT ord, length % 97 AS item, CASE WHEN ord < 20 THEN 0 ELSE 1 END AS batch FROM V_FILES), k AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY batch, ord) AS n FROM r WHERE batch = 0 OR item % 3 <> 0) SELECT ord, item, batch, (SELECT count(*) FROM r WHERE batch = 1 AND item % 3 = 0) AS rejected FROM k WHERE n = 1"""),
     "u2_reindex_sources": oracle(["V_PICKS"], """SELECT pick_no, source, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INT) AS new_source FROM V_PICKS"""),

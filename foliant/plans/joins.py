@@ -30,7 +30,7 @@ def j4_remap_references(spark, sf_dir):
 
 def j5_reachable_objects(spark, sf_dir):
     (edges,) = views(spark, sf_dir, "V_EDGES")
-    roots = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"))
+    roots = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"))
     return J.reachable_objects(edges, roots, F.col("id") == "r3")
 
 
@@ -46,7 +46,11 @@ def j7_resolve_cascade(spark, sf_dir):
 
 
 def j8_ranked_lookup(spark, sf_dir):
-    return J.ranked_lookup(*views(spark, sf_dir, "V_LOOKUP", "V_CATALOG"))
+    """Lists of preferred names hold every third name of the parts, among them some that the catalog lacks."""
+    lookup, catalog = views(spark, sf_dir, "V_LOOKUP", "V_CATALOG")
+    parts = table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("place"))
+    chains = parts.where("place % 3 = 1").select(F.when(F.col("place") % 2 == 0, "serif").otherwise("sans").alias("category"), "place", "name")
+    return J.ranked_lookup(lookup, catalog.where("pref % 2 = 1"), chains)
 
 
 def j9_chase_links(spark, sf_dir):
@@ -61,12 +65,14 @@ def _sides(spark, sf_dir):
 
 
 def j10_match_sequences(spark, sf_dir):
+    """Matched lines of each document, and the largest offset of those on equal pages."""
     from ..functions.text import comparison_text
 
-    ours, ref = (s.withColumn("text", comparison_text(F.col("text"))) for s in _sides(spark, sf_dir))
-    matched = J.match_sequences(ours, ref).groupBy("doc").agg(F.count("*").alias("matched"))
+    place = {"x": F.col("line") % 7, "y": F.col("line") * 10 + F.col("height")}
+    ours, ref = (s.withColumns(place | {"text": comparison_text(F.col("text"))}) for s in _sides(spark, sf_dir))
+    matched = J.match_sequences(ours, ref).groupBy("doc").agg(F.count("*").alias("matched"), F.count_if("same_page").alias("same_page"), F.max("dy").alias("dy_max"))
     total = ref.where(F.length("text") >= 2).groupBy("doc").agg(F.count("*").alias("ref_lines"))
-    return total.join(matched, "doc", "left").select("doc", "ref_lines", F.coalesce("matched", F.lit(0)).alias("matched"))
+    return total.join(matched, "doc", "left").select("doc", "ref_lines", F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("same_page", F.lit(0)).alias("same_page"), "dy_max")
 
 
 def j11_boundary_drift(spark, sf_dir):
@@ -77,9 +83,15 @@ def j11_boundary_drift(spark, sf_dir):
 
 
 def j12_first_difference(spark, sf_dir):
+    """Users as documents: a page for each type of event, ten events a line."""
     (frags,) = views(spark, sf_dir, "V_FRAGS")
-    other = frags.where("frag % 101 <> 7").select("page", "frag", F.when(F.col("frag") % 53 == 3, F.col("x") + 1).otherwise(F.col("x")).alias("x"), F.when(F.col("frag") % 47 == 5, F.col("y") + 2).otherwise(F.col("y")).alias("y"), F.when(F.col("frag") % 31 == 4, F.lit("other")).otherwise(F.col("text")).alias("text"))
-    return J.first_difference(frags, other, 0.05)
+    one = frags.select(F.col("page").alias("doc"), F.ascii("text").cast("long").alias("page"), F.floor(F.col("frag") / 10).alias("line"), "frag", "x", F.lit(10.0).alias("size"), F.lit("f").alias("font"), "text")
+    k = F.col("frag")
+    other = one.where("frag % 1009 <> 7").withColumns({"x": F.when(k % 53 == 3, F.col("x") + 1).otherwise(F.col("x")), "size": F.when(k % 47 == 5, 11.0).otherwise(10.0), "font": F.when(k % 43 == 6, "g").otherwise("f"), "text": F.when(k % 31 == 4, F.lit("other")).otherwise(F.col("text"))})
+    lines = lambda df, step: df.select("doc", "page", "line", (F.col("line") * 2 + F.when(F.col("line") % 17 == step, 1).otherwise(0)).cast("double").alias("y")).distinct()
+    pages = lambda df, step: df.select("doc", "page", F.lit(100.0).alias("w"), (F.lit(200.0) + F.when((F.col("doc") + F.col("page")) % 19 == step, 1).otherwise(0)).alias("h")).distinct()
+    side = lambda df, step: {"page": pages(df, step), "line": lines(df, step), "frag": df}
+    return J.first_difference(side(one, -1), side(other, 3), 0.05)
 
 
 def j13_regression_gate(spark, sf_dir):
@@ -111,7 +123,7 @@ def j17_resolve_relationships(spark, sf_dir):
 
 
 def j18_coverage_split(spark, sf_dir):
-    return J.coverage_split(*views(spark, sf_dir, "V_CHARS", "V_COVERAGE"))
+    return J.coverage_split(*views(spark, sf_dir, "V_TEXT", "V_COVERAGE"))
 
 
 QUERIES = {f.__name__: f for f in (j1_resolve_capture_time, j2_placement_extents, j3_assemble_pages, j4_remap_references, j5_reachable_objects, j6_inherit_attributes, j7_resolve_cascade, j8_ranked_lookup, j9_chase_links, j10_match_sequences, j11_boundary_drift, j12_first_difference, j13_regression_gate, j14_mask_iou, j15_asof_next, j16_merge_overrides, j17_resolve_relationships, j18_coverage_split)}
@@ -127,18 +139,26 @@ ORACLE_SQL = {
     "j2_placement_extents": oracle(["V_IMAGES", "V_DRAWS"], "d AS (SELECT img, max(w_pt) AS w, max(h_pt) AS h FROM V_DRAWS GROUP BY img) SELECT i.img, coalesce(d.w, 595.0) AS w_pt, coalesce(d.h, 842.0) AS h_pt FROM V_IMAGES i LEFT JOIN d ON i.img = d.img"),
     "j3_assemble_pages": oracle(["V_PICKS", "V_PAGES"], """c AS (SELECT source, count(*) AS n FROM V_PAGES GROUP BY source), e AS (SELECT k.*, g.rotate AS own, CASE WHEN n IS NULL THEN 'unknown source' WHEN k.page < 0 OR k.page >= n THEN 'page out of range' WHEN k.rotate % 90 <> 0 THEN 'rotation not a multiple of 90' END AS error FROM V_PICKS k LEFT JOIN c ON k.source = c.source LEFT JOIN V_PAGES g ON k.source = g.source AND k.page = g.page) SELECT pick_no, source, page, CASE WHEN error IS NULL THEN ((own + rotate) % 360 + 360) % 360 END AS rotation, error FROM e"""),
     "j4_remap_references": oracle(["V_EDGES", "V_PICKS"], "f AS (SELECT 'c' || CAST(page AS VARCHAR) AS dst, min(pick_no) AS new_dst FROM V_PICKS GROUP BY 1) SELECT e.src, e.dst, f.new_dst FROM V_EDGES e LEFT JOIN f ON e.dst = f.dst"),
-    "j5_reachable_objects": oracle(["V_EDGES"], """r(id, depth) AS (SELECT 'o' || CAST(o_orderkey AS VARCHAR), 0 FROM orders WHERE o_orderkey % 50 = 0 UNION SELECT e.dst, depth + 1 FROM r JOIN V_EDGES e ON r.id = e.src WHERE e.dst <> 'r3' AND depth < 20) SELECT id, CAST(min(depth) AS INT) AS depth FROM r GROUP BY id""", True),
+    "j5_reachable_objects": oracle(["V_EDGES"], """r(id, depth) AS (SELECT 'o' || CAST(o_orderkey AS VARCHAR), 0 FROM orders UNION SELECT e.dst, depth + 1 FROM r JOIN V_EDGES e ON r.id = e.src WHERE e.dst <> 'r3' AND depth < 20) SELECT id, CAST(min(depth) AS INT) AS depth FROM r GROUP BY id""", True),
     "j6_inherit_attributes": oracle(["V_TREE"], "t AS (SELECT * FROM V_TREE), " + _UP + " SELECT up.id, arg_min(t.a1, depth) AS a1, arg_min(t.a2, depth) AS a2 FROM up JOIN t ON up.anc = t.id GROUP BY up.id", True),
     "j7_resolve_cascade": oracle(["V_STYLES"], "t AS (SELECT id, based_on AS parent, size_half_pt, bold, font FROM V_STYLES), " + _UP + """, s AS (SELECT up.id, arg_min(size_half_pt, depth) AS size_half_pt, arg_min(bold, depth) AS bold, arg_min(font, depth) AS font FROM up JOIN t ON up.anc = t.id GROUP BY up.id),
 i AS (SELECT l_orderkey AS ord, min(l_partkey) AS style, max(l_partkey) AS char_style, min(l_linenumber) AS n FROM lineitem GROUP BY 1)
 SELECT ord, CAST(coalesce(CASE WHEN n = 2 THEN 99 END, c.size_half_pt, p.size_half_pt, 21) AS INT) AS size_half_pt, coalesce(CASE WHEN n = 3 THEN true END, CASE WHEN c.bold IS NOT NULL AND p.bold IS NOT NULL THEN c.bold <> p.bold END, c.bold, p.bold, false) AS bold, coalesce(c.font, p.font, 'base') AS font FROM i LEFT JOIN s p ON i.style = p.id LEFT JOIN s c ON i.char_style = c.id""", True),
-    "j8_ranked_lookup": oracle(["V_LOOKUP", "V_CATALOG"], """b AS (SELECT category, arg_min(name, {'p': pref, 'n': name}) AS name FROM V_CATALOG GROUP BY category), a AS (SELECT arg_min(name, {'p': pref, 'n': name}) AS name FROM V_CATALOG)
-SELECT req, want, coalesce(e.name, s.name, b.name, a.name) AS found, CASE WHEN e.name IS NOT NULL THEN 1 WHEN s.name IS NOT NULL THEN 2 WHEN b.name IS NOT NULL THEN 3 ELSE 4 END AS rank FROM V_LOOKUP l LEFT JOIN V_CATALOG e ON l.want = e.name LEFT JOIN V_CATALOG s ON regexp_replace(l.want, '[,-].*$', '') = s.name LEFT JOIN b ON l.category = b.category, a"""),
+    "j8_ranked_lookup": oracle(["V_LOOKUP", "V_CATALOG"], """c AS (SELECT * FROM V_CATALOG WHERE pref % 2 = 1), t AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'serif' ELSE 'sans' END AS category, p_partkey AS place, p_name AS name FROM part WHERE p_partkey % 3 = 1 AND p_name IN (SELECT name FROM c)), b AS (SELECT category, arg_min(name, place) AS name, min(place) AS place FROM t GROUP BY category), o AS (SELECT (SELECT arg_min(name, place) FROM t) AS listed, (SELECT arg_min(name, {'p': pref, 'n': name}) FROM c) AS any)
+SELECT req, want, coalesce(e.name, s.name, b.name, o.listed, o.any) AS found, CASE WHEN e.name IS NOT NULL THEN 1 WHEN s.name IS NOT NULL THEN 2 WHEN b.name IS NOT NULL THEN 3 WHEN o.listed IS NOT NULL THEN 4 ELSE 5 END AS rank FROM V_LOOKUP l LEFT JOIN c e ON l.want = e.name LEFT JOIN c s ON regexp_replace(l.want, '[,-].*$', '') = s.name LEFT JOIN b ON l.category = b.category, o"""),
     "j9_chase_links": oracle(["V_STYLES"], """l AS (SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id = 5 THEN NULL ELSE CAST(based_on AS VARCHAR) END AS next FROM V_STYLES) SELECT a.id, CASE WHEN a.next IS NULL THEN a.id WHEN b.id IS NOT NULL AND b.next IS NULL THEN b.id WHEN c.id IS NOT NULL AND c.next IS NULL THEN c.id WHEN d.id IS NOT NULL AND d.next IS NULL THEN d.id END AS terminal FROM l a LEFT JOIN l b ON a.next = b.id LEFT JOIN l c ON b.next = c.id LEFT JOIN l d ON c.next = d.id"""),
     "j11_boundary_drift": oracle(["V_LINES"], """o AS (SELECT doc, page, line, length(text) AS n, CAST(floor(line / 9) AS INT) AS rpage FROM V_LINES WHERE side = 'ours' AND text <> ''), f AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, sum(n) OVER (PARTITION BY doc) AS total FROM o), rs AS (SELECT doc, rpage, min(off) AS roff, any_value(total) AS total, dense_rank() OVER (PARTITION BY doc ORDER BY rpage) - 1 AS k FROM f GROUP BY doc, rpage), os AS (SELECT doc, page, min(off) AS ooff, dense_rank() OVER (PARTITION BY doc ORDER BY page) - 1 AS k FROM f GROUP BY doc, page),
 x AS (SELECT rs.doc, rs.k, roff, coalesce(ooff, total) AS start FROM rs LEFT JOIN os ON rs.doc = os.doc AND rs.k = os.k WHERE rs.k > 0), b AS (SELECT x.doc, x.k, count(*) FILTER (f.off > least(roff, start) AND f.off <= greatest(roff, start)) AS bd FROM x JOIN f ON x.doc = f.doc GROUP BY x.doc, x.k)
 SELECT doc, max(bd) AS bd_max, CAST(sum(bd) AS BIGINT) AS bd_sum, CAST(0 AS BIGINT) AS unmatched FROM b GROUP BY doc"""),
-    "j12_first_difference": oracle(["V_FRAGS"], """b AS (SELECT page, frag, CASE WHEN frag % 53 = 3 THEN x + 1 ELSE x END AS x, CASE WHEN frag % 47 = 5 THEN y + 2 ELSE y END AS y, CASE WHEN frag % 31 = 4 THEN 'other' ELSE text END AS text FROM V_FRAGS WHERE frag % 101 <> 7), r AS (SELECT coalesce(a.page, b.page) AS page, coalesce(a.frag, b.frag) AS frag, CASE WHEN a.frag IS NULL THEN 'missing in a' WHEN b.frag IS NULL THEN 'missing in b' WHEN abs(a.x - b.x) > 0.05 THEN 'x' WHEN abs(a.y - b.y) > 0.05 THEN 'y' WHEN a.text <> b.text THEN 'text' END AS reason FROM V_FRAGS a FULL JOIN b ON a.page = b.page AND a.frag = b.frag) SELECT page, min(frag) AS frag, arg_min(reason, frag) AS reason FROM r WHERE reason IS NOT NULL GROUP BY page"""),
+    "j12_first_difference": oracle(["V_FRAGS"], """a AS (SELECT page AS doc, ascii(text) AS page, CAST(floor(frag / 10) AS BIGINT) AS line, frag, x, 10 AS size, 'f' AS font, text FROM V_FRAGS), b AS (SELECT doc, page, line, frag, CASE WHEN frag % 53 = 3 THEN x + 1 ELSE x END AS x, CASE WHEN frag % 47 = 5 THEN 11 ELSE 10 END AS size, CASE WHEN frag % 43 = 6 THEN 'g' ELSE 'f' END AS font, CASE WHEN frag % 31 = 4 THEN 'other' ELSE text END AS text FROM a WHERE frag % 1009 <> 7),
+d AS (SELECT coalesce(p.doc, q.doc) AS doc, -1 AS page, -1 AS line, -1 AS frag, 'page count' AS reason, 1 AS rank FROM (SELECT doc, count(DISTINCT page) AS n FROM a GROUP BY doc) p FULL JOIN (SELECT doc, count(DISTINCT page) AS n FROM b GROUP BY doc) q ON p.doc = q.doc WHERE p.n IS DISTINCT FROM q.n
+UNION ALL SELECT p.doc, p.page, -1, -1, 'page size', 0 FROM (SELECT DISTINCT doc, page FROM a) p JOIN (SELECT DISTINCT doc, page FROM b) q ON p.doc = q.doc AND p.page = q.page WHERE (p.doc + p.page) % 19 = 3
+UNION ALL SELECT coalesce(p.doc, q.doc), coalesce(p.page, q.page), -1, -1, 'line count', 1 FROM (SELECT doc, page, count(DISTINCT line) AS n FROM a GROUP BY doc, page) p FULL JOIN (SELECT doc, page, count(DISTINCT line) AS n FROM b GROUP BY doc, page) q ON p.doc = q.doc AND p.page = q.page WHERE p.n IS DISTINCT FROM q.n
+UNION ALL SELECT p.doc, p.page, p.line, -1, 'baseline', 0 FROM (SELECT DISTINCT doc, page, line FROM a) p JOIN (SELECT DISTINCT doc, page, line FROM b) q ON p.doc = q.doc AND p.page = q.page AND p.line = q.line WHERE p.line % 17 = 3
+UNION ALL SELECT coalesce(p.doc, q.doc), coalesce(p.page, q.page), coalesce(p.line, q.line), -1, 'frag count', 1 FROM (SELECT doc, page, line, count(*) AS n FROM a GROUP BY doc, page, line) p FULL JOIN (SELECT doc, page, line, count(*) AS n FROM b GROUP BY doc, page, line) q ON p.doc = q.doc AND p.page = q.page AND p.line = q.line WHERE p.n IS DISTINCT FROM q.n
+UNION ALL SELECT a.doc, a.page, a.line, a.frag, CASE WHEN abs(a.x - b.x) > 0.05 THEN 'x' WHEN a.size <> b.size THEN 'size' WHEN a.font <> b.font THEN 'font' ELSE 'text' END, 0 FROM a JOIN b ON a.doc = b.doc AND a.page = b.page AND a.line = b.line AND a.frag = b.frag WHERE abs(a.x - b.x) > 0.05 OR a.size <> b.size OR a.font <> b.font OR a.text <> b.text),
+m AS (SELECT doc, arg_min({'p': page, 'l': line, 'f': frag, 'r': reason}, {'p': page, 'l': line, 'f': frag, 'k': rank}) AS x FROM d GROUP BY doc)
+SELECT doc, CASE WHEN x.p >= 0 THEN x.p END AS page, CASE WHEN x.l >= 0 THEN x.l END AS line, CASE WHEN x.f >= 0 THEN x.f END AS frag, x.r AS reason FROM m"""),
     "j13_regression_gate": oracle(["V_METRICS"], """j AS (SELECT c.*, b.hash AS bh, list_filter([CASE WHEN abs(c.pages - c.pages_ref) > abs(b.pages - b.pages_ref) THEN 'page gap' END, CASE WHEN c.bd_max > b.bd_max THEN 'drift max' END, CASE WHEN c.bd_sum > b.bd_sum THEN 'drift sum' END, CASE WHEN c.ly_median > b.ly_median + CAST(0.2 AS DOUBLE) THEN 'baseline median' END], lambda x: x IS NOT NULL) AS f, c.ri_mean < b.ri_mean - CAST(0.02 AS DOUBLE) AS hint FROM (SELECT * FROM V_METRICS WHERE run = 'cur') c LEFT JOIN (SELECT * FROM V_METRICS WHERE run = 'base') b ON c.doc_id = b.doc_id)
 SELECT doc_id, CASE WHEN bh IS NULL THEN 'fail' WHEN hash <> bh THEN 'skip' WHEN len(f) > 0 THEN 'fail' WHEN hint THEN 'hint' ELSE 'pass' END AS verdict, CASE WHEN bh IS NULL THEN 'not in the baseline' WHEN hash <> bh THEN 'source changed' ELSE array_to_string(f, ', ') END AS reasons FROM j"""),
     "j14_mask_iou": oracle(["V_MASKS"], """a AS (SELECT mask AS key, x, y FROM V_MASKS WHERE x < 7), b AS (SELECT mask - 1 AS key, x, y FROM V_MASKS WHERE x < 7), c AS (SELECT coalesce(a.key, b.key) AS key, count(*) FILTER (a.key IS NOT NULL AND b.key IS NOT NULL) AS i, count(*) AS u FROM a FULL JOIN b ON a.key = b.key AND a.x = b.x AND a.y = b.y GROUP BY 1) SELECT vec_id AS key, round(coalesce(i / u, 1.0), 6) AS iou FROM embeddings LEFT JOIN c ON vec_id = key"""),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..adapters import oracle, table, views
-from ..functions.numbers import format_dimension
 from ..operators import isolate as I
 from ..operators import joins as J
+from ..operators import project as P
 from ..operators import sequence as W
 from ..streaming import progress as T
 from .joins import TIMES
@@ -26,15 +26,15 @@ def w1_number_items(spark, sf_dir):
 
 def w2_expand_labels(spark, sf_dir):
     numbered, levels = _numbered(spark, sf_dir)
-    return W.expand_labels(numbered, levels, format_dimension(spark))
+    return W.expand_labels(numbered, levels)
 
 
 def w3_script_runs(spark, sf_dir):
-    return W.script_runs(views(spark, sf_dir, "V_CHARS")[0])
+    return W.script_runs(views(spark, sf_dir, "V_TEXT")[0])
 
 
 def w3_script_runs_both(spark, sf_dir):
-    return W.script_runs(views(spark, sf_dir, "V_CHARS")[0], "both")
+    return W.script_runs(views(spark, sf_dir, "V_TEXT")[0], "both")
 
 
 def w4_merge_equal_runs(spark, sf_dir):
@@ -89,7 +89,7 @@ def w11_substitute_fields(spark, sf_dir):
     spans = pages.select("doc", "page", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("span"))
     field = F.when(F.col("span") < 3, F.when(F.col("span") < 2, 0).otherwise(1))
     spans = spans.select("doc", "page", "span", field.alias("field"), F.when(F.col("span") < 3, codes).alias("code"), F.concat(F.lit("t"), F.col("span").cast("string")).alias("text"))
-    return W.substitute_fields(spans, pages, format_dimension(spark))
+    return W.substitute_fields(spans, pages)
 
 
 def w12_group_by_anchor(spark, sf_dir):
@@ -116,11 +116,8 @@ def w16_fill_from_first(spark, sf_dir):
 
 def o2_sort_by_time(spark, sf_dir):
     (times,) = views(spark, sf_dir, "V_TIMES")
-    from pyspark.sql import Window
-
-    found = J.resolve_capture_time(times.withColumn("fs", F.when(F.col("file") % 4 > 0, F.col("fs"))).withColumn("user", F.col("file") % 150), ["manual", "exif"], "fs")
-    order = Window.partitionBy("user").orderBy(F.col("when").asc_nulls_first(), "ord")
-    return found.select("file", "user", J.show_time(F.col("when")).alias("shown"), F.row_number().over(order).alias("place"))
+    found = J.resolve_capture_time(times.withColumn("fs", F.when(F.col("file") % 4 > 0, F.col("fs"))), ["manual", "exif"], "fs")
+    return P.sort_by_time(found, "when", "ord").select("file", J.show_time(F.col("when")).alias("shown"), "place")
 
 
 def _check(row):
@@ -172,9 +169,12 @@ def _letter_sql(n: str) -> str:
     return f"repeat(chr(CAST(97 + ({n} - 1) % 26 AS INT)), CAST(({n} - 1) // 26 + 1 AS INT))"
 
 
-_EAST = " OR ".join(f"unicode(ch) BETWEEN {a} AND {b}" for a, b in W.EAST_ASIAN)
-_LATIN = " OR ".join(f"unicode(ch) BETWEEN {a} AND {b}" for a, b in W.LATIN)
-_CLASS = f"k AS (SELECT doc_id, pos, CASE WHEN {_EAST} THEN 'east_asian' WHEN {_LATIN} THEN 'latin' END AS own FROM V_CHARS)"
+def _class_sql(ranges: str) -> str:
+    return f"regexp_matches(ch, '^[{ranges}]')"
+
+
+_SCRIPTS = lambda names: "".join(rf"\p{{{n}}}" for n in names if n != "Unknown")
+_CLASS = f"k AS (SELECT doc_id, pos, CASE WHEN {_class_sql(W.NEITHER)} THEN NULL WHEN {_class_sql(W.LATIN)} THEN 'latin' WHEN {_class_sql(W.EAST_ASIAN)} THEN 'east_asian' WHEN {_class_sql(_SCRIPTS(W.EAST_ASIAN_SCRIPTS))} THEN 'east_asian' WHEN {_class_sql(_SCRIPTS(W.NO_SCRIPTS))} THEN NULL ELSE 'latin' END AS own FROM V_CHARS)"
 _RUNS = """n AS (SELECT *, sum(CASE WHEN pc IS NULL OR pc <> class THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT *, lag(class) OVER (PARTITION BY doc_id ORDER BY pos) AS pc FROM c)) SELECT doc_id, CAST(min(pos) AS INT) AS start, CAST(max(pos) + 1 AS INT) AS "end", any_value(class) AS class FROM n GROUP BY doc_id, run"""
 
 ORACLE_SQL = {
@@ -192,6 +192,18 @@ w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) AS i FRO
 f(doc_id, i, line, used, open, pos, len) AS (SELECT doc_id, CAST(1 AS BIGINT), 0, CAST(len AS BIGINT), NOT br AND NOT k < cuts, pos, len FROM w WHERE i = 1 UNION ALL SELECT w.doc_id, w.i, CASE WHEN f.open AND k = 0 AND cuts = 0 AND f.used + 1 + w.shown <= 40 THEN f.line ELSE f.line + 1 END, CASE WHEN f.open AND k = 0 AND cuts = 0 AND f.used + 1 + w.shown <= 40 THEN f.used + 1 + w.len ELSE w.len END, NOT w.br AND NOT k < cuts, w.pos, w.len FROM f JOIN w ON w.doc_id = f.doc_id AND w.i = f.i + 1)
 SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(min(pos) AS BIGINT) AS first, CAST(max(pos) AS BIGINT) AS last, max(used) AS used FROM f GROUP BY doc_id, line""", True),
     "w8_pack_pages": oracle(["V_LINES"], """l AS (SELECT doc, line, height, row_number() OVER (PARTITION BY doc ORDER BY line) AS i FROM V_LINES WHERE side = 'ours'), f(doc, i, line, page, used) AS (SELECT doc, i, line, CAST(0 AS BIGINT), height FROM l WHERE i = 1 UNION ALL SELECT l.doc, l.i, l.line, CASE WHEN f.used + l.height > 200.001 THEN f.page + 1 ELSE f.page END, CASE WHEN f.used + l.height > 200.001 THEN l.height ELSE f.used + l.height END FROM f JOIN l ON l.doc = f.doc AND l.i = f.i + 1) SELECT doc, CAST(line AS BIGINT) AS para, CAST(0 AS BIGINT) AS line, page FROM f""", True),
+    "w8_pack_pages_rules": oracle(["V_LINES"], """l AS (SELECT doc, CAST(floor(line / 5) AS BIGINT) AS para, line % 5 AS k, line, height AS h, line % 23 = 7 AS brk FROM V_LINES WHERE side = 'ours'),
+d AS (SELECT *, count(*) OVER q - row_number() OVER (PARTITION BY doc, para ORDER BY k) + 1 AS n, row_number() OVER (PARTITION BY doc, para ORDER BY k) - 1 AS i, sum(h) OVER q AS total, lead(h, 1) OVER o AS h1, lead(h, 2) OVER o AS h2, coalesce(lead(brk, 1) OVER o, false) AS brk1, row_number() OVER (PARTITION BY doc ORDER BY line) AS r FROM l WINDOW q AS (PARTITION BY doc, para), o AS (PARTITION BY doc, para ORDER BY k)),
+g AS (SELECT doc, para, any_value(total) AS total, arg_min(h, k) AS first FROM d GROUP BY doc, para),
+e AS (SELECT d.*, CASE WHEN d.para % 4 = 2 AND i = 0 THEN 10 + d.total + coalesce(6 + g.first, 0) END AS chain FROM d LEFT JOIN g ON g.doc = d.doc AND g.para = d.para + 1),
+f(doc, r, page, used, here, spot) AS (
+SELECT doc, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM e GROUP BY doc
+UNION ALL SELECT doc, r, at2 + CASE WHEN brk THEN 1 ELSE 0 END, CASE WHEN brk THEN 0 WHEN n = 1 THEN u3 + 4 ELSE u3 END, CASE WHEN brk THEN 0 ELSE here2 END, at2 FROM (
+ SELECT *, at1 + CASE WHEN turn THEN 1 ELSE 0 END AS at2, CASE WHEN turn THEN h ELSE u2 + h END AS u3, CASE WHEN turn THEN 1 ELSE here1 + 1 END AS here2 FROM (
+  SELECT *, NOT (u2 <= 0 OR u2 + h <= 200.001) OR (i = 0 AND u2 > 0 AND NOT brk AND coalesce(u2 + h + h1 > 200.001 OR (n = 3 AND NOT brk1 AND u2 + h + h1 + h2 > 200.001), false)) OR (n = 2 AND here1 > 0 AND NOT brk AND u2 + h + h1 > 200.001) AS turn FROM (
+   SELECT *, CASE WHEN i > 0 THEN used WHEN moved THEN 0 ELSE used + 6 END AS u2, page + CASE WHEN moved THEN 1 ELSE 0 END AS at1, CASE WHEN i = 0 THEN 0 ELSE here END AS here1 FROM (
+    SELECT e.*, f.page, f.used, f.here, e.i = 0 AND f.used > 0 AND (coalesce(f.used + e.chain > 200.001, false) OR (e.para % 3 = 1 AND f.used + 6 + e.total > 200.001)) AS moved FROM f JOIN e ON e.doc = f.doc AND e.r = f.r + 1)))))
+SELECT f.doc, e.para, CAST(e.k AS BIGINT) AS line, f.spot AS page FROM f JOIN e ON e.doc = f.doc AND e.r = f.r""", True),
     "w9_page_numbers": oracle(["V_SECTIONS"], """s AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY sec) AS i FROM V_SECTIONS), f(doc, i, sec, joins, lo, blank, pages, made, n) AS (
 SELECT doc, CAST(1 AS BIGINT), sec, false, coalesce(restart, 1), (start = 'odd' AND coalesce(restart, 1) % 2 = 0) OR (start = 'even' AND coalesce(restart, 1) % 2 = 1), pages, 0, coalesce(restart, 1) + pages - 1 + CASE WHEN (start = 'odd' AND coalesce(restart, 1) % 2 = 0) OR (start = 'even' AND coalesce(restart, 1) % 2 = 1) THEN 1 ELSE 0 END FROM s WHERE i = 1
 UNION ALL SELECT doc, i, sec, joins, lo, blank, pg, made, lo + pg - 1 + CASE WHEN blank THEN 1 ELSE 0 END FROM (SELECT *, (start = 'odd' AND lo % 2 = 0) OR (start = 'even' AND lo % 2 = 1) AS blank FROM (SELECT s.doc, s.i, s.sec, s.start, s.start = 'continuous' AS joins, CASE WHEN s.start = 'continuous' THEN f.n + 1 ELSE coalesce(s.restart, f.n + 1) END AS lo, CASE WHEN s.start = 'continuous' THEN s.pages - 1 ELSE s.pages END AS pg, f.made + f.pages + CASE WHEN f.blank THEN 1 ELSE 0 END AS made FROM f JOIN s ON s.doc = f.doc AND s.i = f.i + 1))),
@@ -204,7 +216,7 @@ SELECT doc, page, CAST(span AS INT) AS span, CASE code WHEN 0 THEN CAST(number A
     "w14_choose_alternative": oracle(["V_ALTS"], """SELECT grp, opt, requires FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY CASE WHEN requires = '' THEN 1 ELSE 0 END, opt) AS n FROM V_ALTS WHERE requires IN ('', 'wps')) WHERE n = 1"""),
     "w15_grid_positions": oracle(["V_CELLS"], """p AS (SELECT *, coalesce(sum(grid_span) OVER (PARTITION BY tbl, r ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM V_CELLS), m AS (SELECT *, coalesce(v_merge = 'continue' AND lag(r) OVER (PARTITION BY tbl, start ORDER BY r) = r - 1, false) AS j FROM p), g AS (SELECT *, sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY tbl, start ORDER BY r) AS run FROM m) SELECT tbl, CAST(start AS BIGINT) AS start, min(r) AS r, arg_min(c, r) AS c, count(*) AS row_span FROM g GROUP BY tbl, start, run"""),
     "w16_fill_from_first": oracle(["V_TIMES"], TIMES + " SELECT batch, ord, file, first_value(shown) OVER (PARTITION BY batch ORDER BY ord) AS shown, 'manual' AS source FROM best"),
-    "o2_sort_by_time": oracle(["V_TIMES"], """t AS (SELECT file, file % 150 AS "user", CASE WHEN manual IS NOT NULL THEN '2024-03-15 14:30:22' WHEN file % 3 = 1 THEN replace(exif, 'T', ' ') WHEN file % 4 > 0 THEN fs END AS shown FROM V_TIMES) SELECT file, "user", shown, CAST(row_number() OVER (PARTITION BY "user" ORDER BY shown ASC NULLS FIRST, file) AS INT) AS place FROM t"""),
+    "o2_sort_by_time": oracle(["V_TIMES"], """t AS (SELECT file, CASE WHEN manual IS NOT NULL THEN '2024-03-15 14:30:22' WHEN file % 3 = 1 THEN replace(exif, 'T', ' ') WHEN file % 4 > 0 THEN fs END AS shown FROM V_TIMES) SELECT file, shown, row_number() OVER (ORDER BY shown ASC NULLS FIRST, file) AS place FROM t"""),
     "e1_map_isolated": """SELECT doc_id AS ord, CASE WHEN n_chars % 7 <> 0 THEN CAST(n_chars * 2 AS VARCHAR) END AS output, CASE WHEN n_chars % 7 = 0 THEN 'ValueError: bad size ' || n_chars END AS error, CASE WHEN n_chars % 7 <> 0 THEN lang END AS detail FROM documents""",
     "t1_latest_progress": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id AS job, event_id, event_type AS stage, round(least((event_id % 10 + (event_id % 4) / CAST(4.0 AS DOUBLE)) / 8, CAST(1 AS DOUBLE)), 6) AS overall FROM r WHERE n = 1""",
     "t2_distinct_warnings": "SELECT DISTINCT user_id AS item, event_type AS detail FROM events",

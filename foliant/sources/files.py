@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import posixpath
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,18 +22,48 @@ ROUTES = {
 SIGNATURES = [("FFD8FF", "jpeg"), ("89504E470D0A1A0A", "png"), ("49492A00", "tiff"), ("4D4D002A", "tiff"), ("D0CF11E0A1B11AE1", "cfb")]
 
 
-def scan_files(spark: SparkSession, root: str, max_depth: int = 8, limit: int | None = None) -> DataFrame:
-    """path, name, depth, length, modified of all files below ``root`` in natural order of the path.
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """path, below (the path under ``root``), length, modified of what Spark's reader lists."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    # Readers give whole paths; what lies below begins after the root's.
+    size = len(root.rstrip("/")) + 1
+    return files.select("path", F.substring("path", F.lit(size + 1), F.length("path")).alias("below"), "length", F.col("modificationTime").alias("modified"))
+
+
+def scan_files(spark: SparkSession, roots: str | list[str], max_depth: int = 8, limit: int | None = None) -> DataFrame:
+    """path, name, depth, length, modified of all files below the roots, in natural order of the path.
 
     Names that begin with a dot hide themselves and everything below; ``max_depth`` levels are
-    descended. Only metadata is read. ``limit`` keeps the first files of the order.
+    descended. Only metadata is read. ``limit`` keeps the first files of the order. Spark's readers
+    pass over names that begin with an underscore: those are looked up one level at a time, folders
+    among them are read as roots of their own, and files come as the few rows that they are.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").split("/")[-1]
-    below = F.regexp_extract("path", f"/{base}/(.*)$", 1)
-    rows = files.select("path", below.alias("below"), "length", F.col("modificationTime").alias("modified"))
+    jvm, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    tables, extra = [], []
+    for root in [roots] if isinstance(roots, str) else roots:
+        at = jvm.Path(root)
+        system = at.getFileSystem(conf)
+        whole = system.makeQualified(at).toString().rstrip("/")
+        # (folder to list, what lies between the root and it)
+        todo = [(whole, "")]
+        while todo:
+            folder, prefix = todo.pop()
+            tables.append(_listed(spark, folder).withColumn("below", F.concat(F.lit(prefix), "below")))
+            for depth in range(max_depth + 1 - prefix.count("/")):
+                # Below a folder whose name is met here, that folder's own turn finds the rest.
+                for status in system.globStatus(jvm.Path(folder + "/[!._]*" * depth + "/_*")) or []:
+                    path = status.getPath().toString()
+                    below = prefix + path[len(folder) + 1 :]
+                    if status.isDirectory():
+                        if below.count("/") < max_depth:
+                            todo.append((path, below + "/"))
+                    else:
+                        extra.append((path, below, status.getLen(), status.getModificationTime() / 1000))
+    rows = spark.createDataFrame(extra, "path string, below string, length long, modified double").withColumn("modified", F.timestamp_seconds("modified"))
+    for t in tables:
+        rows = rows.unionByName(t)
     parts = F.split("below", "/")
-    found = rows.where(~F.exists(parts, lambda p: p.startswith(".")) & (F.size(parts) <= max_depth + 1))
+    found = rows.where(~F.exists(parts, lambda p: p.startswith(".")) & (F.size(parts) <= max_depth + 1)).dropDuplicates(["path"])
     ordered = found.select("path", F.element_at(parts, -1).alias("name"), (F.size(parts) - 1).alias("depth"), "length", "modified").orderBy(natural_key(F.col("path")), "path")
     return ordered if limit is None else ordered.limit(limit)
 
@@ -61,27 +95,67 @@ def sniff_content(df: DataFrame, content: str, signatures: list[tuple[str, str]]
     return df.withColumn("kind", out)
 
 
+_NUMBERED = r"^(.*) \(([1-9][0-9]{0,17})\)$"
+
+
 def assign_output_names(requests: DataFrame, occupied: DataFrame) -> DataFrame:
     """ord, dir, output: a free file name for each request, in the order of ``ord``.
 
     ``requests``: ord, dir, stem, ext. ``occupied``: dir, name (inputs and existing files). The name
-    is ``stem.ext``, else ``stem (2).ext`` and so on; nothing is issued twice. The r-th request of a
-    name gets the r-th free number, found by one ordered pass over requests and taken numbers, so a
-    popular name needs no list in memory. Stems that themselves end in " (n)" are named as they are
-    and must not be requested together with their root.
+    is ``stem.ext``, else ``stem (2).ext`` and so on: the first, literally, that is neither occupied
+    nor issued before. The r-th request of a stem gets the r-th free number, found by one ordered pass
+    over requests and taken numbers, so a popular name needs no list in memory.
+
+    Stems that themselves end in " (n)" may meet numbers of their root: requests of one root, folder
+    and extension among which there are such stems are served one by one, as one group.
     """
-    pattern = r"^(.*?)(?: \((\d+)\))?(?:\.([^.]*))?$"
-    name = F.col("name")
-    taken = occupied.select("dir", F.regexp_extract(name, pattern, 1).alias("stem"), F.regexp_extract(name, pattern, 3).alias("ext"), F.regexp_extract(name, pattern, 2).alias("n"))
-    taken = taken.select("dir", "stem", "ext", F.when(F.col("n") == "", F.lit(1)).otherwise(F.col("n").try_cast("long")).alias("n")).where("n = 1 or n >= 2").distinct()
+    group = ["dir", "_root", "ext"]
+    rooted = requests.withColumn("_root", F.regexp_replace("stem", r"( \([1-9][0-9]*\))+$", ""))
+    mixed = rooted.groupBy(*group).agg(F.max((F.col("stem") != F.col("_root")).cast("int")).alias("_mixed"))
+    rooted = rooted.join(mixed, group)
+    # An occupied name is one of a stem with its extension, or of a stem without any.
+    name, dot = F.col("name"), F.col("name").rlike(r"^.+\.[^.]*$")
+    split = F.when(dot, F.array(F.struct(F.regexp_extract(name, r"^(.+)\.([^.]*)$", 1).alias("stem"), F.regexp_extract(name, r"^(.+)\.([^.]*)$", 2).alias("ext")), F.struct(name.alias("stem"), F.lit("").alias("ext")))).otherwise(F.array(F.struct(name.alias("stem"), F.lit("").alias("ext"))))
+    names = occupied.select("dir", "name").distinct().select("dir", F.explode(split).alias("n")).select("dir", "n.stem", "n.ext")
+    return _by_number(rooted.where("_mixed = 0"), names).unionByName(_one_by_one(rooted.where("_mixed = 1"), names))
+
+
+def _named(stem: Column, ext: Column) -> Column:
+    return F.when(ext == "", stem).otherwise(F.concat(stem, F.lit("."), ext))
+
+
+def _by_number(requests: DataFrame, names: DataFrame) -> DataFrame:
     group = ["dir", "stem", "ext"]
+    plain = names.withColumn("n", F.lit(1).cast("long"))
+    numbered = names.select("dir", F.regexp_extract("stem", _NUMBERED, 1).alias("stem"), "ext", F.regexp_extract("stem", _NUMBERED, 2).try_cast("long").alias("n")).where("n >= 2")
+    taken = plain.unionByName(numbered).join(requests.select(*group).distinct(), group, "left_semi").distinct()
     wanted = requests.withColumn("key", F.row_number().over(Window.partitionBy(*group).orderBy("ord")).cast("long")).select(*group, "ord", "key", F.lit(0).alias("kind"))
     # A taken number n with k taken up to it has n - k free numbers before it.
     before = taken.withColumn("key", F.col("n") - F.row_number().over(Window.partitionBy(*group).orderBy("n"))).select(*group, F.lit(None).cast("long").alias("ord"), "key", F.lit(1).alias("kind"))
     passed = F.sum("kind").over(Window.partitionBy(*group).orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0))
     placed = wanted.unionByName(before).withColumn("n", F.col("key") + passed).where("kind = 0")
     stem = F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit(" ("), F.col("n").cast("string"), F.lit(")")))
-    return placed.select("ord", "dir", F.when(F.col("ext") == "", stem).otherwise(F.concat(stem, F.lit("."), F.col("ext"))).alias("output"))
+    return placed.select("ord", "dir", _named(stem, F.col("ext")).alias("output"))
+
+
+def _one_by_one(requests: DataFrame, names: DataFrame) -> DataFrame:
+    rooted = names.withColumn("_root", F.regexp_replace("stem", r"( \([1-9][0-9]*\))+$", ""))
+
+    def serve(wanted: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        used = set(there["stem"]) if len(there) else set()
+        after: dict[str, int] = {}
+        out = []
+        for r in wanted.sort_values("ord").itertuples() if len(wanted) else ():
+            n = after.get(r.stem, 1)
+            while (stem := r.stem if n == 1 else f"{r.stem} ({n})") in used:
+                n += 1
+            used.add(stem)
+            after[r.stem] = n + 1
+            out.append((r.ord, r.dir, f"{stem}.{r.ext}" if r.ext else stem))
+        return pd.DataFrame(out, columns=["ord", "dir", "output"]).astype({"ord": "int64"})
+
+    keys = ["dir", "_root", "ext"]
+    return requests.groupBy(*keys).cogroup(rooted.groupBy(*keys)).applyInPandas(serve, "ord long, dir string, output string")
 
 
 def write_guarded(df: DataFrame, path: str, inputs: list[str], file_format: str = "parquet") -> None:
@@ -89,8 +163,16 @@ def write_guarded(df: DataFrame, path: str, inputs: list[str], file_format: str
 
     Spark's commit protocol moves files into place when the job succeeds, so no partial file stays.
     """
-    same = lambda p: p.rstrip("/").removeprefix("file://").removeprefix("file:")
-    if same(path) in {same(p) for p in inputs}:
+    jvm, conf = df.sparkSession._jvm.org.apache.hadoop.fs, df.sparkSession._jsc.hadoopConfiguration()
+
+    def real(p: str) -> str:
+        """The path as the file system names it, without "..", and with links followed where there are any."""
+        at = jvm.Path(p)
+        system = at.getFileSystem(conf)
+        name = posixpath.normpath(system.makeQualified(at).toUri().getPath())
+        return os.path.realpath(name) if system.getScheme() == "file" else f"{system.getUri()}{name}"
+
+    if real(path) in {real(p) for p in inputs}:
         raise ValueError(f"the target is one of the inputs: {path}")
     df.write.mode("errorifexists").format(file_format).save(path)
 

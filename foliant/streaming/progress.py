@@ -7,6 +7,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 
 def latest_progress(events: DataFrame) -> DataFrame:
     """job, event_id, stage, overall: the newest event of each job; overall = (index + done) / count, at most 1.
@@ -41,12 +43,7 @@ def run_to_end(stream: DataFrame, mode: str, key: list[str] | None = None) -> Da
     the last batch that holds a key counts.
     """
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        from tempfile import mkdtemp
-
-        base = "file://" + mkdtemp(prefix="spark-")
-    path = f"{base.rstrip('/')}/foliant/stream-{uuid4().hex}"
+    path = f"{shared_folder(spark)}/foliant/stream-{uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/_b={number}")
