@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 
 def fold(column: str, parts: int):
     """crc32 of the id as text, modulo ``parts``."""
@@ -17,10 +19,10 @@ def fold(column: str, parts: int):
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int) -> DataFrame:
-    """place, text, label of at most ``max_rows`` labelled documents of at most ``max_chars`` characters together.
+    """place, text, label of at most ``max_rows`` labelled documents, up to ``max_chars`` characters together.
 
-    ``labels``: doc_id, label. Documents come in the order of a hash of their id (``place``); one that
-    would exceed the rest of the character budget is passed over. Null labels are left out; an id that
+    ``labels``: doc_id, label. Documents come in the order of a hash of their id (``place``) until the
+    budget of characters is spent; the document that crosses it is the last. Null labels are left out; an id that
     is labelled repeatedly counts once with its largest label, a repeated document once.
     """
     clean = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
@@ -29,11 +31,12 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, max_chars: int) ->
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     sizes = found.select("doc_id", F.length("text").alias("n")).orderBy(*order).collect()
-    keep, left = [], max_chars
+    keep, used = [], 0
     for row in sizes:
-        if row.n <= left:
-            keep.append((row.doc_id, len(keep)))
-            left -= row.n
+        if used >= max_chars:
+            break
+        keep.append((row.doc_id, len(keep)))
+        used += row.n
     places = docs.sparkSession.createDataFrame(keep, "doc_id long, place int")
     return found.join(F.broadcast(places), "doc_id").select("place", "text", "label")
 
@@ -52,7 +55,7 @@ def fitted(rows: DataFrame, fit: Callable[[list[str], np.ndarray], dict]) -> dic
             model = fit(own["text"].tolist(), own["label"].to_numpy())
             yield pd.DataFrame({"model": [pickle.dumps(model)]})
 
-    found = rows.coalesce(1).mapInPandas(run, "model binary").collect()
+    found = rows.coalesce(1).mapInPandas(shared.tidy(run), "model binary").collect()
     return pickle.loads(bytes(found[0].model)) if found else None
 
 

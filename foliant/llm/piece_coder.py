@@ -6,9 +6,9 @@ merging their joined text anew gives exactly these two pieces. If no piece fits
 place is marked as failed in a bitfield and the last piece gives way to the next shorter one. The
 only sequence whose neighbours are all compatible is the one that the merges would have made.
 
-Encoding is per document and needs no shuffle. Words repeat, so a bounded memo keeps the ids of
-what stands between two spaces: no piece holds a space mark after another character, so nothing
-merges across such a border.
+Encoding is per document and needs no shuffle. Words repeat, so a memo bounded in bytes keeps the
+ids of what stands between two spaces for the time of a task: no piece holds a space mark after
+another character, so nothing merges across such a border.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from __future__ import annotations
 import codecs
 import re
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -30,8 +30,10 @@ from . import shared
 MARK = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Words in each of the two generations of the memo, and remembered pairs of pieces.
-MEMO = 250_000
+#: Bytes of each of the two generations of the memo, and pairs of pieces that are remembered.
+MEMO_BYTES, PAIRS = 16 << 20, 100_000
+#: About what an entry takes besides its word's bytes and its ids.
+_ENTRY = 200
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -102,8 +104,7 @@ class PieceCoder:
         stop = "".join(c for c in "\n\r\t" if c not in self.characters)
         self.words = re.compile(f"[{stop}]|{MARK}*[^{MARK}{stop}]+|{MARK}+" if stop else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.fits: dict[tuple[str, str], bool] = {}
-        self.memo: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.forget()
         self.surface = [
             chr(b) if (b := int(p[3:5], 16)) < 128 else chr(0xDC00 + b) if k == BYTE else p
             for p, k in ((p if k == BYTE else "<0x80>", k) for p, k in zip(self.pieces, self.kinds))
@@ -112,6 +113,13 @@ class PieceCoder:
             if k != BYTE:
                 self.surface[i] = {CONTROL: "", UNKNOWN: " ⁇ "}.get(k, p)
 
+    def forget(self) -> None:
+        """Give back what was remembered of the words met so far."""
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+        self.fits.clear()
+
     def merged(self, text: str) -> list[str]:
         """Replay the merges over a short text: best score first, leftmost on ties."""
         parts = list(text)
@@ -129,7 +137,7 @@ class PieceCoder:
         """Whether merging the joined text anew keeps exactly this border ("" at the start)."""
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) >= MEMO:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()  # the same dictionary, as backtrack() holds it
             known = self.merged(left + right) == ([left, right] if left else [right])
             self.fits[left, right] = known
@@ -184,18 +192,25 @@ class PieceCoder:
             out += own if min(own, default=0) >= 0 else [self.unknown]
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """Ids as 32-bit numbers. A word whose entry alone exceeds a generation is not remembered."""
         if not text:
-            return []
+            return b""
         words = self.words.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
-        memo = self.memo
+        memo, large = self.memo, {}
         for w in set(words).difference(memo):
             if (ids := self.older.get(w)) is None:
-                ids = self.word(w)
-            memo[w] = ids
-        out = list(chain.from_iterable(map(memo.__getitem__, words)))
-        if len(memo) >= MEMO:
-            self.memo, self.older = {}, memo
+                ids = array("i", self.word(w)).tobytes()
+            size = _ENTRY + 2 * len(w) + len(ids)
+            if size > MEMO_BYTES // 64:
+                large[w] = ids
+            else:
+                memo[w] = ids
+                self.held += size
+        # The words of one text stay at hand until it is done; a very long text has as many of its own.
+        out = b"".join([large[w] if w in large else memo[w] for w in words] if large else map(memo.__getitem__, words))
+        if self.held >= MEMO_BYTES:
+            self.memo, self.older, self.held = {}, memo if self.held < 2 * MEMO_BYTES else {}, 0
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -240,24 +255,19 @@ def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(data)
+        own.forget()  # a task that was stopped may have left its words
         for batch in batches:
-            rows, texts = batch.column(0), batch.column(1).to_pylist()
-            step, at = 0, 0
-            for i, t in enumerate([*texts, None]):
-                step += len(t or "")
-                if i == len(texts) or step > 4 << 20:
-                    to = min(i + 1, len(texts))
-                    ids = [own.encode(t) for t in texts[at:to]]
-                    sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-                    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-                    offsets = pa.array(np.r_[np.int32(0), np.cumsum(sizes, dtype=np.int32)])
-                    yield pa.RecordBatch.from_arrays(
-                        [rows.slice(at, to - at), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array([own.decode(x) for x in ids], pa.string())],
-                        ["doc_id", "ids", "decoded"],
-                    )
-                    at, step = to, 0
-
-    return shared.id_text(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+            # A long text is as many ids as it needs; short ones come some hundreds at a time.
+            for at, texts in shared.texts_of(batch, 1):
+                ids = [np.frombuffer(own.encode(t), "<i4") for t in texts]
+                sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+                offsets = pa.array(np.r_[np.int32(0), np.cumsum(sizes, dtype=np.int32)])
+                decoded = pa.array([own.decode(x.tolist()) for x in ids], pa.string())
+                flat = pa.array(np.concatenate([*ids, np.zeros(0, "<i4")]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(offsets, flat), decoded], ["doc_id", "ids", "decoded"])
+        own.forget()  # the worker may serve other tasks next
+
+    return shared.id_text(docs).mapInArrow(shared.tidy(run), "doc_id long, ids array<int>, decoded string")
 
 
 def decode(tokens: DataFrame, model: str | None = None) -> DataFrame:
@@ -270,7 +280,7 @@ def decode(tokens: DataFrame, model: str | None = None) -> DataFrame:
             texts = [own.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(shared.tidy(run), "doc_id long, text string")
 
 
 def op4_sentencepiece_backtracking(spark, sf_dir: str) -> DataFrame:

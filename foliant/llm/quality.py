@@ -24,6 +24,8 @@ from .textwords import Words, mix, pieces
 WORD_SLOTS = 1 << 18
 CLASS_SLOTS = 1 << 14
 SLOTS = WORD_SLOTS + CLASS_SLOTS
+#: Characters of texts whose n-grams are in memory at a time.
+PIECE = 1 << 20
 
 #: Character classes: capitals, letters (with every byte above ASCII), digits, white space; others stand for themselves.
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -48,11 +50,11 @@ def _grams(symbol: np.ndarray, doc: np.ndarray, n: int, salt: int) -> tuple[np.n
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text, slot) of every distinct feature of each text, sorted by text."""
     words = Words(texts)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    found: list[np.ndarray] = []
 
     def add(hashes: np.ndarray, doc: np.ndarray, base: int, slots: int) -> None:
-        slot = (hashes % np.uint64(slots)).astype(np.int64) + base
-        found.append(doc * SLOTS + slot)
+        """Distinct features only: many n-grams of classes are few features."""
+        found.append(np.unique(doc * SLOTS + (hashes % np.uint64(slots)).astype(np.int64) + base))
 
     for n in (1, 2):
         add(*_grams(words.hash, words.doc, n, n), 0, WORD_SLOTS)
@@ -66,12 +68,12 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     run = np.minimum(np.diff(np.r_[at, len(kind)]), 3)
     letters = np.isin(kind[at], (65, 97, 48, 32))
     symbol = kind[at].astype(np.uint64) * np.uint64(4) + np.where(letters, np.minimum(run, 1), run).astype(np.uint64)
-    for n in (2, 4):
+    for n in (1, 2, 3, 4):
         add(*_grams(symbol, place[at].astype(np.int64), n, 10 + n), WORD_SLOTS, CLASS_SLOTS)
     again = np.zeros(len(words.hash), np.uint64)
     if len(again):
         again[1:] = ((words.hash[1:] == words.hash[:-1]) & (words.doc[1:] == words.doc[:-1])).astype(np.uint64)
-    for n in (1, 3, 5):
+    for n in (1, 2, 3, 4, 5):
         h, doc = _grams(again, words.doc, n, 20 + n)
         add(h, doc, WORD_SLOTS, CLASS_SLOTS)
     keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
@@ -87,27 +89,32 @@ def _norms(doc: np.ndarray, slot: np.ndarray, n: int) -> np.ndarray:
 def fit(texts: list[str], label: np.ndarray, cost: float = 1.0, rounds: int = 12, alpha: float = 1.0) -> dict:
     """Weights (slots + bias), slope and offset of the probability curve."""
     n = len(texts)
-    parts = [(a, *(x.astype(np.int32) for x in features(texts[a:b]))) for a, b in pieces(texts)]
+    # Piece by piece: only the distinct features of a text are kept, as 32-bit numbers.
+    parts = [(a, *(x.astype(np.int32) for x in features(texts[a:b]))) for a, b in pieces(texts, PIECE)]
     doc = np.concatenate([d + np.int32(a) for a, d, _ in parts]) if parts else np.zeros(0, np.int32)
     slot = np.concatenate([s for *_, s in parts]) if parts else np.zeros(0, np.int32)
     del parts
     rest = np.arange(n) % 4 == 3  # for the probability curve
-    use = ~rest[doc]
     ratio = np.zeros((2, SLOTS))
     for c in (0, 1):
-        counts = alpha + np.bincount(slot[use & (label[doc] == c)], minlength=SLOTS)
+        counts = alpha + np.bincount(slot[(~rest & (label == c))[doc]], minlength=SLOTS)
         ratio[c] = np.log(counts / counts.sum())
     r = ratio[1] - ratio[0]
-    r[np.bincount(slot[use], minlength=SLOTS) == 0] = 0
-    value = (r[slot] * _norms(doc, slot, n)).astype(np.float32)
+    r[np.bincount(slot[~rest[doc]], minlength=SLOTS) == 0] = 0
     edge = np.searchsorted(doc, np.arange(n + 1))
+    value = np.empty(len(slot), np.float32)
+    square = np.ones(n)
+    for i in range(n):
+        own = slot[edge[i] : edge[i + 1]]
+        v = r[own] * _norms(np.zeros(len(own), np.int64), own, 1)
+        value[edge[i] : edge[i + 1]] = v
+        square[i] += v @ v
     sign = np.where(label > 0, 1.0, -1.0)
     # Classes weigh alike whatever their sizes.
     ones = max(1, int((label[~rest] > 0).sum()))
     zeros = max(1, int((label[~rest] == 0).sum()))
     top = np.where(label > 0, cost * (ones + zeros) / (2 * ones), cost * (ones + zeros) / (2 * zeros))
     w, bias, dual = np.zeros(SLOTS), 0.0, np.zeros(n)
-    square = np.bincount(doc, value * value, minlength=n) + 1
     order, rng = np.flatnonzero(~rest), np.random.default_rng(7)
     for _ in range(rounds):
         rng.shuffle(order)
@@ -123,7 +130,7 @@ def fit(texts: list[str], label: np.ndarray, cost: float = 1.0, rounds: int = 12
                 moved = max(moved, abs(step))
         if moved < 1e-4:
             break
-    margin = np.bincount(doc, w[slot] * value, minlength=n) + bias
+    margin = np.array([w[slot[a:b]] @ value[a:b] for a, b in zip(edge, edge[1:])]) + bias
     curve = rest if 0 < label[rest].sum() < rest.sum() else ~rest
     slope, offset = labelled.platt(margin[curve], label[curve])
     return {"weights": (w * r).astype(np.float32), "bias": float(bias), "slope": slope, "offset": offset}
@@ -131,7 +138,7 @@ def fit(texts: list[str], label: np.ndarray, cost: float = 1.0, rounds: int = 12
 
 def score_texts(model: dict, texts: list[str]) -> np.ndarray:
     out = np.empty(len(texts))
-    for a, b in pieces(texts):
+    for a, b in pieces(texts, PIECE):
         doc, slot = features(texts[a:b])
         margin = np.bincount(doc, model["weights"][slot] * _norms(doc, slot, b - a), minlength=b - a) + model["bias"]
         out[a:b] = labelled.logistic(model["slope"] * margin + model["offset"])
@@ -139,7 +146,7 @@ def score_texts(model: dict, texts: list[str]) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2_000, max_chars: int = 8_000_000) -> dict:
-    """Fit on a sample of at most ``max_rows`` labelled documents and ``max_chars`` characters.
+    """Fit on a sample of at most ``max_rows`` labelled documents and about ``max_chars`` characters.
 
     ``labels``: doc_id, label (1 good, 0 bad). Without labelled rows the model scores 0.5.
     """
@@ -151,15 +158,16 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score: the probability of label 1 of every whole text.
 
     Null and empty texts have no features and get the score of the bias. Repeated rows are scored
-    repeatedly, an empty table gives none, further columns are ignored. The model has a fixed size.
+    repeatedly, an empty table gives none, further columns are ignored. A very long text is one piece:
+    memory is about fifty times its size. The model has a fixed size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = score_texts(model, batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], ["doc_id", "score"])
+            values = [score_texts(model, texts) for _, texts in shared.texts_of(batch, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([*values, np.zeros(0)]), pa.float64())], ["doc_id", "score"])
 
-    return shared.id_text(docs).mapInArrow(run, "doc_id long, score double")
+    return shared.id_text(docs).mapInArrow(shared.tidy(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -168,10 +176,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            yield batch.filter(pa.array(score_texts(model, texts) >= threshold))
+            parts = shared.texts_of(batch, batch.schema.get_field_index("text"))
+            keep = [score_texts(model, [t or "" for t in texts]) >= threshold for _, texts in parts]
+            yield batch.filter(pa.array(np.concatenate([*keep, np.zeros(0, bool)])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(shared.tidy(run), docs.schema)
 
 
 def op1_nb_support_vectors(spark, sf_dir: str) -> DataFrame:

@@ -2,27 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is unset (tests, single machine) a temporary folder is made and set.
+    Only a local session without that setting (tests, single machine) gets a temporary folder.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if conf is None:
-        conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf is None:
-        conf = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", conf)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf.rstrip("/")
+    return shared_folder(spark)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -43,6 +40,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: it stays alive and serves other tasks next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task, after which memory is given back."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def texts_of(batch: pa.RecordBatch, column: int, rows: int = 512) -> Iterator[tuple[int, list]]:
+    """Values of a column in lists of some ``rows``, each with the number of its first row."""
+    for at in range(0, batch.num_rows, rows):
+        yield at, batch.column(column).slice(at, rows).to_pylist()
+
+
 #: Bytes of rows, as JSON, that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 
