@@ -7,8 +7,10 @@ its beginnings and end, and transition weights; it is trained by gradient steps
 likelihood. Forward-backward marginals give each token's probability; their sum, through a logistic
 curve, gives the document's score, and tokens above one half give the offending offsets.
 
-A chain is a run of 64 consecutive tokens, so that many chains advance together as one array; a
-document is as many chains as it needs. Only training uses a sample, bounded in rows and characters.
+A document is one chain. It is laid out as rows of 64 tokens, so that all rows of many documents
+advance together as one array: each row's product of transition and emission matrices carries the
+messages from row to row, forward and backward, and the marginals are those of the whole chain.
+Only training uses a sample, bounded in rows and characters.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from . import labelled, shared
 from .textwords import Words, mix, pieces, range_hashes
 
 CHAIN = 64
+#: One in so many clean documents is learned from.
+EIGHTH = 8
 PREFIXES = (3, 4, 5, 6, 7)
 #: Every ASCII byte but letters and digits parts words.
 _GAP = np.ones(256, bool)
@@ -49,15 +53,20 @@ class Tokens:
         self.features = np.empty_like(table)
         self.features[order] = table
 
-    def chains(self) -> np.ndarray:
-        """Token numbers laid out as rows of CHAIN tokens of one document, -1 where a row ends early."""
+    def chains(self) -> tuple[np.ndarray, np.ndarray]:
+        """Token numbers laid out as rows of CHAIN tokens of one document, -1 where a row ends early.
+
+        Also which rows begin a document; the rows of a document follow each other.
+        """
         w = self.words
         rows = -(-w.count // CHAIN)
         base = np.cumsum(rows) - rows
         inside = np.arange(len(w.doc)) - w.first[w.doc]
         out = np.full((int(rows.sum()), CHAIN), -1)
         out[base[w.doc] + inside // CHAIN, inside % CHAIN] = np.arange(len(w.doc))
-        return out
+        first = np.zeros(len(out), bool)
+        first[base[rows > 0]] = True
+        return out, first
 
 
 def _emissions(tokens: Tokens, keys: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -68,42 +77,60 @@ def _emissions(tokens: Tokens, keys: np.ndarray, weights: np.ndarray, bias: floa
     return bias + np.where(keys[at] == tokens.features, weights[at], 0.0).sum(1)
 
 
-def marginals(emission: np.ndarray, chains: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward-backward. emission: per token, for state 1; transition: 2 x 2 log weights.
+def _normal(x: np.ndarray) -> np.ndarray:
+    """Scaled to a sum of one by row: messages are known up to a factor."""
+    return x / x.sum(axis=tuple(range(1, x.ndim)), keepdims=True)
+
+
+def _carried(product: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Messages that enter each row from the left and from the right."""
+    rows = len(product)
+    into, back = np.full((rows, 2), 0.5), np.full((rows, 2), 0.5)
+    starts = np.flatnonzero(first)
+    sizes = np.diff(np.r_[starts, rows])
+    for k in range(1, int(sizes.max(initial=0))):
+        # The k-th row of all documents that have one, and the k-th from their ends.
+        own = starts[sizes > k] + k
+        into[own] = _normal((into[own - 1, None, :] @ product[own - 1])[:, 0])
+        end = (starts + sizes)[sizes > k] - 1 - k
+        back[end] = _normal((product[end + 1] @ back[end + 1, :, None])[:, :, 0])
+    return into, back
+
+
+def marginals(emission: np.ndarray, chains: np.ndarray, first: np.ndarray, transition: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over whole documents. emission: per token, for state 1; transition: 2 x 2 log weights.
 
-    Returns each token's probability of state 1 and the expected number of each transition.
+    ``chains`` and ``first`` as of ``Tokens.chains``. Returns each token's probability of state 1 and
+    the expected number of each transition; ``weight``: how much the transitions of each row count.
     """
     rows, steps = chains.shape
     real = chains >= 0
     e = np.where(real, emission[chains] if len(emission) else 0.0, 0.0)
     t = np.exp(transition)
-    u = np.exp(np.clip(e, -30, 30))
-    forward, backward = np.empty((steps, rows, 2)), np.empty((steps, rows, 2))
-    f = np.c_[np.ones(rows), u[:, 0]]
-    f /= f.sum(1, keepdims=True)
-    forward[0] = f
-    for i in range(1, steps):
-        g = f @ t
-        g[:, 1] *= u[:, i]
-        g /= g.sum(1, keepdims=True)
-        f = np.where(real[:, i, None], g, f)
-        forward[i] = f
-    b = np.ones((rows, 2))
-    backward[-1] = b
-    expected = np.zeros((2, 2))
-    for i in range(steps - 1, 0, -1):
-        right = b * np.c_[np.ones(rows), u[:, i]]
-        pair = forward[i - 1][:, :, None] * t[None] * right[:, None, :]
-        pair /= pair.sum((1, 2), keepdims=True)
-        expected += pair[real[:, i]].sum(0)
-        g = right @ t.T
-        g /= g.sum(1, keepdims=True)
-        b = np.where(real[:, i, None], g, b)
-        backward[i - 1] = b
-    p = forward * backward
-    p = (p[:, :, 1] / p.sum(2)).T
+    u = np.stack([np.ones_like(e), np.exp(np.clip(e, -30, 30))], 2)
+    # What a step does to a message from the left; the first token of a document has no transition.
+    step = lambda i: np.where(first[:, None, None] & (i == 0), np.eye(2), t) * u[:, i, None, :]
+    product = np.broadcast_to(np.eye(2), (rows, 2, 2))
+    for i in range(steps):
+        product = np.where(real[:, i, None, None], _normal(product @ step(i)), product)
+    into, back = _carried(product, first)
+    forward = np.empty((steps + 1, rows, 2))
+    forward[0] = f = into
+    for i in range(steps):
+        f = forward[i + 1] = np.where(real[:, i, None], _normal((f[:, None, :] @ step(i))[:, 0]), f)
+    weight = np.ones(rows) if weight is None else weight
+    expected, b = np.zeros((2, 2)), back
+    p = np.empty((steps, rows))
+    for i in range(steps - 1, -1, -1):
+        both = forward[i + 1] * b
+        p[i] = both[:, 1] / both.sum(1)
+        right = b * u[:, i]
+        counted = real[:, i] & ~(first & (i == 0))
+        pair = _normal(forward[i][:, :, None] * t[None] * right[:, None, :])
+        expected += (pair[counted] * weight[counted, None, None]).sum(0)
+        b = np.where(counted[:, None], _normal(right @ t.T), b)
     out = np.zeros(len(emission))
-    out[chains[real]] = p[real]
+    out[chains[real]] = p.T[real]
     return out, expected
 
 
@@ -138,16 +165,16 @@ def fit(texts: list[str], label: np.ndarray, rounds: int = 50, penalty: float =
     seeds = _seeds(tokens, label)
     hit = np.isin(tokens.features[:, :-1], seeds).any(1) if len(seeds) else np.zeros(len(tokens.kinds), bool)
     y = hit[tokens.kind] & (label[tokens.words.doc] > 0)
-    # Chains without any toxic token are nearly alike: the field learns from every chain that has
-    # one and from every eighth of the rest, which then counts eight times.
-    chains = tokens.chains()
-    toxic = np.where(chains >= 0, y[chains] if len(y) else False, False)
-    with_one = toxic.any(1)
-    chosen = with_one | (np.arange(len(chains)) % 8 == 0)
-    weight_rest = 8.0
-    used = np.zeros(len(y), bool)
-    used[chains[chosen][chains[chosen] >= 0]] = True
-    importance = np.where(with_one[np.searchsorted(chains[:, 0], np.arange(len(y)), side="right") - 1], 1.0, weight_rest) if len(y) else np.zeros(0)
+    # Clean documents are nearly alike: the field learns from all toxic ones and from every eighth of
+    # the clean, which then counts eight times, in emissions and in transitions.
+    chains, first = tokens.chains()
+    clean = np.cumsum(label == 0)
+    importance = np.where(label > 0, 1.0, np.where(clean % EIGHTH == 1, float(EIGHTH), 0.0))
+    doc_of_row = tokens.words.doc[chains[:, 0]] if len(chains) else np.zeros(0, np.int64)
+    taken = importance[doc_of_row] > 0
+    c, begins, weight = chains[taken], first[taken], importance[doc_of_row[taken]]
+    by_token = importance[tokens.words.doc]
+    used = by_token > 0
     own = np.bincount(tokens.kind[used], minlength=len(tokens.kinds)) > 0 if len(y) else np.zeros(0, bool)
     values, counts = np.unique(tokens.features[own], return_counts=True)
     keys = values[((counts >= 2) | np.isin(values, seeds)) & (values != 0)]
@@ -155,15 +182,15 @@ def fit(texts: list[str], label: np.ndarray, rounds: int = 50, penalty: float =
     if len(keys) and y.any():
         at = np.minimum(np.searchsorted(keys, tokens.features), len(keys) - 1)
         at = np.where(keys[at] == tokens.features, at, len(keys))
+        # Transitions of the labels: each token and the one before it in its document.
         gold = np.zeros((2, 2))
-        c = chains[chosen]
-        pairs = (c[:, :-1] >= 0) & (c[:, 1:] >= 0)
-        np.add.at(gold, (y[c[:, :-1]][pairs].astype(int), y[c[:, 1:]][pairs].astype(int)), 1.0)
+        after = np.flatnonzero(used[1:] & (tokens.words.doc[1:] == tokens.words.doc[:-1])) + 1
+        np.add.at(gold, (y[after - 1].astype(int), y[after].astype(int)), by_token[after])
         mean, square = np.zeros(len(keys) + 5), np.zeros(len(keys) + 5)
         for k in range(1, rounds + 1):
             emission = bias + np.r_[weights, 0.0][at].sum(1)
-            p, expected = marginals(emission[tokens.kind], c, transition)
-            error = np.where(used, (y - p) * importance, 0.0)
+            p, expected = marginals(emission[tokens.kind], c, begins, transition, weight)
+            error = np.where(used, (y - p) * by_token, 0.0)
             by_kind = np.bincount(tokens.kind, error, minlength=len(tokens.kinds))
             g = np.bincount(at.ravel(), np.repeat(by_kind, at.shape[1]), minlength=len(keys) + 1)[:-1] - penalty * weights
             g = np.r_[g, by_kind.sum(), (gold - expected).ravel()]
@@ -174,14 +201,14 @@ def fit(texts: list[str], label: np.ndarray, rounds: int = 50, penalty: float =
         keep = np.abs(weights) > 1e-3
         keys, weights = keys[keep], weights[keep]
     model = {"keys": keys, "weights": weights, "bias": float(bias), "transition": transition, "slope": 1.0, "offset": 0.0}
-    sums = _sums(model, tokens, chains, len(texts))[0]
+    sums = _sums(model, tokens, len(texts))[0]
     model["slope"], model["offset"] = labelled.platt(np.log(sums + 1e-3), label)
     return model
 
 
-def _sums(model: dict, tokens: Tokens, chains: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _sums(model: dict, tokens: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
     emission = _emissions(tokens, model["keys"], model["weights"], model["bias"])[tokens.kind]
-    p, _ = marginals(emission, chains, model["transition"])
+    p, _ = marginals(emission, *tokens.chains(), model["transition"])
     return np.bincount(tokens.words.doc, p, minlength=n), p
 
 
@@ -190,7 +217,7 @@ def tag_texts(model: dict, texts: list[str]) -> tuple[np.ndarray, list[list[tupl
     scores, spans = np.empty(len(texts)), [[] for _ in texts]
     for a, b in pieces(texts):
         tokens = Tokens(texts[a:b])
-        sums, p = _sums(model, tokens, tokens.chains(), b - a)
+        sums, p = _sums(model, tokens, b - a)
         scores[a:b] = labelled.logistic(model["slope"] * np.log(sums + 1e-3) + model["offset"])
         words = tokens.words
         for i in np.flatnonzero(p >= 0.5):
@@ -214,17 +241,19 @@ def tag(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score, spans (start, end in code points): toxicity of every whole text.
 
     Null and empty texts have no tokens and get the score of an expected count of zero. Repeated rows
-    are tagged repeatedly, an empty table gives none, further columns are ignored.
+    are tagged repeatedly, an empty table gives none, further columns are ignored. A very long text is
+    one chain, whose task takes about forty times its size.
     """
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, spans = tag_texts(model, batch.column(1).to_pylist())
-            rows = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], kind)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), rows], ["doc_id", "score", "spans"])
+            for at, texts in shared.texts_of(batch, 1):
+                scores, spans = tag_texts(model, texts)
+                rows = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(scores, pa.float64()), rows], ["doc_id", "score", "spans"])
 
-    return shared.id_text(docs).mapInArrow(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
+    return shared.id_text(docs).mapInArrow(shared.tidy(run), "doc_id long, score double, spans array<struct<start:int,end:int>>")
 
 
 def op9_crf_toxicity(spark, sf_dir: str) -> DataFrame:

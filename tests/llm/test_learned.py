@@ -47,20 +47,31 @@ def test_toxic_spans_are_learned_from_document_labels():
     assert sum(bool(s) for s, bad in zip(spans, y[300:]) if bad) >= 20
 
 
-def test_marginals_equal_enumeration():
+@pytest.mark.parametrize("width", [6, 3, 2, 1])
+def test_marginals_equal_enumeration(width):
+    """One document of seven tokens and one of two, in rows of any width: messages cross the rows."""
     rng = np.random.default_rng(3)
-    emission, transition = rng.standard_normal(5), rng.standard_normal((2, 2))
-    chains = np.array([[0, 1, 2, 3, 4, -1]])
-    p, expected = toxicity.marginals(emission, chains, transition)
-    total, one, pairs = 0.0, np.zeros(5), np.zeros((2, 2))
-    for code in range(32):
-        s = [code >> i & 1 for i in range(5)]
-        w = np.exp(sum(emission[i] * s[i] for i in range(5)) + sum(transition[s[i], s[i + 1]] for i in range(4)))
-        total += w
-        one += w * np.array(s)
-        for i in range(4):
-            pairs[s[i], s[i + 1]] += w
-    assert np.allclose(p, one / total) and np.allclose(expected, pairs / total)
+    emission, transition = 2 * rng.standard_normal(9), rng.standard_normal((2, 2))
+    rows, first = [], []
+    for tokens in (range(7), range(7, 9)):
+        for k, i in enumerate(range(0, len(tokens), width)):
+            own = list(tokens[i : i + width])
+            rows.append(own + [-1] * (width - len(own)))
+            first.append(k == 0)
+    p, expected = toxicity.marginals(emission, np.array(rows), np.array(first), transition)
+    one, pairs = np.zeros(9), np.zeros((2, 2))
+    for a, b in ((0, 7), (7, 9)):
+        n, total, own, moved = b - a, 0.0, np.zeros(b - a), np.zeros((2, 2))
+        for code in range(1 << n):
+            s = [code >> i & 1 for i in range(n)]
+            w = np.exp(sum(emission[a + i] * s[i] for i in range(n)) + sum(transition[s[i], s[i + 1]] for i in range(n - 1)))
+            total += w
+            own += w * np.array(s)
+            for i in range(n - 1):
+                moved[s[i], s[i + 1]] += w
+        one[a:b] = own / total
+        pairs += moved / total
+    assert np.allclose(p, one) and np.allclose(expected, pairs)
 
 
 @pytest.mark.parametrize("module", [quality, toxicity])
@@ -79,7 +90,7 @@ def test_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, "x" * 100) for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, label int")
     assert labelled.sample(docs, labels, 50, 10**9).count() == 50
-    assert labelled.sample(docs, labels, 150, 1_050).count() == 10
+    assert labelled.sample(docs, labels, 150, 1_050).count() == 11
     again = labelled.sample(docs.repartition(7), labels.repartition(3), 50, 10**9)
     assert sorted(labelled.sample(docs, labels, 50, 10**9).collect()) == sorted(again.collect())
 
