@@ -1,17 +1,18 @@
 """SimHash fingerprints and exact near-duplicate links between them.
 
 Fingerprints are compared in tiles with exclusive-or and bit counts. A tile holds the distinct
-fingerprints whose four 16-bit quarters have the same population counts. Two fingerprints within
-radius r cannot lie in tiles whose counts differ by more than r in sum, so only those tile pairs
-meet. Each fingerprint visits the tiles above its own in that range (21 at radius 2): the rows that
-are shuffled grow with the number of distinct fingerprints, whatever the number of copies. A tile
-returns a spanning star for each local group, never all pairs.
+fingerprints whose parts (four of 16 bits, or eight of 8 bits for a large corpus) have the same
+population counts. Two fingerprints within radius r cannot lie in tiles whose counts differ by more
+than r in sum, so only those tile pairs meet. Each fingerprint visits the tiles above its own in that
+range (21 of four parts at radius 2, 73 of eight), so the rows that are shuffled grow with the number
+of distinct fingerprints, whatever the number of copies. A tile of more than HOMES_PER_TILE
+fingerprints is cut into blocks, and only those who visit such a tile visit each of its blocks. A
+tile returns a spanning star for each local group, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,9 @@ from . import components, shared
 
 SEED = 42
 ROWS_PER_GROUP = 150_000
-HOMES_PER_TILE = 4_000_000
+HOMES_PER_TILE = 250_000
+#: Distinct fingerprints from which on eight parts part them better than four.
+MANY = 30_000_000
 
 
 def fingerprint(text: str, width: int = 3) -> int:
@@ -55,16 +58,18 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
+            values = np.array([fingerprint(t, width) for _, texts in shared.texts_of(batch, 1) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
-    return shared.id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return shared.id_text(docs).mapInArrow(shared.tidy(run), "doc_id long, fp long")
 
 
-def _offsets(radius: int) -> list[tuple[int, ...]]:
-    """Differences of the four counts within the radius, one of each pair of opposites."""
-    steps = product(range(-radius, radius + 1), repeat=4)
-    return [d for d in steps if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0)]
+def _offsets(radius: int, parts: int) -> list[tuple[int, ...]]:
+    """Differences of the counts within the radius, one of each pair of opposites."""
+    found = [()]
+    for _ in range(parts):
+        found = [(*d, x) for d in found for x in range(-radius, radius + 1) if sum(map(abs, d)) + abs(x) <= radius]
+    return [d for d in found if d >= (0,) * parts]
 
 
 class _Forest:
@@ -107,7 +112,7 @@ def _stars(tile: np.ndarray, fp: np.ndarray, home: np.ndarray, node: np.ndarray,
     return node[linked], node[forest.root[linked]]
 
 
-def link_components(prints: DataFrame, radius: int = 2) -> DataFrame:
+def link_components(prints: DataFrame, radius: int = 2, parts: int | None = None, homes_per_tile: int = HOMES_PER_TILE) -> DataFrame:
     """fp, node, component: for each distinct fingerprint its smallest doc_id and its component.
 
     ``prints``: doc_id, fp (as from ``fingerprints``). Two fingerprints link at ``radius`` or fewer
@@ -115,22 +120,33 @@ def link_components(prints: DataFrame, radius: int = 2) -> DataFrame:
     """
     distinct = shared.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
     total = distinct.count()
-    spread = 1 + total // HOMES_PER_TILE
-    offsets = _offsets(radius)
-    groups = max(1, -(-total * len(offsets) * spread // ROWS_PER_GROUP))
-    quarters = [F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))) for i in range(4)]
+    parts = parts or (4 if total < MANY else 8)
+    width = 64 // parts
+    offsets = _offsets(radius, parts)
+    counts = [F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(F.lit((1 << width) - 1))) for i in range(parts)]
+
+    def tile(shift: str = "0") -> str:
+        """Number of the tile with the given differences from the fingerprint's own counts."""
+        digits = [f"(q{i} + {shift.format(i=i)})" for i in range(parts)]
+        return " + ".join(f"{d} * {(width + 1) ** (parts - 1 - i)}L" for i, d in enumerate(digits))
+
+    counted = distinct.select("fp", "node", *(q.alias(f"q{i}") for i, q in enumerate(counts)))
+    # Tiles too large for one task: at most one for each homes_per_tile fingerprints.
+    large = shared.materialise(counted.groupBy(F.expr(tile()).alias("tile")).count().where(F.col("count") > homes_per_tile).select("tile", F.ceil(F.col("count") / homes_per_tile).cast("int").alias("blocks")))
     visits = (
-        distinct.select("fp", "node", *(q.alias(f"q{i}") for i, q in enumerate(quarters)))
-        .withColumn("d", F.explode(F.array(*(F.struct(*(F.lit(x).alias(f"d{i}") for i, x in enumerate(d))) for d in offsets))))
-        .where(" and ".join(f"q{i} + d.d{i} between 0 and 16" for i in range(4)))
-        .select("fp", "node", F.expr("((q0 + d.d0) * 17 + q1 + d.d1) * 289 + (q2 + d.d2) * 17 + q3 + d.d3").cast("int").alias("tile"), F.expr(" and ".join(f"d.d{i} = 0" for i in range(4))).alias("home"))
+        counted.withColumn("d", F.explode(F.array(*(F.struct(*(F.lit(x).alias(f"d{i}") for i, x in enumerate(d))) for d in offsets))))
+        .where(" and ".join(f"q{i} + d.d{i} between 0 and {width}" for i in range(parts)))
+        .select("fp", "node", F.expr(tile("d.d{i}")).alias("tile"), F.expr(" and ".join(f"d.d{i} = 0" for i in range(parts))).alias("home"))
+        .join(shared.bounded(large), "tile", "left")
+        .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     )
-    # A tile of very many homes is cut into blocks; whoever visits it, its homes included, visits each.
-    own = F.pmod(F.xxhash64("fp"), F.lit(spread)).cast("int")
-    visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).withColumn("home", F.col("home") & (F.col("block") == own))
+    # Whoever visits a tile that is cut into blocks, its homes included, visits each of them.
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("home", F.col("home") & (F.col("block") == own)).drop("blocks")
+    groups = max(1, -(-total * len(offsets) // ROWS_PER_GROUP))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf["tile"].to_numpy(np.int64) * spread + pdf["block"].to_numpy(np.int64)
+        key = np.unique(np.stack([pdf["tile"].to_numpy(np.int64), pdf["block"].to_numpy(np.int64)], 1), axis=0, return_inverse=True)[1].ravel()
         a, b = _stars(key, pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["home"].to_numpy(bool), pdf["node"].to_numpy(np.int64), radius)
         return pd.DataFrame({"a": a, "b": b})
 
@@ -143,7 +159,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     """doc_id, fp, component_id for every document.
 
     Null and empty texts and texts of white space have fingerprint zero and link like any other.
-    Texts of fewer words than ``width`` are one shingle. Repeated rows come out repeatedly; an empty
+    Texts of fewer words than ``width`` are one shingle; of a very long text all shingles' hashes are
+    held at once, about thirty times its size. Repeated rows come out repeatedly; an empty
     table gives an empty result; further columns and rows without an id are ignored.
     """
     prints = shared.materialise(fingerprints(docs, width))
