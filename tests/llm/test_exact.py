@@ -94,8 +94,8 @@ def test_simhash_links_equal_brute_force(spark):
             v ^= 1 << rng.randrange(64)
         prints[i] = v
     df = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in prints.items()], "doc_id long, fp long")
-    for radius in (0, 2, 3):
-        groups = {r.fp & (2**64 - 1): r.component for r in simhash.link_components(df, radius).collect()}
+    for radius, parts, homes in ((0, 4, 1000), (2, 4, 1000), (3, 4, 1000), (2, 8, 1000), (2, 4, 3), (2, 8, 1)):
+        groups = {r.fp & (2**64 - 1): r.component for r in simhash.link_components(df, radius, parts, homes).collect()}
         expected = brute_components(prints, radius)
         assert all(groups[v] == expected[i] for i, v in prints.items())
 
@@ -195,21 +195,32 @@ def test_nearest_reaches_the_brute_force(spark):
     x = rng.standard_normal((3000, 16)) * rng.uniform(0.5, 2, (3000, 1))
     x[100:400] = x[7]
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [None] * 16), (9004, [1.0]), (None, [1.0] * 16), (5, x[5].tolist())]
-    df = nearest.usable(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
-    assert df.count() == 3000
-    found = nearest.search(df, df.where("vec_id % 20 = 0"), 20).toPandas()
-    hits = total = 0
-    for q, g in found.groupby("query_id"):
-        score = (x * x[q]).sum(1)
-        order = [i for i in np.lexsort((np.arange(3000), -score)) if i != q][:20]
-        own = g.sort_values("rank")
-        hits, total = hits + len(set(own.vec_id) & set(order)), total + 20
-        assert np.allclose(own.score, score[own.vec_id]) and list(own["rank"]) == list(range(1, 21))
-    assert found.query_id.nunique() == 150 and hits / total >= 0.95
-    by_rank = found.sort_values(["query_id", "rank"])
-    assert list(by_rank.vec_id) == list(found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).vec_id)
-    assert (by_rank.query_id != by_rank.vec_id).all()
-    assert nearest.search(df.limit(0), df, 5).count() == 0
+    df = nearest.usable(spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumns({"cell": F.lit("clash"), "f": F.lit(1), "kth": F.lit(2)}))
+    assert df.count() == 3001
+    asked = df.where("vec_id % 20 = 0")
+    # In one cell; in cells fitted on all; in blocks of cells fitted on a few.
+    for sample, block in ((50_000, 16_384), (50_000, 200), (100, 150)):
+        found = nearest.search(df, asked, 20, sample=sample, block=block).toPandas()
+        hits = total = 0
+        for q, g in found.groupby("query_id"):
+            score = (x * x[q]).sum(1)
+            order = [i for i in np.lexsort((np.arange(3000), -score)) if i != q][:20]
+            own = g.sort_values("rank")
+            hits, total = hits + len(set(own.vec_id) & set(order)), total + 20
+            assert np.allclose(own.score, score[own.vec_id]) and list(own["rank"]) == list(range(1, 21))
+        assert found.query_id.nunique() == 150 and hits / total >= 0.95
+        by_rank = found.sort_values(["query_id", "rank"])
+        assert list(by_rank.vec_id) == list(found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).vec_id)
+        assert (by_rank.query_id != by_rank.vec_id).all()
+    assert nearest.search(df.limit(0), df, 5).count() == 0 and nearest.search(df, df.limit(0), 5).count() == 0
+
+
+def test_cells_hold_every_point_once():
+    rng = np.random.default_rng(4)
+    points = np.r_[rng.standard_normal((500, 3)), np.zeros((200, 3)), rng.integers(0, 2, (100, 3))]
+    nodes = nearest.kd_cells(points, 20)
+    cells = nearest.cell_of(nodes, points)
+    assert len(np.unique(cells)) == len(nodes) + 1 and np.bincount(cells).max() >= 200 and np.median(np.bincount(cells)) <= 20
 
 
 def test_chi_square_distribution():
@@ -263,8 +274,8 @@ def test_recurring_windows_of_split_shards(spark, monkeypatch):
     lines = [" ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(50)) for _ in range(6)]
     texts = {i: " ".join(rng.choice(lines) if rng.random() < 0.5 else f"own{i} word{rng.random()}" for _ in range(rng.randint(1, 9))) for i in range(60)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    for salt_blocks in (1, 3, 4096):
-        found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_recurring(df, 35, salt_blocks).collect()}
+    for salt_bytes in (1, 500, 1 << 20):
+        found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_recurring(df, 35, salt_bytes).collect()}
         assert found == brute_removed(texts, 35)
 
 
