@@ -11,8 +11,8 @@ Each block is the shard of the passages it holds first. Its automaton (pyahocora
 to the shard of their first block and streamed through its automaton to locate every occurrence, and
 each window around an occurrence is compared word by word with the shard's. Only what is found there
 is removed: hashes confirm and route, but equal hashes of different windows remove nothing. A block
-sends equal passages once, so a passage that all documents hold costs a shard one copy a block;
-beyond some thousand blocks a shard is split (``SALT_BLOCKS``).
+sends equal passages once, so a passage that all documents hold costs a shard one copy a block; a
+shard that gets more than SALT_BYTES is split over tasks, each with the shard's own passages.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from . import shared
 from .textwords import Words, mix, powers
 
 WINDOW = 35
-#: Blocks that send passages to one task of a shard.
-SALT_BLOCKS = 4096
+#: Compressed bytes of passages that one task of a shard streams, about a block's text.
+SALT_BYTES = 512 << 10
 _GRAM = 0xD6E8FEB86659FD93
 _GRAM_INVERSE = pow(_GRAM, -1, 1 << 64)
 _POWERS: list[np.ndarray] = [powers(_GRAM, 1), powers(_GRAM_INVERSE, 1)]
@@ -204,7 +204,7 @@ def _unpack(data: bytes) -> list[bytes]:
     return B.zstandard.ZstdDecompressor().decompressobj().decompress(data).split(b"\n")
 
 
-def remove_recurring(docs: DataFrame, window: int = WINDOW, salt_blocks: int = SALT_BLOCKS) -> DataFrame:
+def remove_recurring(docs: DataFrame, window: int = WINDOW, salt_bytes: int = SALT_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept: every whole text without words of recurring windows.
 
     A window of ``window`` consecutive words recurs if its word sequence also starts anywhere else,
@@ -217,7 +217,6 @@ def remove_recurring(docs: DataFrame, window: int = WINDOW, salt_blocks: int = S
     rows = shared.id_text(docs).withColumn("mark", F.lit(False))
     first_buckets, second_buckets = B.buckets(rows, 0.02), B.buckets(rows, 0.05)
     blocks = B.pack(rows)
-    salts = max(1, -(-blocks.count() // salt_blocks))
 
     def ask_phrases(_: int, own: B.Documents) -> tuple[np.ndarray, list[np.ndarray]]:
         keys, twice = Block(own.texts, window, phrase).phrases()
@@ -245,9 +244,8 @@ def remove_recurring(docs: DataFrame, window: int = WINDOW, salt_blocks: int = S
         for shard, runs in own_passages(held, answer):
             texts, which = _distinct(held, runs)
             times = B.squeeze(np.bincount(which, minlength=len(texts)).astype(np.int64))
-            for salt in range(salts) if shard == block else (block % salts,):
-                out.append((shard, salt, block, len(texts), _pack(texts), times))
-        return pd.DataFrame(out, columns=["shard", "salt", "block", "n", "texts", "times"]).astype({"shard": "int64", "salt": "int32", "block": "int64", "n": "int32"})
+            out.append((shard, block, len(texts), _pack(texts), times))
+        return pd.DataFrame(out, columns=["shard", "block", "n", "texts", "times"]).astype({"shard": "int64", "block": "int64", "n": "int32"})
 
     def locate(pdf: pd.DataFrame) -> pd.DataFrame:
         """Coverage of the words of every passage sent to a shard, one after the other."""
@@ -271,7 +269,12 @@ def remove_recurring(docs: DataFrame, window: int = WINDOW, salt_blocks: int = S
             out.append((number, 3, number, B.squeeze(np.concatenate([covered(t, shard.recurring(t)) for t in texts]))))
         return pd.DataFrame(out, columns=["block", "kind", "bucket", "data"]).astype({"block": "int64", "kind": "int32", "bucket": "long"})
 
-    routed = B.meet(blocks, known, route, "shard long, salt int, block long, n int, texts binary, times binary")
+    routed = shared.stored(B.meet(blocks, known, route, "shard long, block long, n int, texts binary, times binary"), "passages")
+    # One row for each shard that is split, at most one a block.
+    load = routed.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("texts")) / salt_bytes).cast("int").alias("salts")).where("salts > 1")
+    routed = routed.join(shared.bounded(shared.materialise(load)), "shard", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    salt = F.when(F.col("shard") == F.col("block"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("block"), F.col("salts")).cast("int")))
+    routed = routed.withColumn("salt", F.explode(salt)).drop("salts")
     found = shared.stored(routed.groupBy("shard", "salt").applyInPandas(locate, "block long, kind int, bucket long, data binary"), "located")
 
     def finish(block: int, own: B.Documents, answer: pd.DataFrame) -> pd.DataFrame:
