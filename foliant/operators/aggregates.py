@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Reasons for leaving an image as it is, in the order in which they are listed.
 SKIPS = ["cmyk", "special", "mask", "transparency", "jpeg2000", "other", "decode", "undecodable"]
 
 
@@ -122,14 +123,16 @@ def mask_stats(cells: DataFrame, masks: DataFrame) -> DataFrame:
 def column_grid(cells: DataFrame, declared: DataFrame, width: float, limit: int = 63, least: float = 18.0) -> DataFrame:
     """tbl, columns, known, share, placeholder: the number of columns a table needs and their widths.
 
-    ``cells``: tbl, r, grid_span, w (width of the cell, 0 if unknown), c. ``declared``: tbl, n, known
+    ``cells``: tbl, r, grid_span, w (width of the cell, 0 if unknown), c, and where rows have them
+    ``before`` and ``after``: columns that the row leaves out at its ends. ``declared``: tbl, n, known
     (columns of the declared grid and their total width). Columns beyond the declared grid take the
     first non-zero width of a single-span cell; the others share what is left, ``least`` at least.
     Tables of more than ``limit`` columns become placeholders.
     """
-    before = Window.partitionBy("tbl", "r").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cells.withColumn("start", F.coalesce(F.sum("grid_span").over(before), F.lit(0)))
-    need = placed.groupBy("tbl").agg(F.max(F.col("start") + F.col("grid_span")).alias("need"))
+    left = Window.partitionBy("tbl", "r").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    ends = lambda c: F.coalesce(F.col(c), F.lit(0)) if c in cells.columns else F.lit(0)
+    placed = cells.withColumn("start", ends("before") + F.coalesce(F.sum("grid_span").over(left), F.lit(0)))
+    need = placed.groupBy("tbl").agg(F.max(F.col("start") + F.col("grid_span") + ends("after")).alias("need"))
     beyond = placed.join(declared, "tbl").where("start >= n and grid_span = 1 and w > 0").groupBy("tbl", "start").agg(F.min_by("w", F.struct("r", "c")).alias("w"))
     widths = beyond.groupBy("tbl").agg(F.count("*").alias("found"), F.sum("w").alias("found_w"))
     joined = declared.join(need, "tbl").join(widths, "tbl", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
+from .project import number_rows
 
 _ISO = r"^\s*(\d{4})-(\d{2})-(\d{2})(?:[Tt ](\d{2}):(\d{2})(?::(\d{2})(?:[.,]\d*)?)?(Z|z|[+-]\d{2}(?::?\d{2})?)?)?\s*$"
 
@@ -61,12 +62,18 @@ def placement_extents(images: DataFrame, draws: DataFrame) -> DataFrame:
 
 
 def assemble_pages(picks: DataFrame, pages: DataFrame) -> DataFrame:
-    """pick_no, source, page, rotation, error: output page i is pick i; bad picks say why."""
+    """pick_no, source, page, rotation, error: output page i is pick i; bad picks say why.
+
+    Without any pick there is one row, whose error says so.
+    """
     counts = pages.groupBy("source").agg(F.count("*").alias("count"))
     own = pages.select("source", "page", F.col("rotate").alias("own"))
     joined = picks.join(counts, "source", "left").join(own, ["source", "page"], "left")
     error = F.when(F.col("count").isNull(), "unknown source").when((F.col("page") < 0) | (F.col("page") >= F.col("count")), "page out of range").when(F.col("rotate") % 90 != 0, "rotation not a multiple of 90")
-    return joined.withColumn("error", error).select("pick_no", "source", "page", F.when(F.col("error").isNull(), F.pmod(F.coalesce("own", F.lit(0)) + F.col("rotate"), F.lit(360))).alias("rotation"), "error")
+    pages_made = joined.withColumn("error", error).select("pick_no", "source", "page", F.when(F.col("error").isNull(), F.pmod(F.coalesce("own", F.lit(0)) + F.col("rotate"), F.lit(360))).alias("rotation"), "error")
+    none = picks.sparkSession.range(1).join(picks.select(F.lit(True).alias("_some")).limit(1), F.lit(True), "left_anti")
+    no_picks = none.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in pages_made.schema.fields[:-1]), F.lit("no picks").alias("error"))
+    return pages_made.unionByName(no_picks)
 
 
 def remap_references(edges: DataFrame, picks: DataFrame) -> DataFrame:
@@ -76,19 +83,31 @@ def remap_references(edges: DataFrame, picks: DataFrame) -> DataFrame:
 
 
 def reachable_objects(edges: DataFrame, roots: DataFrame, stop: Column, max_rounds: int = 1000) -> DataFrame:
-    """id, depth: what can be reached from ``roots`` (id) over ``edges`` (src, dst), breadth first.
+    """id, depth, new_id: what can be reached from ``roots`` (id) over ``edges`` (src, dst), breadth first.
 
-    Targets for which ``stop`` (over a column id) holds are not entered. Each round joins only the new
-    frontier; visited nodes are kept on disk and the lineage is cut by a checkpoint.
+    Targets for which ``stop`` (over a column id) holds are not entered. ``new_id`` counts from 0
+    without gaps in the order of discovery: roots by ``ord`` where they have one, else by id; then by
+    the new id of the object that leads there, and by ``ord`` of the edge, else by target. Each round
+    joins only the new frontier; visited nodes are kept on disk and the lineage is cut by a checkpoint.
     """
-    frontier = cut(roots.select("id").distinct().withColumn("depth", F.lit(0)))
-    seen, depth = frontier, 0
+    own = lambda df, other: F.col("ord") if "ord" in df.columns else F.col(other)
+
+    def placed(found: DataFrame, depth: int, before: int) -> DataFrame:
+        """``found``: id, by (its place of discovery, repeats allowed)."""
+        first = found.groupBy("id").agg(F.min("by").alias("by"))
+        return number_rows(first, [F.col("by"), F.col("id")], "new_id").select("id", F.lit(depth).alias("depth"), (F.col("new_id") - 1 + before).alias("new_id"))
+
+    frontier = cut(placed(roots.select("id", own(roots, "id").alias("by")), 0, 0))
+    seen, depth, known = frontier, 0, frontier.count()
+    links = edges.select("src", "dst", own(edges, "dst").alias("_ord"))
     while depth < max_rounds:
         depth += 1
-        step = frontier.join(edges, frontier["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct().where(~F.coalesce(stop, F.lit(False)))
-        frontier = cut(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        step = frontier.join(links, frontier["id"] == links["src"]).select(F.col("dst").alias("id"), F.struct("new_id", "_ord").alias("by")).where(~F.coalesce(stop, F.lit(False)))
+        frontier = cut(placed(step.join(seen.select("id"), "id", "left_anti"), depth, known))
+        new = frontier.count()
+        if not new:
             return seen
+        known += new
         seen = cut(seen.unionByName(frontier))
     return seen
 
@@ -124,25 +143,52 @@ def inherit_attributes(nodes: DataFrame, attributes: list[str], max_depth: int =
     return found.groupBy("id").agg(*nearest)
 
 
-def resolve_cascade(items: DataFrame, styles: DataFrame, properties: list[str], toggles: list[str], defaults: dict) -> DataFrame:
-    """ord and each property: defaults, then style chains from root to leaf, then direct values.
+def resolve_cascade(items: DataFrame, styles: DataFrame, properties: list[str], toggles: list[str], defaults: dict, exclusive: list[tuple[str, str]] | None = None) -> DataFrame:
+    """ord and each property: defaults, then the table, then style chains from root to leaf, then direct values.
 
-    ``items``: ord, style (paragraph), char_style, and direct values as ``d_<property>``. ``styles``:
-    id, based_on, properties. A toggle that paragraph and character style both set is their exclusive
-    or. No default style applies once one is named; a cycle ends the chain.
+    ``items``: ord, style (paragraph), char_style, direct values as ``d_<property>``, and values of
+    the table around as ``t_<property>`` where there are any. ``styles``: id, based_on, properties. A
+    toggle that paragraph and character style both set is their exclusive or. Properties that exclude
+    each other (first-line and hanging indent) come from one layer: whatever sets one of them unsets
+    the other of the layers below. No default style applies once one is named; a cycle or an unknown
+    parent ends the chain.
     """
-    resolved = inherit_attributes(styles.withColumnRenamed("based_on", "parent"), properties)
-    para = resolved.select(F.col("id").alias("style"), *(F.col(p).alias(f"p_{p}") for p in properties))
-    char = resolved.select(F.col("id").alias("char_style"), *(F.col(p).alias(f"c_{p}") for p in properties))
+    pairs = exclusive or []
+    whole = {f"_x{i}": pair for i, pair in enumerate(pairs)}
+    names = [p for p in properties if not any(p in pair for pair in pairs)] + list(whole)
+
+    def layer(prefix: str, df: DataFrame) -> dict[str, Column]:
+        """Columns of the properties of a layer, excluding ones as one struct; what the layer lacks is left out."""
+        found = {p: F.col(prefix + p) for p in names if prefix + p in df.columns}
+        for x, pair in whole.items():
+            if any(prefix + p in df.columns for p in pair):
+                parts = [F.col(prefix + p) if prefix + p in df.columns else F.lit(None) for p in pair]
+                some = parts[0].isNotNull() | parts[1].isNotNull()
+                found[x] = F.when(some, F.struct(*(c.cast("double").alias(p) for c, p in zip(parts, pair))))
+        return found
+
+    own = layer("", styles)
+    resolved = inherit_attributes(styles.select("id", F.col("based_on").alias("parent"), *(c.alias(p) for p, c in own.items())), list(own))
+    para = resolved.select(F.col("id").alias("style"), *(F.col(p).alias(f"p_{p}") for p in own))
+    char = resolved.select(F.col("id").alias("char_style"), *(F.col(p).alias(f"c_{p}") for p in own))
     joined = items.join(para, "style", "left").join(char, "char_style", "left")
-    out = []
-    for p in properties:
-        styled = F.coalesce(f"c_{p}", f"p_{p}")
-        if p in toggles:
-            both = F.col(f"c_{p}").isNotNull() & F.col(f"p_{p}").isNotNull()
-            styled = F.when(both, F.col(f"c_{p}") != F.col(f"p_{p}")).otherwise(styled)
-        out.append(F.coalesce(F.col(f"d_{p}"), styled, F.lit(defaults.get(p))).alias(p))
-    return joined.select("ord", *out)
+    direct, table = layer("d_", items), layer("t_", items)
+    out = {}
+    for p in names:
+        styled = []
+        if p in own:
+            styled = [F.coalesce(f"c_{p}", f"p_{p}")]
+            if p in toggles:
+                both = F.col(f"c_{p}").isNotNull() & F.col(f"p_{p}").isNotNull()
+                styled = [F.when(both, F.col(f"c_{p}") != F.col(f"p_{p}")).otherwise(styled[0])]
+        layers = [*([direct[p]] if p in direct else []), *styled, *([table[p]] if p in table else [])]
+        if p in whole:
+            default = F.struct(*(F.lit(defaults.get(q)).cast("double").alias(q) for q in whole[p]))
+            value = F.coalesce(*layers, default)
+            out |= {q: value[q] for q in whole[p]}
+        else:
+            out[p] = F.coalesce(*layers, F.lit(defaults.get(p)))
+    return joined.select("ord", *(out[p].alias(p) for p in properties))
 
 
 def ranked_lookup(requests: DataFrame, catalog: DataFrame, chains: DataFrame | None = None) -> DataFrame:
@@ -374,10 +420,18 @@ def merge_overrides(base: DataFrame, over: DataFrame, keys: list[str], kind: str
 
 
 def resolve_relationships(refs: DataFrame, rels: DataFrame) -> DataFrame:
-    """ref, kind, target: pictures take internal targets only, links external ones only, else null."""
+    """ref, kind, target: pictures take internal targets only, links external ones only, else null.
+
+    Where both tables have ``part`` (the body, a header), a reference is looked up among the relations
+    of its own part.
+    """
     want_external = F.col("kind") == "link"
-    r = rels.select(F.col("rel_id").alias("_id"), "target", "external")
-    return refs.join(r, (refs["rel_id"] == r["_id"]) & (r["external"] == want_external), "left").select("ref", "kind", "target")
+    by_part = "part" in refs.columns and "part" in rels.columns
+    r = rels.select(F.col("rel_id").alias("_id"), "target", "external", *([F.col("part").alias("_part")] if by_part else []))
+    same = (refs["rel_id"] == r["_id"]) & (r["external"] == want_external)
+    if by_part:
+        same = same & refs["part"].eqNullSafe(r["_part"])
+    return refs.join(r, same, "left").select("ref", "kind", "target")
 
 
 def coverage_split(texts: DataFrame, coverage: DataFrame) -> DataFrame:

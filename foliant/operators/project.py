@@ -106,11 +106,17 @@ def plan_downscale(images: DataFrame, tier: str, page: str = "dpi") -> DataFrame
     return sized.select("img", F.round("page_w", 6).alias("page_w"), F.round("page_h", 6).alias("page_h"), F.round(current, 6).alias("dpi"), tw.alias("target_w"), th.alias("target_h"))
 
 
+#: Filters whose data can be decoded.
+FILTERS = ["DCTDecode", "FlateDecode", "JPXDecode"]
+
+
 def decide_recompression(images: DataFrame, tier: str = "balanced", grayscale: bool = False) -> DataFrame:
     """``images`` with decision and chosen_len, by an ordered list of reasons.
 
     Needs filter, bits, components, has_smask, has_decode, w, h, w_pt, h_pt (placement extent),
-    stored_len, and the measured candidates jpeg_len and flate_est.
+    stored_len, and the measured candidates jpeg_len and flate_est. A colour model other than gray (1),
+    RGB (3) and CMYK (4 components) is "special"; a filter other than ``FILTERS`` is "other"; an image
+    without any candidate could not be decoded.
     """
     cap = TIERS[tier][0]
     if cap is None:
@@ -125,6 +131,9 @@ def decide_recompression(images: DataFrame, tier: str = "balanced", grayscale: b
         .when(F.col("filter") == "JPXDecode", "skip:jpeg2000")
         .when((F.col("w") < 200) | (F.col("h") < 200), "tiny")
         .when(F.col("components") == 4, "skip:cmyk")
+        .when(~F.coalesce(F.col("components").isin(1, 3), F.lit(False)), "skip:special")
+        .when(~F.coalesce(F.col("filter").isin(*FILTERS), F.lit(False)), "skip:other")
+        .when(F.col("jpeg_len").isNull() & F.col("flate_est").isNull(), "skip:undecodable")
         .when(to_gray & F.col("has_decode"), "skip:decode")
         .when(jpeg & target_w.isNull() & ~to_gray, "optimal")
         .when(candidate < F.col("stored_len"), "replace")

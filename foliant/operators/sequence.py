@@ -164,45 +164,50 @@ def running_offsets(rows: DataFrame, group: str, order: str, collapse: bool) ->
 CLOSING = ".,;:!?)"
 
 
+def _fill(tokens: list[str], places: list[int], width: int, room: int) -> list[tuple[int, int, int, int]]:
+    """(line, first, last, used) of the lines that the tokens fill; ``room``: width of the first line."""
+    out: list[tuple[int, int, int, int]] = []
+    used, first, last = 0, -1, -1
+    for at, token in zip(places, tokens):
+        text, ends = (token.replace("\n", ""), True) if "\n" in token else (token, False)
+        # One closing mark may hang over the end of a line.
+        hang = 1 if text and text[-1] in CLOSING else 0
+        if first >= 0 and used + 1 + len(text) - hang <= room:
+            used += 1 + len(text)
+        else:
+            if first >= 0:
+                out.append((len(out), first, last, used))
+                room = width
+            while len(text) - hang > room:
+                out.append((len(out), at, at, room))
+                text, room = text[room:], width
+                hang = 1 if text and text[-1] in CLOSING else 0
+            first, used = at, len(text)
+        last = at
+        if ends:
+            out.append((len(out), first, last, used))
+            used, first, room = 0, -1, width
+    if first >= 0:
+        out.append((len(out), first, last, used))
+    return out
+
+
 def pack_tokens(tokens: DataFrame, width: int, first_indent: int = 0) -> DataFrame:
     """doc_id, line, first, last, used: greedy lines of tokens (doc_id, pos, tok), parted by one space.
 
-    A token with a line break ends its line; trailing spaces and one closing mark do not count when
-    a line's fit is judged; a token wider than a line is cut at character borders.
+    A token with a line break ends its line; one closing mark does not count when a line's fit is
+    judged; a token wider than a line is cut at character borders. A line depends on those before it,
+    so a document's tokens are one row of arrays; many documents share a batch.
     """
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        out, line, used, first, last, room = [], 0, 0, None, None, max(1, width - first_indent)
-        doc = int(pdf["doc_id"].iloc[0])
-
-        def close() -> None:
-            nonlocal line, used, first, last, room
-            if first is not None:
-                out.append((doc, line, first, last, used))
-                line, used, first, last, room = line + 1, 0, None, None, width
-
-        for pos, tok in zip(pdf["pos"].tolist(), pdf["tok"].tolist()):
-            parts = tok.replace("\n", "")
-            glue = 0 if first is None else 1
-            while True:
-                shown = len(parts) - (1 if parts[-1:] in CLOSING and parts else 0)
-                if first is None and shown > room:
-                    out.append((doc, line, pos, pos, room))
-                    parts, line, room = parts[room:], line + 1, width
-                    continue
-                if used + glue + shown <= room or first is None:
-                    first = pos if first is None else first
-                    used, last = used + glue + len(parts), pos
-                    break
-                close()
-                glue = 0
-            if "\n" in tok:
-                close()
-        close()
-        return pd.DataFrame(out, columns=["doc_id", "line", "first", "last", "used"]).astype("int64")
-
-    return tokens.groupBy("doc_id").applyInPandas(pack, "doc_id long, line long, first long, last long, used long")
+    @F.pandas_udf("array<struct<line:bigint,first:bigint,last:bigint,used:bigint>>")
+    def fill(toks: pd.Series, places: pd.Series) -> pd.Series:
+        names = ("line", "first", "last", "used")
+        return pd.Series([[dict(zip(names, x)) for x in _fill(list(t), list(p), width, max(1, width - first_indent))] for t, p in zip(toks, places)])
+
+    rows = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), "tok"))).alias("t"))
+    lines = rows.select("doc_id", fill(F.transform("t", lambda x: x["tok"]), F.transform("t", lambda x: x["pos"])).alias("l"))
+    return lines.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode("l").alias("l")).select("doc_id", "l.*")
 
 
 TOLERANCE = 0.001

@@ -26,8 +26,7 @@ def a2_fidelity_counts(spark, sf_dir):
 
 
 def a3_compression_rollup(spark, sf_dir):
-    images, draws = views(spark, sf_dir, "V_IMAGES", "V_DRAWS")
-    decided = P.decide_recompression(images.join(J.placement_extents(images, draws), "img"), "balanced")
+    decided = P.decide_recompression(_files.measured_images(spark, sf_dir), "balanced")
     return A.compression_rollup(decided, "doc")
 
 
@@ -61,12 +60,12 @@ def a8_set_parity(spark, sf_dir):
 
 def a9_mask_stats(spark, sf_dir):
     (masks,) = views(spark, sf_dir, "V_MASKS")
-    return A.mask_stats(masks.where("x > 5 and y > 6"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("mask")))
+    return A.mask_stats(masks, table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("mask")))
 
 
 def a10_column_grid(spark, sf_dir):
     (cells,) = views(spark, sf_dir, "V_CELLS")
-    own = cells.withColumn("w", F.when(F.col("color") % 6 == 1, 0.0).otherwise(10.0 + F.col("color") % 40))
+    own = cells.withColumns({"w": F.when(F.col("color") % 6 == 1, 0.0).otherwise(10.0 + F.col("color") % 40), "before": F.when(F.col("r") % 3 == 1, F.col("tbl") % 3), "after": F.col("r") % 2})
     declared = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("tbl"), (F.col("n_nationkey") % 7 + 2).alias("n"), (F.col("n_nationkey") % 5 * 40.0).alias("known"))
     return A.column_grid(own, declared, 480.0, 10)
 
@@ -96,8 +95,8 @@ m AS (SELECT a.doc, CASE WHEN a.page = b.page THEN CAST(abs(a.height - a.line %
 SELECT s.doc, pages_ours, pages_ref, d + abs(pages_ours - pages_ref) AS differing, coalesce(matched, 0) AS matched, coalesce(l[len(l) // 2 + 1], 0.0) AS offset_median, coalesce(mx, 0.0) AS offset_max, iou_mean, iou_min FROM s LEFT JOIN g ON s.doc = g.doc"""),
     "a7_estimate_by_sample": oracle(["V_PARAS"], """n AS (SELECT doc_id, length(text) AS m, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS r FROM V_PARAS) SELECT doc_id, CAST(sum(m) FILTER (r % 8 = 0) * count(*) // count(*) FILTER (r % 8 = 0) AS BIGINT) AS estimate FROM n GROUP BY doc_id"""),
     "a8_set_parity": oracle(["V_FRAGS"], """a AS (SELECT DISTINCT page, text FROM V_FRAGS WHERE frag % 5 < 3), b AS (SELECT DISTINCT page, text FROM V_FRAGS WHERE frag % 7 >= 3), j AS (SELECT coalesce(a.page, b.page) AS page, coalesce(a.text, b.text) AS text, a.page IS NULL AS la, b.page IS NULL AS lb FROM a FULL JOIN b ON a.page = b.page AND a.text = b.text) SELECT page, count(*) FILTER (la OR lb) = 0 AS equal, coalesce(string_agg(text, ',' ORDER BY text) FILTER (lb), '') AS only_a, coalesce(string_agg(text, ',' ORDER BY text) FILTER (la), '') AS only_b, count(*) FILTER (NOT la AND NOT lb) AS common FROM j GROUP BY page"""),
-    "a9_mask_stats": oracle(["V_MASKS"], """b AS (SELECT mask, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM V_MASKS WHERE x > 5 AND y > 6 GROUP BY mask) SELECT vec_id AS mask, coalesce(n, 0) AS n, x0, y0, x1, y1 FROM embeddings LEFT JOIN b ON vec_id = mask"""),
-    "a10_column_grid": oracle(["V_CELLS"], """c AS (SELECT *, CASE WHEN color % 6 = 1 THEN CAST(0 AS DOUBLE) ELSE CAST(10 + color % 40 AS DOUBLE) END AS w, coalesce(sum(grid_span) OVER (PARTITION BY tbl, r ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM V_CELLS), d AS (SELECT n_nationkey AS tbl, n_nationkey % 7 + 2 AS n, CAST(n_nationkey % 5 * 40 AS DOUBLE) AS known FROM nation), need AS (SELECT tbl, max(start + grid_span) AS need FROM c GROUP BY tbl), f AS (SELECT c.tbl, start, arg_min(w, {'r': r, 'c': c}) AS w FROM c JOIN d ON c.tbl = d.tbl WHERE start >= n AND grid_span = 1 AND w > 0 GROUP BY c.tbl, start), s AS (SELECT tbl, count(*) AS found, sum(w) AS fw FROM f GROUP BY tbl), j AS (SELECT d.tbl, CAST(greatest(need, n) AS BIGINT) AS columns, known + coalesce(fw, 0) AS known, greatest(need, n) - n - coalesce(found, 0) AS unknown FROM d JOIN need ON d.tbl = need.tbl LEFT JOIN s ON d.tbl = s.tbl)
+    "a9_mask_stats": oracle(["V_MASKS"], """b AS (SELECT mask, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM V_MASKS GROUP BY mask) SELECT vec_id AS mask, coalesce(n, 0) AS n, x0, y0, x1, y1 FROM embeddings LEFT JOIN b ON vec_id = mask"""),
+    "a10_column_grid": oracle(["V_CELLS"], """c AS (SELECT *, CASE WHEN color % 6 = 1 THEN CAST(0 AS DOUBLE) ELSE CAST(10 + color % 40 AS DOUBLE) END AS w, coalesce(sum(grid_span) OVER (PARTITION BY tbl, r ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN r % 3 = 1 THEN tbl % 3 ELSE 0 END AS start FROM V_CELLS), d AS (SELECT n_nationkey AS tbl, n_nationkey % 7 + 2 AS n, CAST(n_nationkey % 5 * 40 AS DOUBLE) AS known FROM nation), need AS (SELECT tbl, max(start + grid_span + r % 2) AS need FROM c GROUP BY tbl), f AS (SELECT c.tbl, start, arg_min(w, {'r': r, 'c': c}) AS w FROM c JOIN d ON c.tbl = d.tbl WHERE start >= n AND grid_span = 1 AND w > 0 GROUP BY c.tbl, start), s AS (SELECT tbl, count(*) AS found, sum(w) AS fw FROM f GROUP BY tbl), j AS (SELECT d.tbl, CAST(greatest(need, n) AS BIGINT) AS columns, known + coalesce(fw, 0) AS known, greatest(need, n) - n - coalesce(found, 0) AS unknown FROM d JOIN need ON d.tbl = need.tbl LEFT JOIN s ON d.tbl = s.tbl)
 SELECT tbl, columns, round(known, 6) AS known, round(CASE WHEN unknown > 0 THEN greatest((480.0 - known) / unknown, 18.0) END, 6) AS share, columns > 10 AS placeholder FROM j"""),
     "a11_feature_census": oracle(["V_TAGS"], """c AS (SELECT page_id, count(*) FILTER (starts_with(lower(tok), '<script')) AS script, count(*) FILTER (starts_with(lower(tok), '<table')) AS "table", count(*) FILTER (starts_with(lower(tok), '<img')) AS image, count(*) FILTER (starts_with(lower(tok), '<!--')) AS comment, count(*) FILTER (contains(tok, '&')) AS entity FROM V_TAGS GROUP BY page_id) SELECT page_id, feature, n FROM (UNPIVOT c ON script, "table", image, comment, entity INTO NAME feature VALUE n) WHERE n > 0"""),
 }

@@ -70,12 +70,18 @@ def p3_plan_downscale(spark, sf_dir):
     return P.plan_downscale(views(spark, sf_dir, "V_IMAGES")[0], "balanced")
 
 
-def p4_decide_recompression(spark, sf_dir):
+def measured_images(spark, sf_dir):
+    """Images with their placements; some of another colour model, another filter, or without any measured candidate."""
     from ..operators.joins import placement_extents
 
     images, draws = views(spark, sf_dir, "V_IMAGES", "V_DRAWS")
-    placed = placement_extents(images, draws)
-    return P.decide_recompression(images.join(placed, "img"), "balanced").select("img", "decision", "chosen_len")
+    k = F.col("img")
+    images = images.withColumns({"components": F.when(k % 19 == 3, 2).otherwise(F.col("components")), "filter": F.when(k % 23 == 4, "CCITTFaxDecode").otherwise(F.col("filter")), **{c: F.when(k % 29 != 5, F.col(c)) for c in ("jpeg_len", "flate_est")}})
+    return images.join(placement_extents(images, draws), "img")
+
+
+def p4_decide_recompression(spark, sf_dir):
+    return P.decide_recompression(measured_images(spark, sf_dir), "balanced").select("img", "decision", "chosen_len")
 
 
 def p5_decide_fidelity(spark, sf_dir):
@@ -129,8 +135,8 @@ e AS (SELECT req, CASE WHEN k = 6 THEN 'pages count from 1' WHEN k = 7 THEN 'fir
 SELECT req, CAST(pos AS INT) AS pos, CAST(page AS BIGINT) AS page, CAST(NULL AS VARCHAR) AS error FROM (SELECT x.req, generate_subscripts(list_distinct_ordered, 1) - 1 AS pos, unnest(list_distinct_ordered) AS page FROM x JOIN e ON x.req = e.req WHERE e.error IS NULL) UNION ALL SELECT req, NULL, NULL, error FROM e WHERE error IS NOT NULL"""),
     "p3_plan_downscale": oracle(["V_IMAGES"], _SIZED + """, cur AS (SELECT *, greatest(w / (page_w / 72.0), h / (page_h / 72.0)) AS c FROM sz), t AS (SELECT *, greatest(CAST(round(w * (200.0 / c)) AS INT), 1) AS tw, greatest(CAST(round(h * (200.0 / c)) AS INT), 1) AS th FROM cur)
 SELECT img, round(page_w, 6) AS page_w, round(page_h, 6) AS page_h, round(c, 6) AS dpi, CASE WHEN c > CAST(200.0 AS DOUBLE) * 1.02 AND (tw < w OR th < h) THEN tw END AS target_w, CASE WHEN c > CAST(200.0 AS DOUBLE) * 1.02 AND (tw < w OR th < h) THEN th END AS target_h FROM t"""),
-    "p4_decide_recompression": oracle(["V_IMAGES", "V_DRAWS"], """d AS (SELECT img, max(w_pt) AS w_pt, max(h_pt) AS h_pt FROM V_DRAWS GROUP BY img), i AS (SELECT V_IMAGES.*, coalesce(w_pt, 595.0) AS w_pt, coalesce(h_pt, 842.0) AS h_pt FROM V_IMAGES LEFT JOIN d USING (img)), c AS (SELECT *, greatest(w / (w_pt / 72.0), h / (h_pt / 72.0)) AS cur, CASE WHEN filter <> 'DCTDecode' AND flate_est <= jpeg_len * 1.5 THEN flate_est ELSE jpeg_len END AS cand FROM i),
-x AS (SELECT *, CASE WHEN bits <> 8 THEN 'skip:mask' WHEN has_smask THEN 'skip:transparency' WHEN filter = 'JPXDecode' THEN 'skip:jpeg2000' WHEN w < 200 OR h < 200 THEN 'tiny' WHEN components = 4 THEN 'skip:cmyk' WHEN filter = 'DCTDecode' AND NOT (cur > CAST(200.0 AS DOUBLE) * 1.02) THEN 'optimal' WHEN cand < stored_len THEN 'replace' ELSE 'kept' END AS decision FROM c)
+    "p4_decide_recompression": oracle(["V_IMAGES", "V_DRAWS"], """d AS (SELECT img, max(w_pt) AS w_pt, max(h_pt) AS h_pt FROM V_DRAWS GROUP BY img), i AS (SELECT img, w, h, bits, has_smask, stored_len, CASE WHEN img % 19 = 3 THEN 2 ELSE components END AS components, CASE WHEN img % 23 = 4 THEN 'CCITTFaxDecode' ELSE filter END AS filter, CASE WHEN img % 29 <> 5 THEN jpeg_len END AS jpeg_len, CASE WHEN img % 29 <> 5 THEN flate_est END AS flate_est, coalesce(w_pt, 595.0) AS w_pt, coalesce(h_pt, 842.0) AS h_pt FROM V_IMAGES LEFT JOIN d USING (img)), c AS (SELECT *, greatest(w / (w_pt / 72.0), h / (h_pt / 72.0)) AS cur, CASE WHEN filter <> 'DCTDecode' AND flate_est <= jpeg_len * 1.5 THEN flate_est ELSE jpeg_len END AS cand FROM i),
+x AS (SELECT *, CASE WHEN bits <> 8 THEN 'skip:mask' WHEN has_smask THEN 'skip:transparency' WHEN filter = 'JPXDecode' THEN 'skip:jpeg2000' WHEN w < 200 OR h < 200 THEN 'tiny' WHEN components = 4 THEN 'skip:cmyk' WHEN components NOT IN (1, 3) THEN 'skip:special' WHEN filter NOT IN ('DCTDecode', 'FlateDecode', 'JPXDecode') THEN 'skip:other' WHEN jpeg_len IS NULL AND flate_est IS NULL THEN 'skip:undecodable' WHEN filter = 'DCTDecode' AND NOT (cur > CAST(200.0 AS DOUBLE) * 1.02) THEN 'optimal' WHEN cand < stored_len THEN 'replace' ELSE 'kept' END AS decision FROM c)
 SELECT img, decision, CASE WHEN decision = 'replace' THEN cand ELSE stored_len END AS chosen_len FROM x"""),
     "p5_decide_fidelity": oracle(["V_IMAGES"], _SIZED + """, c AS (SELECT *, greatest(w / (page_w / 72.0), h / (page_h / 72.0)) > CAST(300.0 AS DOUBLE) * 1.02 AS shrink, filter = 'DCTDecode' AND bits = 8 AND components IN (1, 3) AS ok, flate_est <= jpeg_len * 1.5 AS fl FROM sz)
 SELECT img, doc, CASE WHEN ok AND NOT shrink THEN 'passthrough' WHEN ok AND (CASE WHEN fl THEN flate_est ELSE jpeg_len END) >= stored_len THEN 'passthrough' WHEN fl THEN 'lossless' ELSE 'reencoded' END AS fidelity FROM c"""),

@@ -39,10 +39,14 @@ def j6_inherit_attributes(spark, sf_dir):
 
 
 def j7_resolve_cascade(spark, sf_dir):
+    """Orders as paragraphs: styles of parts, a table around some, indents that exclude each other."""
     (styles,) = views(spark, sf_dir, "V_STYLES")
-    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("ord")).agg(F.min("l_partkey").alias("style"), F.max("l_partkey").alias("char_style"), F.min("l_linenumber").alias("n"))
-    direct = items.select("ord", "style", "char_style", F.when(F.col("n") == 2, 99).alias("d_size_half_pt"), F.when(F.col("n") == 3, True).alias("d_bold"), F.lit(None).cast("string").alias("d_font"))
-    return J.resolve_cascade(direct, styles, ["size_half_pt", "bold", "font"], ["bold"], {"size_half_pt": 21, "bold": False, "font": "base"})
+    k = F.col("id")
+    styles = styles.withColumns({"italic": F.when(k % 6 == 1, k % 4 == 1), "first_line": F.when(k % 7 == 2, k % 10), "hanging": F.when(k % 9 == 4, k % 12)})
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("ord")).agg(F.min("l_partkey").alias("style"), F.max("l_partkey").alias("char_style"), F.min("l_linenumber").alias("n"), F.count("*").alias("m"))
+    direct = {"d_size_half_pt": F.when(F.col("n") == 2, 99), "d_bold": F.when(F.col("n") == 3, True), "t_size_half_pt": F.when(F.col("m") > 3, 33), "t_font": F.when(F.col("m") > 5, "table"), "d_hanging": F.when(F.col("m") == 2, 7), "t_first_line": F.when(F.col("m") > 4, 5)}
+    properties = ["size_half_pt", "bold", "italic", "font", "first_line", "hanging"]
+    return J.resolve_cascade(items.withColumns(direct), styles, properties, ["bold", "italic"], {"size_half_pt": 21, "bold": False, "italic": False, "font": "base", "hanging": 0}, [("first_line", "hanging")])
 
 
 def j8_ranked_lookup(spark, sf_dir):
@@ -118,8 +122,11 @@ def j16_merge_overrides(spark, sf_dir):
 
 
 def j17_resolve_relationships(spark, sf_dir):
+    """Relations of the body and of a header: a reference sees those of its own part."""
     refs, rels = views(spark, sf_dir, "V_REFS", "V_RELS")
-    return J.resolve_relationships(refs.withColumn("kind", F.when(F.col("kind") == "1-URGENT", "link").otherwise("picture")), rels)
+    part = lambda c: F.when(F.col(c) % 5 == 0, "header").otherwise("body")
+    rels = rels.withColumn("part", F.explode(F.when(F.col("rel_id") % 3 == 0, F.array(F.lit("body"), F.lit("header"))).otherwise(F.array(part("rel_id")))))
+    return J.resolve_relationships(refs.withColumn("part", part("ref")).withColumn("kind", F.when(F.col("kind") == "1-URGENT", "link").otherwise("picture")), rels)
 
 
 def j18_coverage_split(spark, sf_dir):
@@ -139,11 +146,16 @@ ORACLE_SQL = {
     "j2_placement_extents": oracle(["V_IMAGES", "V_DRAWS"], "d AS (SELECT img, max(w_pt) AS w, max(h_pt) AS h FROM V_DRAWS GROUP BY img) SELECT i.img, coalesce(d.w, 595.0) AS w_pt, coalesce(d.h, 842.0) AS h_pt FROM V_IMAGES i LEFT JOIN d ON i.img = d.img"),
     "j3_assemble_pages": oracle(["V_PICKS", "V_PAGES"], """c AS (SELECT source, count(*) AS n FROM V_PAGES GROUP BY source), e AS (SELECT k.*, g.rotate AS own, CASE WHEN n IS NULL THEN 'unknown source' WHEN k.page < 0 OR k.page >= n THEN 'page out of range' WHEN k.rotate % 90 <> 0 THEN 'rotation not a multiple of 90' END AS error FROM V_PICKS k LEFT JOIN c ON k.source = c.source LEFT JOIN V_PAGES g ON k.source = g.source AND k.page = g.page) SELECT pick_no, source, page, CASE WHEN error IS NULL THEN ((own + rotate) % 360 + 360) % 360 END AS rotation, error FROM e"""),
     "j4_remap_references": oracle(["V_EDGES", "V_PICKS"], "f AS (SELECT 'c' || CAST(page AS VARCHAR) AS dst, min(pick_no) AS new_dst FROM V_PICKS GROUP BY 1) SELECT e.src, e.dst, f.new_dst FROM V_EDGES e LEFT JOIN f ON e.dst = f.dst"),
-    "j5_reachable_objects": oracle(["V_EDGES"], """r(id, depth) AS (SELECT 'o' || CAST(o_orderkey AS VARCHAR), 0 FROM orders UNION SELECT e.dst, depth + 1 FROM r JOIN V_EDGES e ON r.id = e.src WHERE e.dst <> 'r3' AND depth < 20) SELECT id, CAST(min(depth) AS INT) AS depth FROM r GROUP BY id""", True),
+    "j5_reachable_objects": oracle(["V_EDGES"], """o AS (SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS id, row_number() OVER (ORDER BY 'o' || CAST(o_orderkey AS VARCHAR)) - 1 AS n FROM orders),
+c AS (SELECT id, (SELECT count(*) FROM o) + row_number() OVER (ORDER BY m) - 1 AS n FROM (SELECT e.dst AS id, min(o.n) AS m FROM o JOIN V_EDGES e ON e.src = o.id GROUP BY e.dst)),
+n AS (SELECT id, (SELECT count(*) FROM o) + (SELECT count(*) FROM c) + row_number() OVER (ORDER BY m) - 1 AS n FROM (SELECT e.dst AS id, min(c.n) AS m FROM c JOIN V_EDGES e ON e.src = c.id GROUP BY e.dst)),
+r AS (SELECT id, (SELECT count(*) FROM o) + (SELECT count(*) FROM c) + (SELECT count(*) FROM n) + row_number() OVER (ORDER BY m) - 1 AS n FROM (SELECT e.dst AS id, min(n.n) AS m FROM n JOIN V_EDGES e ON e.src = n.id WHERE e.dst <> 'r3' GROUP BY e.dst))
+SELECT id, CAST(0 AS INT) AS depth, n AS new_id FROM o UNION ALL SELECT id, 1, n FROM c UNION ALL SELECT id, 2, n FROM n UNION ALL SELECT id, 3, n FROM r"""),
     "j6_inherit_attributes": oracle(["V_TREE"], "t AS (SELECT * FROM V_TREE), " + _UP + " SELECT up.id, arg_min(t.a1, depth) AS a1, arg_min(t.a2, depth) AS a2 FROM up JOIN t ON up.anc = t.id GROUP BY up.id", True),
-    "j7_resolve_cascade": oracle(["V_STYLES"], "t AS (SELECT id, based_on AS parent, size_half_pt, bold, font FROM V_STYLES), " + _UP + """, s AS (SELECT up.id, arg_min(size_half_pt, depth) AS size_half_pt, arg_min(bold, depth) AS bold, arg_min(font, depth) AS font FROM up JOIN t ON up.anc = t.id GROUP BY up.id),
-i AS (SELECT l_orderkey AS ord, min(l_partkey) AS style, max(l_partkey) AS char_style, min(l_linenumber) AS n FROM lineitem GROUP BY 1)
-SELECT ord, CAST(coalesce(CASE WHEN n = 2 THEN 99 END, c.size_half_pt, p.size_half_pt, 21) AS INT) AS size_half_pt, coalesce(CASE WHEN n = 3 THEN true END, CASE WHEN c.bold IS NOT NULL AND p.bold IS NOT NULL THEN c.bold <> p.bold END, c.bold, p.bold, false) AS bold, coalesce(c.font, p.font, 'base') AS font FROM i LEFT JOIN s p ON i.style = p.id LEFT JOIN s c ON i.char_style = c.id""", True),
+    "j7_resolve_cascade": oracle(["V_STYLES"], "t AS (SELECT id, based_on AS parent, size_half_pt, bold, CASE WHEN id % 6 = 1 THEN id % 4 = 1 END AS italic, font, CASE WHEN id % 7 = 2 THEN id % 10 END AS fl, CASE WHEN id % 9 = 4 THEN id % 12 END AS ha FROM V_STYLES), " + _UP + """, s AS (SELECT up.id, arg_min(size_half_pt, depth) AS size_half_pt, arg_min(bold, depth) AS bold, arg_min(italic, depth) AS italic, arg_min(font, depth) AS font, arg_min({'f': fl, 'h': ha}, depth) FILTER (fl IS NOT NULL OR ha IS NOT NULL) AS ind FROM up JOIN t ON up.anc = t.id GROUP BY up.id),
+i AS (SELECT l_orderkey AS ord, min(l_partkey) AS style, max(l_partkey) AS char_style, min(l_linenumber) AS n, count(*) AS m FROM lineitem GROUP BY 1),
+q AS (SELECT i.*, c.size_half_pt AS cs, p.size_half_pt AS ps, c.bold AS cb, p.bold AS pb, c.italic AS ci, p.italic AS pi, c.font AS cf, p.font AS pf, coalesce(CASE WHEN m = 2 THEN {'f': CAST(NULL AS BIGINT), 'h': CAST(7 AS BIGINT)} END, c.ind, p.ind, CASE WHEN m > 4 THEN {'f': CAST(5 AS BIGINT), 'h': CAST(NULL AS BIGINT)} END, {'f': CAST(NULL AS BIGINT), 'h': CAST(0 AS BIGINT)}) AS ind FROM i LEFT JOIN s p ON i.style = p.id LEFT JOIN s c ON i.char_style = c.id)
+SELECT ord, CAST(coalesce(CASE WHEN n = 2 THEN 99 END, cs, ps, CASE WHEN m > 3 THEN 33 END, 21) AS INT) AS size_half_pt, coalesce(CASE WHEN n = 3 THEN true END, CASE WHEN cb IS NOT NULL AND pb IS NOT NULL THEN cb <> pb END, cb, pb, false) AS bold, coalesce(CASE WHEN ci IS NOT NULL AND pi IS NOT NULL THEN ci <> pi END, ci, pi, false) AS italic, coalesce(cf, pf, CASE WHEN m > 5 THEN 'table' END, 'base') AS font, CAST(ind.f AS DOUBLE) AS first_line, CAST(ind.h AS DOUBLE) AS hanging FROM q""", True),
     "j8_ranked_lookup": oracle(["V_LOOKUP", "V_CATALOG"], """c AS (SELECT * FROM V_CATALOG WHERE pref % 2 = 1), t AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'serif' ELSE 'sans' END AS category, p_partkey AS place, p_name AS name FROM part WHERE p_partkey % 3 = 1 AND p_name IN (SELECT name FROM c)), b AS (SELECT category, arg_min(name, place) AS name, min(place) AS place FROM t GROUP BY category), o AS (SELECT (SELECT arg_min(name, place) FROM t) AS listed, (SELECT arg_min(name, {'p': pref, 'n': name}) FROM c) AS any)
 SELECT req, want, coalesce(e.name, s.name, b.name, o.listed, o.any) AS found, CASE WHEN e.name IS NOT NULL THEN 1 WHEN s.name IS NOT NULL THEN 2 WHEN b.name IS NOT NULL THEN 3 WHEN o.listed IS NOT NULL THEN 4 ELSE 5 END AS rank FROM V_LOOKUP l LEFT JOIN c e ON l.want = e.name LEFT JOIN c s ON regexp_replace(l.want, '[,-].*$', '') = s.name LEFT JOIN b ON l.category = b.category, o"""),
     "j9_chase_links": oracle(["V_STYLES"], """l AS (SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id = 5 THEN NULL ELSE CAST(based_on AS VARCHAR) END AS next FROM V_STYLES) SELECT a.id, CASE WHEN a.next IS NULL THEN a.id WHEN b.id IS NOT NULL AND b.next IS NULL THEN b.id WHEN c.id IS NOT NULL AND c.next IS NULL THEN c.id WHEN d.id IS NOT NULL AND d.next IS NULL THEN d.id END AS terminal FROM l a LEFT JOIN l b ON a.next = b.id LEFT JOIN l c ON b.next = c.id LEFT JOIN l d ON c.next = d.id"""),
@@ -164,6 +176,6 @@ SELECT doc_id, CASE WHEN bh IS NULL THEN 'fail' WHEN hash <> bh THEN 'skip' WHEN
     "j14_mask_iou": oracle(["V_MASKS"], """a AS (SELECT mask AS key, x, y FROM V_MASKS WHERE x < 7), b AS (SELECT mask - 1 AS key, x, y FROM V_MASKS WHERE x < 7), c AS (SELECT coalesce(a.key, b.key) AS key, count(*) FILTER (a.key IS NOT NULL AND b.key IS NOT NULL) AS i, count(*) AS u FROM a FULL JOIN b ON a.key = b.key AND a.x = b.x AND a.y = b.y GROUP BY 1) SELECT vec_id AS key, round(coalesce(i / u, 1.0), 6) AS iou FROM embeddings LEFT JOIN c ON vec_id = key"""),
     "j15_asof_next": oracle(["V_POS", "V_STOPS"], """s AS (SELECT grp, CAST(pos AS DOUBLE) AS pos FROM V_STOPS WHERE layer = 'base'), m AS (SELECT p.id, min(s.pos) AS pos FROM V_POS p JOIN s ON s.grp = p.grp AND s.pos > p.x + CAST(0.001 AS DOUBLE) GROUP BY p.id) SELECT p.id, p.grp, p.x, round(coalesce(m.pos, (floor((p.x + CAST(0.001 AS DOUBLE)) / 36.0) + 1) * 36.0), 6) AS stop FROM V_POS p LEFT JOIN m ON p.id = m.id"""),
     "j16_merge_overrides": oracle(["V_STOPS"], """o AS (SELECT * FROM V_STOPS WHERE layer = 'over') SELECT * FROM V_STOPS b WHERE layer = 'base' AND NOT EXISTS (SELECT 1 FROM o WHERE o.grp = b.grp AND o.pos = b.pos) UNION ALL SELECT * FROM o WHERE kind <> 'clear'"""),
-    "j17_resolve_relationships": oracle(["V_REFS", "V_RELS"], """r AS (SELECT ref, rel_id, CASE WHEN kind = '1-URGENT' THEN 'link' ELSE 'picture' END AS kind FROM V_REFS) SELECT r.ref, r.kind, l.target FROM r LEFT JOIN V_RELS l ON r.rel_id = l.rel_id AND l.external = (r.kind = 'link')"""),
+    "j17_resolve_relationships": oracle(["V_REFS", "V_RELS"], """r AS (SELECT ref, rel_id, CASE WHEN ref % 5 = 0 THEN 'header' ELSE 'body' END AS part, CASE WHEN kind = '1-URGENT' THEN 'link' ELSE 'picture' END AS kind FROM V_REFS), x AS (SELECT *, CASE WHEN rel_id % 5 = 0 THEN 'header' ELSE 'body' END AS own FROM V_RELS) SELECT r.ref, r.kind, l.target FROM r LEFT JOIN x l ON r.rel_id = l.rel_id AND l.external = (r.kind = 'link') AND (l.rel_id % 3 = 0 OR l.own = r.part)"""),
     "j18_coverage_split": oracle(["V_CHARS", "V_COVERAGE"], r"""b AS (SELECT ch, min(dict) AS own FROM V_COVERAGE GROUP BY ch), r AS (SELECT c.doc_id, c.pos, b.own IS NULL AS missing, coalesce(b.own, 1) AS dict, regexp_matches(c.ch, '^[\x00-\x1F\x7F-\x9F]') AS control FROM V_CHARS c LEFT JOIN b ON c.ch = b.ch), l AS (SELECT *, lag(dict) OVER w AS pd, lag(missing) OVER w AS pm, lag(control) OVER w AS pc FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), g AS (SELECT *, sum(CASE WHEN pd IS NULL OR pd <> dict OR control OR pc OR pm <> missing THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM l) SELECT doc_id, CAST(min(pos) AS INT) AS start, CAST(max(pos) + 1 AS INT) AS "end", min(dict) AS dict, bool_or(missing) AS missing FROM g GROUP BY doc_id, run"""),
 }

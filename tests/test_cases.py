@@ -290,6 +290,34 @@ def test_isolated_failures(spark):
     assert {r.ord for r in typed.where("error is not null").collect()} == {2}
 
 
+def test_no_picks_is_an_error(spark):
+    picks = spark.createDataFrame([], "pick_no long, source string, page int, rotate int")
+    pages = spark.createDataFrame([("s", 0, 90)], "source string, page int, rotate int")
+    assert [tuple(r) for r in joins.assemble_pages(picks, pages).collect()] == [(None, None, None, None, "no picks")]
+    one = spark.createDataFrame([(1, "s", 0, 450)], picks.schema)
+    assert [tuple(r) for r in joins.assemble_pages(one, pages).collect()] == [(1, "s", 0, 180, None)]
+
+
+def test_objects_are_numbered_as_they_are_found(spark):
+    edges = spark.createDataFrame([("a", "z", 1), ("a", "m", 2), ("z", "q", 1), ("m", "b", 1), ("q", "a", 1), ("b", "z", 1), ("m", "stop", 0)], "src string, dst string, ord int")
+    found = {r.id: (r.depth, r.new_id) for r in joins.reachable_objects(edges, spark.createDataFrame([("a",)], "id string"), F.col("id") == "stop").collect()}
+    assert found == {"a": (0, 0), "z": (1, 1), "m": (1, 2), "q": (2, 3), "b": (2, 4)}
+
+
+def test_a_layer_that_sets_one_indent_unsets_the_other(spark):
+    styles = spark.createDataFrame([(1, None, 10.0, None), (2, 1, None, 4.0), (3, 2, None, None)], "id long, based_on long, first_line double, hanging double")
+    items = spark.createDataFrame([(1, 1, None, None, 9.0), (2, 2, None, None, 9.0), (3, 3, None, 1.0, None), (4, 99, None, None, 9.0), (5, 99, None, None, None)], "ord long, style long, char_style long, d_first_line double, t_hanging double")
+    found = joins.resolve_cascade(items, styles, ["first_line", "hanging"], [], {"first_line": 0.5}, [("first_line", "hanging")]).orderBy("ord").collect()
+    assert [(r.first_line, r.hanging) for r in found] == [(10.0, None), (None, 4.0), (1.0, None), (None, 9.0), (0.5, None)]
+
+
+def test_relations_of_parts(spark):
+    refs = spark.createDataFrame([(1, 7, "picture", "body"), (2, 7, "picture", "header"), (3, 8, "link", "body")], "ref long, rel_id long, kind string, part string")
+    rels = spark.createDataFrame([(7, "a", False, "body"), (7, "b", False, "header"), (8, "c", True, "header")], "rel_id long, target string, external boolean, part string")
+    assert sorted(tuple(r) for r in joins.resolve_relationships(refs, rels).collect()) == [(1, "picture", "a"), (2, "picture", "b"), (3, "link", None)]
+    assert sorted(r.target for r in joins.resolve_relationships(refs, rels.where("part = 'header'").drop("part")).collect()) == ["b", "b", "c"]
+
+
 def test_sizes(spark):
     row = spark.createDataFrame([(1023, 1536, 3 * 1024**2)], "a long, b long, c long").select(*(human_size(F.col(c)).alias(c) for c in "abc")).first()
     assert tuple(row) == ("1023 B", "1.5 KB", "3.0 MB")
