@@ -174,6 +174,8 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
         kth = np.partition(product, len(points) - need, axis=1)[:, len(points) - need]
         for i in range(len(q)):
             near = np.flatnonzero(product[i] >= kth[i] - 1e-9 * (1 + abs(kth[i]))) if np.isfinite(kth[i]) else np.flatnonzero(np.isfinite(product[i]))
+            if not len(near):  # the whole block is too far away
+                continue
             # The same sum for the same vector wherever it stands, so that ties are ties.
             score = (points[near] * q[i]).sum(1)
             found_ids, found_scores = [], []
