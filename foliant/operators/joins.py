@@ -439,28 +439,36 @@ def coverage_split(texts: DataFrame, coverage: DataFrame) -> DataFrame:
 
     ``texts``: doc_id, text; ``coverage``: ch, dict. Each character takes the first dictionary
     (smallest number, at most 2,000) that covers it, else dictionary 1, reported as missing; a
-    combining mark follows the character before it; controls stand alone. The dictionaries are one map
-    of characters, whose size the alphabet bounds; each text becomes a string of marks, whose runs are
-    found by a regular expression.
+    combining mark follows the character before it; controls stand alone. The dictionaries are one row
+    of characters and marks, whose size the alphabet bounds; each text is translated into marks, whose
+    runs are found by a regular expression. Marks are private characters (U+E000 to U+F0FF), which texts
+    should not hold.
     """
-    own = coverage.groupBy("ch").agg(F.min("dict").alias("d")).agg(F.map_from_entries(F.collect_list(F.struct("ch", "d"))).alias("_own"))
-    # Marks: dictionary k covered, and not covered (1 only); a combining mark; a control, covered or not.
-    base, lost, mark, control, lost_control = 0xE100, "\ue000", "\ue001", "\ue002", "\ue003"
-    sign = lambda d: F.decode(F.unhex(F.lpad(F.hex(F.lit(base) + d), 4, "0")), "UTF-16BE")
-
-    def of(c: Column) -> Column:
-        d = F.try_element_at("_own", c)
-        plain = F.when(d.isNull(), F.lit(lost)).otherwise(sign(d))
-        return F.when(c.rlike(r"^\p{M}"), F.lit(mark)).when(c.rlike(r"^\p{Cc}"), F.when(d.isNull(), F.lit(lost_control)).otherwise(F.lit(control))).otherwise(plain)
-
+    # Marks tell the dictionary: of covered characters, of covered controls, and of what nothing covers
+    # (dictionary 1); a combining mark has one of its own.
+    base, control_base, lost, mark, lost_control = 0xE100, 0xE900, "\ue000", "\ue001", "\ue003"
+    control = rf"[{lost_control}\x{{E900}}-\x{{F0FF}}]"
+    sign = lambda b, d: F.decode(F.unhex(F.lpad(F.hex(F.lit(b) + d), 4, "0")), "UTF-16BE")
+    char = F.col("ch")
+    covered = F.when(char.rlike(r"^\p{M}"), F.lit(mark)).when(char.rlike(r"^\p{Cc}"), sign(control_base, F.col("d"))).otherwise(sign(base, F.col("d")))
+    # One row: all covered characters and their marks, to be translated at once.
+    own = coverage.groupBy("ch").agg(F.min("dict").alias("d")).withColumn("m", covered).agg(F.array_join(F.array_sort(F.collect_list(F.struct("ch", "m")))["ch"], "").alias("_from"), F.array_join(F.array_sort(F.collect_list(F.struct("ch", "m")))["m"], "").alias("_to"))
     rows = texts.where("length(text) > 0").crossJoin(F.broadcast(own))
-    marks = F.array_join(F.transform(F.split("text", ""), of), "")
+    # What is left after that is covered by nothing.
+    marks = F.expr("translate(text, _from, _to)")
+    for pattern, put in ((r"\p{M}", mark), (r"\p{Cc}", lost_control), (rf"[^{lost}{mark}{lost_control}\x{{E100}}-\x{{F0FF}}]", lost)):
+        marks = F.regexp_replace(marks, pattern, put)
     # A mark with nothing to follow begins with dictionary 1.
-    first = chr(base + 1)
-    marks = F.regexp_replace(marks, rf"(?:(?<=^|[{control}{lost_control}])|(?<!^)\G){mark}", first)
-    runs = rows.select("doc_id", "_own", "text", F.posexplode(F.regexp_extract_all(marks, F.lit(rf"[{control}{lost_control}]|([^{control}{lost_control}])(?:\1|{mark})*+"), F.lit(0))).alias("i", "run"))
+    marks = F.regexp_replace(marks, rf"(?:(?<=^|{control})|(?<!^)\G){mark}", chr(base + 1))
+    plain = control.replace("[", "[^", 1)
+    # As a rule a character has few combining marks: those become what they follow, so that a run is one
+    # mark repeated. What is left of higher stacks is matched one by one.
+    for _ in range(4):
+        marks = F.regexp_replace(marks, rf"([^{mark}]){mark}", "$1$1")
+    runs = rows.select("doc_id", F.posexplode(F.regexp_extract_all(marks, F.lit(rf"{control}|({plain})\1*+(?:{mark}++\1*+)*+"), F.lit(0))).alias("i", "run"))
     before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("run")).over(before), F.lit(0)).cast("int")
     head = F.substring("run", 1, 1)
-    number = F.when(head.isin(lost, lost_control), 1).when(head == control, F.coalesce(F.try_element_at("_own", F.substring("text", F.col("start") + 1, F.lit(1))), F.lit(1))).otherwise(F.conv(F.hex(F.encode(head, "UTF-16BE")), 16, 10).cast("int") - base)
+    code = F.ascii(head)
+    number = F.when(head.isin(lost, lost_control), 1).when(code >= control_base, code - control_base).otherwise(code - base)
     return runs.withColumn("start", start).select("doc_id", "start", (F.col("start") + F.length("run")).alias("end"), number.cast("int").alias("dict"), head.isin(lost, lost_control).alias("missing"))

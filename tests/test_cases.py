@@ -234,6 +234,8 @@ def test_coverage_of_marks_and_controls(spark):
     coverage = spark.createDataFrame([("a", 1), ("a", 3), ("b", 1), ("中", 2)], "ch string, dict int")
     found = [(r.doc_id, r.start, r.end, r.dict, r.missing) for r in joins.coverage_split(texts, coverage).orderBy("doc_id", "start").collect()]
     assert found == [(1, 0, 4, 1, False), (1, 4, 5, 1, True), (1, 5, 6, 1, True), (1, 6, 7, 1, False), (1, 7, 8, 2, False), (2, 0, 2, 1, False)]
+    long = spark.createDataFrame([(1, "a" * 40_000 + "e\u0301" * 40_000 + "b" + "\u0301" * 40_000)], "doc_id long, text string")
+    assert [(r.start, r.end, r.missing) for r in joins.coverage_split(long, coverage).orderBy("start").collect()] == [(0, 40_000, False), (40_000, 120_000, True), (120_000, 160_001, False)]
 
 
 def test_lookups_go_through_the_lists(spark):
@@ -318,6 +320,17 @@ def test_relations_of_parts(spark):
     assert sorted(r.target for r in joins.resolve_relationships(refs, rels.where("part = 'header'").drop("part")).collect()) == ["b", "b", "c"]
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from foliant import storage
+
+    unset = SimpleNamespace(get=lambda key, default=None: default)
+    session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://head:7077", getConf=lambda: unset))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_folder(session)
+
+
 def test_sizes(spark):
     row = spark.createDataFrame([(1023, 1536, 3 * 1024**2)], "a long, b long, c long").select(*(human_size(F.col(c)).alias(c) for c in "abc")).first()
     assert tuple(row) == ("1023 B", "1.5 KB", "3.0 MB")
