@@ -95,13 +95,15 @@ def fit(texts: list[str], label: np.ndarray, cost: float = 1.0, rounds: int = 12
     slot = np.concatenate([s for *_, s in parts]) if parts else np.zeros(0, np.int32)
     del parts
     rest = np.arange(n) % 4 == 3  # for the probability curve
-    ratio = np.zeros((2, SLOTS))
-    for c in (0, 1):
-        counts = alpha + np.bincount(slot[(~rest & (label == c))[doc]], minlength=SLOTS)
-        ratio[c] = np.log(counts / counts.sum())
-    r = ratio[1] - ratio[0]
-    r[np.bincount(slot[~rest[doc]], minlength=SLOTS) == 0] = 0
     edge = np.searchsorted(doc, np.arange(n + 1))
+    del doc
+    # A slot stands once in a text, so texts are counted one by one.
+    counts = np.zeros((2, SLOTS))
+    for i in np.flatnonzero(~rest):
+        counts[int(label[i] > 0), slot[edge[i] : edge[i + 1]]] += 1
+    ratio = np.log((alpha + counts) / (alpha + counts).sum(1, keepdims=True))
+    r = ratio[1] - ratio[0]
+    r[counts.sum(0) == 0] = 0
     value = np.empty(len(slot), np.float32)
     square = np.ones(n)
     for i in range(n):
@@ -180,7 +182,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
             keep = [score_texts(model, [t or "" for t in texts]) >= threshold for _, texts in parts]
             yield batch.filter(pa.array(np.concatenate([*keep, np.zeros(0, bool)])))
 
-    return docs.mapInArrow(shared.tidy(run), docs.schema)
+    return shared.text_batches(docs).mapInArrow(shared.tidy(run), docs.schema)
 
 
 def op1_nb_support_vectors(spark, sf_dir: str) -> DataFrame:

@@ -86,9 +86,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch of whole texts; Spark's default is for narrow rows.
+TEXT_BATCH = "1000"
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after its session has been told to send whole texts to Python in smaller batches.
+
+    A batch is held by the JVM and by the worker, for each task. A session that has a setting of its
+    own keeps it.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, TEXT_BATCH)
+    return docs
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """Only ``doc_id`` and ``text``; a null text counts as empty.
 
     Rows without an id cannot be told apart and are left out. Further columns are ignored.
     """
+    docs = text_batches(docs)
     return docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
