@@ -31,7 +31,7 @@ MARK = "▁"
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Bytes of each of the two generations of the memo, and pairs of pieces that are remembered.
-MEMO_BYTES, PAIRS = 16 << 20, 80_000
+MEMO_BYTES, PAIRS = 32 << 20, 250_000
 #: About what an entry takes besides its word's bytes and its ids.
 _ENTRY = 200
 
