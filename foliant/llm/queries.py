@@ -11,6 +11,7 @@ from .pii import op3_disclosure_sanitiser
 from .nearest import op5_stable_projection_search
 from .substrings import op10_repeated_phrase_automata
 from .interpolation import op7_deleted_interpolation
+from .merge_automaton import op11_merge_automaton
 
 QUERIES = {
     "op7_deleted_interpolation": op7_deleted_interpolation,
@@ -23,6 +24,7 @@ QUERIES = {
     "op1_nb_support_vectors": op1_nb_support_vectors,
     "op4_sentencepiece_backtracking": op4_sentencepiece_backtracking,
     "op6_simhash_tiles": op6_simhash_tiles,
+    "op11_merge_automaton": op11_merge_automaton,
 }
 
 ORACLE_SQL: dict[str, str] = {
