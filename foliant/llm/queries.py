@@ -12,6 +12,8 @@ from .nearest import op5_stable_projection_search
 from .substrings import op10_repeated_phrase_automata
 from .interpolation import op7_deleted_interpolation
 from .merge_automaton import op11_merge_automaton
+from .scalar_tables import OP12_SQL, op12_scalar_tables
+from .walsh_codes import OP13_SQL, op13_walsh_codes
 
 QUERIES = {
     "op7_deleted_interpolation": op7_deleted_interpolation,
@@ -25,8 +27,12 @@ QUERIES = {
     "op4_sentencepiece_backtracking": op4_sentencepiece_backtracking,
     "op6_simhash_tiles": op6_simhash_tiles,
     "op11_merge_automaton": op11_merge_automaton,
+    "op12_scalar_tables": op12_scalar_tables,
+    "op13_walsh_codes": op13_walsh_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_positional_index": OP8_SQL,
+    "op12_scalar_tables": OP12_SQL,
+    "op13_walsh_codes": OP13_SQL,
 }
