@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import fresh_path, stored
 from .project import number_rows
 
 _ISO = r"^\s*(\d{4})-(\d{2})-(\d{2})(?:[Tt ](\d{2}):(\d{2})(?::(\d{2})(?:[.,]\d*)?)?(Z|z|[+-]\d{2}(?::?\d{2})?)?)?\s*$"
@@ -82,65 +89,103 @@ def remap_references(edges: DataFrame, picks: DataFrame) -> DataFrame:
     return edges.join(first, "dst", "left").select("src", "dst", "new_dst")
 
 
-def reachable_objects(edges: DataFrame, roots: DataFrame, stop: Column, max_rounds: int = 1000) -> DataFrame:
+#: Objects of a level up to which it is numbered in one task and broadcast to the edges.
+SMALL_LEVEL = 100_000
+#: Edges, and objects met, from which on a small level reads only its own buckets of them; the number of buckets.
+LARGE_SET, BUCKETS = 1_000_000, 1024
+
+
+def reachable_objects(edges: DataFrame, roots: DataFrame, stop: Column) -> DataFrame:
     """id, depth, new_id: what can be reached from ``roots`` (id) over ``edges`` (src, dst), breadth first.
 
     Targets for which ``stop`` (over a column id) holds are not entered. ``new_id`` counts from 0
     without gaps in the order of discovery: roots by ``ord`` where they have one, else by id; then by
-    the new id of the object that leads there, and by ``ord`` of the edge, else by target. Each round
-    joins only the new frontier; visited nodes are kept on disk and the lineage is cut by a checkpoint.
-    """
-    own = lambda df, other: F.col("ord") if "ord" in df.columns else F.col(other)
-
-    def placed(found: DataFrame, depth: int, before: int) -> DataFrame:
-        """``found``: id, by (its place of discovery, repeats allowed)."""
-        first = found.groupBy("id").agg(F.min("by").alias("by"))
-        return number_rows(first, [F.col("by"), F.col("id")], "new_id").select("id", F.lit(depth).alias("depth"), (F.col("new_id") - 1 + before).alias("new_id"))
+    the new id of the object that leads there, and by ``ord`` of the edge, else by target. Null ids and
+    targets are no objects; there is no limit of depth, and a cycle ends where all its objects are met.
 
-    frontier = cut(placed(roots.select("id", own(roots, "id").alias("by")), 0, 0))
-    seen, depth, known = frontier, 0, frontier.count()
-    links = edges.select("src", "dst", own(edges, "dst").alias("_ord"))
-    while depth < max_rounds:
+    The set of objects met only grows: each level is written once, in a folder of its own, sorted by
+    buckets of its ids, and never again. Edges are written once, sorted alike. A small level is
+    broadcast to them and, where they are many, reads the buckets of its own ids only; once very many
+    objects have been met, its targets are looked up in their own buckets too. One range sort at the end numbers all levels.
+    """
+    spark = edges.sparkSession
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    order = lambda df, other: (F.col("ord") if "ord" in df.columns else F.col(other)).alias("place")
+    links = edges.where("src is not null and dst is not null").select("src", "dst", order(edges, "dst"), bucket("src").alias("bucket"))
+    links = stored(links.repartition("bucket").sortWithinPartitions("bucket"), "edges")
+    kind, many = links.schema["place"].dataType, links.count() > LARGE_SET
+    folder = fresh_path(spark, "reached")
+
+    def keep(level: DataFrame, depth: int) -> int:
+        """Write a level (id, by) once; how many objects it has."""
+        level.select("id", "by", bucket("id").alias("bucket")).sortWithinPartitions("bucket").write.parquet(f"{folder}/depth={depth}")
+        return spark.read.parquet(f"{folder}/depth={depth}").count()
+
+    first = roots.where("id is not null").select("id", order(roots, "id")).groupBy("id").agg(F.min("place").alias("place"))
+    first = number_rows(first, [F.col("place"), F.col("id")], "n")
+    depth, known = 0, 0
+    n = keep(first.select("id", F.struct(F.col("n").alias("parent"), F.lit(None).cast(kind).alias("place")).alias("by")), 0)
+    levels = spark.read.parquet(f"{folder}/depth=0").schema
+    read = lambda *depths: spark.read.schema(levels).parquet(*(f"{folder}/depth={d}" for d in depths))
+    buckets = lambda df, c: [r[0] for r in df.select(bucket(c)).distinct().collect()]  # noqa: E731  at most BUCKETS numbers
+    while n:
+        level = read(depth)
+        if n <= SMALL_LEVEL:
+            own = Window.orderBy("by", "id")
+            frontier = F.broadcast(level.select("id", (F.row_number().over(own) + (known - 1)).cast("long").alias("parent")))
+            reached = links.where(F.col("bucket").isin(buckets(level, "id"))) if many and n <= BUCKETS else links
+        else:
+            frontier = number_rows(level.select("id", "by"), [F.col("by"), F.col("id")], "parent").select("id", (F.col("parent") - 1 + known).alias("parent"))
+            reached = links
+        known += n
+        step = reached.join(frontier, frontier["id"] == reached["src"]).select(F.col("dst").alias("id"), F.struct("parent", "place").alias("by"))
+        step = step.where(~F.coalesce(stop, F.lit(False))).groupBy("id").agg(F.min("by").alias("by"))
+        met = read(*range(depth + 1))
+        if known > LARGE_SET and n <= SMALL_LEVEL:
+            step = stored(step, "candidates")
+            some = step.limit(BUCKETS + 1).count()
+            if some <= BUCKETS:
+                met = met.where(F.col("bucket").isin(buckets(step, "id")))
         depth += 1
-        step = frontier.join(links, frontier["id"] == links["src"]).select(F.col("dst").alias("id"), F.struct("new_id", "_ord").alias("by")).where(~F.coalesce(stop, F.lit(False)))
-        frontier = cut(placed(step.join(seen.select("id"), "id", "left_anti"), depth, known))
-        new = frontier.count()
-        if not new:
-            return seen
-        known += new
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        n = keep(step.join(met.select("id"), "id", "left_anti"), depth)
+    every = spark.read.option("basePath", folder).parquet(*(f"{folder}/depth={d}" for d in range(max(depth, 1))))
+    numbered = number_rows(every.select("id", F.col("depth").cast("int").alias("depth"), "by"), [F.col("depth"), F.col("by"), F.col("id")], "new_id")
+    return numbered.select("id", "depth", (F.col("new_id") - 1).alias("new_id"))
 
 
-def ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
-    """id, ancestor, depth: each node with itself (depth 0) and its ancestors, by pointer doubling.
+def inherit_attributes(nodes: DataFrame, attributes: list[str], max_depth: int = 64) -> DataFrame:
+    """id and each attribute: the node's own value, else that of the nearest ancestor that has one.
 
-    A chain ends at a missing parent, at the depth limit, or where it would meet a node again.
-    ``nodes``: id, parent. Rounds are logarithmic in the depth.
+    Looked at are a node and its ``max_depth`` next ancestors; a missing parent ends the chain, and a
+    cycle brings nothing new. Pointers double: after k rounds a node holds, of itself and the 2^k - 1
+    ancestors above, the nearest values, and points to the next above these. What a pointer leads to is
+    folded in, so a round has as many rows as there are nodes, and their number is logarithmic in the
+    depth. Ids are unique.
     """
-    links = nodes.select("id", "parent").where("parent is not null").join(nodes.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent")
-    closure = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
-    # ``jump`` leads from a node to the one 2^k steps above.
-    jump, k = links.select(F.col("id").alias("a"), F.col("parent").alias("b")), 1
-    while k <= max_depth:
-        jump = cut(jump)
-        if jump.isEmpty():
-            break
-        further = closure.join(jump, closure["ancestor"] == jump["a"]).select("id", F.col("b").alias("ancestor"), (F.col("depth") + k).alias("depth"))
-        # On a cycle a node is met again: only its nearest place counts.
-        closure = cut(closure.unionByName(further).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
-        two = jump.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        jump = jump.join(two, jump["b"] == two["x"]).select("a", F.col("y").alias("b"))
-        k *= 2
-    return closure.where(F.col("depth") <= max_depth)
-
-
-def inherit_attributes(nodes: DataFrame, attributes: list[str], max_depth: int = 64) -> DataFrame:
-    """id and each attribute: the node's own value, else that of the nearest ancestor that has one."""
-    values = nodes.select(F.col("id").alias("ancestor"), *attributes)
-    found = ancestors(nodes, max_depth).join(values, "ancestor")
-    nearest = [F.min_by(a, F.when(F.col(a).isNotNull(), F.col("depth"))).alias(a) for a in attributes]
-    return found.groupBy("id").agg(*nearest)
+    held = lambda prefix: [F.col(a).alias(f"{prefix}{a}") for a in attributes]
+    fold = [F.coalesce(F.col(a), F.col(f"_{a}")).alias(a) for a in attributes]
+    nothing = [F.lit(None).cast(nodes.schema[a].dataType).alias(a) for a in attributes]
+
+    def through(df: DataFrame, span: DataFrame) -> DataFrame:
+        """``df`` (id, to, values) with what its pointers lead to folded in."""
+        above = span.select(F.col("id").alias("_id"), F.col("to").alias("_to"), *held("_"))
+        return df.join(above, df["to"] == above["_id"], "left").select("id", F.col("_to").alias("to"), *fold)
+
+    # ``span`` covers 2^k nodes; ``out`` those of the depth's lower bits, from which its pointer leads on.
+    span = nodes.select("id", F.col("parent").alias("to"), *attributes)
+    out, left = nodes.select("id", F.col("id").alias("to"), *nothing), max_depth + 1
+    while left:
+        if left & 1:
+            out = through(out, span)
+        left >>= 1
+        if left:
+            span = stored(through(span, span), "span")
+            if span.where("to is not null").isEmpty():
+                # All chains have ended within the span.
+                out = through(out, span)
+                break
+            out = stored(out, "inherited")
+    return out.select("id", *attributes)
 
 
 def resolve_cascade(items: DataFrame, styles: DataFrame, properties: list[str], toggles: list[str], defaults: dict, exclusive: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -434,41 +479,65 @@ def resolve_relationships(refs: DataFrame, rels: DataFrame) -> DataFrame:
     return refs.join(r, same, "left").select("ref", "kind", "target")
 
 
+#: Code points, and characters that are split at once.
+CODE_POINTS, AT_ONCE = 0x110000, 1 << 22
+
+
+@functools.cache
+def _marks_and_controls() -> np.ndarray:
+    """For each code point: 1 for a combining mark, 2 for a control, else 0."""
+    category = unicodedata.category
+    kinds = {"Mn": 1, "Mc": 1, "Me": 1, "Cc": 2}
+    return np.fromiter((kinds.get(category(chr(c)), 0) for c in range(CODE_POINTS)), np.uint8, CODE_POINTS)
+
+
 def coverage_split(texts: DataFrame, coverage: DataFrame) -> DataFrame:
     """doc_id, start, end, dict, missing: runs of characters of texts covered by the same dictionary.
 
-    ``texts``: doc_id, text; ``coverage``: ch, dict. Each character takes the first dictionary
-    (smallest number, at most 2,000) that covers it, else dictionary 1, reported as missing; a
-    combining mark follows the character before it; controls stand alone. The dictionaries are one row
-    of characters and marks, whose size the alphabet bounds; each text is translated into marks, whose
-    runs are found by a regular expression. Marks are private characters (U+E000 to U+F0FF), which texts
-    should not hold.
+    ``texts``: doc_id, text; ``coverage``: ch, dict. Each character takes the dictionary of the smallest
+    number that covers it, else dictionary 1, reported as missing; a combining mark follows the
+    character before it (dictionary 1 where there is none, or a control); controls stand alone. Any
+    character and any dictionary number may occur; null and empty texts have no runs.
+
+    The dictionaries become ranges of code points with one number each, fewer than there are code
+    points, and travel with the tasks. A text is an array of code points, its numbers one look-up, and
+    a run ends where a character differs from its neighbour. No row of a character is made.
     """
-    # Marks tell the dictionary: of covered characters, of covered controls, and of what nothing covers
-    # (dictionary 1); a combining mark has one of its own.
-    base, control_base, lost, mark, lost_control = 0xE100, 0xE900, "\ue000", "\ue001", "\ue003"
-    control = rf"[{lost_control}\x{{E900}}-\x{{F0FF}}]"
-    sign = lambda b, d: F.decode(F.unhex(F.lpad(F.hex(F.lit(b) + d), 4, "0")), "UTF-16BE")
-    char = F.col("ch")
-    covered = F.when(char.rlike(r"^\p{M}"), F.lit(mark)).when(char.rlike(r"^\p{Cc}"), sign(control_base, F.col("d"))).otherwise(sign(base, F.col("d")))
-    # One row: all covered characters and their marks, to be translated at once.
-    own = coverage.groupBy("ch").agg(F.min("dict").alias("d")).withColumn("m", covered).agg(F.array_join(F.array_sort(F.collect_list(F.struct("ch", "m")))["ch"], "").alias("_from"), F.array_join(F.array_sort(F.collect_list(F.struct("ch", "m")))["m"], "").alias("_to"))
-    rows = texts.where("length(text) > 0").crossJoin(F.broadcast(own))
-    # What is left after that is covered by nothing.
-    marks = F.expr("translate(text, _from, _to)")
-    for pattern, put in ((r"\p{M}", mark), (r"\p{Cc}", lost_control), (rf"[^{lost}{mark}{lost_control}\x{{E100}}-\x{{F0FF}}]", lost)):
-        marks = F.regexp_replace(marks, pattern, put)
-    # A mark with nothing to follow begins with dictionary 1.
-    marks = F.regexp_replace(marks, rf"(?:(?<=^|{control})|(?<!^)\G){mark}", chr(base + 1))
-    plain = control.replace("[", "[^", 1)
-    # As a rule a character has few combining marks: those become what they follow, so that a run is one
-    # mark repeated. What is left of higher stacks is matched one by one.
-    for _ in range(4):
-        marks = F.regexp_replace(marks, rf"([^{mark}]){mark}", "$1$1")
-    runs = rows.select("doc_id", F.posexplode(F.regexp_extract_all(marks, F.lit(rf"{control}|({plain})\1*+(?:{mark}++\1*+)*+"), F.lit(0))).alias("i", "run"))
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("run")).over(before), F.lit(0)).cast("int")
-    head = F.substring("run", 1, 1)
-    code = F.ascii(head)
-    number = F.when(head.isin(lost, lost_control), 1).when(code >= control_base, code - control_base).otherwise(code - base)
-    return runs.withColumn("start", start).select("doc_id", "start", (F.col("start") + F.length("run")).alias("end"), number.cast("int").alias("dict"), head.isin(lost, lost_control).alias("missing"))
+    own = coverage.where("dict is not null and length(ch) > 0").groupBy(F.ascii("ch").alias("c")).agg(F.min(F.col("dict").cast("int")).alias("d"))
+    # Neighbouring code points of one number are a range: their distance to their rank is the same.
+    rank = F.col("c") - F.row_number().over(Window.partitionBy("d").orderBy("c"))
+    ranges = own.withColumn("_r", rank).groupBy("d", "_r").agg(F.min("c").alias("low"), F.max("c").alias("high")).orderBy("low")
+    found = [(r["low"], r["high"], r["d"]) for r in ranges.collect()]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, covered, kinds = np.ones(CODE_POINTS, np.int32), np.zeros(CODE_POINTS, bool), _marks_and_controls()
+        for low, high, d in found:
+            number[low : high + 1], covered[low : high + 1] = d, True
+        for batch in batches:
+            sizes = pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            group = (np.cumsum(sizes) - sizes) // AT_ONCE  # texts of about as many characters, or one longer
+            for rows in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(group)) + 1):
+                if not len(rows):
+                    continue
+                part = batch.slice(int(rows[0]), len(rows))
+                chars = np.frombuffer("".join(part.column(1).to_pylist()).encode("utf-32-le"), "<u4")
+                first = np.cumsum(sizes[rows]) - sizes[rows]
+                d, known, kind, place = number[chars], covered[chars], kinds[chars], np.arange(len(chars))
+                begins = np.zeros(len(chars), bool)
+                begins[first] = True
+                if (kind == 1).any():
+                    mark = kind == 1
+                    # The last character up to here that is no mark, or a mark that its text begins with.
+                    base = np.maximum.accumulate(np.where(mark & ~begins, 0, place))
+                    free = mark & (mark[base] | (kind[base] == 2))
+                    d, known = np.where(free, 1, d[base]), np.where(free, True, known[base])
+                control = kind == 2
+                begins[1:] |= control[1:] | control[:-1] | (d[1:] != d[:-1]) | (known[1:] != known[:-1])
+                start = np.flatnonzero(begins)
+                doc = np.searchsorted(first, start, side="right") - 1
+                end = np.append(start[1:], len(chars))
+                shown = [pa.array((x - first[doc]).astype(np.int32)) for x in (start, end)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), *shown, pa.array(d[start]), pa.array(~known[start])], ["doc_id", "start", "end", "dict", "missing"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.where("length(text) > 0").select("doc_id", "text").mapInArrow(split, f"doc_id {kind}, start int, end int, dict int, missing boolean")

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of rows, as JSON, that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,3 +33,23 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/foliant/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder, and read from there."""
+    path = path or fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows, as JSON, take at most ``limit`` bytes, else as it is."""
+    if df.limit(limit // 16 + 1).count() > limit // 16:
+        return df
+    size = df.select(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
