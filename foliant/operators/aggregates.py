@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import Ordered
+
 #: Reasons for leaving an image as it is, in the order in which they are listed.
 SKIPS = ["cmyk", "special", "mask", "transparency", "jpeg2000", "other", "decode", "undecodable"]
 
@@ -93,13 +95,13 @@ def compare_metrics(matches: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.select("doc", "pages_ours", "pages_ref", (F.col("d") + F.abs(F.col("pages_ours") - F.col("pages_ref"))).alias("differing"), F.coalesce("matched", F.lit(0)).alias("matched"), F.coalesce("median", F.lit(0.0)).alias("offset_median"), F.coalesce("offset_max", F.lit(0.0)).alias("offset_max"), "iou_mean", "iou_min")
 
 
-def estimate_by_systematic_sample(rows: DataFrame, group: str, order: str, measure: Column, every: int = 8) -> DataFrame:
+def estimate_by_systematic_sample(rows: DataFrame, group: str, order: str, measure: Column, every: int = 8, spread: int | None = None) -> DataFrame:
     """group, estimate: every n-th row from the first is measured and extrapolated, in integers.
 
-    One row or none is exact.
+    One row or none is exact. ``spread``: for groups larger than a task, see `Ordered`.
     """
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order)))
-    picked = (F.col("_n") - 1) % every == 0
+    numbered = Ordered(rows, [group], [order], spread).running(_place=F.lit(1)).done()
+    picked = (F.col("_place") - 1) % every == 0
     sums = numbered.groupBy(group).agg(F.sum(F.when(picked, measure)).alias("s"), F.count("*").alias("n"), F.count_if(picked).alias("k"))
     return sums.select(group, F.expr("s * n div k").alias("estimate"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..storage import fresh_path, stored
 from .project import number_rows
+from .scan import Ordered
 
 _ISO = r"^\s*(\d{4})-(\d{2})-(\d{2})(?:[Tt ](\d{2}):(\d{2})(?::(\d{2})(?:[.,]\d*)?)?(Z|z|[+-]\d{2}(?::?\d{2})?)?)?\s*$"
 
@@ -443,18 +444,19 @@ def mask_iou(a: DataFrame, b: DataFrame, width: int, height: int, keys: DataFram
     return keys.join(counts, "key", "left").select("key", F.round(F.coalesce(F.col("i") / F.col("u"), F.lit(1.0)), 6).alias("iou"))
 
 
-def asof_next(positions: DataFrame, stops: DataFrame, default: float) -> DataFrame:
+def asof_next(positions: DataFrame, stops: DataFrame, default: float, spread: int | None = None) -> DataFrame:
     """id, grp, x, stop: the first stop of the group beyond x + 0.001, else the next multiple of ``default``.
 
     One ordered pass over positions and stops of a group, from the largest down: the last stop passed
-    is the next one. No pair of them is ever formed.
+    is the next one. No pair of them is ever formed. ``spread``: for groups larger than a task, see
+    `Ordered`.
     """
     default = max(default, 1.0)
     rows = positions.select("grp", (F.col("x") + 0.001).alias("at"), F.lit(1).alias("kind"), "id", "x", F.lit(None).cast("double").alias("pos"))
     marks = stops.select("grp", F.col("pos").cast("double").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("double").alias("x"), F.col("pos").cast("double").alias("pos"))
     # At equal places the position comes first, so that it does not meet the stop.
-    passed = Window.partitionBy("grp").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
-    found = rows.unionByName(marks).withColumn("next", F.last("pos", ignorenulls=True).over(passed)).where("kind = 1")
+    order = [F.desc("at"), F.desc("kind"), F.asc("id")]
+    found = Ordered(rows.unionByName(marks), ["grp"], order, spread).last(next=F.col("pos")).done().where("kind = 1")
     fallback = (F.floor(F.col("at") / default) + 1) * default
     return found.select("id", "grp", "x", F.round(F.coalesce("next", fallback.cast("double")), 6).alias("stop"))
 

@@ -11,43 +11,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import number_texts
+from ..storage import bounded
+from .scan import Ordered
 
 LEVELS = 9
 
 
-def _segments(items: DataFrame, levels: DataFrame) -> DataFrame:
+def _segments(items: DataFrame, levels: DataFrame, spread: int | None) -> DataFrame:
     """``items`` with seg0..seg8: how often each level has been reset up to the row, its own included."""
     restarts = levels.groupBy("abs").agg(*(F.max(F.when(F.col("ilvl") == j, F.col("restart"))).alias(f"_r{j}") for j in range(LEVELS)))
-    order = Window.partitionBy("doc_id", "abs").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    joined = items.join(F.broadcast(restarts), "abs", "left")
+    joined = items.join(bounded(restarts), "abs", "left")
 
     def resets(j: int) -> Column:
         r = F.col(f"_r{j}")
         return (F.col("ilvl") < j) & (r.isNull() | ((r != 0) & (F.col("ilvl") < r)))
 
-    return joined.withColumns({f"seg{j}": F.sum(F.when(resets(j), 1).otherwise(0)).over(order) for j in range(LEVELS)}).drop(*(f"_r{j}" for j in range(LEVELS)))
+    counted = Ordered(joined, ["doc_id", "abs"], ["ord"], spread).running(**{f"seg{j}": resets(j).cast("long") for j in range(LEVELS)})
+    return counted.done().drop(*(f"_r{j}" for j in range(LEVELS)))
 
 
-def number_items(items: DataFrame, levels: DataFrame, overrides: DataFrame) -> DataFrame:
+def number_items(items: DataFrame, levels: DataFrame, overrides: DataFrame, spread: int | None = None) -> DataFrame:
     """``items`` (doc_id, ord, num_id, ilvl, abs) with value, start and seg0..seg8.
 
     Counters belong to the abstract list, so lists that share one continue each other. The next value
     is the last plus one, or the level's start (0 if unset) after a reset; a start override counts at
     the first use of (num_id, ilvl) only. Items of num_id 0, level above 8 or a missing definition
-    are left out. ``levels`` and ``overrides`` (num_id, ilvl, start) are small dimensions.
+    are left out. ``levels`` and ``overrides`` (num_id, ilvl, start) are broadcast if they are small.
+    ``spread``: for documents larger than a task, see `Ordered`.
     """
-    known = items.where("num_id <> 0 and ilvl between 0 and 8").join(F.broadcast(levels.select("abs", "ilvl", F.coalesce("start", F.lit(0)).alias("start"))), ["abs", "ilvl"])
-    rows = _segments(known, levels).join(F.broadcast(overrides.select("num_id", "ilvl", F.col("start").alias("over"))), ["num_id", "ilvl"], "left")
-    seg = F.element_at(F.array(*(F.col(f"seg{j}") for j in range(LEVELS))), F.col("ilvl") + 1)
-    rows = rows.withColumn("seg", seg)
-    first_use = (F.row_number().over(Window.partitionBy("doc_id", "num_id", "ilvl").orderBy("ord")) == 1) & F.col("over").isNotNull()
-    rows = rows.withColumn("_o", first_use)
-    inside = Window.partitionBy("doc_id", "abs", "ilvl", "seg").orderBy("ord")
-    rows = rows.withColumn("_a", F.col("_o") | (F.row_number().over(inside) == 1))
-    rows = rows.withColumn("_island", F.sum(F.col("_a").cast("int")).over(inside))
-    island = Window.partitionBy("doc_id", "abs", "ilvl", "seg", "_island").orderBy("ord")
-    base = F.first(F.when(F.col("_o"), F.col("over")).otherwise(F.col("start"))).over(island)
-    return rows.withColumn("value", (base + F.row_number().over(island) - 1).cast("int")).drop("_o", "_a", "_island", "over", "seg")
+    known = items.where("num_id <> 0 and ilvl between 0 and 8").join(bounded(levels.select("abs", "ilvl", F.coalesce("start", F.lit(0)).alias("start"))), ["abs", "ilvl"])
+    rows = _segments(known, levels, spread).join(bounded(overrides.select("num_id", "ilvl", F.col("start").alias("over"))), ["num_id", "ilvl"], "left")
+    rows = rows.withColumn("seg", F.element_at(F.array(*(F.col(f"seg{j}") for j in range(LEVELS))), F.col("ilvl") + 1))
+    # The first use of an overridden list is where no use of it came before.
+    named = Ordered(rows, ["doc_id", "num_id", "ilvl"], ["ord"], spread).running(_u=F.lit(1)).done()
+    named = named.withColumn("_o", (F.col("_u") == 1) & F.col("over").isNotNull())
+    inside = Ordered(named, ["doc_id", "abs", "ilvl", "seg"], ["ord"], spread).running(_r=F.lit(1))
+    # Counting goes on from the last item that began anew.
+    anew = F.struct(F.when(F.col("_o"), F.col("over")).otherwise(F.col("start")).alias("base"), F.col("_r").alias("at"))
+    counted = inside.last(_held=F.when(F.col("_o") | (F.col("_r") == 1), anew)).done()
+    return counted.withColumn("value", (F.col("_held.base") + F.col("_r") - F.col("_held.at")).cast("int")).drop("_o", "_u", "_r", "_held", "over", "seg")
 
 
 def expand_labels(numbered: DataFrame, levels: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def expand_labels(numbered: DataFrame, levels: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id", "abs").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     spec = levels.groupBy("abs").agg(*(c for j in range(LEVELS) for c in (F.max(F.when(F.col("ilvl") == j, F.coalesce("start", F.lit(0)))).alias(f"_s{j}"), F.max(F.when(F.col("ilvl") == j, F.col("fmt"))).alias(f"_f{j}"))))
     own = levels.select("abs", "ilvl", "lvl_text", "legal", F.col("fmt").alias("own_fmt"))
-    rows = numbered.join(F.broadcast(spec), "abs").join(F.broadcast(own), ["abs", "ilvl"])
+    rows = numbered.join(bounded(spec), "abs").join(bounded(own), ["abs", "ilvl"])
     last = {f"_v{j}": F.last(F.when(F.col("ilvl") == j, F.struct("value", F.col(f"seg{j}").alias("seg"))), ignorenulls=True).over(order) for j in range(LEVELS)}
     rows = rows.withColumns(last)
     used = [F.contains(F.col("lvl_text"), F.lit(f"%{j + 1}")) & F.col(f"_s{j}").isNotNull() for j in range(LEVELS)]
@@ -130,14 +132,15 @@ def script_runs(texts: DataFrame, mode: str = "context") -> DataFrame:
     return runs.withColumn("start", start).select("doc_id", "start", (F.col("start") + F.length("run")).alias("end"), kind.alias("class"))
 
 
-def merge_equal_runs(rows: DataFrame, group: str, order: str, keys: list[str]) -> DataFrame:
-    """group, keys, first, last, n: consecutive rows with equal keys (nulls equal) as one run."""
-    window = Window.partitionBy(group).orderBy(order)
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.lag(k).over(window).eqNullSafe(F.col(k))
-    new = F.when((F.row_number().over(window) == 1) | ~same, 1).otherwise(0)
-    marked = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(window))
+def merge_equal_runs(rows: DataFrame, group: str, order: str, keys: list[str], spread: int | None = None) -> DataFrame:
+    """group, keys, first, last, n: consecutive rows with equal keys (nulls equal) as one run.
+
+    ``spread``: for groups larger than a task, see `Ordered`.
+    """
+    own = F.struct(*keys)
+    marked = Ordered(rows, [group], [order], spread).previous(_before=own)
+    # A group's first row has no row before it, and so begins a run.
+    marked = marked.running(_run=F.coalesce(~F.col("_before").eqNullSafe(own), F.lit(True)).cast("int")).done()
     return marked.groupBy(group, "_run", *keys).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_run")
 
 
@@ -151,14 +154,16 @@ def suppress_between_equal(rows: DataFrame, group: str, order: str, style: str,
     return rows.withColumns({"space_before": F.when(near(F.lag), 0).otherwise(F.col("space_before")), "space_after": F.when(near(F.lead), 0).otherwise(F.col("space_after"))})
 
 
-def running_offsets(rows: DataFrame, group: str, order: str, collapse: bool) -> DataFrame:
-    """``rows`` with gap and offset: space before each row and where it starts (its height follows)."""
-    window = Window.partitionBy(group).orderBy(order)
-    after = F.coalesce(F.lag("space_after").over(window), F.lit(0))
+def running_offsets(rows: DataFrame, group: str, order: str, collapse: bool, spread: int | None = None) -> DataFrame:
+    """``rows`` with gap and offset: space before each row and where it starts (its height follows).
+
+    ``spread``: for groups larger than a task, see `Ordered`.
+    """
+    below = F.col("height") + F.col("space_after")
+    after = F.coalesce("_after", F.lit(0))
     gap = F.greatest(F.col("space_before") - after, F.lit(0)) if collapse else F.col("space_before")
-    marked = rows.withColumn("gap", gap)
-    used = F.sum(F.col("gap") + F.col("height") + F.col("space_after")).over(window.rowsBetween(Window.unboundedPreceding, -1))
-    return marked.withColumn("offset", F.coalesce(used, F.lit(0)) + F.col("gap"))
+    found = Ordered(rows, [group], [order], spread).previous(_after=F.col("space_after")).running(_used=gap + below).done()
+    return found.withColumn("gap", gap).withColumn("offset", F.col("_used") - below).drop("_after", "_used")
 
 
 CLOSING = ".,;:!?)"

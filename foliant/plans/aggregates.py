@@ -53,6 +53,13 @@ def a7_estimate_by_sample(spark, sf_dir):
     return A.estimate_by_systematic_sample(paras, "doc_id", "ord", F.length("text"))
 
 
+def a7_estimate_by_sample_whole(spark, sf_dir):
+    """All paragraphs as one group, in stretches over all tasks."""
+    (paras,) = views(spark, sf_dir, "V_PARAS")
+    one = paras.select(F.lit("all").alias("batch"), F.struct("doc_id", "ord").alias("at"), F.length("text").alias("size"))
+    return A.estimate_by_systematic_sample(one, "batch", "at", F.col("size"), spread=0)
+
+
 def a8_set_parity(spark, sf_dir):
     (frags,) = views(spark, sf_dir, "V_FRAGS")
     return A.set_parity(frags.where("frag % 5 < 3"), frags.where("frag % 7 >= 3"), "page", "text")
@@ -76,7 +83,7 @@ def a11_feature_census(spark, sf_dir):
     return A.feature_census(tags, "page_id", {"script": tok.startswith("<script"), "table": tok.startswith("<table"), "image": tok.startswith("<img"), "comment": tok.startswith("<!--"), "entity": F.col("tok").contains("&")})
 
 
-QUERIES = {f.__name__: f for f in (a1_capture_span, a2_fidelity_counts, a3_compression_rollup, a4_batch_summary, a5_warning_summary, a6_compare_metrics, a7_estimate_by_sample, a8_set_parity, a9_mask_stats, a10_column_grid, a11_feature_census)}
+QUERIES = {f.__name__: f for f in (a1_capture_span, a2_fidelity_counts, a3_compression_rollup, a4_batch_summary, a5_warning_summary, a6_compare_metrics, a7_estimate_by_sample, a7_estimate_by_sample_whole, a8_set_parity, a9_mask_stats, a10_column_grid, a11_feature_census)}
 
 _P4 = _files.ORACLE_SQL["p4_decide_recompression"]
 _P5 = _files.ORACLE_SQL["p5_decide_fidelity"]
@@ -94,6 +101,7 @@ s AS (SELECT doc, count(ours) AS pages_ours, count(ref) AS pages_ref, count(*) F
 m AS (SELECT a.doc, CASE WHEN a.page = b.page THEN CAST(abs(a.height - a.line % 50) AS DOUBLE) END AS off FROM (SELECT * FROM V_LINES WHERE side = 'ours') a JOIN (SELECT * FROM V_LINES WHERE side = 'ref') b ON a.doc = b.doc AND a.line = b.line AND a.text = b.text), g AS (SELECT doc, count(*) AS matched, max(off) AS mx, list_sort(list(off) FILTER (off IS NOT NULL)) AS l FROM m GROUP BY doc)
 SELECT s.doc, pages_ours, pages_ref, d + abs(pages_ours - pages_ref) AS differing, coalesce(matched, 0) AS matched, coalesce(l[len(l) // 2 + 1], 0.0) AS offset_median, coalesce(mx, 0.0) AS offset_max, iou_mean, iou_min FROM s LEFT JOIN g ON s.doc = g.doc"""),
     "a7_estimate_by_sample": oracle(["V_PARAS"], """n AS (SELECT doc_id, length(text) AS m, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS r FROM V_PARAS) SELECT doc_id, CAST(sum(m) FILTER (r % 8 = 0) * count(*) // count(*) FILTER (r % 8 = 0) AS BIGINT) AS estimate FROM n GROUP BY doc_id"""),
+    "a7_estimate_by_sample_whole": oracle(["V_PARAS"], """n AS (SELECT length(text) AS m, row_number() OVER (ORDER BY doc_id, ord) - 1 AS r FROM V_PARAS) SELECT 'all' AS batch, CAST(sum(m) FILTER (r % 8 = 0) * count(*) // count(*) FILTER (r % 8 = 0) AS BIGINT) AS estimate FROM n"""),
     "a8_set_parity": oracle(["V_FRAGS"], """a AS (SELECT DISTINCT page, text FROM V_FRAGS WHERE frag % 5 < 3), b AS (SELECT DISTINCT page, text FROM V_FRAGS WHERE frag % 7 >= 3), j AS (SELECT coalesce(a.page, b.page) AS page, coalesce(a.text, b.text) AS text, a.page IS NULL AS la, b.page IS NULL AS lb FROM a FULL JOIN b ON a.page = b.page AND a.text = b.text) SELECT page, count(*) FILTER (la OR lb) = 0 AS equal, coalesce(string_agg(text, ',' ORDER BY text) FILTER (lb), '') AS only_a, coalesce(string_agg(text, ',' ORDER BY text) FILTER (la), '') AS only_b, count(*) FILTER (NOT la AND NOT lb) AS common FROM j GROUP BY page"""),
     "a9_mask_stats": oracle(["V_MASKS"], """b AS (SELECT mask, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM V_MASKS GROUP BY mask) SELECT vec_id AS mask, coalesce(n, 0) AS n, x0, y0, x1, y1 FROM embeddings LEFT JOIN b ON vec_id = mask"""),
     "a10_column_grid": oracle(["V_CELLS"], """c AS (SELECT *, CASE WHEN color % 6 = 1 THEN CAST(0 AS DOUBLE) ELSE CAST(10 + color % 40 AS DOUBLE) END AS w, coalesce(sum(grid_span) OVER (PARTITION BY tbl, r ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN r % 3 = 1 THEN tbl % 3 ELSE 0 END AS start FROM V_CELLS), d AS (SELECT n_nationkey AS tbl, n_nationkey % 7 + 2 AS n, CAST(n_nationkey % 5 * 40 AS DOUBLE) AS known FROM nation), need AS (SELECT tbl, max(start + grid_span + r % 2) AS need FROM c GROUP BY tbl), f AS (SELECT c.tbl, start, arg_min(w, {'r': r, 'c': c}) AS w FROM c JOIN d ON c.tbl = d.tbl WHERE start >= n AND grid_span = 1 AND w > 0 GROUP BY c.tbl, start), s AS (SELECT tbl, count(*) AS found, sum(w) AS fw FROM f GROUP BY tbl), j AS (SELECT d.tbl, CAST(greatest(need, n) AS BIGINT) AS columns, known + coalesce(fw, 0) AS known, greatest(need, n) - n - coalesce(found, 0) AS unknown FROM d JOIN need ON d.tbl = need.tbl LEFT JOIN s ON d.tbl = s.tbl)

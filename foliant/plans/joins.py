@@ -116,6 +116,13 @@ def j15_asof_next(spark, sf_dir):
     return J.asof_next(positions, stops.where("layer = 'base'").select("grp", "pos"), 36.0)
 
 
+def j15_asof_next_whole(spark, sf_dir):
+    """All positions against all stops as one group, in stretches over all tasks."""
+    positions, stops = views(spark, sf_dir, "V_POS", "V_STOPS")
+    stops = stops.where("layer = 'base'").select(F.lit(0).alias("grp"), "pos").distinct()
+    return J.asof_next(positions.select("id", F.lit(0).alias("grp"), "x"), stops, 36.0, 0).drop("grp")
+
+
 def j16_merge_overrides(spark, sf_dir):
     (stops,) = views(spark, sf_dir, "V_STOPS")
     return J.merge_overrides(stops.where("layer = 'base'"), stops.where("layer = 'over'"), ["grp", "pos"])
@@ -133,7 +140,7 @@ def j18_coverage_split(spark, sf_dir):
     return J.coverage_split(*views(spark, sf_dir, "V_TEXT", "V_COVERAGE"))
 
 
-QUERIES = {f.__name__: f for f in (j1_resolve_capture_time, j2_placement_extents, j3_assemble_pages, j4_remap_references, j5_reachable_objects, j6_inherit_attributes, j7_resolve_cascade, j8_ranked_lookup, j9_chase_links, j10_match_sequences, j11_boundary_drift, j12_first_difference, j13_regression_gate, j14_mask_iou, j15_asof_next, j16_merge_overrides, j17_resolve_relationships, j18_coverage_split)}
+QUERIES = {f.__name__: f for f in (j1_resolve_capture_time, j2_placement_extents, j3_assemble_pages, j4_remap_references, j5_reachable_objects, j6_inherit_attributes, j7_resolve_cascade, j8_ranked_lookup, j9_chase_links, j10_match_sequences, j11_boundary_drift, j12_first_difference, j13_regression_gate, j14_mask_iou, j15_asof_next, j15_asof_next_whole, j16_merge_overrides, j17_resolve_relationships, j18_coverage_split)}
 
 #: Parsed times of V_TIMES: every text there is ISO 8601 of one of four shapes.
 TIMES = """p AS (SELECT file, batch, ord, src, pri, s, left(s, 10) || ' ' || CASE WHEN length(s) = 10 THEN '00:00:00' WHEN length(s) = 17 THEN substr(s, 12, 5) || ':00' ELSE substr(s, 12, 8) END AS shown, CASE WHEN right(s, 1) = 'Z' THEN 0 WHEN length(s) = 25 THEN CAST(substr(s, 21, 2) AS INT) * 60 + CAST(substr(s, 24, 2) AS INT) END AS off FROM (SELECT file, batch, ord, 'manual' AS src, 1 AS pri, manual AS s FROM V_TIMES UNION ALL SELECT file, batch, ord, 'exif', 2, exif FROM V_TIMES UNION ALL SELECT file, batch, ord, 'xmp', 3, xmp FROM V_TIMES UNION ALL SELECT file, batch, ord, 'iptc', 4, iptc FROM V_TIMES UNION ALL SELECT file, batch, ord, 'fs', 5, fs FROM V_TIMES) WHERE s IS NOT NULL AND NOT starts_with(s, '0000')),
@@ -175,6 +182,7 @@ SELECT doc, CASE WHEN x.p >= 0 THEN x.p END AS page, CASE WHEN x.l >= 0 THEN x.l
 SELECT doc_id, CASE WHEN bh IS NULL THEN 'fail' WHEN hash <> bh THEN 'skip' WHEN len(f) > 0 THEN 'fail' WHEN hint THEN 'hint' ELSE 'pass' END AS verdict, CASE WHEN bh IS NULL THEN 'not in the baseline' WHEN hash <> bh THEN 'source changed' ELSE array_to_string(f, ', ') END AS reasons FROM j"""),
     "j14_mask_iou": oracle(["V_MASKS"], """a AS (SELECT mask AS key, x, y FROM V_MASKS WHERE x < 7), b AS (SELECT mask - 1 AS key, x, y FROM V_MASKS WHERE x < 7), c AS (SELECT coalesce(a.key, b.key) AS key, count(*) FILTER (a.key IS NOT NULL AND b.key IS NOT NULL) AS i, count(*) AS u FROM a FULL JOIN b ON a.key = b.key AND a.x = b.x AND a.y = b.y GROUP BY 1) SELECT vec_id AS key, round(coalesce(i / u, 1.0), 6) AS iou FROM embeddings LEFT JOIN c ON vec_id = key"""),
     "j15_asof_next": oracle(["V_POS", "V_STOPS"], """s AS (SELECT grp, CAST(pos AS DOUBLE) AS pos FROM V_STOPS WHERE layer = 'base'), m AS (SELECT p.id, min(s.pos) AS pos FROM V_POS p JOIN s ON s.grp = p.grp AND s.pos > p.x + CAST(0.001 AS DOUBLE) GROUP BY p.id) SELECT p.id, p.grp, p.x, round(coalesce(m.pos, (floor((p.x + CAST(0.001 AS DOUBLE)) / 36.0) + 1) * 36.0), 6) AS stop FROM V_POS p LEFT JOIN m ON p.id = m.id"""),
+    "j15_asof_next_whole": oracle(["V_POS", "V_STOPS"], """s AS (SELECT DISTINCT CAST(pos AS DOUBLE) AS pos FROM V_STOPS WHERE layer = 'base'), p AS (SELECT id, x, x + CAST(0.001 AS DOUBLE) AS at FROM V_POS), m AS (SELECT p.id, s.pos FROM p ASOF LEFT JOIN s ON s.pos > p.at) SELECT p.id, p.x, round(coalesce(m.pos, (floor(p.at / 36.0) + 1) * 36.0), 6) AS stop FROM p JOIN m ON p.id = m.id"""),
     "j16_merge_overrides": oracle(["V_STOPS"], """o AS (SELECT * FROM V_STOPS WHERE layer = 'over') SELECT * FROM V_STOPS b WHERE layer = 'base' AND NOT EXISTS (SELECT 1 FROM o WHERE o.grp = b.grp AND o.pos = b.pos) UNION ALL SELECT * FROM o WHERE kind <> 'clear'"""),
     "j17_resolve_relationships": oracle(["V_REFS", "V_RELS"], """r AS (SELECT ref, rel_id, CASE WHEN ref % 5 = 0 THEN 'header' ELSE 'body' END AS part, CASE WHEN kind = '1-URGENT' THEN 'link' ELSE 'picture' END AS kind FROM V_REFS), x AS (SELECT *, CASE WHEN rel_id % 5 = 0 THEN 'header' ELSE 'body' END AS own FROM V_RELS) SELECT r.ref, r.kind, l.target FROM r LEFT JOIN x l ON r.rel_id = l.rel_id AND l.external = (r.kind = 'link') AND (l.rel_id % 3 = 0 OR l.own = r.part)"""),
     "j18_coverage_split": oracle(["V_CHARS", "V_COVERAGE"], r"""b AS (SELECT ch, min(dict) AS own FROM V_COVERAGE GROUP BY ch), r AS (SELECT c.doc_id, c.pos, b.own IS NULL AS missing, coalesce(b.own, 1) AS dict, regexp_matches(c.ch, '^[\x00-\x1F\x7F-\x9F]') AS control FROM V_CHARS c LEFT JOIN b ON c.ch = b.ch), l AS (SELECT *, lag(dict) OVER w AS pd, lag(missing) OVER w AS pm, lag(control) OVER w AS pc FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), g AS (SELECT *, sum(CASE WHEN pd IS NULL OR pd <> dict OR control OR pc OR pm <> missing THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM l) SELECT doc_id, CAST(min(pos) AS INT) AS start, CAST(max(pos) + 1 AS INT) AS "end", min(dict) AS dict, bool_or(missing) AS missing FROM g GROUP BY doc_id, run"""),

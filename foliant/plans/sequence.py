@@ -24,6 +24,15 @@ def w1_number_items(spark, sf_dir):
     return _numbered(spark, sf_dir)[0].select("doc_id", "ord", "num_id", "ilvl", "value")
 
 
+def w1_number_items_whole(spark, sf_dir):
+    """All documents as one list, in stretches over all tasks."""
+    items, levels = views(spark, sf_dir, "V_ITEMS", "V_LEVELS")
+    one = items.withColumn("ord", F.col("doc_id") * 1_000_000 + F.col("ord")).withColumn("doc_id", F.lit(0).cast("long"))
+    levels = levels.select("abs", "ilvl", "start", F.col("restart").cast("int").alias("restart"))
+    over = spark.createDataFrame([(2, 0, 5)], "num_id int, ilvl int, start int")
+    return W.number_items(one, levels, over, 0).select("ord", "num_id", "ilvl", "value")
+
+
 def w2_expand_labels(spark, sf_dir):
     numbered, levels = _numbered(spark, sf_dir)
     return W.expand_labels(numbered, levels)
@@ -41,6 +50,12 @@ def w4_merge_equal_runs(spark, sf_dir):
     return W.merge_equal_runs(table(spark, sf_dir, "events"), "user_id", "event_id", ["event_type"])
 
 
+def w4_merge_equal_runs_whole(spark, sf_dir):
+    """All events as one sequence, in stretches over all tasks."""
+    events = table(spark, sf_dir, "events").withColumn("all", F.lit("all"))
+    return W.merge_equal_runs(events, "all", "event_id", ["event_type"], 0).drop("all")
+
+
 def w5_suppress_between_equal(spark, sf_dir):
     (paras,) = views(spark, sf_dir, "V_PARAS")
     return W.suppress_between_equal(paras, "doc_id", "ord", "style", "contextual").select("doc_id", "ord", "space_before", "space_after")
@@ -51,6 +66,13 @@ def w6_running_offsets(spark, sf_dir):
     return W.running_offsets(paras.withColumn("height", F.length("text") % 40), "doc_id", "ord", True).select("doc_id", "ord", "gap", "offset")
 
 
+def w6_running_offsets_whole(spark, sf_dir):
+    """All paragraphs as one story, in stretches over all tasks."""
+    (paras,) = views(spark, sf_dir, "V_PARAS")
+    one = paras.select("doc_id", "ord", "space_before", "space_after", (F.length("text") % 40).alias("height"), F.lit("all").alias("story"), F.struct("doc_id", "ord").alias("at"))
+    return W.running_offsets(one, "story", "at", True, 0).select("doc_id", "ord", "gap", "offset")
+
+
 def w7_pack_tokens(spark, sf_dir):
     return W.pack_tokens(views(spark, sf_dir, "V_TOKENS")[0], 40)
 
@@ -150,7 +172,7 @@ def t3_running_tally(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (w1_number_items, w2_expand_labels, w3_script_runs, w3_script_runs_both, w4_merge_equal_runs, w5_suppress_between_equal, w6_running_offsets, w7_pack_tokens, w8_pack_pages, w8_pack_pages_rules, w9_page_numbers, w10_inherit_headers, w11_substitute_fields, w12_group_by_anchor, w13_strip_subtrees, w14_choose_alternative, w15_grid_positions, w16_fill_from_first, o2_sort_by_time, e1_map_isolated, t1_latest_progress, t2_distinct_warnings, t3_running_tally)
+    for f in (w1_number_items, w1_number_items_whole, w2_expand_labels, w3_script_runs, w3_script_runs_both, w4_merge_equal_runs, w4_merge_equal_runs_whole, w5_suppress_between_equal, w6_running_offsets, w6_running_offsets_whole, w7_pack_tokens, w8_pack_pages, w8_pack_pages_rules, w9_page_numbers, w10_inherit_headers, w11_substitute_fields, w12_group_by_anchor, w13_strip_subtrees, w14_choose_alternative, w15_grid_positions, w16_fill_from_first, o2_sort_by_time, e1_map_isolated, t1_latest_progress, t2_distinct_warnings, t3_running_tally)
 }
 
 #: Level 1 and 2 restart after level 0; level 2 has restart 1, which names level 0 alone.
@@ -179,13 +201,16 @@ _RUNS = """n AS (SELECT *, sum(CASE WHEN pc IS NULL OR pc <> class THEN 1 ELSE 0
 
 ORACLE_SQL = {
     "w1_number_items": oracle(["V_ITEMS"], _W1 + " SELECT doc_id, ord, num_id, ilvl, value FROM v"),
+    "w1_number_items_whole": oracle(["V_ITEMS"], "one AS (SELECT CAST(0 AS BIGINT) AS doc_id, doc_id * 1000000 + ord AS ord, num_id, ilvl, abs FROM V_ITEMS), " + _W1.replace("V_ITEMS", "one") + " SELECT ord, num_id, ilvl, value FROM v"),
     "w2_expand_labels": oracle(["V_ITEMS"], _W1 + f""", p AS (SELECT *, last_value(CASE WHEN ilvl = 0 THEN value END IGNORE NULLS) OVER w AS v0, last_value(CASE WHEN ilvl = 1 THEN value END IGNORE NULLS) OVER w1 AS v1 FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), w1 AS (PARTITION BY doc_id, seg_all ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT doc_id, ord, ilvl, value, CASE ilvl WHEN 0 THEN {_roman_sql('value')} || '.' WHEN 1 THEN {_roman_sql('coalesce(v0, 1)')} || '.' || value ELSE '(' || {_letter_sql('value')} || ')' END AS label, false AS fallback FROM p"""),
     "w3_script_runs": oracle(["V_CHARS"], _CLASS + ", c AS (SELECT doc_id, pos, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'latin') AS class FROM k), " + _RUNS),
     "w3_script_runs_both": oracle(["V_CHARS"], _CLASS + ", c AS (SELECT doc_id, pos, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'latin') AS class FROM k), " + _RUNS),
     "w4_merge_equal_runs": """WITH l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events), r AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM l) SELECT user_id, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM r GROUP BY user_id, event_type, run""",
+    "w4_merge_equal_runs_whole": """WITH l AS (SELECT *, lag(event_type) OVER (ORDER BY event_id) AS p FROM events), r AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> event_type THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS run FROM l) SELECT event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM r GROUP BY event_type, run""",
     "w5_suppress_between_equal": oracle(["V_PARAS"], """n AS (SELECT *, lag(style) OVER w AS p, lead(style) OVER w AS q FROM V_PARAS WINDOW w AS (PARTITION BY doc_id ORDER BY ord)) SELECT doc_id, ord, CASE WHEN contextual AND p = style THEN 0 ELSE space_before END AS space_before, CASE WHEN contextual AND q = style THEN 0 ELSE space_after END AS space_after FROM n"""),
     "w6_running_offsets": oracle(["V_PARAS"], """g AS (SELECT doc_id, ord, space_after, length(text) % 40 AS height, greatest(space_before - coalesce(lag(space_after) OVER (PARTITION BY doc_id ORDER BY ord), 0), 0) AS gap FROM V_PARAS) SELECT doc_id, ord, gap, CAST(coalesce(sum(gap + height + space_after) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + gap AS BIGINT) AS "offset" FROM g"""),
+    "w6_running_offsets_whole": oracle(["V_PARAS"], """g AS (SELECT doc_id, ord, space_after, length(text) % 40 AS height, greatest(space_before - coalesce(lag(space_after) OVER (ORDER BY doc_id, ord), 0), 0) AS gap FROM V_PARAS) SELECT doc_id, ord, gap, CAST(coalesce(sum(gap + height + space_after) OVER (ORDER BY doc_id, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + gap AS BIGINT) AS "offset" FROM g"""),
     "w7_pack_tokens": oracle(["V_TOKENS"], """q AS (SELECT doc_id, pos, contains(tok, chr(10)) AS br, replace(tok, chr(10), '') AS t FROM V_TOKENS), z AS (SELECT *, CASE WHEN length(t) > 0 AND contains('.,;:!?)', right(t, 1)) THEN 1 ELSE 0 END AS c FROM q), y AS (SELECT *, greatest(CAST(ceil((length(t) - c - 40) / 40) AS INT), 0) AS cuts FROM z),
 x AS (SELECT doc_id, pos, br AND k = cuts AS br, CASE WHEN k < cuts THEN 40 ELSE length(t) - 40 * cuts END AS len, CASE WHEN k < cuts THEN 40 ELSE length(t) - 40 * cuts - c END AS shown, k, cuts FROM (SELECT *, unnest(range(0, cuts + 1)) AS k FROM y)),
 w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos, k) AS i FROM x),
