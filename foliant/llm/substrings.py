@@ -17,7 +17,7 @@ shard that gets more than SALT_BYTES is split over tasks, each with the shard's
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -137,19 +137,27 @@ def _distinct(block: Block, runs: list[tuple[int, int]]) -> tuple[list[bytes], l
     return list(texts), which
 
 
+#: Different words for which there is a code point of their own.
+CODES = 0x100000
+
+
 class Shard:
     """Automaton over the passages of one block."""
 
-    def __init__(self, own: list[bytes], times: list[int], window: int, phrase: int) -> None:
-        self.window, self.phrase = window, phrase
+    def __init__(self, own: list[bytes], times: list[int], window: int, phrase: int, space: int = CODES) -> None:
+        self.window, self.phrase, self.space = window, phrase, space
         self.codes: dict[bytes, int] = {}
         #: Windows of the passages: how often each stands in the block, and how many others hold it.
-        self.windows: dict[str, int] = {}
+        self.windows: dict[str | bytes, int] = {}
         self.automaton = ahocorasick.Automaton()
+        for text in own:
+            self.coded(text, learn=True)
+        #: With more words than code points some share one: the automaton then finds too much, and the words themselves decide.
+        self.shared = len(self.codes) > space
         for text, n in zip(own, times):
-            coded = self.coded(text, learn=True)
+            coded, key = self.coded(text), self.keys(text)
             for at in range(len(coded) - window + 1):
-                w = coded[at : at + window]
+                w = key(coded, at)
                 self.windows[w] = self.windows.get(w, 0) + n
             for at in range(0, len(coded) - phrase + 1, window - phrase + 1):
                 self.automaton.add_word(coded[at : at + phrase], True)
@@ -159,29 +167,35 @@ class Shard:
         """A code point for each word; one that no passage holds is unknown (a new line)."""
         codes = self.codes
         if learn:
-            # There are a million code points from 0x10000 on; only a longer text with more different words reuses some.
-            out = [codes.setdefault(w, 0x10000 + len(codes) % 0x100000) for w in text.split(b" ")]
+            out = [codes.setdefault(w, 0x10000 + len(codes) % self.space) for w in text.split(b" ")]
         else:
             out = [codes.get(w, 10) for w in text.split(b" ")]
         return np.array(out, "<u4").tobytes().decode("utf-32-le")
 
+    def keys(self, text: bytes) -> Callable[[str, int], str | bytes]:
+        """What tells the windows of a text apart: their codes, or their words where words share codes."""
+        if not self.shared:
+            return lambda coded, at: coded[at : at + self.window]
+        words = text.split(b" ")
+        return lambda coded, at: b" ".join(words[at : at + self.window])
+
     def locate(self, text: bytes, count: bool) -> np.ndarray:
         """Places of the shard's windows in a passage; ``count`` marks them as held by another block."""
         if not self.windows:
             return np.zeros(0, np.int64)
-        coded = self.coded(text)
+        coded, key = self.coded(text), self.keys(text)
         found = np.fromiter((end for end, _ in self.automaton.iter(coded)), np.int64) - (self.phrase - 1)
         near = np.flatnonzero(_spread(np.maximum(found - (self.window - self.phrase), 0), self.window - self.phrase + 1, len(coded) + 1))
-        out = [at for at in near.tolist() if coded[at : at + self.window] in self.windows]
+        out = [at for at in near.tolist() if at + self.window <= len(coded) and key(coded, at) in self.windows]
         if count:
             for at in out:
-                self.windows[coded[at : at + self.window]] += 1
+                self.windows[key(coded, at)] += 1
         return np.array(out, np.int64)
 
     def recurring(self, text: bytes) -> np.ndarray:
         """Places in one of the block's own passages whose windows stand anywhere else."""
-        coded = self.coded(text)
-        return np.array([at for at in self.locate(text, False).tolist() if self.windows[coded[at : at + self.window]] > 1], np.int64)
+        coded, key = self.coded(text), self.keys(text)
+        return np.array([at for at in self.locate(text, False).tolist() if self.windows[key(coded, at)] > 1], np.int64)
 
 
 def _repeated(keys: np.ndarray, at: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:

@@ -296,6 +296,21 @@ def test_shards_compare_words_whatever_the_hashes_say(monkeypatch, spark):
     assert list(shard.recurring(texts[0].encode())) == list(range(6))
 
 
+@pytest.mark.parametrize("space", [1, 7, 40])
+def test_words_that_share_a_code_are_told_apart(space):
+    """With fewer code points than words the automaton finds too much, but nothing else is taken."""
+    rng = random.Random(space)
+    own = [" ".join(f"w{rng.randrange(60)}" for _ in range(90)).encode() for _ in range(4)]
+    own.append(own[0])
+    alike = [" ".join(w if rng.random() < 0.97 else f"x{w}" for w in t.decode().split(" ")).encode() for t in own]
+    small, large = substrings.Shard(own, [1] * 5, 35, 18, space), substrings.Shard(own, [1] * 5, 35, 18)
+    assert small.shared and not large.shared
+    for t in [*alike, *own, b" ".join(own)]:
+        assert list(small.locate(t, True)) == list(large.locate(t, True))
+    for t in own:
+        assert list(small.recurring(t)) == list(large.recurring(t))
+
+
 def test_blocks_without_any_answer(spark):
     """Only short texts: no block asks for anything, and every word is kept."""
     df = spark.createDataFrame([(i, "a b c" if i else None) for i in range(5)], "doc_id long, text string")

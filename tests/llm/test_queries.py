@@ -68,7 +68,7 @@ def test_labels_of_held_out_rows_are_not_learned_from(spark, sf_dir, tmp_path):
     import shutil
 
     for t in ("documents", "labels"):
-        shutil.copy(f"{sf_dir}/{t}.parquet", tmp_path / f"{t}.parquet")
+        shutil.copyfile(f"{sf_dir}/{t}.parquet", tmp_path / f"{t}.parquet")  # not its mode: the tables are read-only
     for name, parts, rest in (("op1_nb_support_vectors", 5, 0), ("op9_crf_toxicity", 4, 2)):
         plain = {r.doc_id: r.score for r in queries.QUERIES[name](spark, sf_dir).collect()}
         own = read(sf_dir, "labels")
@@ -207,25 +207,28 @@ def test_pipeline_stages(spark, sf_dir, texts, library):
     assert of(good) == {i: t for i, t in texts.items() if score[i] >= 0.3}
     one = run("simhash near-dedup", good)
     own = of(good)
-    assert of(one) == {i: t for i, t in own.items() if near_components(own)[i] == i}
+    groups = near_components(own)
+    assert of(one) == {i: t for i, t in own.items() if groups[i] == i}
     clean = run("benchmark decontamination", one)
     hit = brute_windows({i: t for i, t in of(one).items()}, {r["item_id"]: r["text"] for r in read(sf_dir, "benchmark")})
     assert of(clean) == {i: t for i, t in of(one).items() if not hit.get(i, (0,))[0]}
     safe = run("pii", clean)
     from foliant.llm import pii
 
+    before, after, touched = of(clean), of(safe), 0
     for r in pii.find(clean).collect():
-        text = of(clean)[r.doc_id]
+        text = before[r.doc_id]
         spans = sorted([(m.s, m.e, f"[{list(pii.KINDS)[m.k].upper()}]") for m in r.base] + [(m.s, m.e, "" if m.a == "remove" else "[TERM]") for m in r.terms])
         out, at = "", 0
         for s, e, put in spans:
             if s >= at:
                 out, at = out + text[at:s] + put, e
-        assert of(safe)[r.doc_id] == out + text[at:] if len(texts) < 50 or spans else True
-    assert of(safe).keys() == of(clean).keys() and not any(brute_spans(t) for t in of(safe).values())
+        assert after[r.doc_id] == out + text[at:]
+        touched += bool(spans)
+    assert after.keys() == before.keys() and not any(map(brute_spans, after.values())) and 0 < touched < len(after)
     final = {r.doc_id: r for r in run("sentencepiece", safe).collect()}
-    assert final.keys() == of(safe).keys()
-    for i, t in of(safe).items():
+    assert final.keys() == after.keys()
+    for i, t in after.items():
         ids = library.encode(t)
         assert (final[i].n_tokens, final[i].ids, final[i].decoded) == (len(ids), ids, library.decode(ids))
     assert np.frombuffer(piece_coder.PieceCoder(piece_coder.model_bytes()).encode("a b"), "<i4").tolist() == library.encode("a b")
