@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import fresh_path, stored
+from . import masks
 from .project import number_rows
 from .scan import Ordered
 
@@ -276,14 +277,18 @@ def chase_links(start: DataFrame, links: DataFrame, max_hops: int = 4) -> DataFr
     return out.select("id", "terminal")
 
 
+#: Lines that are walked before their matches join those of the lines before.
+STRETCH = 256
+
+
 def match_sequences(ours: DataFrame, reference: DataFrame, lookahead: int = 60) -> DataFrame:
     """doc, line_ref, line_ours, same_page, dx, dy: greedy alignment of the lines of two sides.
 
     Both tables: doc, line, text (already normalised) and, if offsets are wanted, page, x and y. For
     each reference line in order the first equal line within the next ``lookahead`` of ours after the
     last match is taken. Offsets are given where both lines are on the same page. Lines of fewer than
-    two characters are left out. The walk depends on its past, so a document's lines are one row of
-    arrays; many documents share a batch.
+    two characters are left out. The walk depends on its past, so a document's lines are two arrays and
+    the walk is a fold over places: a line is looked up in the slice of ours after the last match.
     """
     places = ["page", "x", "y"]
 
@@ -291,26 +296,25 @@ def match_sequences(ours: DataFrame, reference: DataFrame, lookahead: int = 60)
         # Fresh columns, as both sides may come from one table.
         extra = [F.col(c).cast("double").alias(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in places]
         rows = df.where(F.length("text") >= 2).select(F.col("doc").alias("doc"), F.struct(F.col("line").cast("long").alias("line"), F.col("text").alias("text"), *extra).alias("l"))
-        return rows.groupBy("doc").agg(F.array_sort(F.collect_list("l")).alias(name))
-
-    @F.pandas_udf("array<struct<i:int,k:int>>")
-    def walk(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for texts, wanted in zip(left, right):
-            texts, at, found = list(texts), 0, []
-            for i, text in enumerate(wanted):
-                try:
-                    k = texts.index(text, at, at + lookahead)
-                except ValueError:
-                    continue
-                found.append({"i": i, "k": k})
-                at = k + 1
-            out.append(found)
-        return pd.Series(out)
+        own = rows.groupBy("doc").agg(F.array_sort(F.collect_list("l")).alias(name))
+        return own.withColumn(f"{name}_texts", F.transform(name, lambda x: x["text"]))
+
+    kind = "array<struct<i:int,k:int>>"
+    state = lambda at, found: F.struct(at.cast("int").alias("at"), found.cast(kind).alias("found"))
+    bind = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  value is worked out once
+
+    def step(s: Column, i: Column) -> Column:
+        place = F.array_position(F.slice("a_texts", s["at"] + 1, lookahead), F.get("b_texts", i)).cast("int")
+        return bind(place, lambda p: F.when(p > 0, state(s["at"] + p, F.array_append(s["found"], F.struct(i.cast("int").alias("i"), (s["at"] + p - 1).alias("k"))))).otherwise(s))
+
+    def stretch(s: Column, first: Column) -> Column:
+        """Some lines at a time, so that the matches of all are not copied for each."""
+        own = F.sequence(first, F.least(first + (STRETCH - 1), F.size("b_texts") - 1))
+        return bind(F.aggregate(own, state(s["at"], F.array()), step), lambda t: state(t["at"], F.concat(s["found"], t["found"])))
 
     both = sides(ours, "a").join(sides(reference, "b"), "doc")
-    texts = lambda c: F.transform(c, lambda x: x["text"])
-    pairs = both.withColumn("m", walk(texts("a"), texts("b"))).select("doc", F.explode(F.transform("m", lambda m: F.struct(F.get("b", m["i"]).alias("r"), F.get("a", m["k"]).alias("o")))).alias("p")).select("doc", "p.*")
+    matched = F.aggregate(F.sequence(F.lit(0), F.size("b_texts") - 1, F.lit(STRETCH)), state(F.lit(0), F.array()), stretch, lambda s: s["found"])
+    pairs = both.withColumn("m", matched).select("doc", F.explode(F.transform("m", lambda m: F.struct(F.get("b", m["i"]).alias("r"), F.get("a", m["k"]).alias("o")))).alias("p")).select("doc", "p.*")
     same = F.coalesce(F.col("r.page") == F.col("o.page"), F.lit(False))
     gap = lambda c: F.when(same, F.abs(F.col(f"o.{c}") - F.col(f"r.{c}")))
     return pairs.select("doc", F.col("r.line").alias("line_ref"), F.col("o.line").alias("line_ours"), same.alias("same_page"), gap("x").alias("dx"), gap("y").alias("dy"))
@@ -436,12 +440,13 @@ def regression_gate(current: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def mask_iou(a: DataFrame, b: DataFrame, width: int, height: int, keys: DataFrame) -> DataFrame:
-    """key, iou: intersection over union of two cell sets on the common area; 1 if both are empty."""
-    inside = (F.col("x") < width) & (F.col("y") < height)
-    left = a.where(inside).select("key", "x", "y").distinct().withColumn("a", F.lit(1))
-    right = b.where(inside).select("key", "x", "y").distinct().withColumn("b", F.lit(1))
-    counts = left.join(right, ["key", "x", "y"], "full_outer").groupBy("key").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("i"), F.count("*").alias("u"))
-    return keys.join(counts, "key", "left").select("key", F.round(F.coalesce(F.col("i") / F.col("u"), F.lit(1.0)), 6).alias("iou"))
+    """key, iou: intersection over union of two cell sets on the common area; 1 if both are empty.
+
+    Cells are packed to 64-bit words first, so the two sides meet by words and not by cells.
+    """
+    sides = (masks.clip(masks.pack(cells, "key"), width, height) for cells in (a, b))
+    counts = masks.overlap(*sides, keys)
+    return counts.select("key", F.when(F.col("either") == 0, 1.0).otherwise(F.round(F.col("both") / F.col("either"), 6)).alias("iou"))
 
 
 def asof_next(positions: DataFrame, stops: DataFrame, default: float, spread: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
 from ..storage import cut
+from . import masks
 
 A4_LONG_EDGE, MAX_PAGE = 841.89, 14400.0
 #: Resolution cap of each tier (None: pixels are never changed), and whether JPEG bytes may pass through.
@@ -219,7 +220,5 @@ def reindex_sources(picks: DataFrame) -> DataFrame:
 
 
 def dilate(cells: DataFrame, width: int, height: int) -> DataFrame:
-    """mask, x, y: each cell with its eight neighbours, clipped to the bounds."""
-    steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    spread = cells.select("mask", "x", "y", F.explode(steps).alias("d")).select("mask", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"))
-    return spread.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height)).distinct()
+    """mask, x, y: each cell with its eight neighbours, clipped to the bounds; worked on as 64-bit words."""
+    return masks.unpack(masks.dilate(masks.pack(cells, "mask"), width, height), "mask")

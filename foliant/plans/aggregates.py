@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import oracle, table, views
 from ..operators import aggregates as A
+from ..operators import masks
 from ..operators import joins as J
 from ..operators import project as P
 from . import files as _files
@@ -83,7 +84,16 @@ def a11_feature_census(spark, sf_dir):
     return A.feature_census(tags, "page_id", {"script": tok.startswith("<script"), "table": tok.startswith("<table"), "image": tok.startswith("<img"), "comment": tok.startswith("<!--"), "entity": F.col("tok").contains("&")})
 
 
-QUERIES = {f.__name__: f for f in (a1_capture_span, a2_fidelity_counts, a3_compression_rollup, a4_batch_summary, a5_warning_summary, a6_compare_metrics, a7_estimate_by_sample, a7_estimate_by_sample_whole, a8_set_parity, a9_mask_stats, a10_column_grid, a11_feature_census)}
+def a9_mask_stats_words(spark, sf_dir):
+    """Counts, boxes and overlap of dilated masks, on packed words throughout."""
+    (cells,) = views(spark, sf_dir, "V_MASKS")
+    words, keys = masks.pack(cells, "mask"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"))
+    wide = masks.dilate(words, 70, 9)
+    found = masks.stats(wide, keys).join(masks.overlap(words, wide, keys), "key")
+    return found.select(F.col("key").alias("mask"), "n", "x0", "y0", "x1", "y1", "both", "either")
+
+
+QUERIES = {f.__name__: f for f in (a1_capture_span, a2_fidelity_counts, a3_compression_rollup, a4_batch_summary, a5_warning_summary, a6_compare_metrics, a7_estimate_by_sample, a7_estimate_by_sample_whole, a8_set_parity, a9_mask_stats, a9_mask_stats_words, a10_column_grid, a11_feature_census)}
 
 _P4 = _files.ORACLE_SQL["p4_decide_recompression"]
 _P5 = _files.ORACLE_SQL["p5_decide_fidelity"]
@@ -104,6 +114,7 @@ SELECT s.doc, pages_ours, pages_ref, d + abs(pages_ours - pages_ref) AS differin
     "a7_estimate_by_sample_whole": oracle(["V_PARAS"], """n AS (SELECT length(text) AS m, row_number() OVER (ORDER BY doc_id, ord) - 1 AS r FROM V_PARAS) SELECT 'all' AS batch, CAST(sum(m) FILTER (r % 8 = 0) * count(*) // count(*) FILTER (r % 8 = 0) AS BIGINT) AS estimate FROM n"""),
     "a8_set_parity": oracle(["V_FRAGS"], """a AS (SELECT DISTINCT page, text FROM V_FRAGS WHERE frag % 5 < 3), b AS (SELECT DISTINCT page, text FROM V_FRAGS WHERE frag % 7 >= 3), j AS (SELECT coalesce(a.page, b.page) AS page, coalesce(a.text, b.text) AS text, a.page IS NULL AS la, b.page IS NULL AS lb FROM a FULL JOIN b ON a.page = b.page AND a.text = b.text) SELECT page, count(*) FILTER (la OR lb) = 0 AS equal, coalesce(string_agg(text, ',' ORDER BY text) FILTER (lb), '') AS only_a, coalesce(string_agg(text, ',' ORDER BY text) FILTER (la), '') AS only_b, count(*) FILTER (NOT la AND NOT lb) AS common FROM j GROUP BY page"""),
     "a9_mask_stats": oracle(["V_MASKS"], """b AS (SELECT mask, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM V_MASKS GROUP BY mask) SELECT vec_id AS mask, coalesce(n, 0) AS n, x0, y0, x1, y1 FROM embeddings LEFT JOIN b ON vec_id = mask"""),
+    "a9_mask_stats_words": oracle(["V_MASKS"], """d AS (SELECT DISTINCT mask, x + dx AS x, y + dy AS y FROM V_MASKS, (VALUES (-1), (0), (1)) AS a(dx), (VALUES (-1), (0), (1)) AS b(dy) WHERE x + dx BETWEEN 0 AND 69 AND y + dy BETWEEN 0 AND 8), b AS (SELECT mask, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM d GROUP BY mask), o AS (SELECT mask, count(*) AS n FROM V_MASKS GROUP BY mask) SELECT vec_id AS mask, coalesce(b.n, 0) AS n, x0, y0, x1, y1, coalesce(o.n, 0) AS both, coalesce(b.n, 0) AS either FROM embeddings LEFT JOIN b ON vec_id = b.mask LEFT JOIN o ON vec_id = o.mask"""),
     "a10_column_grid": oracle(["V_CELLS"], """c AS (SELECT *, CASE WHEN color % 6 = 1 THEN CAST(0 AS DOUBLE) ELSE CAST(10 + color % 40 AS DOUBLE) END AS w, coalesce(sum(grid_span) OVER (PARTITION BY tbl, r ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN r % 3 = 1 THEN tbl % 3 ELSE 0 END AS start FROM V_CELLS), d AS (SELECT n_nationkey AS tbl, n_nationkey % 7 + 2 AS n, CAST(n_nationkey % 5 * 40 AS DOUBLE) AS known FROM nation), need AS (SELECT tbl, max(start + grid_span + r % 2) AS need FROM c GROUP BY tbl), f AS (SELECT c.tbl, start, arg_min(w, {'r': r, 'c': c}) AS w FROM c JOIN d ON c.tbl = d.tbl WHERE start >= n AND grid_span = 1 AND w > 0 GROUP BY c.tbl, start), s AS (SELECT tbl, count(*) AS found, sum(w) AS fw FROM f GROUP BY tbl), j AS (SELECT d.tbl, CAST(greatest(need, n) AS BIGINT) AS columns, known + coalesce(fw, 0) AS known, greatest(need, n) - n - coalesce(found, 0) AS unknown FROM d JOIN need ON d.tbl = need.tbl LEFT JOIN s ON d.tbl = s.tbl)
 SELECT tbl, columns, round(known, 6) AS known, round(CASE WHEN unknown > 0 THEN greatest((480.0 - known) / unknown, 18.0) END, 6) AS share, columns > 10 AS placeholder FROM j"""),
     "a11_feature_census": oracle(["V_TAGS"], """c AS (SELECT page_id, count(*) FILTER (starts_with(lower(tok), '<script')) AS script, count(*) FILTER (starts_with(lower(tok), '<table')) AS "table", count(*) FILTER (starts_with(lower(tok), '<img')) AS image, count(*) FILTER (starts_with(lower(tok), '<!--')) AS comment, count(*) FILTER (contains(tok, '&')) AS entity FROM V_TAGS GROUP BY page_id) SELECT page_id, feature, n FROM (UNPIVOT c ON script, "table", image, comment, entity INTO NAME feature VALUE n) WHERE n > 0"""),

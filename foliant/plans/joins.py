@@ -166,6 +166,10 @@ SELECT ord, CAST(coalesce(CASE WHEN n = 2 THEN 99 END, cs, ps, CASE WHEN m > 3 T
     "j8_ranked_lookup": oracle(["V_LOOKUP", "V_CATALOG"], """c AS (SELECT * FROM V_CATALOG WHERE pref % 2 = 1), t AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'serif' ELSE 'sans' END AS category, p_partkey AS place, p_name AS name FROM part WHERE p_partkey % 3 = 1 AND p_name IN (SELECT name FROM c)), b AS (SELECT category, arg_min(name, place) AS name, min(place) AS place FROM t GROUP BY category), o AS (SELECT (SELECT arg_min(name, place) FROM t) AS listed, (SELECT arg_min(name, {'p': pref, 'n': name}) FROM c) AS any)
 SELECT req, want, coalesce(e.name, s.name, b.name, o.listed, o.any) AS found, CASE WHEN e.name IS NOT NULL THEN 1 WHEN s.name IS NOT NULL THEN 2 WHEN b.name IS NOT NULL THEN 3 WHEN o.listed IS NOT NULL THEN 4 ELSE 5 END AS rank FROM V_LOOKUP l LEFT JOIN c e ON l.want = e.name LEFT JOIN c s ON regexp_replace(l.want, '[,-].*$', '') = s.name LEFT JOIN b ON l.category = b.category, o"""),
     "j9_chase_links": oracle(["V_STYLES"], """l AS (SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id = 5 THEN NULL ELSE CAST(based_on AS VARCHAR) END AS next FROM V_STYLES) SELECT a.id, CASE WHEN a.next IS NULL THEN a.id WHEN b.id IS NOT NULL AND b.next IS NULL THEN b.id WHEN c.id IS NOT NULL AND c.next IS NULL THEN c.id WHEN d.id IS NOT NULL AND d.next IS NULL THEN d.id END AS terminal FROM l a LEFT JOIN l b ON a.next = b.id LEFT JOIN l c ON b.next = c.id LEFT JOIN l d ON c.next = d.id"""),
+    "j10_match_sequences": oracle(["V_LINES"], """n AS (SELECT side, doc, page, line, line * 10 + height AS y, regexp_replace(text, '[\\s\\x00-\\x1F\\x7F]+', '', 'g') AS t FROM V_LINES), a AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line) - 1 AS k FROM n WHERE side = 'ours' AND length(t) >= 2), b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line) - 1 AS i FROM n WHERE side = 'ref' AND length(t) >= 2),
+w AS (SELECT doc, CAST(-1 AS BIGINT) AS i, CAST(0 AS BIGINT) AS at, CAST(NULL AS BIGINT) AS k FROM (SELECT DISTINCT doc FROM b) UNION ALL SELECT w.doc, b.i, coalesce(min(a.k) + 1, min(w.at)), min(a.k) FROM w JOIN b ON b.doc = w.doc AND b.i = w.i + 1 LEFT JOIN a ON a.doc = w.doc AND a.t = b.t AND a.k >= w.at AND a.k < w.at + 60 GROUP BY w.doc, b.i),
+m AS (SELECT w.doc, count(*) AS matched, count(*) FILTER (a.page = b.page) AS same_page, CAST(max(abs(a.y - b.y)) FILTER (a.page = b.page) AS DOUBLE) AS dy_max FROM w JOIN a ON a.doc = w.doc AND a.k = w.k JOIN b ON b.doc = w.doc AND b.i = w.i GROUP BY w.doc), r AS (SELECT doc, count(*) AS ref_lines FROM b GROUP BY doc)
+SELECT r.doc, ref_lines, coalesce(matched, 0) AS matched, coalesce(same_page, 0) AS same_page, dy_max FROM r LEFT JOIN m ON r.doc = m.doc""", True),
     "j11_boundary_drift": oracle(["V_LINES"], """o AS (SELECT doc, page, line, length(text) AS n, CAST(floor(line / 9) AS INT) AS rpage FROM V_LINES WHERE side = 'ours' AND text <> ''), f AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, sum(n) OVER (PARTITION BY doc) AS total FROM o), rs AS (SELECT doc, rpage, min(off) AS roff, any_value(total) AS total, dense_rank() OVER (PARTITION BY doc ORDER BY rpage) - 1 AS k FROM f GROUP BY doc, rpage), os AS (SELECT doc, page, min(off) AS ooff, dense_rank() OVER (PARTITION BY doc ORDER BY page) - 1 AS k FROM f GROUP BY doc, page),
 x AS (SELECT rs.doc, rs.k, roff, coalesce(ooff, total) AS start FROM rs LEFT JOIN os ON rs.doc = os.doc AND rs.k = os.k WHERE rs.k > 0), b AS (SELECT x.doc, x.k, count(*) FILTER (f.off > least(roff, start) AND f.off <= greatest(roff, start)) AS bd FROM x JOIN f ON x.doc = f.doc GROUP BY x.doc, x.k)
 SELECT doc, max(bd) AS bd_max, CAST(sum(bd) AS BIGINT) AS bd_sum, CAST(0 AS BIGINT) AS unmatched FROM b GROUP BY doc"""),
