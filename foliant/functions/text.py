@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,14 @@ from pyspark.sql import functions as F
 MAX_NUMBER = "18446744073709551615"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there.
+
+    As the variable of a lambda over an array of one element it cannot be inlined by the optimiser.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def natural_key(name: Column) -> Column:
     """Array of (kind, text, number): chunks of text and of ASCII digits; text sorts before numbers."""
     chunks = F.regexp_extract_all(name, F.lit(r"([0-9]+|[^0-9]+)"), 1)

@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..storage import fresh_path, stored
 from . import masks
 from .project import number_rows
@@ -27,15 +28,23 @@ def parse_iso8601(text: Column) -> Column:
     Date alone means midnight; fractions of seconds are dropped; the offset stays null where none is
     written. Day 31 of any month and second 60 are plausible, so fields are kept as written.
     """
-    part = lambda i: F.regexp_extract(text, _ISO, i)
-    number = lambda i: F.coalesce(part(i).try_cast("int"), F.lit(0))
-    zone = part(7)
-    digits = F.regexp_replace(zone, "[^0-9]", "")
-    minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
-    offset = F.when(zone == "", F.lit(None).cast("int")).when(F.lower(zone) == "z", 0).when(zone.startswith("-"), -minutes).otherwise(minutes)
-    fields = F.struct(*(number(i).alias(n) for i, n in enumerate(("year", "month", "day", "hour", "minute", "second"), 1)), offset.alias("offset_min"))
-    plausible = text.rlike(_ISO) & number(1).between(1000, 9999) & number(2).between(1, 12) & number(3).between(1, 31) & (number(4) <= 23) & (number(5) <= 59) & (number(6) <= 60) & F.coalesce(F.abs(offset) <= 840, F.lit(True))
-    return F.when(plausible, fields)
+    # One match: the text becomes its parts, or stays what it is.
+    cut = F.split(F.regexp_replace(text, _ISO, "".join(f"\x01${i}" for i in range(1, 8))), "\x01")
+    names = ("year", "month", "day", "hour", "minute", "second")
+
+    def fields(p: Column) -> Column:
+        zone, digits = p[7], F.translate(p[7], "+-:", "")
+        minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0))
+        offset = F.when(zone == "", F.lit(None).cast("int")).when(F.lower(zone) == "z", 0).when(zone.startswith("-"), -minutes).otherwise(minutes)
+        return F.struct(*(F.coalesce(p[i].try_cast("int"), F.lit(0)).alias(n) for i, n in enumerate(names, 1)), offset.alias("offset_min"))
+
+    def plausible(t: Column) -> Column:
+        inside = t["year"].between(1000, 9999) & t["month"].between(1, 12) & t["day"].between(1, 31) & (t["hour"] <= 23) & (t["minute"] <= 59) & (t["second"] <= 60)
+        return F.when(inside & F.coalesce(F.abs(t["offset_min"]) <= 840, F.lit(True)), t)
+
+    read = let(cut, lambda p: F.when(F.size(p) == 8, let(fields(p), plausible)))
+    # A text that holds the mark itself is no time.
+    return F.when(~F.contains(text, F.lit("\x01")), read)
 
 
 def show_time(when: Column) -> Column:
@@ -54,14 +63,16 @@ def resolve_capture_time(files: DataFrame, sources: list[str | tuple[str, list[s
     times = [file_time] if isinstance(file_time, str) else list(file_time)
     last = times[0] if len(times) == 1 else "file"
     columns = list(dict.fromkeys([c for _, own in named for c in own] + times))
-    # An array of structs is worked out once, and every later use is a look into it.
-    parsed = files.withColumn("_times", F.array(*(parse_iso8601(F.col(c)) for c in columns)))
-    at = {c: F.col("_times")[i] for i, c in enumerate(columns)}
-    earliest = F.array_min(F.array_compact(F.array(*(at[c] for c in times)))) if len(times) > 1 else at[times[0]]
-    order = [(n, F.coalesce(*(at[c] for c in own))) for n, own in named] + [(last, earliest)]
-    found = F.coalesce(*(F.when(t.isNotNull(), F.struct(t.alias("when"), F.lit(n).alias("source"))) for n, t in order))
-    out = parsed.withColumn("_found", found).withColumn("when", F.col("_found.when")).withColumn("source", F.col("_found.source"))
-    return out.withColumn("is_capture_time", F.col("source").isNotNull() & (F.col("source") != last)).drop("_times", "_found")
+    place = {c: i for i, c in enumerate(columns)}
+
+    def first(t: Column) -> Column:
+        earliest = F.array_min(F.array_compact(F.array(*(t[place[c]] for c in times)))) if len(times) > 1 else t[place[times[0]]]
+        order = [(n, F.coalesce(*(t[place[c]] for c in own))) for n, own in named] + [(last, earliest)]
+        return F.coalesce(*(F.when(x.isNotNull(), F.struct(x.alias("when"), F.lit(n).alias("source"))) for n, x in order))
+
+    out = files.withColumn("_found", let(F.array(*(parse_iso8601(F.col(c)) for c in columns)), first))
+    out = out.withColumn("when", F.col("_found.when")).withColumn("source", F.col("_found.source"))
+    return out.withColumn("is_capture_time", F.col("source").isNotNull() & (F.col("source") != last)).drop("_found")
 
 
 def placement_extents(images: DataFrame, draws: DataFrame) -> DataFrame:
@@ -301,16 +312,15 @@ def match_sequences(ours: DataFrame, reference: DataFrame, lookahead: int = 60)
 
     kind = "array<struct<i:int,k:int>>"
     state = lambda at, found: F.struct(at.cast("int").alias("at"), found.cast(kind).alias("found"))
-    bind = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  value is worked out once
 
     def step(s: Column, i: Column) -> Column:
         place = F.array_position(F.slice("a_texts", s["at"] + 1, lookahead), F.get("b_texts", i)).cast("int")
-        return bind(place, lambda p: F.when(p > 0, state(s["at"] + p, F.array_append(s["found"], F.struct(i.cast("int").alias("i"), (s["at"] + p - 1).alias("k"))))).otherwise(s))
+        return let(place, lambda p: F.when(p > 0, state(s["at"] + p, F.array_append(s["found"], F.struct(i.cast("int").alias("i"), (s["at"] + p - 1).alias("k"))))).otherwise(s))
 
     def stretch(s: Column, first: Column) -> Column:
         """Some lines at a time, so that the matches of all are not copied for each."""
         own = F.sequence(first, F.least(first + (STRETCH - 1), F.size("b_texts") - 1))
-        return bind(F.aggregate(own, state(s["at"], F.array()), step), lambda t: state(t["at"], F.concat(s["found"], t["found"])))
+        return let(F.aggregate(own, state(s["at"], F.array()), step), lambda t: state(t["at"], F.concat(s["found"], t["found"])))
 
     both = sides(ours, "a").join(sides(reference, "b"), "doc")
     matched = F.aggregate(F.sequence(F.lit(0), F.size("b_texts") - 1, F.lit(STRETCH)), state(F.lit(0), F.array()), stretch, lambda s: s["found"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import natural_key
+from ..functions.text import let, natural_key
 from ..storage import cut
 from . import masks
 
@@ -36,38 +36,48 @@ def expand_page_ranges(requests: DataFrame) -> DataFrame:
     """
     parts = F.filter(F.split(F.regexp_replace("spec", r"[,，、;；\s]+", ","), ","), lambda p: p != "")
     blank = F.trim(F.regexp_replace("spec", r"\s+", " ")) == ""
-    dash = r"^([^-–—~～]*)[-–—~～](.*)$"
-
-    def bounds(p: Column) -> Column:
-        ranged = p.rlike(dash)
-        a = F.trim(F.when(ranged, F.regexp_extract(p, dash, 1)).otherwise(p))
-        b = F.trim(F.when(ranged, F.regexp_extract(p, dash, 2)).otherwise(p))
-        lo = F.when(ranged & (a == ""), F.lit(1).cast("long")).otherwise(a.try_cast("long"))
-        hi = F.when(ranged & (b == ""), F.col("page_count").cast("long")).otherwise(b.try_cast("long"))
-        number = lambda t: t.rlike(r"^\+?[0-9]+$")
-        bad = F.when(~(ranged & (a == "")) & ~number(a), F.concat(F.lit("not a page number: "), a)).when(lo == 0, F.lit("pages count from 1"))
-        bad = bad.when(~(ranged & (b == "")) & ~number(b), F.concat(F.lit("not a page number: "), b)).when(hi == 0, F.lit("pages count from 1"))
-        bad = bad.when((b != "") & (lo > hi), F.concat(F.lit("first page after last: "), p))
+    number = lambda t: t.rlike(r"^\+?[0-9]+$")
+    none = F.lit(None).cast("string")
+
+    def ends(q: Column) -> Column:
+        """First and last page as written and as numbers, from a part split at its first dash."""
+        ranged, a, b = F.size(q) == 2, F.trim(q[0]), F.trim(F.get(q, F.size(q) - 1))
+        return F.struct(
+            a.alias("a"), b.alias("b"), (ranged & (a == "")).alias("open_a"), (ranged & (b == "")).alias("open_b"),
+            number(a).alias("is_a"), number(b).alias("is_b"), a.try_cast("long").alias("from"), b.try_cast("long").alias("to"),
+        )
+
+    def judged(e: Column, part: Column) -> Column:
+        lo = F.when(e["open_a"], F.lit(1).cast("long")).otherwise(e["from"])
+        hi = F.when(e["open_b"], F.col("page_count").cast("long")).otherwise(e["to"])
+        bad = F.when(~e["open_a"] & ~e["is_a"], F.concat(F.lit("not a page number: "), e["a"])).when(lo == 0, F.lit("pages count from 1"))
+        bad = bad.when(~e["open_b"] & ~e["is_b"], F.concat(F.lit("not a page number: "), e["b"])).when(hi == 0, F.lit("pages count from 1"))
+        bad = bad.when((e["b"] != "") & (lo > hi), F.concat(F.lit("first page after last: "), part)).otherwise(none)
         beyond = F.when(lo > F.col("page_count"), lo).when(hi > F.col("page_count"), hi)
         return F.struct(lo.alias("lo"), hi.alias("hi"), bad.alias("bad"), beyond.alias("beyond"))
 
-    spans = requests.select("req", "page_count", blank.alias("blank"), F.transform(parts, bounds).alias("s"))
-    # Bad writing is found before any page is counted, so it comes first.
-    bad = F.filter("s", lambda x: x["bad"].isNotNull())
-    beyond = F.filter("s", lambda x: x["beyond"].isNotNull())
-    error = (
-        F.when(F.col("blank"), F.lit(None).cast("string"))
-        .when(F.size(bad) > 0, F.get(bad, 0)["bad"])
-        .when(F.size("s") == 0, F.lit("nothing selected"))
-        .when(F.size(beyond) > 0, F.concat(F.lit("no page "), F.get(beyond, 0)["beyond"].cast("string"), F.lit(" of "), F.col("page_count").cast("string")))
-    )
-    marked = spans.withColumn("error", error)
-    all_pages = F.when(F.col("page_count") > 0, F.sequence(F.lit(1).cast("long"), F.col("page_count").cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    pages = F.when(F.col("blank"), all_pages).otherwise(F.flatten(F.transform("s", lambda x: F.when(x["lo"] <= x["hi"], F.sequence(x["lo"], x["hi"])).otherwise(F.array().cast("array<bigint>")))))
-    good = marked.where("error is null").select("req", F.array_distinct(pages).alias("p"))
-    listed = good.select("req", F.posexplode("p").alias("pos", "page")).select("req", "pos", "page", F.lit(None).cast("string").alias("error"))
-    failed = marked.where("error is not null").select("req", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("long").alias("page"), "error")
-    return listed.unionByName(failed)
+    def bounds(p: Column) -> Column:
+        return let(F.split(p, "[-–—~～]", 2), lambda q: let(ends(q), lambda e: judged(e, p)))
+
+    whole = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array().cast("array<bigint>"))
+    count = F.col("page_count").cast("long")
+
+    def outcome(s: Column) -> Column:
+        """The first error, and the pages if there is none."""
+        # Bad writing is found before any page is counted, so it comes first.
+        bad = F.get(F.filter(s, lambda x: x["bad"].isNotNull()), 0)["bad"]
+        beyond = F.get(F.filter(s, lambda x: x["beyond"].isNotNull()), 0)["beyond"]
+        error = F.when(blank, none).when(bad.isNotNull(), bad).when(F.size(s) == 0, F.lit("nothing selected")).when(beyond.isNotNull(), F.concat(F.lit("no page "), beyond.cast("string"), F.lit(" of "), count.cast("string")))
+        return let(error, lambda e: F.struct(e.alias("error"), F.when(e.isNull(), F.array_distinct(F.when(blank, whole(F.lit(1).cast("long"), count)).otherwise(F.flatten(F.transform(s, lambda x: whole(x["lo"], x["hi"])))))).alias("pages")))
+
+    row = lambda pos, page, error: F.struct(pos.cast("int").alias("pos"), page.cast("long").alias("page"), error.cast("string").alias("error"))
+
+    def rows(o: Column) -> Column:
+        listed = F.transform(o["pages"], lambda page, i: row(i, page, F.lit(None)))
+        return F.when(o["error"].isNull(), listed).otherwise(F.array(row(F.lit(None), F.lit(None), o["error"])))
+
+    found = let(let(F.transform(parts, bounds), outcome), rows)
+    return requests.select("req", F.explode(found).alias("r")).select("req", "r.*")
 
 
 def page_size(w: Column, h: Column, dpi: Column) -> tuple[Column, Column]:
