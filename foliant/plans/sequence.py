@@ -9,6 +9,7 @@ from ..operators import isolate as I
 from ..operators import joins as J
 from ..operators import project as P
 from ..operators import sequence as W
+from ..streaming import expiring as X
 from ..streaming import progress as T
 from .joins import TIMES
 
@@ -159,6 +160,20 @@ def t1_latest_progress(spark, sf_dir):
     return T.run_to_end(T.latest_progress(shaped), "update", ["job"])
 
 
+def t1_newest_progress_days(spark, sf_dir):
+    """The same, but jobs that are silent for 400 days are forgotten."""
+    events = T.event_stream(X.expiring_session(spark), sf_dir)
+    shaped = events.select(F.col("user_id").alias("job"), "ts", "event_id", F.col("event_type").alias("stage"), (F.col("event_id") % 10).alias("index"), F.lit(8).alias("count"), ((F.col("event_id") % 4) / 4.0).alias("done"))
+    return T.run_to_end(X.newest_progress(shaped, 400), "update", ["job"])
+
+
+def t2_warnings_once_days(spark, sf_dir):
+    """Every warning, but not again within three days of when it was last said."""
+    events = T.event_stream(X.expiring_session(spark), sf_dir).select(F.col("user_id").alias("item"), F.col("event_type").alias("detail"), F.col("ts").cast("timestamp").alias("ts"))
+    said = T.run_to_end(X.warnings_once(events, 3), "append")
+    return said.select("item", "detail", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+
+
 def t2_distinct_warnings(spark, sf_dir):
     events = T.event_stream(spark, sf_dir).select(F.col("user_id").alias("item"), F.col("event_type").alias("detail"), F.col("ts").cast("timestamp").alias("ts"))
     return T.run_to_end(T.distinct_warnings(events, "3650 days"), "append").select("item", "detail")
@@ -172,7 +187,7 @@ def t3_running_tally(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (w1_number_items, w1_number_items_whole, w2_expand_labels, w3_script_runs, w3_script_runs_both, w4_merge_equal_runs, w4_merge_equal_runs_whole, w5_suppress_between_equal, w6_running_offsets, w6_running_offsets_whole, w7_pack_tokens, w8_pack_pages, w8_pack_pages_rules, w9_page_numbers, w10_inherit_headers, w11_substitute_fields, w12_group_by_anchor, w13_strip_subtrees, w14_choose_alternative, w15_grid_positions, w16_fill_from_first, o2_sort_by_time, e1_map_isolated, t1_latest_progress, t2_distinct_warnings, t3_running_tally)
+    for f in (w1_number_items, w1_number_items_whole, w2_expand_labels, w3_script_runs, w3_script_runs_both, w4_merge_equal_runs, w4_merge_equal_runs_whole, w5_suppress_between_equal, w6_running_offsets, w6_running_offsets_whole, w7_pack_tokens, w8_pack_pages, w8_pack_pages_rules, w9_page_numbers, w10_inherit_headers, w11_substitute_fields, w12_group_by_anchor, w13_strip_subtrees, w14_choose_alternative, w15_grid_positions, w16_fill_from_first, o2_sort_by_time, e1_map_isolated, t1_latest_progress, t1_newest_progress_days, t2_distinct_warnings, t2_warnings_once_days, t3_running_tally)
 }
 
 #: Level 1 and 2 restart after level 0; level 2 has restart 1, which names level 0 alone.
@@ -181,6 +196,9 @@ a AS (SELECT *, num_id = 2 AND ilvl = 0 AND row_number() OVER (PARTITION BY doc_
 b AS (SELECT *, sum(CASE WHEN o OR f THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, ilvl, seg ORDER BY ord) AS island FROM a),
 v AS (SELECT *, CAST(first_value(CASE WHEN o THEN 5 WHEN ilvl = 2 THEN 3 ELSE 1 END) OVER i + row_number() OVER i - 1 AS INT) AS value FROM b WINDOW i AS (PARTITION BY doc_id, ilvl, seg, island ORDER BY ord))"""
 
+_T1 = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id AS job, event_id, event_type AS stage, round(least((event_id % 10 + (event_id % 4) / CAST(4.0 AS DOUBLE)) / 8, CAST(1 AS DOUBLE)), 6) AS overall FROM r WHERE n = 1"""
+
+
 def _roman_sql(n: str) -> str:
     """Roman numerals up to 3999 from the digits of ``n``."""
     place = lambda d, one, five, ten: f"list_extract(['', '{one}', '{one*2}', '{one*3}', '{one}{five}', '{five}', '{five}{one}', '{five}{one*2}', '{five}{one*3}', '{one}{ten}'], CAST({n} // {d} % 10 + 1 AS INT))"
@@ -243,7 +261,9 @@ SELECT doc, page, CAST(span AS INT) AS span, CASE code WHEN 0 THEN CAST(number A
     "w16_fill_from_first": oracle(["V_TIMES"], TIMES + " SELECT batch, ord, file, first_value(shown) OVER (PARTITION BY batch ORDER BY ord) AS shown, 'manual' AS source FROM best"),
     "o2_sort_by_time": oracle(["V_TIMES"], """t AS (SELECT file, CASE WHEN manual IS NOT NULL THEN '2024-03-15 14:30:22' WHEN file % 3 = 1 THEN replace(exif, 'T', ' ') WHEN file % 4 > 0 THEN fs END AS shown FROM V_TIMES) SELECT file, shown, row_number() OVER (ORDER BY shown ASC NULLS FIRST, file) AS place FROM t"""),
     "e1_map_isolated": """SELECT doc_id AS ord, CASE WHEN n_chars % 7 <> 0 THEN CAST(n_chars * 2 AS VARCHAR) END AS output, CASE WHEN n_chars % 7 = 0 THEN 'ValueError: bad size ' || n_chars END AS error, CASE WHEN n_chars % 7 <> 0 THEN lang END AS detail FROM documents""",
-    "t1_latest_progress": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT user_id AS job, event_id, event_type AS stage, round(least((event_id % 10 + (event_id % 4) / CAST(4.0 AS DOUBLE)) / 8, CAST(1 AS DOUBLE)), 6) AS overall FROM r WHERE n = 1""",
+    "t1_latest_progress": _T1,
+    "t1_newest_progress_days": _T1,
+    "t2_warnings_once_days": """WITH RECURSIVE w AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY user_id, event_type UNION ALL SELECT w.user_id, w.event_type, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.ts >= w.ts + INTERVAL 3 DAY GROUP BY w.user_id, w.event_type, w.ts) SELECT user_id AS item, event_type AS detail, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at FROM w""",
     "t2_distinct_warnings": "SELECT DISTINCT user_id AS item, event_type AS detail FROM events",
     "t3_running_tally": """SELECT event_type AS batch, count(*) FILTER (event_id % 7 <> 0) AS succeeded, count(*) FILTER (event_id % 7 = 0) AS failed, arg_min('err' || event_id % 3, event_id) FILTER (event_id % 7 = 0) AS first_error FROM events GROUP BY event_type""",
 }
