@@ -330,19 +330,49 @@ def match_sequences(ours: DataFrame, reference: DataFrame, lookahead: int = 60)
     return pairs.select("doc", F.col("r.line").alias("line_ref"), F.col("o.line").alias("line_ours"), same.alias("same_page"), gap("x").alias("dx"), gap("y").alias("dy"))
 
 
-def _place(ours: str, reference: str, offset: int, snippet: int) -> int:
-    part = reference[offset : offset + snippet]
-    if not part:
-        return -2
+def _grams(chars: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the n characters from each place on."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        out = (out ^ chars[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _places(ours: str, reference: str, offsets: np.ndarray, snippet: int) -> list[int]:
+    """For each offset of the reference the place in our text of its next characters, nearest to the proportional place.
+
+    -1 if they stand nowhere, -2 if there are none. All snippets of a length are met at once: the grams
+    of our text are looked up among theirs, so a text is read once however many page starts it has.
+    """
     if ours == reference:
-        return offset
-    want = offset * len(ours) / max(len(reference), 1)
-    best, at = -1, ours.find(part)
-    while at >= 0:
-        if best < 0 or abs(at - want) < abs(best - want):
-            best = at
-        at = ours.find(part, at + 1)
-    return best
+        return [int(o) if o < len(reference) else -2 for o in offsets]
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) for t in (ours, reference))
+    sizes, out = np.clip(len(b) - offsets, 0, snippet), np.full(len(offsets), -1, np.int64)
+    out[sizes == 0] = -2
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == n)
+        wanted, key = np.unique(_grams(b, offsets[rows], n), return_inverse=True)
+        grams = _grams(a, np.arange(max(len(a) - n + 1, 0)), n)
+        slot = np.minimum(np.searchsorted(wanted, grams), len(wanted) - 1)
+        found = np.flatnonzero(wanted[slot] == grams)
+        found = found[np.argsort(slot[found], kind="stable")]
+        edge = np.searchsorted(slot[found], np.arange(len(wanted) + 1))
+        for row, k in zip(rows.tolist(), key.tolist()):
+            part, want = b[offsets[row] : offsets[row] + n], offsets[row] * len(a) / max(len(b), 1)
+            places = found[edge[k] : edge[k + 1]]
+            up = int(np.searchsorted(places, want))
+            down = up - 1
+            # Outwards from the wanted place, the lower of equally near ones first; hashes alone decide nothing.
+            while down >= 0 or up < len(places):
+                if up >= len(places) or down >= 0 and want - places[down] <= places[up] - want:
+                    at, down = int(places[down]), down - 1
+                else:
+                    at, up = int(places[up]), up + 1
+                if (a[at : at + n] == part).all():
+                    out[row] = at
+                    break
+    return out.tolist()
 
 
 def boundary_drift(ours: DataFrame, reference: DataFrame, snippet: int = 12) -> DataFrame:
@@ -372,7 +402,7 @@ def boundary_drift(ours: DataFrame, reference: DataFrame, snippet: int = 12) ->
     @F.pandas_udf("array<bigint>")
     def places(ta: pd.Series, tb: pd.Series, offsets: pd.Series) -> pd.Series:
         """For each page start its place in our text: -1 if it is not found, -2 if there is nothing to look for."""
-        return pd.Series([[_place(x, y, int(o), snippet) for o in own] for x, y, own in zip(ta, tb, offsets)])
+        return pd.Series([_places(x, y, np.asarray(own, np.int64), snippet) for x, y, own in zip(ta, tb, offsets)])
 
     joined = texts.join(targets, "doc").withColumn("pos", places("ta", "tb", F.transform("t", lambda x: x["roff"])))
     spread = joined.select("doc", F.length("ta").cast("long").alias("size"), F.explode(F.arrays_zip(F.transform("t", lambda x: x["k"]).alias("k"), "pos")).alias("z"))

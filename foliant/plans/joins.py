@@ -86,6 +86,12 @@ def j11_boundary_drift(spark, sf_dir):
     return J.boundary_drift(ours.where("text <> ''"), same.where("text <> ''"))
 
 
+def j11_boundary_drift_unequal(spark, sf_dir):
+    """The reference has a mark on every seventeenth line, so page starts are found by what follows them."""
+    ours, ref = _sides(spark, sf_dir)
+    return J.boundary_drift(ours.where("text <> ''"), ref.where("text <> ''"))
+
+
 def j12_first_difference(spark, sf_dir):
     """Users as documents: a page for each type of event, ten events a line."""
     (frags,) = views(spark, sf_dir, "V_FRAGS")
@@ -140,7 +146,7 @@ def j18_coverage_split(spark, sf_dir):
     return J.coverage_split(*views(spark, sf_dir, "V_TEXT", "V_COVERAGE"))
 
 
-QUERIES = {f.__name__: f for f in (j1_resolve_capture_time, j2_placement_extents, j3_assemble_pages, j4_remap_references, j5_reachable_objects, j6_inherit_attributes, j7_resolve_cascade, j8_ranked_lookup, j9_chase_links, j10_match_sequences, j11_boundary_drift, j12_first_difference, j13_regression_gate, j14_mask_iou, j15_asof_next, j15_asof_next_whole, j16_merge_overrides, j17_resolve_relationships, j18_coverage_split)}
+QUERIES = {f.__name__: f for f in (j1_resolve_capture_time, j2_placement_extents, j3_assemble_pages, j4_remap_references, j5_reachable_objects, j6_inherit_attributes, j7_resolve_cascade, j8_ranked_lookup, j9_chase_links, j10_match_sequences, j11_boundary_drift, j11_boundary_drift_unequal, j12_first_difference, j13_regression_gate, j14_mask_iou, j15_asof_next, j15_asof_next_whole, j16_merge_overrides, j17_resolve_relationships, j18_coverage_split)}
 
 #: Parsed times of V_TIMES: every text there is ISO 8601 of one of four shapes.
 TIMES = """p AS (SELECT file, batch, ord, src, pri, s, left(s, 10) || ' ' || CASE WHEN length(s) = 10 THEN '00:00:00' WHEN length(s) = 17 THEN substr(s, 12, 5) || ':00' ELSE substr(s, 12, 8) END AS shown, CASE WHEN right(s, 1) = 'Z' THEN 0 WHEN length(s) = 25 THEN CAST(substr(s, 21, 2) AS INT) * 60 + CAST(substr(s, 24, 2) AS INT) END AS off FROM (SELECT file, batch, ord, 'manual' AS src, 1 AS pri, manual AS s FROM V_TIMES UNION ALL SELECT file, batch, ord, 'exif', 2, exif FROM V_TIMES UNION ALL SELECT file, batch, ord, 'xmp', 3, xmp FROM V_TIMES UNION ALL SELECT file, batch, ord, 'iptc', 4, iptc FROM V_TIMES UNION ALL SELECT file, batch, ord, 'fs', 5, fs FROM V_TIMES) WHERE s IS NOT NULL AND NOT starts_with(s, '0000')),
@@ -173,6 +179,14 @@ SELECT r.doc, ref_lines, coalesce(matched, 0) AS matched, coalesce(same_page, 0)
     "j11_boundary_drift": oracle(["V_LINES"], """o AS (SELECT doc, page, line, length(text) AS n, CAST(floor(line / 9) AS INT) AS rpage FROM V_LINES WHERE side = 'ours' AND text <> ''), f AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, sum(n) OVER (PARTITION BY doc) AS total FROM o), rs AS (SELECT doc, rpage, min(off) AS roff, any_value(total) AS total, dense_rank() OVER (PARTITION BY doc ORDER BY rpage) - 1 AS k FROM f GROUP BY doc, rpage), os AS (SELECT doc, page, min(off) AS ooff, dense_rank() OVER (PARTITION BY doc ORDER BY page) - 1 AS k FROM f GROUP BY doc, page),
 x AS (SELECT rs.doc, rs.k, roff, coalesce(ooff, total) AS start FROM rs LEFT JOIN os ON rs.doc = os.doc AND rs.k = os.k WHERE rs.k > 0), b AS (SELECT x.doc, x.k, count(*) FILTER (f.off > least(roff, start) AND f.off <= greatest(roff, start)) AS bd FROM x JOIN f ON x.doc = f.doc GROUP BY x.doc, x.k)
 SELECT doc, max(bd) AS bd_max, CAST(sum(bd) AS BIGINT) AS bd_sum, CAST(0 AS BIGINT) AS unmatched FROM b GROUP BY doc"""),
+    "j11_boundary_drift_unequal": oracle(["V_LINES"], """t AS (SELECT side, doc, page, line, text, length(text) AS n FROM V_LINES WHERE text <> ''), f AS MATERIALIZED (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY side, doc ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM t), s AS (SELECT side, doc, string_agg(text, '' ORDER BY line) AS w, sum(n) AS total FROM t GROUP BY side, doc),
+c AS (SELECT side, doc, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS ch FROM (SELECT side, doc, string_split(w, '') AS a FROM s)), g AS MATERIALIZED (SELECT side, doc, pos, """ + " || ".join(["ch", *(f"coalesce(lead(ch, {k}) OVER w, '')" for k in range(1, 12))]) + """ AS gram FROM c WINDOW w AS (PARTITION BY side, doc ORDER BY pos)),
+p AS (SELECT side, doc, page, min(off) AS start, dense_rank() OVER (PARTITION BY side, doc ORDER BY page) - 1 AS k FROM f GROUP BY side, doc, page), e AS (SELECT o.doc, o.w = r.w AS same, o.total AS ta, r.total AS tb FROM s o JOIN s r ON o.doc = r.doc WHERE o.side = 'ours' AND r.side = 'ref'),
+x AS (SELECT p.doc, p.k, p.start AS roff, e.same, e.ta, p.start * e.ta / CAST(e.tb AS DOUBLE) AS want, g.gram AS part FROM p JOIN e ON p.doc = e.doc JOIN g ON g.side = 'ref' AND g.doc = p.doc AND g.pos = p.start WHERE p.side = 'ref' AND p.k > 0),
+y AS (SELECT x.doc, x.k, g.pos, abs(g.pos - want) AS far FROM x JOIN g ON g.side = 'ours' AND g.doc = x.doc AND g.gram = x.part WHERE length(x.part) = 12 UNION ALL SELECT x.doc, x.k, g.pos, abs(g.pos - want) FROM x JOIN g ON g.side = 'ours' AND g.doc = x.doc AND starts_with(g.gram, x.part) WHERE length(x.part) < 12),
+z AS (SELECT doc, k, arg_min(pos, {'f': far, 'p': pos}) AS pos FROM y GROUP BY doc, k), q AS (SELECT x.doc, x.k, CASE WHEN same THEN roff ELSE z.pos END AS pos, coalesce(o.start, x.ta) AS start FROM x LEFT JOIN z ON x.doc = z.doc AND x.k = z.k LEFT JOIN p o ON o.side = 'ours' AND o.doc = x.doc AND o.k = x.k),
+b AS (SELECT q.doc, q.k, count(*) FILTER (f.off > least(q.pos, q.start) AND f.off <= greatest(q.pos, q.start)) AS bd FROM q JOIN f ON f.side = 'ours' AND f.doc = q.doc WHERE q.pos IS NOT NULL GROUP BY q.doc, q.k)
+SELECT q.doc, coalesce(max(bd), 0) AS bd_max, CAST(coalesce(sum(bd), 0) AS BIGINT) AS bd_sum, count(*) FILTER (q.pos IS NULL) AS unmatched FROM q LEFT JOIN b ON q.doc = b.doc AND q.k = b.k GROUP BY q.doc"""),
     "j12_first_difference": oracle(["V_FRAGS"], """a AS (SELECT page AS doc, ascii(text) AS page, CAST(floor(frag / 10) AS BIGINT) AS line, frag, x, 10 AS size, 'f' AS font, text FROM V_FRAGS), b AS (SELECT doc, page, line, frag, CASE WHEN frag % 53 = 3 THEN x + 1 ELSE x END AS x, CASE WHEN frag % 47 = 5 THEN 11 ELSE 10 END AS size, CASE WHEN frag % 43 = 6 THEN 'g' ELSE 'f' END AS font, CASE WHEN frag % 31 = 4 THEN 'other' ELSE text END AS text FROM a WHERE frag % 1009 <> 7),
 d AS (SELECT coalesce(p.doc, q.doc) AS doc, -1 AS page, -1 AS line, -1 AS frag, 'page count' AS reason, 1 AS rank FROM (SELECT doc, count(DISTINCT page) AS n FROM a GROUP BY doc) p FULL JOIN (SELECT doc, count(DISTINCT page) AS n FROM b GROUP BY doc) q ON p.doc = q.doc WHERE p.n IS DISTINCT FROM q.n
 UNION ALL SELECT p.doc, p.page, -1, -1, 'page size', 0 FROM (SELECT DISTINCT doc, page FROM a) p JOIN (SELECT DISTINCT doc, page FROM b) q ON p.doc = q.doc AND p.page = q.page WHERE (p.doc + p.page) % 19 = 3

@@ -7,6 +7,7 @@ import random
 import time
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,18 @@ def test_texts_of_a_batch_are_split_in_parts(spark, monkeypatch):
     coverage = spark.createDataFrame([("a", 1), ("b", 2)], "ch string, dict int")
     found = sorted((r.doc_id, r.start, r.end, r.dict) for r in joins.coverage_split(texts, coverage).collect())
     assert found == sorted(itertools.chain.from_iterable([(i, 0, i % 7, 1)] * (i % 7 > 0) + [(i, i % 7, i % 7 + 3, 2)] for i in range(50)))
+
+
+def test_places_of_snippets_equal_a_search():
+    rng = random.Random(12)
+    for _ in range(300):
+        ours = "".join(rng.choice("ab\U0001f600") for _ in range(rng.randrange(60)))
+        reference = "".join(rng.choice([c, c, c, "a", ""]) for c in ours) if rng.random() < 0.9 else ours
+        offsets, n = np.arange(len(reference) + 1), rng.choice([1, 3, 12])
+
+        def search(o):
+            part, want = reference[o : o + n], o if ours == reference else o * len(ours) / max(len(reference), 1)
+            found = [i for i in range(len(ours) - len(part) + 1) if ours[i : i + len(part)] == part]
+            return -2 if not part else min(found, key=lambda i: (abs(i - want), i), default=-1)
+
+        assert joins._places(ours, reference, offsets, n) == [search(int(o)) for o in offsets]
