@@ -155,7 +155,8 @@ def contamination(tok: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop
 def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """All columns of the documents that hold no benchmark window; rows without an id stay.
 
-    Windows that nearly occur don't count. Null and empty texts hold none and stay.
+    Windows that nearly occur don't count. Null and empty texts hold none and stay. Repeated rows go or
+    stay together; a very long text is split into words like any other, and is one row of the scan.
     """
     key = "_copy"
     while key in docs.columns:

@@ -193,15 +193,16 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, embedding (doubles) of the rows that take part, each once.
+    """vec_id, embedding (doubles) of the rows that take part, one for each id.
 
     Left out: null ids, null or empty vectors, zero vectors, and vectors with null or non-finite
-    components.
+    components. Of different vectors of one id the smallest (component by component) counts; repeated
+    rows are one. Further columns are ignored, whatever their names.
     """
     v = F.col("embedding")
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select("vec_id", v.cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null and size(embedding) > 0")
-    return shared.materialise(rows.where(~odd & F.exists(v, lambda x: x != 0)).distinct())
+    return shared.materialise(rows.where(~odd & F.exists(v, lambda x: x != 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int = 20, sure: float = 0.97, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:

@@ -173,7 +173,11 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """All columns of the documents whose score reaches ``threshold``; learns from ``labels``."""
+    """All columns of the documents whose score reaches ``threshold``; learns from ``labels``.
+
+    A score equal to the threshold stays. Null texts count as empty; repeated rows have equal scores;
+    rows without an id are judged like any other. A very long text is scored whole, piece by piece.
+    """
     model = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -144,6 +144,36 @@ def test_reshard_balances_and_numbers_slots(spark, sf_dir, tmp_path):
         assert sorted(g.slot) == list(range(len(g)))
 
 
+def test_only_affected_shards_are_written(spark, tmp_path):
+    """Of four shards two are as they should be: their folders are not written, and the fewest bytes move."""
+    import os
+
+    of = {i: 0 if i < 10 else 1 if i < 20 else 2 if i < 35 else 3 for i in range(40)}
+    docs = spark.createDataFrame([(i, f"{i:050}", s) for i, s in of.items()], "doc_id long, text string, old int")
+    cuts, transfers = reshard.plan(docs, F.col("old"), 4, 4)
+    assert sorted((a, b) for a, b, n in transfers if a != b and n) == [(2, 3)]
+    out = reshard.reshard(docs, F.col("old"), 4, 4, f"file://{tmp_path}/part", affected_only=True).collect()
+    assert {n for n in os.listdir(tmp_path / "part") if n.startswith("shard=")} == {"shard=2", "shard=3"}
+    assert {r.doc_id for r in out} == set(range(20, 40)) and all(r.text == f"{r.doc_id:050}" for r in out)
+    moved = [r for r in out if r.shard != of[r.doc_id]]
+    assert len(moved) == 5 and 58 * len(moved) == sum(n for a, b, n in transfers if a != b)
+    for s in (2, 3):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(10))
+    whole = reshard.reshard(docs, F.col("old"), 4, 4, f"file://{tmp_path}/whole").collect()
+    assert {(r.doc_id, r.shard) for r in whole} == {(r.doc_id, r.shard) for r in out} | {(i, s) for i, s in of.items() if s < 2}
+
+
+def test_more_files_than_the_least_number(spark, tmp_path):
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat('x', 90) AS text")
+    out = reshard.reshard(docs, F.lit(0), 1, 2, f"file://{tmp_path}/files", file_bytes=2_000)
+    files = [f for _, _, names in __import__("os").walk(tmp_path / "files") for f in names if f.endswith(".parquet")]
+    assert len(files) > 2 * 4
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(400))
+    for s in (0, 1):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 def test_reshard_of_odd_documents(spark, tmp_path):
     out = reshard.reshard(odd.docs(spark), F.lit(0), 1, 3, f"file://{tmp_path}/b").collect()
     assert len(out) == len(odd.ROWS) and {r.shard for r in out} <= {0, 1, 2}
@@ -215,6 +245,14 @@ def test_nearest_reaches_the_brute_force(spark):
     assert nearest.search(df.limit(0), df, 5).count() == 0 and nearest.search(df, df.limit(0), 5).count() == 0
 
 
+def test_one_vector_counts_for_an_id(spark):
+    rows = [(1, [2.0, 0.0]), (1, [1.0, 5.0]), (1, [1.0, 5.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0])]
+    df = nearest.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted((r.vec_id, r.embedding) for r in df.collect()) == [(1, [1.0, 5.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0])]
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in nearest.search(df, df, 2).collect())
+    assert found == [(1, 1, 2, 6.0), (1, 2, 3, 5.0), (2, 1, 1, 6.0), (2, 2, 3, 1.0), (3, 1, 1, 5.0), (3, 2, 2, 1.0)]
+
+
 def test_cells_hold_every_point_once():
     rng = np.random.default_rng(4)
     points = np.r_[rng.standard_normal((500, 3)), np.zeros((200, 3)), rng.integers(0, 2, (100, 3))]
