@@ -11,6 +11,8 @@ from foliant.operators import aggregates as A
 from foliant.operators import isolate, joins, project, sequence
 from foliant.sources import files
 
+from . import plain_numbers
+
 
 @pytest.mark.parametrize(
     ("spec", "count", "pages", "error"),
@@ -64,8 +66,24 @@ def test_natural_order(spark):
     assert [r.n for r in df.orderBy(natural_key(F.col("n")), "n").collect()] == ["a", "A1.jpg", "a2.jpg", "a2b", "a10.jpg", "a99999999999999999999999", "b", "2", "10"]
 
 
+def test_number_columns_equal_plain_texts(spark):
+    import random
+
+    rng = random.Random(7)
+    formats = ["decimal", "decimalHalfWidth", "none", "bullet", "decimalZero", "decimalFullWidth", "upperRoman", "lowerRoman", "upperLetter", "lowerLetter", "ordinal", "cardinalText", "ordinalText", "hex", "arabicDash", *numbers.CIRCLED, "decimalEnclosedParen", "decimalEnclosedFullstop", *numbers.COUNTED, "chineseLegalSimplified", "ideographLegalTraditional", "ideographTraditional", "ideographZodiac", "unheard"]
+    own = [*range(-3, 131), *(10**k + d for k in range(3, 10) for d in (-1, 0, 1, 10, 100)), 2**31 - 1, 10_010, 100_110_000, 20_000_012, *(rng.randrange(10 ** rng.randint(3, 9)) for _ in range(150))]
+    own = [n for n in own if n < 2**31]
+    few = [n for n in own if n < 100_000]  # letters and thousands are repeated
+    long = {"upperRoman", "lowerRoman", "upperLetter", "lowerLetter"}
+    rows = {fmt: few if fmt in long else own for fmt in formats}
+    df = spark.createDataFrame([(fmt, mine, [fmt] * len(mine)) for fmt, mine in rows.items()], "fmt string, n array<int>, f array<string>")
+    found = {r.fmt: r.t for r in df.select("fmt", numbers.number_texts(F.col("f"), F.col("n")).alias("t")).collect()}
+    for fmt, mine in rows.items():
+        assert found[fmt] == [plain_numbers.number_text(n, fmt) for n in mine], fmt
+
+
 def test_number_texts(spark):
-    t = numbers.number_text
+    t = plain_numbers.number_text
     of = lambda fmt, *n: [t(k, fmt) for k in n]
     assert of("upperRoman", 4, 9, 14, 40, 90, 400, 1994, 0) == ["IV", "IX", "XIV", "XL", "XC", "CD", "MCMXCIV", "0"]
     assert of("lowerLetter", 1, 26, 27, 53, 120) == ["a", "z", "aa", "aaa", "ppppp"]
