@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import walk
 from ..functions.text import let
 from ..storage import fresh_path, stored
 from . import masks
@@ -288,10 +289,6 @@ def chase_links(start: DataFrame, links: DataFrame, max_hops: int = 4) -> DataFr
     return out.select("id", "terminal")
 
 
-#: Lines that are walked before their matches join those of the lines before.
-STRETCH = 256
-
-
 def match_sequences(ours: DataFrame, reference: DataFrame, lookahead: int = 60) -> DataFrame:
     """doc, line_ref, line_ours, same_page, dx, dy: greedy alignment of the lines of two sides.
 
@@ -310,20 +307,12 @@ def match_sequences(ours: DataFrame, reference: DataFrame, lookahead: int = 60)
         own = rows.groupBy("doc").agg(F.array_sort(F.collect_list("l")).alias(name))
         return own.withColumn(f"{name}_texts", F.transform(name, lambda x: x["text"]))
 
-    kind = "array<struct<i:int,k:int>>"
-    state = lambda at, found: F.struct(at.cast("int").alias("at"), found.cast(kind).alias("found"))
-
-    def step(s: Column, i: Column) -> Column:
-        place = F.array_position(F.slice("a_texts", s["at"] + 1, lookahead), F.get("b_texts", i)).cast("int")
-        return let(place, lambda p: F.when(p > 0, state(s["at"] + p, F.array_append(s["found"], F.struct(i.cast("int").alias("i"), (s["at"] + p - 1).alias("k"))))).otherwise(s))
-
-    def stretch(s: Column, first: Column) -> Column:
-        """Some lines at a time, so that the matches of all are not copied for each."""
-        own = F.sequence(first, F.least(first + (STRETCH - 1), F.size("b_texts") - 1))
-        return let(F.aggregate(own, state(s["at"], F.array()), step), lambda t: state(t["at"], F.concat(s["found"], t["found"])))
+    def step(at: Column, i: Column) -> Column:
+        place = F.array_position(F.slice("a_texts", at + 1, lookahead), F.get("b_texts", i)).cast("int")
+        return let(place, lambda p: F.struct(F.when(p > 0, at + p).otherwise(at).alias("at"), F.when(p > 0, F.struct(i.alias("i"), (at + p - 1).alias("k"))).alias("item")))
 
     both = sides(ours, "a").join(sides(reference, "b"), "doc")
-    matched = F.aggregate(F.sequence(F.lit(0), F.size("b_texts") - 1, F.lit(STRETCH)), state(F.lit(0), F.array()), stretch, lambda s: s["found"])
+    matched = walk(F.size("b_texts"), F.lit(0), ("int", "struct<i:int,k:int>"), step)
     pairs = both.withColumn("m", matched).select("doc", F.explode(F.transform("m", lambda m: F.struct(F.get("b", m["i"]).alias("r"), F.get("a", m["k"]).alias("o")))).alias("p")).select("doc", "p.*")
     same = F.coalesce(F.col("r.page") == F.col("o.page"), F.lit(False))
     gap = lambda c: F.when(same, F.abs(F.col(f"o.{c}") - F.col(f"r.{c}")))

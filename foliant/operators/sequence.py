@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import walk
 from ..functions.numbers import number_texts
+from ..functions.text import let
 from ..storage import bounded
 from .scan import Ordered
 
@@ -384,25 +386,23 @@ def group_by_anchor(frags: DataFrame, tolerance: float = 0.5) -> DataFrame:
 
     Sorted by y falling, then x; a fragment joins the current line if its y is within the tolerance
     of the line's first. Every line begins anew, so a chain of small steps does not merge. Fragments
-    of a line are ordered by x.
+    of a line are ordered by x. A page's different y are one array and a walk along it, which gives each
+    its line; fragments meet their line by their y.
     """
 
-    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x", "frag"], ascending=[False, True, True])
-        line, anchor, numbers = -1, None, []
-        for y in pdf["y"].tolist():
-            if anchor is None or abs(anchor - y) > tolerance:
-                line, anchor = line + 1, y
-            numbers.append(line)
-        pdf = pdf.assign(line=numbers)
-        out = []
-        for number, g in pdf.groupby("line", sort=True):
-            anchor = g["y"].iloc[0]
-            g = g.sort_values(["x", "frag"])
-            out.append((int(g["page"].iloc[0]), int(number), float(anchor), float(g["x"].min()), float(g["x"].max()), "".join(g["text"])))
-        return pd.DataFrame(out, columns=["page", "line", "y", "x0", "x1", "text"])
-
-    return frags.groupBy("page").applyInPandas(gather, "page long, line long, y double, x0 double, x1 double, text string")
+    def step(anchor: Column, i: Column) -> Column:
+        # The state is the line and where it began.
+        y = F.get("ys", i)
+        begins = anchor.isNull() | (F.abs(anchor["y"] - y) > tolerance)
+        line = F.when(begins, F.struct((F.coalesce(anchor["line"], F.lit(-1)) + 1).alias("line"), y.alias("y"))).otherwise(anchor)
+        return let(line, lambda own: F.struct(own.alias("at"), F.struct(y.alias("at_y"), own["line"].alias("line"), own["y"].alias("y")).alias("item")))
+
+    frags = frags.select("page", "frag", F.col("y").cast("double").alias("at_y"), F.col("x").cast("double").alias("x"), "text")
+    pages = frags.groupBy("page").agg(F.sort_array(F.collect_set("at_y"), asc=False).alias("ys"))
+    lines = walk(F.size("ys"), F.lit(None), ("struct<line:bigint,y:double>", "struct<at_y:double,line:bigint,y:double>"), step)
+    placed = frags.join(pages.select("page", F.explode(lines).alias("l")).select("page", "l.*"), ["page", "at_y"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "frag", "text"))), lambda t: t["text"]), "")
+    return placed.groupBy(F.col("page").cast("long").alias("page"), "line").agg(F.max("y").alias("y"), F.min("x").alias("x0"), F.max("x").alias("x1"), text.alias("text"))
 
 
 def strip_subtrees(tokens: DataFrame, names: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
+from ..storage import bounded
 
 #: Which extension goes where.
 ROUTES = {
@@ -76,10 +77,11 @@ def routes(spark: SparkSession) -> DataFrame:
 def route_by_type(files: DataFrame, rules: DataFrame, examples: int = 3) -> DataFrame:
     """route, n, notice: files by the route of their extension; the notice lists the first names.
 
-    Names are picked by ``ord``; more than ``examples`` files end in an ellipsis. The rules table is
-    a dimension and is broadcast.
+    Names are picked by ``ord``; more than ``examples`` files end in an ellipsis. The rules are
+    broadcast if they are small.
     """
-    routed = files.join(F.broadcast(rules), F.lower(files["ext"]) == rules["ext"], "left").select(files["ord"], files["name"], F.coalesce("route", F.lit("other")).alias("route"))
+    rules = bounded(rules)
+    routed = files.join(rules, F.lower(files["ext"]) == rules["ext"], "left").select(files["ord"], files["name"], F.coalesce("route", F.lit("other")).alias("route"))
     numbered = routed.withColumn("rn", F.row_number().over(Window.partitionBy("route").orderBy("ord")))
     first = numbered.where(F.col("rn") <= examples).groupBy("route").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]), ", ").alias("names"))
     counts = routed.groupBy("route").agg(F.count("*").alias("n"))

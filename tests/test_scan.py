@@ -54,3 +54,29 @@ def test_nothing_in_order(spark):
     df = spark.createDataFrame([], "g string, o int, k int")
     assert Ordered(df, ["g"], ["o"], 3).running(n=F.lit(1)).done().count() == 0
     assert sequence.merge_equal_runs(df, "g", "o", ["k"], 3).count() == 0
+
+
+def test_walks_of_any_length_equal_a_loop(spark, monkeypatch):
+    """Stretches change nothing, whether items are many or none."""
+    from foliant.functions import folds
+
+    def step(at, i):
+        x = F.get("v", i)
+        return F.struct((at + F.coalesce(x, F.lit(0))).alias("at"), F.when(x > 2, at * 10 + x).alias("item"))
+
+    rng = random.Random(2)
+    lists = {0: [], 1: [3], **{k: [rng.choice([None, 1, 2, 3, 4]) for _ in range(rng.randrange(30))] for k in range(2, 30)}}
+    df = spark.createDataFrame(list(lists.items()), "k int, v array<int>")
+
+    def loop(v):
+        at, out = 5, []
+        for x in v:
+            if x is not None and x > 2:
+                out.append(at * 10 + x)
+            at += x or 0
+        return out
+
+    for n in (1, 4, 256):
+        monkeypatch.setattr(folds, "STRETCH", n)
+        found = df.select("k", folds.walk(F.size("v"), F.lit(5), ("int", "int"), step).alias("w")).collect()
+        assert {r.k: r.w for r in found} == {k: loop(v) for k, v in lists.items()}
