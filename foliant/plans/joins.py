@@ -14,6 +14,15 @@ def j1_resolve_capture_time(spark, sf_dir):
     return found.select("file", J.show_time(F.col("when")).alias("shown"), F.col("when.offset_min").alias("offset_min"), "source", "is_capture_time")
 
 
+def j1_resolve_capture_time_pairs(spark, sf_dir):
+    """Original and digitised time as one source, the earlier of created and modified as the file's."""
+    (times,) = views(spark, sf_dir, "V_TIMES")
+    day = F.substring("fs", 1, 10)
+    modified = F.when(F.col("file") % 4 == 1, F.concat(day, F.lit("T00:00"))).when(F.col("file") % 4 == 2, F.concat(day, F.lit(" 23:59:60")))
+    found = J.resolve_capture_time(times.withColumn("modified", modified), ["manual", ("exif", ["exif", "xmp"])], ["fs", "modified"])
+    return found.select("file", J.show_time(F.col("when")).alias("shown"), F.col("when.offset_min").alias("offset_min"), "source", "is_capture_time")
+
+
 def j2_placement_extents(spark, sf_dir):
     return J.placement_extents(*views(spark, sf_dir, "V_IMAGES", "V_DRAWS"))
 
@@ -146,7 +155,7 @@ def j18_coverage_split(spark, sf_dir):
     return J.coverage_split(*views(spark, sf_dir, "V_TEXT", "V_COVERAGE"))
 
 
-QUERIES = {f.__name__: f for f in (j1_resolve_capture_time, j2_placement_extents, j3_assemble_pages, j4_remap_references, j5_reachable_objects, j6_inherit_attributes, j7_resolve_cascade, j8_ranked_lookup, j9_chase_links, j10_match_sequences, j11_boundary_drift, j11_boundary_drift_unequal, j12_first_difference, j13_regression_gate, j14_mask_iou, j15_asof_next, j15_asof_next_whole, j16_merge_overrides, j17_resolve_relationships, j18_coverage_split)}
+QUERIES = {f.__name__: f for f in (j1_resolve_capture_time, j1_resolve_capture_time_pairs, j2_placement_extents, j3_assemble_pages, j4_remap_references, j5_reachable_objects, j6_inherit_attributes, j7_resolve_cascade, j8_ranked_lookup, j9_chase_links, j10_match_sequences, j11_boundary_drift, j11_boundary_drift_unequal, j12_first_difference, j13_regression_gate, j14_mask_iou, j15_asof_next, j15_asof_next_whole, j16_merge_overrides, j17_resolve_relationships, j18_coverage_split)}
 
 #: Parsed times of V_TIMES: every text there is ISO 8601 of one of four shapes.
 TIMES = """p AS (SELECT file, batch, ord, src, pri, s, left(s, 10) || ' ' || CASE WHEN length(s) = 10 THEN '00:00:00' WHEN length(s) = 17 THEN substr(s, 12, 5) || ':00' ELSE substr(s, 12, 8) END AS shown, CASE WHEN right(s, 1) = 'Z' THEN 0 WHEN length(s) = 25 THEN CAST(substr(s, 21, 2) AS INT) * 60 + CAST(substr(s, 24, 2) AS INT) END AS off FROM (SELECT file, batch, ord, 'manual' AS src, 1 AS pri, manual AS s FROM V_TIMES UNION ALL SELECT file, batch, ord, 'exif', 2, exif FROM V_TIMES UNION ALL SELECT file, batch, ord, 'xmp', 3, xmp FROM V_TIMES UNION ALL SELECT file, batch, ord, 'iptc', 4, iptc FROM V_TIMES UNION ALL SELECT file, batch, ord, 'fs', 5, fs FROM V_TIMES) WHERE s IS NOT NULL AND NOT starts_with(s, '0000')),
@@ -156,6 +165,8 @@ _UP = """up AS (SELECT id, id AS anc, 0 AS depth, [id] AS seen FROM t UNION ALL
 
 ORACLE_SQL = {
     "j1_resolve_capture_time": oracle(["V_TIMES"], TIMES + " SELECT file, shown, offset_min, source, source <> 'fs' AS is_capture_time FROM best"),
+    "j1_resolve_capture_time_pairs": oracle(["V_TIMES"], """m AS (SELECT *, left(fs, 10) || ' ' || substr(fs, 12, 8) AS made, CASE WHEN file % 4 = 1 THEN left(fs, 10) || ' 00:00:00' WHEN file % 4 = 2 THEN left(fs, 10) || ' 23:59:60' END AS modified, exif IS NOT NULL AND NOT starts_with(exif, '0000') AS good FROM V_TIMES),
+t AS (SELECT file, CASE WHEN manual IS NOT NULL THEN '2024-03-15 14:30:22' WHEN good THEN replace(exif, 'T', ' ') WHEN xmp IS NOT NULL THEN left(xmp, 10) || ' 12:34:00' ELSE least(made, coalesce(modified, made)) END AS shown, CAST(CASE WHEN manual IS NOT NULL THEN 480 WHEN good THEN NULL WHEN xmp IS NOT NULL THEN 0 END AS INT) AS offset_min, CASE WHEN manual IS NOT NULL THEN 'manual' WHEN good OR xmp IS NOT NULL THEN 'exif' ELSE 'file' END AS source FROM m) SELECT *, source <> 'file' AS is_capture_time FROM t"""),
     "j2_placement_extents": oracle(["V_IMAGES", "V_DRAWS"], "d AS (SELECT img, max(w_pt) AS w, max(h_pt) AS h FROM V_DRAWS GROUP BY img) SELECT i.img, coalesce(d.w, 595.0) AS w_pt, coalesce(d.h, 842.0) AS h_pt FROM V_IMAGES i LEFT JOIN d ON i.img = d.img"),
     "j3_assemble_pages": oracle(["V_PICKS", "V_PAGES"], """c AS (SELECT source, count(*) AS n FROM V_PAGES GROUP BY source), e AS (SELECT k.*, g.rotate AS own, CASE WHEN n IS NULL THEN 'unknown source' WHEN k.page < 0 OR k.page >= n THEN 'page out of range' WHEN k.rotate % 90 <> 0 THEN 'rotation not a multiple of 90' END AS error FROM V_PICKS k LEFT JOIN c ON k.source = c.source LEFT JOIN V_PAGES g ON k.source = g.source AND k.page = g.page) SELECT pick_no, source, page, CASE WHEN error IS NULL THEN ((own + rotate) % 360 + 360) % 360 END AS rotation, error FROM e"""),
     "j4_remap_references": oracle(["V_EDGES", "V_PICKS"], "f AS (SELECT 'c' || CAST(page AS VARCHAR) AS dst, min(pick_no) AS new_dst FROM V_PICKS GROUP BY 1) SELECT e.src, e.dst, f.new_dst FROM V_EDGES e LEFT JOIN f ON e.dst = f.dst"),

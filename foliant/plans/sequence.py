@@ -47,6 +47,14 @@ def w3_script_runs_both(spark, sf_dir):
     return W.script_runs(views(spark, sf_dir, "V_TEXT")[0], "both")
 
 
+def w3_script_runs_hinted(spark, sf_dir):
+    """Lines as spans, every second one under an East Asian hint."""
+    (paras,) = views(spark, sf_dir, "V_PARAS")
+    text = F.translate("text", "aeo0123456789", "中文字〇一二三四五六七八九")
+    spans = paras.where("length(text) > 0").select("doc_id", "ord", text.alias("text"), (F.col("ord") % 2 == 1).alias("hint"))
+    return W.script_runs(W.hinted_text(spans))
+
+
 def w4_merge_equal_runs(spark, sf_dir):
     return W.merge_equal_runs(table(spark, sf_dir, "events"), "user_id", "event_id", ["event_type"])
 
@@ -187,7 +195,7 @@ def t3_running_tally(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (w1_number_items, w1_number_items_whole, w2_expand_labels, w3_script_runs, w3_script_runs_both, w4_merge_equal_runs, w4_merge_equal_runs_whole, w5_suppress_between_equal, w6_running_offsets, w6_running_offsets_whole, w7_pack_tokens, w8_pack_pages, w8_pack_pages_rules, w9_page_numbers, w10_inherit_headers, w11_substitute_fields, w12_group_by_anchor, w13_strip_subtrees, w14_choose_alternative, w15_grid_positions, w16_fill_from_first, o2_sort_by_time, e1_map_isolated, t1_latest_progress, t1_newest_progress_days, t2_distinct_warnings, t2_warnings_once_days, t3_running_tally)
+    for f in (w1_number_items, w1_number_items_whole, w2_expand_labels, w3_script_runs, w3_script_runs_both, w3_script_runs_hinted, w4_merge_equal_runs, w4_merge_equal_runs_whole, w5_suppress_between_equal, w6_running_offsets, w6_running_offsets_whole, w7_pack_tokens, w8_pack_pages, w8_pack_pages_rules, w9_page_numbers, w10_inherit_headers, w11_substitute_fields, w12_group_by_anchor, w13_strip_subtrees, w14_choose_alternative, w15_grid_positions, w16_fill_from_first, o2_sort_by_time, e1_map_isolated, t1_latest_progress, t1_newest_progress_days, t2_distinct_warnings, t2_warnings_once_days, t3_running_tally)
 }
 
 #: Level 1 and 2 restart after level 0; level 2 has restart 1, which names level 0 alone.
@@ -215,6 +223,7 @@ def _class_sql(ranges: str) -> str:
 
 _SCRIPTS = lambda names: "".join(rf"\p{{{n}}}" for n in names if n != "Unknown")
 _CLASS = f"k AS (SELECT doc_id, pos, CASE WHEN {_class_sql(W.NEITHER)} THEN NULL WHEN {_class_sql(W.LATIN)} THEN 'latin' WHEN {_class_sql(W.EAST_ASIAN)} THEN 'east_asian' WHEN {_class_sql(_SCRIPTS(W.EAST_ASIAN_SCRIPTS))} THEN 'east_asian' WHEN {_class_sql(_SCRIPTS(W.NO_SCRIPTS))} THEN NULL ELSE 'latin' END AS own FROM V_CHARS)"
+_HINTED = _CLASS.replace("V_CHARS", "h").replace("CASE WHEN", f"CASE WHEN hint AND ({_class_sql(W.HINTED)} OR ({_class_sql(W.NEITHER)} OR {_class_sql(_SCRIPTS(W.NO_SCRIPTS))}) AND NOT {_class_sql(W.LATIN)} AND NOT {_class_sql(W.EAST_ASIAN)} AND NOT regexp_matches(ch, '^[\\p{{Cc}}\\p{{M}}\\x{{20}}\\x{{A0}}]')) THEN 'east_asian' WHEN", 1)
 _RUNS = """n AS (SELECT *, sum(CASE WHEN pc IS NULL OR pc <> class THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT *, lag(class) OVER (PARTITION BY doc_id ORDER BY pos) AS pc FROM c)) SELECT doc_id, CAST(min(pos) AS INT) AS start, CAST(max(pos) + 1 AS INT) AS "end", any_value(class) AS class FROM n GROUP BY doc_id, run"""
 
 ORACLE_SQL = {
@@ -224,6 +233,7 @@ ORACLE_SQL = {
 SELECT doc_id, ord, ilvl, value, CASE ilvl WHEN 0 THEN {_roman_sql('value')} || '.' WHEN 1 THEN {_roman_sql('coalesce(v0, 1)')} || '.' || value ELSE '(' || {_letter_sql('value')} || ')' END AS label, false AS fallback FROM p"""),
     "w3_script_runs": oracle(["V_CHARS"], _CLASS + ", c AS (SELECT doc_id, pos, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'latin') AS class FROM k), " + _RUNS),
     "w3_script_runs_both": oracle(["V_CHARS"], _CLASS + ", c AS (SELECT doc_id, pos, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 'latin') AS class FROM k), " + _RUNS),
+    "w3_script_runs_hinted": oracle(["V_PARAS"], "u AS (SELECT doc_id, ord, generate_subscripts(a, 1) AS i, unnest(a) AS ch FROM (SELECT doc_id, ord, string_split(translate(text, 'aeo0123456789', '中文字〇一二三四五六七八九'), '') AS a FROM V_PARAS WHERE length(text) > 0)), h AS (SELECT doc_id, ord % 2 = 1 AS hint, row_number() OVER (PARTITION BY doc_id ORDER BY ord, i) - 1 AS pos, ch FROM u), " + _HINTED + ", c AS (SELECT doc_id, pos, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'latin') AS class FROM k), " + _RUNS),
     "w4_merge_equal_runs": """WITH l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events), r AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM l) SELECT user_id, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM r GROUP BY user_id, event_type, run""",
     "w4_merge_equal_runs_whole": """WITH l AS (SELECT *, lag(event_type) OVER (ORDER BY event_id) AS p FROM events), r AS (SELECT *, sum(CASE WHEN p IS NULL OR p <> event_type THEN 1 ELSE 0 END) OVER (ORDER BY event_id) AS run FROM l) SELECT event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM r GROUP BY event_type, run""",
     "w5_suppress_between_equal": oracle(["V_PARAS"], """n AS (SELECT *, lag(style) OVER w AS p, lead(style) OVER w AS q FROM V_PARAS WINDOW w AS (PARTITION BY doc_id ORDER BY ord)) SELECT doc_id, ord, CASE WHEN contextual AND p = style THEN 0 ELSE space_before END AS space_before, CASE WHEN contextual AND q = style THEN 0 ELSE space_after END AS space_after FROM n"""),
