@@ -50,6 +50,15 @@ def s6_split_every(spark, sf_dir):
     return S.split_every(picks, 40, "bundle")
 
 
+def s6_name_page_images(spark, sf_dir):
+    """Customers as documents of up to 1,200 pages in fifty folders, some of which hold a first page already."""
+    (ranges,) = views(spark, sf_dir, "V_RANGES")
+    folder = lambda c: F.concat(F.lit("d"), c.cast("string"))
+    requests = ranges.select("req", "spec", F.when(F.col("req") % 5 == 0, F.col("page_count") * 100).otherwise(F.col("page_count")).alias("page_count"), folder(F.col("req") % 50).alias("dir"), F.lit("scan").alias("stem"))
+    occupied = requests.where("req % 50 % 3 = 0").select("dir", F.lit("scan_p001.png").alias("name")).distinct()
+    return S.name_page_images(requests, occupied, "png")
+
+
 def s7_incremental_pending(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.md5("text").alias("hash"))
     (done,) = views(spark, sf_dir, "V_DONE")
@@ -113,12 +122,16 @@ def u3_dilate(spark, sf_dir):
     return P.dilate(views(spark, sf_dir, "V_MASKS")[0], 8, 8)
 
 
-QUERIES = {f.__name__: f for f in (s1_scan_files, s2_route_by_type, s3_sniff_content, s4_assign_output_names, s5_write_guarded, s6_split_every, s7_incremental_pending, p1_gate_inputs, p2_expand_page_ranges, p3_plan_downscale, p4_decide_recompression, p5_decide_fidelity, o1_natural_sort, o3_top_n_with_more, u1_append_distinct, u2_reindex_sources, u3_dilate)}
+QUERIES = {f.__name__: f for f in (s1_scan_files, s2_route_by_type, s3_sniff_content, s4_assign_output_names, s5_write_guarded, s6_split_every, s6_name_page_images, s7_incremental_pending, p1_gate_inputs, p2_expand_page_ranges, p3_plan_downscale, p4_decide_recompression, p5_decide_fidelity, o1_natural_sort, o3_top_n_with_more, u1_append_distinct, u2_reindex_sources, u3_dilate)}
 
 _ROUTES = " ".join("WHEN ext IN (" + ", ".join(f"'{e}'" for e in own) + f") THEN '{r}'" for r, own in S.ROUTES.items())
 _PAGE = """CASE WHEN dpi IS NOT NULL AND abs(dpi - 72.0) >= 0.5 AND abs(dpi - 96.0) >= 0.5 THEN CAST(72.0 AS DOUBLE) / dpi ELSE CAST(841.89 AS DOUBLE) / greatest(w, h) END"""
 _SIZED = f"""sz AS (SELECT *, greatest(w * s / o, CAST(1 AS DOUBLE)) AS page_w, greatest(h * s / o, CAST(1 AS DOUBLE)) AS page_h FROM (SELECT *, greatest(w * s / CAST(14400 AS DOUBLE), h * s / CAST(14400 AS DOUBLE), CAST(1 AS DOUBLE)) AS o FROM (SELECT *, {_PAGE} AS s FROM V_IMAGES)))"""
 
+_IMAGES = """c AS (SELECT req, CASE WHEN req % 5 = 0 THEN page_count * 100 ELSE page_count END AS n, CAST(req % 9 AS INT) AS k FROM V_RANGES), x AS (SELECT req, n, CASE k WHEN 0 THEN range(1, n + 1) WHEN 1 THEN [1, 2, 3, 5] WHEN 2 THEN range(4, n + 1) WHEN 3 THEN [1, 2] WHEN 4 THEN [5, 1, 2] ELSE [1, 2, 3, 5, 7, 8] END AS l FROM c WHERE k <= 5 AND n >= list_extract([1, 5, 4, 2, 5, 8], k + 1)),
+p AS (SELECT req, n, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS page FROM x), s AS (SELECT *, 'd' || req % 50 AS dir, 'scan_p' || lpad(CAST(page AS VARCHAR), CAST(greatest(3, length(CAST(n AS VARCHAR))) AS INT), '0') AS stem FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY dir, stem ORDER BY req, pos) + CASE WHEN stem = 'scan_p001' AND req % 50 % 3 = 0 THEN 1 ELSE 0 END AS i FROM s)
+SELECT req, CAST(pos AS INT) AS pos, CAST(page AS BIGINT) AS page, dir, stem || CASE WHEN i = 1 THEN '' ELSE ' (' || i || ')' END || '.png' AS output FROM r"""
+
 ORACLE_SQL = {
     "s2_route_by_type": oracle(["V_FILES"], f"""r AS (SELECT *, CASE {_ROUTES} ELSE 'other' END AS route FROM V_FILES), n AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY ord) AS rn FROM r)
 SELECT route, count(*) AS n, string_agg(name, ', ' ORDER BY ord) FILTER (rn <= 3) || CASE WHEN count(*) > 3 THEN ' …' ELSE '' END AS notice FROM n GROUP BY route"""),
@@ -127,6 +140,7 @@ SELECT route, count(*) AS n, string_agg(name, ', ' ORDER BY ord) FILTER (rn <= 3
 SELECT ord, dir, stem || CASE WHEN n = 1 THEN '' ELSE ' (' || CAST(n AS VARCHAR) || ')' END || '.pdf' AS output FROM p"""),
     "s5_write_guarded": oracle(["V_FILES"], "SELECT ord, name, ext FROM V_FILES"),
     "s6_split_every": oracle(["V_PICKS"], """SELECT CAST(floor((pick_no - 1) / 40) AS BIGINT) AS part, 'bundle_p' || CASE WHEN min(pick_no) = max(pick_no) THEN CAST(min(pick_no) AS VARCHAR) ELSE CAST(min(pick_no) AS VARCHAR) || '-' || CAST(max(pick_no) AS VARCHAR) END AS name, min(pick_no) AS first, max(pick_no) AS last, count(*) AS pages FROM V_PICKS GROUP BY 1"""),
+    "s6_name_page_images": oracle(["V_RANGES"], _IMAGES),
     "s7_incremental_pending": oracle(["V_DONE"], """d AS (SELECT doc_id AS ord, md5(text) AS hash FROM documents) SELECT ord, hash, CASE WHEN hash IN (SELECT hash FROM V_DONE) THEN 'done' WHEN ord = min(ord) OVER (PARTITION BY hash) THEN 'convert' ELSE 'reuse' END AS state FROM d"""),
     "p1_gate_inputs": """SELECT doc_id, reason IS NULL AS accepted, reason FROM (SELECT doc_id, CASE WHEN lang = 'de' THEN 'encrypted' WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'signed' END AS reason FROM documents)""",
     "p2_expand_page_ranges": oracle(["V_RANGES"], """c AS (SELECT req, page_count, CAST(req % 9 AS INT) AS k FROM V_RANGES),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
+from ..operators.project import expand_page_ranges
 from ..storage import bounded
 
 #: Which extension goes where.
@@ -189,6 +190,22 @@ def split_every(picks: DataFrame, n: int, stem: str) -> DataFrame:
     return parts.select("part", F.concat(F.lit(f"{stem}_p"), span).alias("name"), "first", "last", "pages")
 
 
+def name_page_images(requests: DataFrame, occupied: DataFrame, ext: str) -> DataFrame:
+    """req, pos, page, dir, output: a free file name for each page that the requests ask for.
+
+    ``requests``: req (below 2^31), spec, page_count (as of ``expand_page_ranges``), dir, stem;
+    ``occupied``: dir, name. A page is ``stem_p007.ext``, with as many digits as the document's last page
+    has, three at least. Names are given in the order of requests and pages; requests in error have none.
+    """
+    pages = expand_page_ranges(requests.select("req", "spec", "page_count")).where("error is null").drop("error")
+    own = requests.select("req", "dir", "stem", F.greatest(F.lit(3), F.length(F.col("page_count").cast("string"))).alias("_digits"))
+    shown = F.col("page").cast("string")
+    wanted = pages.join(own, "req").withColumn("stem", F.concat("stem", F.lit("_p"), F.repeat(F.lit("0"), (F.col("_digits") - F.length(shown)).cast("int")), shown))
+    wanted = wanted.select("req", "pos", "page", (F.shiftleft(F.col("req").cast("long"), 32) + F.col("pos")).alias("ord"), "dir", "stem", F.lit(ext).alias("ext"))
+    names = assign_output_names(wanted.select("ord", "dir", "stem", "ext"), occupied)
+    return wanted.select("req", "pos", "page", "ord").join(names, "ord").drop("ord")
+
+
 def incremental_pending(files: DataFrame, done: DataFrame, key: str = "hash", order: str = "ord") -> DataFrame:
     """All files with ``state``: done (hash already converted), convert (first of a new hash) or reuse.
 
