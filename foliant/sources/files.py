@@ -5,13 +5,13 @@ from __future__ import annotations
 import os
 import posixpath
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import walk
 from ..functions.text import natural_key
 from ..operators.project import expand_page_ranges
-from ..storage import bounded
+from ..storage import bounded, stored
 
 #: Which extension goes where.
 ROUTES = {
@@ -109,56 +109,84 @@ def assign_output_names(requests: DataFrame, occupied: DataFrame) -> DataFrame:
     nor issued before. The r-th request of a stem gets the r-th free number, found by one ordered pass
     over requests and taken numbers, so a popular name needs no list in memory.
 
-    Stems that themselves end in " (n)" may meet numbers of their root: requests of one root, folder
-    and extension among which there are such stems are served one by one, as one group.
+    Stems that themselves end in " (n)" meet numbers of the stem before that: "a (2)" is what the first
+    request of that stem wants, and what "a" gives out second. No other stem wants it, so stems are served
+    from the shortest on: with the times at which longer stems ask first, a stem's numbers are settled in one
+    walk over the names that it shares, and the longer stems learn which of theirs are gone. Where such
+    stems occur, the places of a stem's requests are one array.
     """
+    rooted = requests.withColumn("_depth", _depth(F.col("stem")))
     group = ["dir", "_root", "ext"]
-    rooted = requests.withColumn("_root", F.regexp_replace("stem", r"( \([1-9][0-9]*\))+$", ""))
-    mixed = rooted.groupBy(*group).agg(F.max((F.col("stem") != F.col("_root")).cast("int")).alias("_mixed"))
-    rooted = rooted.join(mixed, group)
+    root = rooted.withColumn("_root", F.regexp_replace("stem", _SUFFIXES, ""))
+    mixed = root.groupBy(*group).agg((F.max("_depth") > 0).alias("_mixed"))
+    rooted = root.join(mixed, group).drop("_root")
     # An occupied name is one of a stem with its extension, or of a stem without any.
     name, dot = F.col("name"), F.col("name").rlike(r"^.+\.[^.]*$")
     split = F.when(dot, F.array(F.struct(F.regexp_extract(name, r"^(.+)\.([^.]*)$", 1).alias("stem"), F.regexp_extract(name, r"^(.+)\.([^.]*)$", 2).alias("ext")), F.struct(name.alias("stem"), F.lit("").alias("ext")))).otherwise(F.array(F.struct(name.alias("stem"), F.lit("").alias("ext"))))
     names = occupied.select("dir", "name").distinct().select("dir", F.explode(split).alias("n")).select("dir", "n.stem", "n.ext")
-    return _by_number(rooted.where("_mixed = 0"), names).unionByName(_one_by_one(rooted.where("_mixed = 1"), names))
+    numbered = names.select("dir", F.regexp_extract("stem", _NUMBERED, 1).alias("stem"), "ext", F.regexp_extract("stem", _NUMBERED, 2).try_cast("long").alias("n")).where("n >= 2")
+    taken = names.withColumn("n", F.lit(1).cast("long")).unionByName(numbered)
+    placed = _by_number(rooted.where(~F.col("_mixed")), taken)
+    shared = stored(rooted.where("_mixed").drop("_mixed"), "mixed-names")
+    for depth in sorted(r[0] for r in shared.select("_depth").distinct().collect()):  # as many as suffixes in the longest name
+        own, longer = shared.where(F.col("_depth") == depth), shared.where(F.col("_depth") == depth + 1)
+        marks = stored(_settled(own, longer, taken), "settled")
+        gone = marks.where("not skipped").select("dir", _numbered(F.col("stem"), F.col("n")).alias("stem"), "ext", F.lit(1).cast("long").alias("n"))
+        placed = placed.unionByName(_by_number(own, taken.unionByName(marks.where("skipped").select("dir", "stem", "ext", "n"))))
+        taken = taken.unionByName(gone)
+    return placed
+
+
+_SUFFIXES = r"( \((?:[2-9]|[1-9][0-9]{1,17})\))+$"
+
+
+def _depth(stem: Column) -> Column:
+    """How many numbers, each of 2 or more, a stem ends in."""
+    return F.size(F.regexp_extract_all(F.regexp_extract(stem, _SUFFIXES, 0), F.lit(r"\("), F.lit(0)))
+
+
+def _numbered(stem: Column, n: Column) -> Column:
+    return F.when(n == 1, stem).otherwise(F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")")))
+
+
+def _settled(requests: DataFrame, longer: DataFrame, taken: DataFrame) -> DataFrame:
+    """dir, stem, ext, n, skipped: numbers that stems share with longer stems, and who has them.
+
+    Skipped ones went to the longer stem's first request, the others to a request of the stem itself.
+    """
+    group = ["dir", "stem", "ext"]
+    first = longer.groupBy(*group).agg(F.min("ord").alias("o"))
+    wished = first.select("dir", F.regexp_extract("stem", _NUMBERED, 1).alias("stem"), "ext", F.regexp_extract("stem", _NUMBERED, 2).cast("long").alias("n"), "o")
+    wished = wished.join(taken, [*group, "n"], "left_anti")
+    fixed = taken.join(wished.select(*group).distinct(), group, "left_semi").distinct().withColumn("o", F.lit(None).cast("long"))
+    marks = wished.unionByName(fixed).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("n", "o"))).alias("marks"))
+    places = requests.join(marks.select(*group), group, "left_semi").groupBy(*group).agg(F.sort_array(F.collect_list("ord")).alias("ords"))
+
+    def step(skipped: Column, i: Column) -> Column:
+        mark = F.get("marks", i)
+        # The request that comes to this number, if there is one.
+        ord_ = F.get("ords", (mark["n"] - skipped - 1).cast("int"))
+        skip = ord_.isNotNull() & (mark["o"].isNull() | (ord_ > mark["o"]))
+        item = F.when(ord_.isNotNull() & mark["o"].isNotNull(), F.struct(mark["n"].alias("n"), skip.alias("skipped")))
+        return F.struct((skipped + skip.cast("long")).alias("at"), item.alias("item"))
+
+    found = walk(F.size("marks"), F.lit(0), ("bigint", "struct<n:bigint,skipped:boolean>"), step)
+    return places.join(marks, group).select(*group, F.explode(found).alias("m")).select(*group, "m.*")
 
 
 def _named(stem: Column, ext: Column) -> Column:
     return F.when(ext == "", stem).otherwise(F.concat(stem, F.lit("."), ext))
 
 
-def _by_number(requests: DataFrame, names: DataFrame) -> DataFrame:
+def _by_number(requests: DataFrame, taken: DataFrame) -> DataFrame:
     group = ["dir", "stem", "ext"]
-    plain = names.withColumn("n", F.lit(1).cast("long"))
-    numbered = names.select("dir", F.regexp_extract("stem", _NUMBERED, 1).alias("stem"), "ext", F.regexp_extract("stem", _NUMBERED, 2).try_cast("long").alias("n")).where("n >= 2")
-    taken = plain.unionByName(numbered).join(requests.select(*group).distinct(), group, "left_semi").distinct()
+    taken = taken.join(requests.select(*group).distinct(), group, "left_semi").distinct()
     wanted = requests.withColumn("key", F.row_number().over(Window.partitionBy(*group).orderBy("ord")).cast("long")).select(*group, "ord", "key", F.lit(0).alias("kind"))
     # A taken number n with k taken up to it has n - k free numbers before it.
     before = taken.withColumn("key", F.col("n") - F.row_number().over(Window.partitionBy(*group).orderBy("n"))).select(*group, F.lit(None).cast("long").alias("ord"), "key", F.lit(1).alias("kind"))
     passed = F.sum("kind").over(Window.partitionBy(*group).orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0))
     placed = wanted.unionByName(before).withColumn("n", F.col("key") + passed).where("kind = 0")
-    stem = F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit(" ("), F.col("n").cast("string"), F.lit(")")))
-    return placed.select("ord", "dir", _named(stem, F.col("ext")).alias("output"))
-
-
-def _one_by_one(requests: DataFrame, names: DataFrame) -> DataFrame:
-    rooted = names.withColumn("_root", F.regexp_replace("stem", r"( \([1-9][0-9]*\))+$", ""))
-
-    def serve(wanted: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        used = set(there["stem"]) if len(there) else set()
-        after: dict[str, int] = {}
-        out = []
-        for r in wanted.sort_values("ord").itertuples() if len(wanted) else ():
-            n = after.get(r.stem, 1)
-            while (stem := r.stem if n == 1 else f"{r.stem} ({n})") in used:
-                n += 1
-            used.add(stem)
-            after[r.stem] = n + 1
-            out.append((r.ord, r.dir, f"{stem}.{r.ext}" if r.ext else stem))
-        return pd.DataFrame(out, columns=["ord", "dir", "output"]).astype({"ord": "int64"})
-
-    keys = ["dir", "_root", "ext"]
-    return requests.groupBy(*keys).cogroup(rooted.groupBy(*keys)).applyInPandas(serve, "ord long, dir string, output string")
+    return placed.select("ord", "dir", _named(_numbered(F.col("stem"), F.col("n")), F.col("ext")).alias("output"))
 
 
 def write_guarded(df: DataFrame, path: str, inputs: list[str], file_format: str = "parquet") -> None:

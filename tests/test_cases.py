@@ -146,6 +146,19 @@ def test_output_names_are_compared_literally(spark):
         assert found == brute_names(requests, occupied)
 
 
+def test_names_of_stems_that_meet_each_others_numbers(spark):
+    import random
+
+    for seed in range(4):
+        rng = random.Random(seed)
+        stems = ["a", *(f"a ({n})" for n in range(1, 12)), "a (3) (2)", "a (3) (2) (4)", "a (2) (2)", "a (02)", "a (2) "]
+        requests = [(k, "x", rng.choice(stems[:1] * 12 + stems), "pdf") for k in rng.sample(range(500), 120)]
+        occupied = [("x", f"{rng.choice(stems)}.pdf") for _ in range(rng.randrange(5))] + [("x", "a (14).pdf"), ("x", "a (3) (2) (2).pdf")]
+        wanted = spark.createDataFrame(requests, "ord long, dir string, stem string, ext string")
+        found = {r.ord: r.output for r in files.assign_output_names(wanted, spark.createDataFrame(occupied, "dir string, name string")).collect()}
+        assert found == brute_names(requests, occupied)
+
+
 def test_write_guarded_refuses(spark, tmp_path):
     df = spark.range(3)
     path = f"file://{tmp_path}/out"
