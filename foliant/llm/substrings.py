@@ -17,7 +17,7 @@ shard that gets more than SALT_BYTES is split over tasks, each with the shard's
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -150,14 +150,11 @@ class Shard:
         #: Windows of the passages: how often each stands in the block, and how many others hold it.
         self.windows: dict[str | bytes, int] = {}
         self.automaton = ahocorasick.Automaton()
-        for text in own:
-            self.coded(text, learn=True)
+        coded_own = [self.coded(text, learn=True) for text in own]
         #: With more words than code points some share one: the automaton then finds too much, and the words themselves decide.
         self.shared = len(self.codes) > space
-        for text, n in zip(own, times):
-            coded, key = self.coded(text), self.keys(text)
-            for at in range(len(coded) - window + 1):
-                w = key(coded, at)
+        for text, coded, n in zip(own, coded_own, times):
+            for w in self.keys(text, coded, range(len(coded) - window + 1)):
                 self.windows[w] = self.windows.get(w, 0) + n
             for at in range(0, len(coded) - phrase + 1, window - phrase + 1):
                 self.automaton.add_word(coded[at : at + phrase], True)
@@ -172,30 +169,37 @@ class Shard:
             out = [codes.get(w, 10) for w in text.split(b" ")]
         return np.array(out, "<u4").tobytes().decode("utf-32-le")
 
-    def keys(self, text: bytes) -> Callable[[str, int], str | bytes]:
-        """What tells the windows of a text apart: their codes, or their words where words share codes."""
+    def keys(self, text: bytes, coded: str, places: Iterable[int]) -> list[str] | list[bytes]:
+        """What tells the windows at some places apart: their codes, or their words where words share codes."""
+        window = self.window
         if not self.shared:
-            return lambda coded, at: coded[at : at + self.window]
+            return [coded[at : at + window] for at in places]
         words = text.split(b" ")
-        return lambda coded, at: b" ".join(words[at : at + self.window])
+        return [b" ".join(words[at : at + window]) for at in places]
 
-    def locate(self, text: bytes, count: bool) -> np.ndarray:
-        """Places of the shard's windows in a passage; ``count`` marks them as held by another block."""
+    def found(self, text: bytes) -> tuple[list[int], list[str] | list[bytes]]:
+        """Places of the shard's windows in a passage, and these windows."""
         if not self.windows:
-            return np.zeros(0, np.int64)
-        coded, key = self.coded(text), self.keys(text)
+            return [], []
+        coded = self.coded(text)
         found = np.fromiter((end for end, _ in self.automaton.iter(coded)), np.int64) - (self.phrase - 1)
         near = np.flatnonzero(_spread(np.maximum(found - (self.window - self.phrase), 0), self.window - self.phrase + 1, len(coded) + 1))
-        out = [at for at in near.tolist() if at + self.window <= len(coded) and key(coded, at) in self.windows]
+        near = near[near <= len(coded) - self.window].tolist()
+        both = [(at, w) for at, w in zip(near, self.keys(text, coded, near)) if w in self.windows]
+        return [at for at, _ in both], [w for _, w in both]
+
+    def locate(self, text: bytes, count: bool) -> np.ndarray:
+        """Places of the shard's windows in a passage; ``count`` marks them as held by another block."""
+        places, windows = self.found(text)
         if count:
-            for at in out:
-                self.windows[key(coded, at)] += 1
-        return np.array(out, np.int64)
+            for w in windows:
+                self.windows[w] += 1
+        return np.array(places, np.int64)
 
     def recurring(self, text: bytes) -> np.ndarray:
         """Places in one of the block's own passages whose windows stand anywhere else."""
-        coded, key = self.coded(text), self.keys(text)
-        return np.array([at for at in self.locate(text, False).tolist() if self.windows[key(coded, at)] > 1], np.int64)
+        places, windows = self.found(text)
+        return np.array([at for at, w in zip(places, windows) if self.windows[w] > 1], np.int64)
 
 
 def _repeated(keys: np.ndarray, at: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
