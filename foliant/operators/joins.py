@@ -103,8 +103,8 @@ def remap_references(edges: DataFrame, picks: DataFrame) -> DataFrame:
     return edges.join(first, "dst", "left").select("src", "dst", "new_dst")
 
 
-#: Objects of a level up to which it is numbered in one task and broadcast to the edges.
-SMALL_LEVEL = 100_000
+#: Objects of a level up to which it is broadcast to the edges, and up to which objects are numbered in one task.
+SMALL_LEVEL, ONE_TASK = 100_000, 1_000_000
 #: Edges, and objects met, from which on a small level reads only its own buckets of them; the number of buckets.
 LARGE_SET, BUCKETS = 1_000_000, 1024
 
@@ -120,7 +120,7 @@ def reachable_objects(edges: DataFrame, roots: DataFrame, stop: Column) -> DataF
     The set of objects met only grows: each level is written once, in a folder of its own, sorted by
     buckets of its ids, and never again. Edges are written once, sorted alike. A small level is
     broadcast to them and, where they are many, reads the buckets of its own ids only; once very many
-    objects have been met, its targets are looked up in their own buckets too. One range sort at the end numbers all levels.
+    objects have been met, its targets are looked up in their own buckets too. One range sort at the end numbers all levels (one task, where they are few).
     """
     spark = edges.sparkSession
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
@@ -135,8 +135,14 @@ def reachable_objects(edges: DataFrame, roots: DataFrame, stop: Column) -> DataF
         level.select("id", "by", bucket("id").alias("bucket")).sortWithinPartitions("bucket").write.parquet(f"{folder}/depth={depth}")
         return spark.read.parquet(f"{folder}/depth={depth}").count()
 
-    first = roots.where("id is not null").select("id", order(roots, "id")).groupBy("id").agg(F.min("place").alias("place"))
-    first = number_rows(first, [F.col("place"), F.col("id")], "n")
+    def numbered(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+        """``df`` (id and keys) with n, from 0 in their order."""
+        if n <= ONE_TASK:
+            return df.withColumn("n", (F.row_number().over(Window.orderBy(*keys)) - 1).cast("long"))
+        return number_rows(df, [F.col(k) for k in keys], "n").withColumn("n", F.col("n") - 1)
+
+    first = stored(roots.where("id is not null").select("id", order(roots, "id")).groupBy("id").agg(F.min("place").alias("place")), "roots")
+    first = numbered(first, ["place", "id"], first.count())
     depth, known = 0, 0
     n = keep(first.select("id", F.struct(F.col("n").alias("parent"), F.lit(None).cast(kind).alias("place")).alias("by")), 0)
     levels = spark.read.parquet(f"{folder}/depth=0").schema
@@ -144,13 +150,12 @@ def reachable_objects(edges: DataFrame, roots: DataFrame, stop: Column) -> DataF
     buckets = lambda df, c: [r[0] for r in df.select(bucket(c)).distinct().collect()]  # noqa: E731  at most BUCKETS numbers
     while n:
         level = read(depth)
+        frontier = numbered(level.select("id", "by"), ["by", "id"], n).select("id", (F.col("n") + known).alias("parent"))
+        reached = links
         if n <= SMALL_LEVEL:
-            own = Window.orderBy("by", "id")
-            frontier = F.broadcast(level.select("id", (F.row_number().over(own) + (known - 1)).cast("long").alias("parent")))
-            reached = links.where(F.col("bucket").isin(buckets(level, "id"))) if many and n <= BUCKETS else links
-        else:
-            frontier = number_rows(level.select("id", "by"), [F.col("by"), F.col("id")], "parent").select("id", (F.col("parent") - 1 + known).alias("parent"))
-            reached = links
+            frontier = F.broadcast(frontier)
+            if many and n <= BUCKETS:
+                reached = links.where(F.col("bucket").isin(buckets(level, "id")))
         known += n
         step = reached.join(frontier, frontier["id"] == reached["src"]).select(F.col("dst").alias("id"), F.struct("parent", "place").alias("by"))
         step = step.where(~F.coalesce(stop, F.lit(False))).groupBy("id").agg(F.min("by").alias("by"))
@@ -163,8 +168,8 @@ def reachable_objects(edges: DataFrame, roots: DataFrame, stop: Column) -> DataF
         depth += 1
         n = keep(step.join(met.select("id"), "id", "left_anti"), depth)
     every = spark.read.option("basePath", folder).parquet(*(f"{folder}/depth={d}" for d in range(max(depth, 1))))
-    numbered = number_rows(every.select("id", F.col("depth").cast("int").alias("depth"), "by"), [F.col("depth"), F.col("by"), F.col("id")], "new_id")
-    return numbered.select("id", "depth", (F.col("new_id") - 1).alias("new_id"))
+    every = every.select("id", F.col("depth").cast("int").alias("depth"), "by")
+    return numbered(every, ["depth", "by", "id"], known).select("id", "depth", F.col("n").alias("new_id"))
 
 
 def inherit_attributes(nodes: DataFrame, attributes: list[str], max_depth: int = 64) -> DataFrame:

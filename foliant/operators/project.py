@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, natural_key
-from ..storage import cut
+from ..storage import stored
 from . import masks
 
 A4_LONG_EDGE, MAX_PAGE = 841.89, 14400.0
@@ -205,7 +205,7 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "place") -> Data
     """
     sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     # Partition numbers become data: a lost executor cannot change them.
-    sorted_ = cut(sorted_.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))))
+    sorted_ = stored(sorted_.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))), "places")
     sizes = sorted_.groupBy("_part").count().withColumn("_before", F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
     placed = sorted_.join(F.broadcast(sizes.drop("count")), "_part")
     return placed.withColumn(name, (F.coalesce("_before", F.lit(0)) + F.col("_at") + 1).cast("long")).drop("_part", "_at", "_before")

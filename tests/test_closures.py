@@ -32,11 +32,12 @@ def breadth_first(edges, roots, stopped):
     return out
 
 
-@pytest.mark.parametrize(("small", "large"), [(100_000, 1_000_000), (3, 1_000_000), (100_000, 5)])
-def test_closure_equals_breadth_first(spark, monkeypatch, small, large):
+@pytest.mark.parametrize(("small", "large", "alone"), [(100_000, 1_000_000, 1_000_000), (3, 1_000_000, 3), (100_000, 5, 20)])
+def test_closure_equals_breadth_first(spark, monkeypatch, small, large, alone):
     """Small levels, levels that are sorted over all tasks, and look-ups in buckets."""
     monkeypatch.setattr(joins, "SMALL_LEVEL", small)
     monkeypatch.setattr(joins, "LARGE_SET", large)
+    monkeypatch.setattr(joins, "ONE_TASK", alone)
     rng = random.Random(small + large)
     edges = [(rng.randrange(60), rng.choice([*range(60), None]), o) for o in range(110)]
     roots, stopped = [3, 7, 3, None], {5, 11}
