@@ -126,7 +126,7 @@ def reachable_objects(edges: DataFrame, roots: DataFrame, stop: Column) -> DataF
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
     order = lambda df, other: (F.col("ord") if "ord" in df.columns else F.col(other)).alias("place")
     links = edges.where("src is not null and dst is not null").select("src", "dst", order(edges, "dst"), bucket("src").alias("bucket"))
-    links = stored(links.repartition("bucket").sortWithinPartitions("bucket"), "edges")
+    links = stored(links.sortWithinPartitions("bucket"), "edges")
     kind, many = links.schema["place"].dataType, links.count() > LARGE_SET
     folder = fresh_path(spark, "reached")
 
