@@ -192,8 +192,8 @@ x AS (SELECT rs.doc, rs.k, roff, coalesce(ooff, total) AS start FROM rs LEFT JOI
 SELECT doc, max(bd) AS bd_max, CAST(sum(bd) AS BIGINT) AS bd_sum, CAST(0 AS BIGINT) AS unmatched FROM b GROUP BY doc"""),
     "j11_boundary_drift_unequal": oracle(["V_LINES"], """t AS (SELECT side, doc, page, line, text, length(text) AS n FROM V_LINES WHERE text <> ''), f AS MATERIALIZED (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY side, doc ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM t), s AS (SELECT side, doc, string_agg(text, '' ORDER BY line) AS w, sum(n) AS total FROM t GROUP BY side, doc),
 c AS (SELECT side, doc, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS ch FROM (SELECT side, doc, string_split(w, '') AS a FROM s)), g AS MATERIALIZED (SELECT side, doc, pos, """ + " || ".join(["ch", *(f"coalesce(lead(ch, {k}) OVER w, '')" for k in range(1, 12))]) + """ AS gram FROM c WINDOW w AS (PARTITION BY side, doc ORDER BY pos)),
-p AS (SELECT side, doc, page, min(off) AS start, dense_rank() OVER (PARTITION BY side, doc ORDER BY page) - 1 AS k FROM f GROUP BY side, doc, page), e AS (SELECT o.doc, o.w = r.w AS same, o.total AS ta, r.total AS tb FROM s o JOIN s r ON o.doc = r.doc WHERE o.side = 'ours' AND r.side = 'ref'),
-x AS (SELECT p.doc, p.k, p.start AS roff, e.same, e.ta, p.start * e.ta / CAST(e.tb AS DOUBLE) AS want, g.gram AS part FROM p JOIN e ON p.doc = e.doc JOIN g ON g.side = 'ref' AND g.doc = p.doc AND g.pos = p.start WHERE p.side = 'ref' AND p.k > 0),
+p AS (SELECT side, doc, page, min(off) AS start, dense_rank() OVER (PARTITION BY side, doc ORDER BY page) - 1 AS k FROM f GROUP BY side, doc, page), e AS MATERIALIZED (SELECT o.doc, o.w = r.w AS same, o.total AS ta, r.total AS tb FROM s o JOIN s r ON o.doc = r.doc WHERE o.side = 'ours' AND r.side = 'ref'),
+x AS MATERIALIZED (SELECT p.doc, p.k, p.start AS roff, e.same, e.ta, p.start * e.ta / CAST(e.tb AS DOUBLE) AS want, g.gram AS part FROM p JOIN e ON p.doc = e.doc JOIN g ON g.side = 'ref' AND g.doc = p.doc AND g.pos = p.start WHERE p.side = 'ref' AND p.k > 0),
 y AS (SELECT x.doc, x.k, g.pos, abs(g.pos - want) AS far FROM x JOIN g ON g.side = 'ours' AND g.doc = x.doc AND g.gram = x.part WHERE length(x.part) = 12 UNION ALL SELECT x.doc, x.k, g.pos, abs(g.pos - want) FROM x JOIN g ON g.side = 'ours' AND g.doc = x.doc AND starts_with(g.gram, x.part) WHERE length(x.part) < 12),
 z AS (SELECT doc, k, arg_min(pos, {'f': far, 'p': pos}) AS pos FROM y GROUP BY doc, k), q AS (SELECT x.doc, x.k, CASE WHEN same THEN roff ELSE z.pos END AS pos, coalesce(o.start, x.ta) AS start FROM x LEFT JOIN z ON x.doc = z.doc AND x.k = z.k LEFT JOIN p o ON o.side = 'ours' AND o.doc = x.doc AND o.k = x.k),
 b AS (SELECT q.doc, q.k, count(*) FILTER (f.off > least(q.pos, q.start) AND f.off <= greatest(q.pos, q.start)) AS bd FROM q JOIN f ON f.side = 'ours' AND f.doc = q.doc WHERE q.pos IS NOT NULL GROUP BY q.doc, q.k)
