@@ -26,13 +26,13 @@ def gate_inputs(files: DataFrame, encrypted: Column, signed: DataFrame) -> DataF
     return out.withColumn("accepted", F.col("reason").isNull()).drop("_signed")
 
 
-def expand_page_ranges(requests: DataFrame) -> DataFrame:
+def expand_page_ranges(requests: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """req, pos, page, error: pages of specifications such as ``1-3,5,8-``, in written order.
 
     Separators are commas, semicolons and their full-width forms and white space; dashes may be
     hyphen, en or em dash or tilde. Blank means all pages; a page named twice keeps its first place.
     A request in error has one row with the message of its first bad part and no page.
-    ``requests``: req, spec, page_count.
+    ``requests``: req, spec, page_count. ``keep``: further columns, which come out before pos.
     """
     parts = F.filter(F.split(F.regexp_replace("spec", r"[,，、;；\s]+", ","), ","), lambda p: p != "")
     blank = F.trim(F.regexp_replace("spec", r"\s+", " ")) == ""
@@ -77,7 +77,8 @@ def expand_page_ranges(requests: DataFrame) -> DataFrame:
         return F.when(o["error"].isNull(), listed).otherwise(F.array(row(F.lit(None), F.lit(None), o["error"])))
 
     found = let(let(F.transform(parts, bounds), outcome), rows)
-    return requests.select("req", F.explode(found).alias("r")).select("req", "r.*")
+    own = ["req", *(keep or [])]
+    return requests.select(*own, F.explode(found).alias("r")).select(*own, "r.*")
 
 
 def page_size(w: Column, h: Column, dpi: Column) -> tuple[Column, Column]:

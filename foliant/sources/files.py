@@ -101,10 +101,11 @@ def sniff_content(df: DataFrame, content: str, signatures: list[tuple[str, str]]
 _NUMBERED = r"^(.*) \(([1-9][0-9]{0,17})\)$"
 
 
-def assign_output_names(requests: DataFrame, occupied: DataFrame) -> DataFrame:
+def assign_output_names(requests: DataFrame, occupied: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """ord, dir, output: a free file name for each request, in the order of ``ord``.
 
-    ``requests``: ord, dir, stem, ext. ``occupied``: dir, name (inputs and existing files). The name
+    ``requests``: ord, dir, stem, ext. ``occupied``: dir, name (inputs and existing files). ``keep``:
+    further columns of the requests, which come out after ord. The name
     is ``stem.ext``, else ``stem (2).ext`` and so on: the first, literally, that is neither occupied
     nor issued before. The r-th request of a stem gets the r-th free number, found by one ordered pass
     over requests and taken numbers, so a popular name needs no list in memory.
@@ -115,24 +116,25 @@ def assign_output_names(requests: DataFrame, occupied: DataFrame) -> DataFrame:
     walk over the names that it shares, and the longer stems learn which of theirs are gone. Where such
     stems occur, the places of a stem's requests are one array.
     """
-    rooted = requests.withColumn("_depth", _depth(F.col("stem")))
     group = ["dir", "_root", "ext"]
-    root = rooted.withColumn("_root", F.regexp_replace("stem", _SUFFIXES, ""))
-    mixed = root.groupBy(*group).agg((F.max("_depth") > 0).alias("_mixed"))
-    rooted = root.join(mixed, group).drop("_root")
+    # Written once, as it is read several times and may be a long way from its tables.
+    root = stored(requests.withColumns({"_depth": _depth(F.col("stem")), "_root": F.regexp_replace("stem", _SUFFIXES, "")}), "name-requests")
+    # Anti and semi joins: only the roots of such stems can be broadcast, never the requests.
+    mixed = root.where("_depth > 0").select(*group).distinct()
     # An occupied name is one of a stem with its extension, or of a stem without any.
     name, dot = F.col("name"), F.col("name").rlike(r"^.+\.[^.]*$")
     split = F.when(dot, F.array(F.struct(F.regexp_extract(name, r"^(.+)\.([^.]*)$", 1).alias("stem"), F.regexp_extract(name, r"^(.+)\.([^.]*)$", 2).alias("ext")), F.struct(name.alias("stem"), F.lit("").alias("ext")))).otherwise(F.array(F.struct(name.alias("stem"), F.lit("").alias("ext"))))
     names = occupied.select("dir", "name").distinct().select("dir", F.explode(split).alias("n")).select("dir", "n.stem", "n.ext")
     numbered = names.select("dir", F.regexp_extract("stem", _NUMBERED, 1).alias("stem"), "ext", F.regexp_extract("stem", _NUMBERED, 2).try_cast("long").alias("n")).where("n >= 2")
     taken = names.withColumn("n", F.lit(1).cast("long")).unionByName(numbered)
-    placed = _by_number(rooted.where(~F.col("_mixed")), taken)
-    shared = stored(rooted.where("_mixed").drop("_mixed"), "mixed-names")
+    keep = keep or []
+    placed = _by_number(root.join(mixed, group, "left_anti").drop("_root"), taken, keep)
+    shared = stored(root.join(mixed, group, "left_semi").drop("_root"), "mixed-names")
     for depth in sorted(r[0] for r in shared.select("_depth").distinct().collect()):  # as many as suffixes in the longest name
         own, longer = shared.where(F.col("_depth") == depth), shared.where(F.col("_depth") == depth + 1)
         marks = stored(_settled(own, longer, taken), "settled")
         gone = marks.where("not skipped").select("dir", _numbered(F.col("stem"), F.col("n")).alias("stem"), "ext", F.lit(1).cast("long").alias("n"))
-        placed = placed.unionByName(_by_number(own, taken.unionByName(marks.where("skipped").select("dir", "stem", "ext", "n"))))
+        placed = placed.unionByName(_by_number(own, taken.unionByName(marks.where("skipped").select("dir", "stem", "ext", "n")), keep))
         taken = taken.unionByName(gone)
     return placed
 
@@ -178,15 +180,15 @@ def _named(stem: Column, ext: Column) -> Column:
     return F.when(ext == "", stem).otherwise(F.concat(stem, F.lit("."), ext))
 
 
-def _by_number(requests: DataFrame, taken: DataFrame) -> DataFrame:
+def _by_number(requests: DataFrame, taken: DataFrame, keep: list[str]) -> DataFrame:
     group = ["dir", "stem", "ext"]
     taken = taken.join(requests.select(*group).distinct(), group, "left_semi").distinct()
-    wanted = requests.withColumn("key", F.row_number().over(Window.partitionBy(*group).orderBy("ord")).cast("long")).select(*group, "ord", "key", F.lit(0).alias("kind"))
+    wanted = requests.withColumn("key", F.row_number().over(Window.partitionBy(*group).orderBy("ord")).cast("long")).select(*group, "ord", *keep, "key", F.lit(0).alias("kind"))
     # A taken number n with k taken up to it has n - k free numbers before it.
     before = taken.withColumn("key", F.col("n") - F.row_number().over(Window.partitionBy(*group).orderBy("n"))).select(*group, F.lit(None).cast("long").alias("ord"), "key", F.lit(1).alias("kind"))
     passed = F.sum("kind").over(Window.partitionBy(*group).orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    placed = wanted.unionByName(before).withColumn("n", F.col("key") + passed).where("kind = 0")
-    return placed.select("ord", "dir", _named(_numbered(F.col("stem"), F.col("n")), F.col("ext")).alias("output"))
+    placed = wanted.unionByName(before, allowMissingColumns=True).withColumn("n", F.col("key") + passed).where("kind = 0")
+    return placed.select("ord", *keep, "dir", _named(_numbered(F.col("stem"), F.col("n")), F.col("ext")).alias("output"))
 
 
 def write_guarded(df: DataFrame, path: str, inputs: list[str], file_format: str = "parquet") -> None:
@@ -225,13 +227,13 @@ def name_page_images(requests: DataFrame, occupied: DataFrame, ext: str) -> Data
     ``occupied``: dir, name. A page is ``stem_p007.ext``, with as many digits as the document's last page
     has, three at least. Names are given in the order of requests and pages; requests in error have none.
     """
-    pages = expand_page_ranges(requests.select("req", "spec", "page_count")).where("error is null").drop("error")
-    own = requests.select("req", "dir", "stem", F.greatest(F.lit(3), F.length(F.col("page_count").cast("string"))).alias("_digits"))
+    # What names need of a request comes along with its pages: nothing is joined, and so nothing broadcast.
+    digits = F.greatest(F.lit(3), F.length(F.col("page_count").cast("string"))).alias("_digits")
+    pages = expand_page_ranges(requests.select("req", "spec", "page_count", "dir", "stem", digits), ["dir", "stem", "_digits"]).where("error is null")
     shown = F.col("page").cast("string")
-    wanted = pages.join(own, "req").withColumn("stem", F.concat("stem", F.lit("_p"), F.repeat(F.lit("0"), (F.col("_digits") - F.length(shown)).cast("int")), shown))
+    wanted = pages.withColumn("stem", F.concat("stem", F.lit("_p"), F.repeat(F.lit("0"), (F.col("_digits") - F.length(shown)).cast("int")), shown))
     wanted = wanted.select("req", "pos", "page", (F.shiftleft(F.col("req").cast("long"), 32) + F.col("pos")).alias("ord"), "dir", "stem", F.lit(ext).alias("ext"))
-    names = assign_output_names(wanted.select("ord", "dir", "stem", "ext"), occupied)
-    return wanted.select("req", "pos", "page", "ord").join(names, "ord").drop("ord")
+    return assign_output_names(wanted, occupied, ["req", "pos", "page"]).drop("ord")
 
 
 def incremental_pending(files: DataFrame, done: DataFrame, key: str = "hash", order: str = "ord") -> DataFrame:
