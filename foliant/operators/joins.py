@@ -9,10 +9,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.characters import CODE_POINTS, characters, stretches
 from ..functions.folds import walk
 from ..functions.text import let
 from ..storage import fresh_path, stored
@@ -520,10 +520,6 @@ def resolve_relationships(refs: DataFrame, rels: DataFrame) -> DataFrame:
     return refs.join(r, same, "left").select("ref", "kind", "target")
 
 
-#: Code points, and characters that are split at once.
-CODE_POINTS, AT_ONCE = 0x110000, 1 << 22
-
-
 @functools.cache
 def _marks_and_controls() -> np.ndarray:
     """For each code point: 1 for a combining mark, 2 for a control, else 0."""
@@ -542,7 +538,8 @@ def coverage_split(texts: DataFrame, coverage: DataFrame) -> DataFrame:
 
     The dictionaries become ranges of code points with one number each, fewer than there are code
     points, and travel with the tasks. A text is an array of code points, its numbers one look-up, and
-    a run ends where a character differs from its neighbour. No row of a character is made.
+    a run ends where a character differs from its neighbour. No row of a character is made, and a
+    task's Python holds the arrays of ``AT_ONCE`` characters, or of one longer text.
     """
     own = coverage.where("dict is not null and length(ch) > 0").groupBy(F.ascii("ch").alias("c")).agg(F.min(F.col("dict").cast("int")).alias("d"))
     # Neighbouring code points of one number are a range: their distance to their rank is the same.
@@ -555,14 +552,7 @@ def coverage_split(texts: DataFrame, coverage: DataFrame) -> DataFrame:
         for low, high, d in found:
             number[low : high + 1], covered[low : high + 1] = d, True
         for batch in batches:
-            sizes = pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
-            group = (np.cumsum(sizes) - sizes) // AT_ONCE  # texts of about as many characters, or one longer
-            for rows in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(group)) + 1):
-                if not len(rows):
-                    continue
-                part = batch.slice(int(rows[0]), len(rows))
-                chars = np.frombuffer("".join(part.column(1).to_pylist()).encode("utf-32-le"), "<u4")
-                first = np.cumsum(sizes[rows]) - sizes[rows]
+            for ids, chars, first in characters(batch):
                 d, known, kind, place = number[chars], covered[chars], kinds[chars], np.arange(len(chars))
                 begins = np.zeros(len(chars), bool)
                 begins[first] = True
@@ -574,11 +564,8 @@ def coverage_split(texts: DataFrame, coverage: DataFrame) -> DataFrame:
                     d, known = np.where(free, 1, d[base]), np.where(free, True, known[base])
                 control = kind == 2
                 begins[1:] |= control[1:] | control[:-1] | (d[1:] != d[:-1]) | (known[1:] != known[:-1])
-                start = np.flatnonzero(begins)
-                doc = np.searchsorted(first, start, side="right") - 1
-                end = np.append(start[1:], len(chars))
-                shown = [pa.array((x - first[doc]).astype(np.int32)) for x in (start, end)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), *shown, pa.array(d[start]), pa.array(~known[start])], ["doc_id", "start", "end", "dict", "missing"])
+                start, columns = stretches(ids, first, begins)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(d[start]), pa.array(~known[start])], ["doc_id", "start", "end", "dict", "missing"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     return texts.where("length(text) > 0").select("doc_id", "text").mapInArrow(split, f"doc_id {kind}, start int, end int, dict int, missing boolean")
