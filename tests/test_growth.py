@@ -46,3 +46,18 @@ def test_characters_are_looked_at_in_bounded_parts():
     assert [i for ids, _, _ in parts for i in ids] == list(range(len(texts))) and sum(n for _, n, _ in parts) == sum(map(len, texts))
     assert all(n <= 2 * characters.AT_ONCE or len(ids) == 1 or n - max(len(texts[i]) for i in ids) <= characters.AT_ONCE for ids, n, _ in parts)
     assert characters.AT_ONCE <= 1 << 18 and len(parts) == 3
+
+
+def test_tokens_travel_as_stretches_of_a_document(spark):
+    texts = {1: "one two three, four", 2: "", 3: " ".join(["word."] * 25_000), 4: "a\nb c", 5: "\U0001f600" * 25 + " x"}
+    tokens = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("doc_id", "posexplode(split(text, ' ')) AS (pos, tok)")
+    shuffled = tokens.where("doc_id <> 3").repartition(3, "tok").unionByName(tokens.where("doc_id = 3"))
+    found = {}
+    for r in sorted(sequence.pack_tokens(shuffled, 10).collect()):
+        found.setdefault(r.doc_id, []).append((r.line, r.first, r.last, r.used))
+    for d, text in texts.items():
+        toks = text.split(" ")
+        assert found.get(d, []) == sequence._fill(toks, list(range(len(toks))), 10, 10)
+    made = plan(sequence.pack_tokens(tokens, 10))
+    # One exchange, of stretches; no document is a row of structs of tokens.
+    assert "collect_list" not in made and made.count("Repartition") == 1 and "Aggregate" not in made
