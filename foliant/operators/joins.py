@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.characters import CODE_POINTS, characters, stretches
 from ..functions.folds import walk
 from ..functions.text import let
-from ..storage import fresh_path, stored
+from ..storage import fresh_path, met, stored
 from . import masks
 from .project import number_rows
 from .scan import Ordered
@@ -172,6 +172,11 @@ def reachable_objects(edges: DataFrame, roots: DataFrame, stop: Column) -> DataF
     return numbered(every, ["depth", "by", "id"], known).select("id", "depth", F.col("n").alias("new_id"))
 
 
+def _dealt(key: Column, other: Column) -> Column:
+    """Second key of a left join by ``key``: 0, but rows without a key, which find nothing, are dealt over the tasks."""
+    return F.when(key.isNull(), F.pmod(F.xxhash64(other), F.lit(BUCKETS).cast("long"))).otherwise(F.lit(0).cast("long"))
+
+
 def inherit_attributes(nodes: DataFrame, attributes: list[str], max_depth: int = 64) -> DataFrame:
     """id and each attribute: the node's own value, else that of the nearest ancestor that has one.
 
@@ -187,8 +192,8 @@ def inherit_attributes(nodes: DataFrame, attributes: list[str], max_depth: int =
 
     def through(df: DataFrame, span: DataFrame) -> DataFrame:
         """``df`` (id, to, values) with what its pointers lead to folded in."""
-        above = span.select(F.col("id").alias("_id"), F.col("to").alias("_to"), *held("_"))
-        return df.join(above, df["to"] == above["_id"], "left").select("id", F.col("_to").alias("to"), *fold)
+        above = met(span.select(F.col("id").alias("_id"), F.col("to").alias("_to"), *held("_"))).withColumn("_dealt", F.lit(0).cast("long"))
+        return df.join(above, (df["to"] == above["_id"]) & (_dealt(df["to"], df["id"]) == above["_dealt"]), "left").select("id", F.col("_to").alias("to"), *fold)
 
     # ``span`` covers 2^k nodes; ``out`` those of the depth's lower bits, from which its pointer leads on.
     span = nodes.select("id", F.col("parent").alias("to"), *attributes)
@@ -233,8 +238,9 @@ def resolve_cascade(items: DataFrame, styles: DataFrame, properties: list[str],
 
     own = layer("", styles)
     resolved = inherit_attributes(styles.select("id", F.col("based_on").alias("parent"), *(c.alias(p) for p, c in own.items())), list(own))
-    para = resolved.select(F.col("id").alias("style"), *(F.col(p).alias(f"p_{p}") for p in own))
-    char = resolved.select(F.col("id").alias("char_style"), *(F.col(p).alias(f"c_{p}") for p in own))
+    resolved = stored(resolved, "resolved")
+    para = met(resolved.select(F.col("id").alias("style"), *(F.col(p).alias(f"p_{p}") for p in own)))
+    char = met(resolved.select(F.col("id").alias("char_style"), *(F.col(p).alias(f"c_{p}") for p in own)))
     joined = items.join(para, "style", "left").join(char, "char_style", "left")
     direct, table = layer("d_", items), layer("t_", items)
     out = {}
@@ -288,9 +294,9 @@ def chase_links(start: DataFrame, links: DataFrame, max_hops: int = 4) -> DataFr
     A missing row also gives null.
     """
     out = start.select("id", F.col("id").alias("at"), F.lit(None).cast("string").alias("terminal"))
+    hop = met(links.select(F.col("id").alias("at"), F.col("next"), F.lit(True).alias("there"), F.lit(0).cast("long").alias("_dealt")))
     for _ in range(max_hops):
-        hop = links.select(F.col("id").alias("at"), F.col("next"), F.lit(True).alias("there"))
-        out = out.join(hop, "at", "left").select("id", F.when(F.col("terminal").isNull(), F.col("next")).alias("at"), F.coalesce("terminal", F.when(F.col("there") & F.col("next").isNull(), F.col("at"))).alias("terminal"))
+        out = out.withColumn("_dealt", _dealt(F.col("at"), F.col("id"))).join(hop, ["at", "_dealt"], "left").select("id", F.when(F.col("terminal").isNull(), F.col("next")).alias("at"), F.coalesce("terminal", F.when(F.col("there") & F.col("next").isNull(), F.col("at"))).alias("terminal"))
     return out.select("id", "terminal")
 
 

@@ -53,3 +53,12 @@ def bounded(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
         return df
     size = df.select(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long"))).first()[0] or 0
     return F.broadcast(df) if size <= limit else df
+
+
+def met(df: DataFrame) -> DataFrame:
+    """``df`` as the right side of a join: broadcast if it is small, else sorted and merged.
+
+    Spark itself goes by the bytes of files, and rows of a well compressed file are many times that.
+    """
+    near = bounded(df)
+    return df.hint("merge") if near is df else near

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from foliant.functions import characters
-from foliant.operators import sequence
+from foliant.operators import joins, sequence
 from foliant.sources import files
 
 
@@ -61,3 +61,13 @@ def test_tokens_travel_as_stretches_of_a_document(spark):
     made = plan(sequence.pack_tokens(tokens, 10))
     # One exchange, of stretches; no document is a row of structs of tokens.
     assert "collect_list" not in made and made.count("Repartition") == 1 and "Aggregate" not in made
+
+
+def test_tables_are_measured_before_they_are_broadcast(spark):
+    links = lambda n: spark.range(n).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("next"))
+    chased = joins.chase_links(links(4).select("id"), links(4))
+    assert "strategy=broadcast" in plan(chased)
+    # Whoever leads to nothing is dealt over the tasks, and finds nothing still.
+    assert sorted(tuple(r) for r in joins.chase_links(links(4).select("id"), links(4), 3).collect()) == [("0", "0"), ("1", "0"), ("2", "0"), ("3", None)]
+    large = plan(joins.chase_links(links(4).select("id"), links(2_200_000)))
+    assert "strategy=merge" in large and "strategy=broadcast" not in large
