@@ -1,17 +1,20 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts of one set are one node. Nodes meet in tiles, one for each band of min-hashes: two sets of
-similarity 0.8 share none of the tiles in about one of 100,000 cases. Within a tile, 128-bit SimHash
-fingerprints are compared, and only pairs within the radius are looked up and compared exactly.
-
-Links are found in three rounds. In the first, each node of a tile names the closest of the nodes
-beside it, so a group of many near copies costs one exact comparison a member and tile, and not one
-a pair. The second takes the tiles that are left with several components, and in them the nodes that
-are within the radius of another component. Their sets travel to the tile once each, whatever the
-number of pairs; there a node meets the others from the closest on, and only as long as they are in
-other components, so most pairs never need a comparison. A tile of more shingles than a task should
-hold is dealt to blocks; the third round compares what stands in different blocks, pair by pair. No
-pair of a tile within the radius is passed over, but those that are already joined.
+Texts of one set are one node with a SimHash fingerprint of 256 bits. Fingerprints are compared in
+tiles with exclusive-or and bit counts, as in ``simhash``; as a radius that covers similarity 0.8 leaves
+no differences of population counts to skip, a tile is a class of sizes, and who is up to a class of
+similarity smaller visits it. All pairs whose sizes allow the similarity meet in just one tile. Pairs
+within the radius make SimHash groups, and within a group sets of shingles are compared exactly, so that
+components are those of the similarity and not those of the fingerprints.
+
+Links are found in three rounds. In the first, each node of a group names the closest of the nodes
+beside it, so a group of many near copies costs one exact comparison a member, and not one a pair. The
+second takes the groups that are left with several components, and in them the nodes that are within the
+radius of another component. Their sets travel to the group once each, whatever the number of pairs;
+there a node meets the others from the closest on, and only as long as they are in other components, so
+most pairs never need a comparison. A group of more shingles than a task should hold is dealt to blocks;
+the third round compares what stands in different blocks, pair by pair. No pair of a group within the
+radius is passed over, but those that are already joined.
 """
 
 from __future__ import annotations
@@ -28,15 +31,19 @@ from pyspark.sql import functions as F
 from . import components, shared, simhash
 
 WIDTH, SIMILARITY = 5, 0.8
-BANDS, BAND_ROWS = 16, 3
-RADIUS = 40
+WORDS = ["f0", "f1", "f2", "f3"]
+#: Bits that may differ in the first 64, the first 128 and all 256 of a fingerprint. Sets of similarity 0.8
+#: differ in 15 % of the bits, those of four and five shingles in 19 %: 4.3 or more standard deviations below.
+FIRST, RADIUS, WHOLE = 25, 44, 76
+#: Classes of sizes from a size to the smallest that can be similar to it.
+STEPS = 4
+#: Nodes of a tile that one block compares, and rows of a group of tiles.
+HOMES_PER_TILE, ROWS_PER_GROUP = 65_536, 25_000
 #: Neighbours, in the order of fingerprints, that a node is compared with in the first round.
 BESIDE = 64
 #: Shingles of the tiles that a task of the second round holds.
 BLOCK_SHINGLES = 4_000_000
 
-_ODD = np.random.default_rng(simhash.SEED).integers(0, 2**63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_SALT = np.random.default_rng(simhash.SEED + 1).integers(0, 2**63, BANDS, np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,25 +75,15 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """128-bit SimHash of a set, as two unsigned numbers."""
-    counts = np.zeros(128, np.int64)
-    for at in range(0, len(hashes), 8192):
-        h = hashes[at : at + 8192]
-        both = np.ascontiguousarray(np.stack([h, _mixed(_mixed(h))], 1))
-        counts += np.unpackbits(both.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key for each band of min-hashes."""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    """256-bit SimHash of a set, as four unsigned numbers."""
+    counts = np.zeros(256, np.int64)
     for at in range(0, len(hashes), 4096):
-        part = _mixed(hashes[at : at + 4096, None] * _ODD[None, :])
-        least = np.minimum(least, part.min(0))
-    key = _SALT.copy()
-    for column in least.reshape(BANDS, BAND_ROWS).T:
-        key = _mixed(key ^ column)
-    return key
+        words = [hashes[at : at + 4096]]
+        for _ in range(3):
+            words.append(_mixed(_mixed(words[-1])))
+        each = np.ascontiguousarray(np.stack(words, 1))
+        counts += np.unpackbits(each.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
 def _can_link(similarity: float) -> int:
@@ -95,27 +92,79 @@ def _can_link(similarity: float) -> int:
 
 
 def prints(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node, n (shingles), f0, f1 (fingerprint), keys (of the tiles) of every document.
+    """doc_id, node, n (shingles), f0 to f3 (fingerprint) of every document.
 
-    Sets too small to be similar to any other set have no tiles.
+    Sets too small to be similar to any other set have an empty fingerprint.
     """
     least = _can_link(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, marks, keys = [], [], [], []
+            nodes, sizes, marks = [], [], []
             for text in (t for _, texts in shared.texts_of(batch, 1) for t in texts):
                 h = shingles(text, width)
                 nodes.append(node_of(h))
                 sizes.append(len(h))
-                linkable = len(h) >= least
-                marks.append(fingerprint(h).view(np.int64) if linkable else np.zeros(2, np.int64))
-                keys.append(band_keys(h).view(np.int64) if linkable else np.zeros(0, np.int64))
-            f = np.array(marks, np.int64).reshape(-1, 2)
-            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "f0", "f1", "keys"])
+                marks.append(fingerprint(h).view(np.int64) if len(h) >= least else np.zeros(4, np.int64))
+            f = np.array(marks, np.int64).reshape(-1, 4)
+            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), *(pa.array(f[:, i]) for i in range(4))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", *WORDS])
+
+    return shared.id_text(docs).mapInArrow(shared.tidy(run), "doc_id long, node long, n int, f0 long, f1 long, f2 long, f3 long")
+
+
+def _stars(tile, home, node, n, words: list[np.ndarray], radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links within the radius between the homes of each tile and the rows before them by size, as stars of nodes."""
+    order = np.lexsort((node, n, tile))
+    tile, home, node, n = tile[order], home[order], node[order], n[order]
+    f0, f1, f2, f3 = (w[order] for w in words)
+    forest = simhash._Forest(len(tile))
+    high, wide = 64, 1024
+    differ, apart = np.empty(high * wide, np.uint64), np.empty(high * wide, np.uint8)
+    for s, e in _runs(tile):
+        homes, sizes = np.flatnonzero(home[s:e]) + s, n[s:e]
+        for rows in (homes[i : i + high] for i in range(0, len(homes), high)):
+            first = int(np.searchsorted(sizes, similarity * n[rows[0]] - 1e-9)) + s
+            for j in range(first, int(rows[-1]), wide):
+                to = f0[j : min(j + wide, rows[-1])]
+                x, c = (m[: len(rows) * len(to)].reshape(len(rows), len(to)) for m in (differ, apart))
+                np.bitwise_xor(f0[rows, None], to[None], out=x)
+                np.bitwise_count(x, out=c)
+                near = np.flatnonzero(c.ravel() <= FIRST)
+                a, b = rows[near // len(to)], near % len(to) + j
+                bits = c.ravel()[near].astype(np.int16) + np.bitwise_count(f1[a] ^ f1[b])
+                ok = np.flatnonzero(bits <= radius)
+                a, b = a[ok], b[ok]
+                bits = bits[ok] + np.bitwise_count(f2[a] ^ f2[b]) + np.bitwise_count(f3[a] ^ f3[b])
+                ok = (bits <= WHOLE) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9)
+                if ok.any():
+                    forest.join(a[ok], b[ok])
+    linked = np.flatnonzero(forest.root != np.arange(len(tile)))
+    return node[linked], node[forest.root[linked]]
+
+
+def simhash_groups(nodes: DataFrame, count: int, radius: int, similarity: float) -> DataFrame:
+    """node, key: the SimHash group (by one of its nodes) of each node that has others within the radius.
+
+    ``nodes``: node, n, f0 to f3. A tile of many nodes is cut into blocks; whoever visits it, its homes
+    included, visits each of them.
+    """
+    per_block = min(HOMES_PER_TILE, max(4096, count // 16))
+    size = F.floor(F.log("n") * (STEPS / max(-np.log(similarity), 1e-9))).cast("long")
+    sized = nodes.select("node", "n", *WORDS, size.alias("size"))
+    large = shared.materialise(sized.groupBy(F.col("size").alias("tile")).count().where(F.col("count") > per_block).select("tile", F.ceil(F.col("count") / per_block).cast("int").alias("blocks")))
+    # One class more, as the logarithms are rounded.
+    visits = sized.withColumn("tile", F.explode(F.sequence(F.col("size"), F.col("size") + STEPS + 1))).join(shared.bounded(large), "tile", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = (F.col("tile") == F.col("size")) & (F.pmod(F.xxhash64("node"), F.col("blocks")) == F.col("block"))
+    visits = visits.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("home", own).drop("blocks", "size")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        tile = np.unique(np.stack([pdf["tile"].to_numpy(np.int64), pdf["block"].to_numpy(np.int64)], 1), axis=0, return_inverse=True)[1].ravel()
+        words = [pdf[w].to_numpy(np.int64).view(np.uint64) for w in WORDS]
+        return _pairs(*_stars(tile, pdf["home"].to_numpy(bool), pdf["node"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), words, radius, similarity))
 
-    return shared.id_text(docs).mapInArrow(shared.tidy(run), "doc_id long, node long, n int, f0 long, f1 long, keys array<long>")
+    links = visits.groupBy(_groups(["tile", "block"], max(4, -(-count * (STEPS + 2) // ROWS_PER_GROUP)))).applyInPandas(compare, "a long, b long")
+    return components.components(links).select(F.col("a").alias("node"), F.col("component").alias("key"))
 
 
 def _near(f0: tuple, f1: tuple, n: tuple, radius: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +174,7 @@ def _near(f0: tuple, f1: tuple, n: tuple, radius: int, similarity: float) -> tup
 
 
 def beside(key, node, n, f0, f1, radius: int, similarity: float, width: int = BESIDE) -> tuple[np.ndarray, np.ndarray]:
-    """First round: for each row the closest of its neighbours within the radius in its tile."""
+    """First round: for each row the closest of its neighbours within the radius in its group."""
     order = np.lexsort((node, f1, f0, key))
     key, node, n, f0, f1 = key[order], node[order], n[order], f0[order], f1[order]
     best = np.full(len(key), 999, np.int16)
@@ -234,14 +283,12 @@ def _first(nodes: DataFrame, count: int, radius: int, similarity: float) -> Data
         x = _arrays(pdf)
         return _pairs(*beside(x["key"], x["node"], x["n"], x["f0"], x["f1"], radius, similarity, width))
 
-    tiles = nodes.withColumn("key", F.explode("keys")).drop("keys")
-    return tiles.groupBy(_groups(["key"], max(4, -(-count * BANDS // simhash.ROWS_PER_GROUP)))).applyInPandas(compare, "a long, b long").distinct()
+    return nodes.groupBy(_groups(["key"], max(4, -(-count // simhash.ROWS_PER_GROUP)))).applyInPandas(compare, "a long, b long").distinct()
 
 
 def _open_tiles(nodes: DataFrame, component: DataFrame) -> DataFrame:
     """The tiles that hold several components, dealt to blocks; ``blocks``: how many their tile has."""
-    placed = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    tiles = placed.withColumn("key", F.explode("keys")).drop("keys")
+    tiles = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = tiles.groupBy("key").agg(F.sum("n").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     several = several.select("key", F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -329,7 +376,9 @@ def near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     long text is one set of shingles, of about three times its size.
     """
     found = shared.stored(prints(docs, width, similarity), "prints")
-    nodes = shared.stored(found.where("size(keys) > 0").select("node", "n", "f0", "f1", "keys").dropDuplicates(["node"]), "nodes")
+    marked = shared.stored(found.where(F.col("n") >= _can_link(similarity)).select("node", "n", *WORDS).dropDuplicates(["node"]), "marked")
+    groups = simhash_groups(marked, marked.count(), radius, similarity)
+    nodes = shared.stored(marked.select("node", "n", "f0", "f1").join(groups, "node"), "nodes")
     first = shared.materialise(_first(nodes, nodes.count(), radius, similarity))
     links = shared.materialise(_similar(first, docs, found, width, similarity))
     grown = lambda: shared.materialise(components.components(links).withColumnRenamed("a", "node"))

@@ -91,6 +91,35 @@ def test_links_of_a_block_join_all_that_is_similar():
     assert near_copies.crossing(n, zero, zero, component, 0, 0.8).all() and not near_copies.crossing(n[:0], zero[:0], zero[:0], component[:0], 0, 0.8).any()
 
 
+@pytest.mark.parametrize("homes", [65_536, 7])
+def test_candidates_are_simhash_groups_of_all_pairs(spark, monkeypatch, homes):
+    """Tiles of fingerprints, whole or in blocks, find what comparing all fingerprints finds."""
+    monkeypatch.setattr(near_copies, "HOMES_PER_TILE", homes)
+    rng = random.Random(5)
+    rows = []
+    for base in range(30):
+        bits, n = rng.getrandbits(256), rng.choice([4, 5, 40, 41, 50, 300])
+        for _ in range(5):
+            marked = bits
+            for b in rng.sample(range(256), rng.choice([3, 20, 45, 70])):
+                marked ^= 1 << b
+            size = max(4, n * rng.randint(80, 125) // 100)
+            rows.append((len(rows) * 7 - 400, size, marked))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    parts = lambda x, bits: bin(x & ((1 << bits) - 1)).count("1")
+    df = spark.createDataFrame([(k, n, *(signed(f >> 64 * i & (1 << 64) - 1) for i in range(4))) for k, n, f in rows], "node long, n int, f0 long, f1 long, f2 long, f3 long")
+    root = {k: k for k, _, _ in rows}
+    for a, na, fa in rows:
+        for b, nb, fb in rows:
+            x = fa ^ fb
+            if a < b and 5 * min(na, nb) >= 4 * max(na, nb) and parts(x, 64) <= near_copies.FIRST and parts(x, 128) <= near_copies.RADIUS and parts(x, 256) <= near_copies.WHOLE:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    linked = {k: r for k, r in root.items() if list(root.values()).count(r) > 1}
+    found = {r.node: r.key for r in near_copies.simhash_groups(df, len(rows), near_copies.RADIUS, near_copies.SIMILARITY).collect()}
+    assert found == linked and 20 < len(linked) < len(rows)
+
+
 def test_near_copies_of_odd_documents(spark):
     found = near_copies.near_copies(odd.docs(spark)).collect()
     assert sorted(r.doc_id for r in found) == [1, 2, 3, 4, 5, 5, 6, 7, 8, 9]
