@@ -1,16 +1,19 @@
 """Streams whose state leaves again: newest progress and warnings said once, each within a horizon of event time.
 
-The state of a key is one row, with a timer at the time from which it no longer counts. When the
-watermark passes the timer the row goes, so the state holds the keys of the last days and not of all
-time. Needs the RocksDB state store (`expiring_session`).
+Keys are dealt to a fixed number of buckets by hash, and Python is called once for each bucket that a batch
+meets, not for each key. The state of a bucket is one row with all its keys, and a timer at the time from
+which the oldest no longer counts. When the watermark passes the timer such keys go, and an empty bucket
+with them, so the state holds the keys of the last days and not of all time. A batch rewrites the keys of
+its buckets. Needs the RocksDB state store (`expiring_session`).
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -32,68 +35,86 @@ def _timer(micros: int) -> int:
     return -(-micros // 1000)
 
 
-class _Once(StatefulProcessor):
-    """Says a warning if it was not said within the horizon before."""
+#: Buckets of a stream. Fixed, as the state of a running stream is kept by them.
+BUCKETS = 256
+_FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+class _Bucket(StatefulProcessor):
+    """Keys of a bucket by name, each with a list of values, of which the first is the time that it was kept at."""
 
     def __init__(self, horizon: int) -> None:
         self.horizon = horizon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.said = handle.getValueState("said", "at long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.said.get()[0] if self.said.exists() else None
-        before, out = last, []
-        for at in sorted(int(x) for r in rows for x in r["at"]):
-            if last is None or at >= last + self.horizon:
-                out.append(at)
-                last = at
-        if last != before:
-            if before is not None:
-                self.handle.deleteTimer(_timer(before + self.horizon))
-            self.said.update((last,))
-            self.handle.registerTimer(_timer(last + self.horizon))
-        if out:
-            yield pd.DataFrame({"item": [key[0]] * len(out), "detail": [key[1]] * len(out), "at": out})
+        self.state = handle.getValueState("bucket", "kept string, timer long")
+
+    def load(self) -> tuple[dict[str, list], int | None]:
+        kept, timer = self.state.get() if self.state.exists() else ("{}", None)
+        return json.loads(kept), timer
+
+    def store(self, kept: dict[str, list], timer: int | None) -> None:
+        """Keep what there is; ``timer``: the one that is set."""
+        oldest = _timer(min(v[0] for v in kept.values()) + self.horizon) if kept else None
+        if timer is not None and timer != oldest:
+            self.handle.deleteTimer(timer)
+        if oldest is None:
+            self.state.clear()
+            return
+        self.state.update((json.dumps(kept), oldest))
+        if timer != oldest:
+            self.handle.registerTimer(oldest)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.said.exists() and _timer(self.said.get()[0] + self.horizon) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.said.clear()
+        kept, timer = self.load()
+        fired, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        # The timer that fires leaves by itself.
+        self.store({k: v for k, v in kept.items() if _timer(v[0] + self.horizon) > max(fired, now)}, None if timer == fired else timer)
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-class _Newest(StatefulProcessor):
-    """Keeps the newest event of a job until the job has been silent for the horizon."""
-
-    def __init__(self, horizon: int) -> None:
-        self.horizon = horizon
+class _Once(_Bucket):
+    """Says a warning if it was not said within the horizon before."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.newest = handle.getValueState("newest", "at long, event_id long, stage string, overall double")
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kept, timer = self.load()
+        own, names, times = pd.concat([r[["name", "at"]] for r in rows]).astype({"at": "int64"}).sort_values("at"), [], []
+        for name, at in zip(own["name"].tolist(), own["at"].tolist()):
+            last = kept.get(name)
+            if last is None or at >= last[0] + self.horizon:
+                names.append(name)
+                times.append(at)
+                kept[name] = [at]
+        if names:
+            self.store(kept, timer)
+            yield pd.DataFrame({"name": names, "at": times})
+
+
+class _Newest(_Bucket):
+    """Keeps the newest event of a job until the job has been silent for the horizon."""
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values(["at", "event_id"]).iloc[-1]
-        new = (int(own["at"]), int(own["event_id"]), own["stage"], float(own["overall"]))
-        old = tuple(self.newest.get()) if self.newest.exists() else None
-        if old is None or new[:2] > old[:2]:
-            if old is not None:
-                self.handle.deleteTimer(_timer(old[0] + self.horizon))
-            self.newest.update(new)
-            self.handle.registerTimer(_timer(new[0] + self.horizon))
-            yield pd.DataFrame({"job": [key[0]], "event_id": [new[1]], "stage": [new[2]], "overall": [new[3]]})
+        kept, timer = self.load()
+        own = pd.concat(list(rows)).astype({"at": "int64", "event_id": "int64"}).sort_values(["at", "event_id"], kind="stable").drop_duplicates("name", keep="last")
+        out = []
+        for name, *new in zip(*(own[c].tolist() for c in ("name", "at", "event_id", "stage", "overall"))):
+            if name not in kept or new[:2] > kept[name][:2]:
+                kept[name] = new
+                out.append((name, *new[1:]))
+        if out:
+            self.store(kept, timer)
+            yield pd.DataFrame(out, columns=["name", "event_id", "stage", "overall"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.newest.exists() and _timer(self.newest.get()[0] + self.horizon) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.newest.clear()
-        return iter(())
 
-    def close(self) -> None:
-        pass
+def _named(events: DataFrame, keys: list[str]) -> tuple[Column, Column, Column]:
+    """The name of a key as text, its bucket, and the key again from the column ``name``."""
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    name = F.to_json(F.struct(*keys), _FORMATS)
+    return name.alias("name"), F.pmod(F.xxhash64(name), F.lit(BUCKETS)).alias("bucket"), F.from_json("name", ", ".join(f"`{k}` {kinds[k]}" for k in keys), _FORMATS)
 
 
 def warnings_once(events: DataFrame, horizon_days: float, delay: str = "1 hour") -> DataFrame:
@@ -103,10 +124,10 @@ def warnings_once(events: DataFrame, horizon_days: float, delay: str = "1 hour")
     horizon; with events in order of time the result does not depend on how they are cut into batches.
     """
     when = F.col("ts").cast("timestamp")
-    grouped = events.select("item", "detail", when.alias("ts"), F.unix_micros(when).alias("at")).withWatermark("ts", delay).groupBy("item", "detail")
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    said = grouped.transformWithStateInPandas(_Once(int(horizon_days * DAY)), f"item {kinds['item']}, detail {kinds['detail']}, at long", "Append", "EventTime")
-    return said.select("item", "detail", F.timestamp_micros("at").alias("ts"))
+    name, bucket, back = _named(events, ["item", "detail"])
+    grouped = events.select(name, bucket, when.alias("ts"), F.unix_micros(when).alias("at")).withWatermark("ts", delay).groupBy("bucket")
+    said = grouped.transformWithStateInPandas(_Once(int(horizon_days * DAY)), "name string, at long", "Append", "EventTime")
+    return said.select(back.alias("key"), "at").select("key.item", "key.detail", F.timestamp_micros("at").alias("ts"))
 
 
 def newest_progress(events: DataFrame, horizon_days: float, delay: str = "1 hour") -> DataFrame:
@@ -117,7 +138,8 @@ def newest_progress(events: DataFrame, horizon_days: float, delay: str = "1 hour
     """
     overall = F.round(F.least((F.col("index") + F.col("done")) / F.col("count"), F.lit(1.0)), 6).cast("double")
     when = F.col("ts").cast("timestamp")
-    shaped = events.select("job", when.alias("ts"), F.unix_micros(when).alias("at"), F.col("event_id").cast("long").alias("event_id"), F.col("stage").cast("string").alias("stage"), overall.alias("overall"))
-    kind = events.schema["job"].dataType.simpleString()
-    grouped = shaped.withWatermark("ts", delay).groupBy("job")
-    return grouped.transformWithStateInPandas(_Newest(int(horizon_days * DAY)), f"job {kind}, event_id long, stage string, overall double", "Update", "EventTime")
+    name, bucket, back = _named(events, ["job"])
+    shaped = events.select(name, bucket, when.alias("ts"), F.unix_micros(when).alias("at"), F.col("event_id").cast("long").alias("event_id"), F.col("stage").cast("string").alias("stage"), overall.alias("overall"))
+    grouped = shaped.withWatermark("ts", delay).groupBy("bucket")
+    newest = grouped.transformWithStateInPandas(_Newest(int(horizon_days * DAY)), "name string, event_id long, stage string, overall double", "Update", "EventTime")
+    return newest.select(back.alias("key"), "event_id", "stage", "overall").select("key.job", "event_id", "stage", "overall")

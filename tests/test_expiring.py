@@ -43,3 +43,14 @@ def test_silent_jobs_leave_the_state(spark, tmp_path):
     newest = {r.job: (r.event_id, r.stage, r.overall) for r in out}
     assert newest[1] == (4, "end", 0.5625) and newest[2] == (99, "again", 1.0) and len(newest) == 25
     assert states[-1] <= 16
+
+
+def test_python_is_called_for_buckets_and_not_for_keys(spark, tmp_path):
+    days = [[(k, f'"{k % 3}\\', d * 1.75 + k / 86400, k) for k in range(2000)] + [(None, None, d * 1.75, 0)] for d in range(3)]
+    shape = lambda s: expiring.warnings_once(s.selectExpr("job AS item", "kind AS detail", "ts"), 3)
+    out, states = played(spark, tmp_path, shape, days, "append")
+    said = sorted(((r.item is None, r.item, r.detail), (r.ts.replace(tzinfo=None) - START).total_seconds() / 86400) for r in out if r.item is not None)
+    assert len(said) == 4000 and [round(d - k[1] / 86400, 6) for k, d in said] == [0, 3.5] * 2000 and all(k[2] == f'"{k[1] % 3}\\' for k, _ in said)
+    assert sorted((r.detail, r.ts.replace(tzinfo=None) - START) for r in out if r.item is None) == [(None, datetime.timedelta(0)), (None, datetime.timedelta(days=3.5))]
+    # Rows of state are those of buckets, with their timers.
+    assert max(states) <= 3 * expiring.BUCKETS
