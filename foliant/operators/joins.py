@@ -417,6 +417,15 @@ def boundary_drift(ours: DataFrame, reference: DataFrame, snippet: int = 12) ->
 LAYOUT = {"doc": [], "page": ["page"], "line": ["page", "line"], "frag": ["page", "line", "frag"]}
 
 
+#: Rows of one side of a layout that a task sorts.
+ROWS_PER_TASK = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` in partitions by ``keys``, as many as ``rows`` need: adaptive execution merges others by compressed bytes."""
+    return df.repartition(-(-rows // ROWS_PER_TASK), *keys) if rows > ROWS_PER_TASK else df
+
+
 def first_difference(a: dict[str, DataFrame], b: dict[str, DataFrame], tolerance: float) -> DataFrame:
     """doc, page, line, frag, reason: for each document the first place at which two sides differ.
 
@@ -434,6 +443,7 @@ def first_difference(a: dict[str, DataFrame], b: dict[str, DataFrame], tolerance
     counted = {"page": "doc", "line": "page", "frag": "line"}
     tests = {"page": [("page size", far("w") | far("h"))], "line": [("baseline", far("y"))], "frag": [("x", far("x")), ("size", far("size")), ("font", other("font")), ("text", other("text"))]}
     nothing = F.lit(-1).cast("long")
+    rows = a[[k for k in LAYOUT if k in a][-1]].count()
 
     def places(df: DataFrame, level: str, rank: int, reason: Column) -> DataFrame:
         keys = {k: F.col(k).cast("long") if k in LAYOUT[level] else nothing for k in ("page", "line", "frag")}
@@ -443,12 +453,12 @@ def first_difference(a: dict[str, DataFrame], b: dict[str, DataFrame], tolerance
         if level not in a:
             continue
         above = ["doc", *LAYOUT[counted[level]]]
-        sizes = [x[level].groupBy(*above).agg(F.count("*").alias(n)) for x, n in ((a, "a_n"), (b, "b_n"))]
+        sizes = [dealt(x[level].select(*above), rows, *above).groupBy(*above).agg(F.count("*").alias(n)) for x, n in ((a, "a_n"), (b, "b_n"))]
         both = sizes[0].join(sizes[1], above, "full_outer")
         found.append(places(both, counted[level], 1, F.when(~F.col("a_n").eqNullSafe(F.col("b_n")), F.lit(f"{level} count"))))
         keys = ["doc", *LAYOUT[level]]
         side = lambda x, p, level=level, keys=keys: x[level].select(*(F.col(k).alias(k) for k in keys), *(F.col(c).alias(f"{p}_{c}") for c in values[level]))
-        met = side(a, "a").join(side(b, "b"), keys)
+        met = dealt(side(a, "a"), rows, *keys).join(dealt(side(b, "b"), rows, *keys), keys)
         reason = F.coalesce(*(F.when(c, F.lit(n)) for n, c in tests[level]))
         found.append(places(met, level, 0, reason))
     out = found[0]

@@ -107,7 +107,8 @@ def j12_first_difference(spark, sf_dir):
     one = frags.select(F.col("page").alias("doc"), F.ascii("text").cast("long").alias("page"), F.floor(F.col("frag") / 10).alias("line"), "frag", "x", F.lit(10.0).alias("size"), F.lit("f").alias("font"), "text")
     k = F.col("frag")
     other = one.where("frag % 1009 <> 7").withColumns({"x": F.when(k % 53 == 3, F.col("x") + 1).otherwise(F.col("x")), "size": F.when(k % 47 == 5, 11.0).otherwise(10.0), "font": F.when(k % 43 == 6, "g").otherwise("f"), "text": F.when(k % 31 == 4, F.lit("other")).otherwise(F.col("text"))})
-    lines = lambda df, step: df.select("doc", "page", "line", (F.col("line") * 2 + F.when(F.col("line") % 17 == step, 1).otherwise(0)).cast("double").alias("y")).distinct()
+    rows = frags.count()
+    lines = lambda df, step: J.dealt(df.select("doc", "page", "line", (F.col("line") * 2 + F.when(F.col("line") % 17 == step, 1).otherwise(0)).cast("double").alias("y")), rows, "doc", "page", "line").distinct()
     pages = lambda df, step: df.select("doc", "page", F.lit(100.0).alias("w"), (F.lit(200.0) + F.when((F.col("doc") + F.col("page")) % 19 == step, 1).otherwise(0)).alias("h")).distinct()
     side = lambda df, step: {"page": pages(df, step), "line": lines(df, step), "frag": df}
     return J.first_difference(side(one, -1), side(other, 3), 0.05)

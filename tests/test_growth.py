@@ -71,3 +71,13 @@ def test_tables_are_measured_before_they_are_broadcast(spark):
     assert sorted(tuple(r) for r in joins.chase_links(links(4).select("id"), links(4), 3).collect()) == [("0", "0"), ("1", "0"), ("2", "0"), ("3", None)]
     large = plan(joins.chase_links(links(4).select("id"), links(2_200_000)))
     assert "strategy=merge" in large and "strategy=broadcast" not in large
+
+
+def test_first_difference_sorts_bounded_parts(spark, monkeypatch):
+    side = lambda step: {"frag": spark.range(600).selectExpr("id % 7 AS doc", "id % 5 AS page", "id % 3 AS line", "id AS frag", "0.0D AS x", "10.0D AS size", "'f' AS font", f"IF(id % 50 = {step}, 'other', 'same') AS text")}
+    whole = joins.first_difference(side(-1), side(4), 0.05)
+    assert "Repartition" not in plan(whole)
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 100)
+    parts = joins.first_difference(side(-1), side(4), 0.05)
+    # Both sides of the join, and the rows that are counted, are dealt to six tasks.
+    assert plan(parts).count("RepartitionByExpression") == 4 and sorted(map(str, parts.collect())) == sorted(map(str, whole.collect())) != []
