@@ -118,7 +118,7 @@ def _stars(tile, home, node, n, words: list[np.ndarray], radius: int, similarity
     order = np.lexsort((node, n, tile))
     tile, home, node, n = tile[order], home[order], node[order], n[order]
     f0, f1, f2, f3 = (w[order] for w in words)
-    forest = simhash._Forest(len(tile))
+    forest = components.Forest(len(tile))
     high, wide = 64, 1024
     differ, apart = np.empty(high * wide, np.uint64), np.empty(high * wide, np.uint8)
     for s, e in _runs(tile):
@@ -283,7 +283,7 @@ def _first(nodes: DataFrame, count: int, radius: int, similarity: float) -> Data
         x = _arrays(pdf)
         return _pairs(*beside(x["key"], x["node"], x["n"], x["f0"], x["f1"], radius, similarity, width))
 
-    return nodes.groupBy(_groups(["key"], max(4, -(-count // simhash.ROWS_PER_GROUP)))).applyInPandas(compare, "a long, b long").distinct()
+    return nodes.groupBy(_groups(["key"], max(4, -(-count // simhash.ROWS_PER_GROUP)))).applyInPandas(compare, "a long, b long")
 
 
 def _open_tiles(nodes: DataFrame, component: DataFrame) -> DataFrame:
@@ -337,7 +337,7 @@ def _second(tiles: DataFrame, docs: DataFrame, found: DataFrame, width: int, rad
         return _pairs(np.array(a, np.int64), np.array(b, np.int64))
 
     met = left.join(has, "node").groupBy(_groups(["key", "block"], max(4, -(-size // BLOCK_SHINGLES) * 4)))
-    return met.applyInPandas(meet, "a long, b long").distinct()
+    return met.applyInPandas(meet, "a long, b long")
 
 
 def _third(tiles: DataFrame, radius: int, similarity: float) -> DataFrame:
@@ -347,7 +347,7 @@ def _third(tiles: DataFrame, radius: int, similarity: float) -> DataFrame:
         x = _arrays(pdf)
         return _pairs(*across(*(x[c] for c in ("key", "node", "n", "f0", "f1", "component", "block")), radius, similarity))
 
-    return tiles.groupBy("key").applyInPandas(compare, "a long, b long").distinct()
+    return tiles.groupBy("key").applyInPandas(compare, "a long, b long")
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, found: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -380,18 +380,17 @@ def near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
     groups = simhash_groups(marked, marked.count(), radius, similarity)
     nodes = shared.stored(marked.select("node", "n", "f0", "f1").join(groups, "node"), "nodes")
     first = shared.materialise(_first(nodes, nodes.count(), radius, similarity))
-    links = shared.materialise(_similar(first, docs, found, width, similarity))
-    grown = lambda: shared.materialise(components.components(links).withColumnRenamed("a", "node"))
-    component = grown()
+    # Stars stand for the links that they come from.
+    grown = lambda links: components.stars(links).withColumnRenamed("a", "node")
+    more = lambda component, links: grown(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+    component = grown(_similar(first, docs, found, width, similarity))
     tiles = shared.stored(_open_tiles(nodes, component), "open-tiles")
     if not tiles.isEmpty():
-        links = shared.materialise(links.unionByName(_second(tiles, docs, found, width, radius, similarity)))
-        component = grown()
+        component = more(component, _second(tiles, docs, found, width, radius, similarity))
         split = tiles.where("blocks > 1").drop("component").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        more = shared.materialise(_third(split, radius, similarity))
-        if not more.isEmpty():
-            links = links.unionByName(_similar(more, docs, found, width, similarity))
-            component = grown()
+        across = shared.materialise(_third(split, radius, similarity))
+        if not across.isEmpty():
+            component = more(component, _similar(across, docs, found, width, similarity))
     placed = shared.materialise(found.select("doc_id", "node").join(component, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component")))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "component").select("doc_id", "component_id")

@@ -72,30 +72,12 @@ def _offsets(radius: int, parts: int) -> list[tuple[int, ...]]:
     return [d for d in found if d >= (0,) * parts]
 
 
-class _Forest:
-    """Union-find over positions; roots are kept as an array so that whole tiles are looked up."""
-
-    def __init__(self, n: int) -> None:
-        self.root = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            x, y = self.root[a], self.root[b]
-            apart = x != y
-            if not apart.any():
-                return
-            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
-            while (deeper := self.root[self.root]) is not None and (deeper != self.root).any():
-                self.root = deeper
-
-
 def _stars(tile: np.ndarray, fp: np.ndarray, home: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within the radius between homes and all rows of each tile, as stars of nodes."""
     order = np.lexsort((~home, tile))
     tile, fp, home, node = tile[order], fp[order], home[order], node[order]
     edge = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]]) if len(tile) else np.zeros(0, np.int64)
-    forest = _Forest(len(tile))
+    forest = components.Forest(len(tile))
     for s, e in zip(edge, np.r_[edge[1:], len(tile)]):
         homes = int(home[s:e].sum())
         if not homes or e - s < 2:
@@ -151,7 +133,7 @@ def link_components(prints: DataFrame, radius: int = 2, parts: int | None = None
         return pd.DataFrame({"a": a, "b": b})
 
     links = visits.groupBy(F.pmod(F.xxhash64("tile", "block"), F.lit(groups)).alias("grp")).applyInPandas(compare, "a long, b long")
-    found = components.components(links)
+    found = components.stars(links)
     return distinct.join(found.withColumnRenamed("a", "node"), "node", "left").select("fp", "node", F.coalesce("component", "node").alias("component"))
 
 
